@@ -37,12 +37,13 @@ def _cut_hashes(
     whole = Window.partitionBy(*strata)
     upto = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = counts.withColumns({"n": F.sum("cnt").over(whole), "upto": F.sum("cnt").over(upto)})
-    wanted = positions(F.col("n"))
+    wanted = [p.cast("bigint").alias(f"position_{i}") for i, p in enumerate(positions(F.col("n")))]
+    sized = sized.select("*", *wanted)
     cuts = F.filter(
         F.array(
             *[
-                F.struct(F.lit(i).alias("i"), p.cast("bigint").alias("position"))
-                for i, p in enumerate(wanted)
+                F.struct(F.lit(i).alias("i"), F.col(f"position_{i}").alias("position"))
+                for i in range(len(wanted))
             ]
         ),
         lambda c: (c["position"] <= F.col("upto")) & (c["position"] > F.col("upto") - F.col("cnt")),

@@ -108,11 +108,11 @@ def z_scored_array(df: DataFrame, id_col: str, array_col: str, fitted_on: DataFr
     )
     scaled = F.zip_with(
         F.col(array_col),
-        stats,
+        F.col("_stats"),
         lambda x, s: (F.coalesce(x.cast("double"), F.lit(0.0)) - s["mean"])
         / F.when(s["std"] == 0, F.lit(1.0)).otherwise(s["std"]),
     )
-    return df.select(id_col, scaled.alias("vec"))
+    return df.withColumn("_stats", stats).select(id_col, scaled.alias("vec"))
 
 
 # Work inside tasks ---------------------------------------------------------
