@@ -37,7 +37,9 @@ ORDER_DIGITS = 9
 MAX_PIVOTS = 16_384
 MAX_PIVOT_NUMBERS = 2_000_000
 ROWS_PER_CELL = 4_096
+# Rows of a query block: as many as this, fewer while that leaves cores idle.
 QUERY_BLOCK = 4_096
+MIN_QUERY_BLOCK = 256
 # Ring of a distance: quarter powers of two, within this range.
 RING_STEP = 4
 RING_RANGE = 128
@@ -333,9 +335,8 @@ def _rank_value(left, right, family):
 # The join ------------------------------------------------------------------
 
 
-def _pivots(refs: DataFrame, n_refs: int, n_pivots: int | None, seed) -> np.ndarray:
+def _pivots(refs: DataFrame, n_refs: int, width: int, n_pivots: int | None, seed) -> np.ndarray:
     """A bounded set of different reference vectors, lowest in hash order."""
-    width = refs.select(F.max(F.size("vec"))).first()[0]
     wanted = n_pivots or max(1, round(n_refs / ROWS_PER_CELL))
     wanted = int(min(wanted, MAX_PIVOTS, max(1, MAX_PIVOT_NUMBERS // max(1, width))))
     rows = (
@@ -369,7 +370,7 @@ def _build_units(refs: DataFrame, pivots, family, top_norm) -> Units:
 
 def nearest(
     queries: DataFrame,
-    refs: DataFrame,
+    refs: DataFrame | None,
     query_id: str,
     ref_id: str,
     k: int,
@@ -385,26 +386,30 @@ def nearest(
     otherwise only that many cells nearest to the query are compared.
     ``score`` is ``exp(-distance)``, the cosine for ``cosine``, and null for
     ``dot``, whose distance column holds the product itself.  The two id
-    columns have different names; vectors have no nulls.
+    columns have different names; vectors have no nulls.  With ``refs=None`` the
+    query rows are searched among themselves.
     """
     family = _family(metric)
     if query_id == ref_id:
         raise ValueError("query and reference ids need different column names")
-    id_type = refs.schema[ref_id].dataType
     spark = queries.sparkSession
-    r = stage(
-        refs.select(F.col(ref_id).alias("rid"), prepare_vector(F.col("vec"), metric).alias("vec")),
-        "reference-vectors",
-    )
-    q = stage(
-        queries.select(
-            F.col(query_id).cast(id_type).alias("qid"),
-            prepare_vector(F.col("vec"), metric).alias("vec"),
-        ),
-        "query-vectors",
-    )
+    ready = prepare_vector(F.col("vec"), metric).alias("vec")
+    if refs is None:
+        id_type = queries.schema[query_id].dataType
+        q = stage(queries.select(F.col(query_id).alias("qid"), ready), "vectors")
+        r = q.withColumnRenamed("qid", "rid")
+    else:
+        id_type = refs.schema[ref_id].dataType
+        r = stage(refs.select(F.col(ref_id).alias("rid"), ready), "reference-vectors")
+        q = stage(
+            queries.select(F.col(query_id).cast(id_type).alias("qid"), ready), "query-vectors"
+        )
     norm = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
-    head = r.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(norm)).alias("norm")).first()
+    head = r.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.size("vec")).alias("width"),
+        F.sqrt(F.max(norm)).alias("norm"),
+    ).first()
     result = T.StructType(
         [
             T.StructField("qid", id_type),
@@ -415,7 +420,7 @@ def nearest(
     if not head["n"]:
         return _ranked(spark.createDataFrame([], result), query_id, ref_id, k, metric)
     top_norm = float(head["norm"])
-    units = _build_units(r, _pivots(r, head["n"], n_pivots, seed), family, top_norm)
+    units = _build_units(r, _pivots(r, head["n"], head["width"], n_pivots, seed), family, top_norm)
     need = k + int(exclude_self)
 
     def visit(count_only: bool, schema) -> DataFrame:
@@ -423,11 +428,13 @@ def nearest(
 
     seen = visit(True, "unit int, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).collect()
     block = max(ROWS_PER_CELL, 4 * k)
+    share = sum(s["n"] for s in seen) // (2 * spark.sparkContext.defaultParallelism)
+    query_block = max(MIN_QUERY_BLOCK, min(QUERY_BLOCK, share))
     # One row per unit: bounded by the number of pivots and rings.
     sizes = F.broadcast(
         spark.createDataFrame(
             [
-                (s["unit"], int(-(-units.count[s["unit"]] // block)), int(-(-s["n"] // QUERY_BLOCK)))
+                (s["unit"], int(-(-units.count[s["unit"]] // block)), int(-(-s["n"] // query_block)))
                 for s in seen
             ],
             "unit int, ref_blocks int, query_blocks int",

@@ -379,13 +379,7 @@ def _rounded_features(spark, sf):
 def _all_pairs(vectors: DataFrame, id_col: str, k: int, metric: str, **options) -> DataFrame:
     """Every row of a vector table searched in the same table."""
     return similarity.nearest(
-        vectors.withColumnRenamed(id_col, "query_id"),
-        vectors.withColumnRenamed(id_col, "ref_id"),
-        "query_id",
-        "ref_id",
-        k,
-        metric,
-        **options,
+        vectors.withColumnRenamed(id_col, "query_id"), None, "query_id", "ref_id", k, metric, **options
     )
 
 
