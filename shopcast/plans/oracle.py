@@ -918,3 +918,18 @@ SELECT round(avg(CAST(list_sort(a) = list_sort(p) AS DOUBLE)), 8) AS exact_match
 FROM (SELECT list(DISTINCT p_brand) AS a, coalesce(list(DISTINCT p_brand) FILTER (l_linenumber <= 4), []) AS p,
              max(CAST(l_returnflag = 'R' AS INTEGER)) AS click
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""
+
+# Model calls with the made model functions ---------------------------------
+
+part("pplain", ["pchunks"], _gather(_profile_line, "pchunks"))
+SQL["narrative_stub"] = _with("pplain", body=f"""
+SELECT customer_id, CASE WHEN lost THEN template_profile ELSE 'Customer ' || customer_id || ' in words.' END AS narrative_profile,
+       lost AS is_fallback
+FROM (SELECT customer_id, template_profile,
+             length(prompt) % 13 = 0 OR (length(prompt) % 5 = 0 AND position = rows) AS lost
+      FROM pchunks JOIN pplain USING (chunk_no))""")
+SQL["prediction_stub"] = _with("profiles", body="""
+SELECT customer_id, CAST(length(customer_id) AS DOUBLE) AS pred_target_sales, 'SMALL' AS pred_target_categories,
+       0.6::DOUBLE AS pred_confidence, 'same for all' AS pred_reasoning, false AS is_fallback FROM profiles""")
+SQL["adaptive_stub"] = _with("rcust", body=f"""
+SELECT customer_id, lower({numeric_text(retail.NUMERIC_NAMES, ('label',))} || ' ') AS adaptive_template FROM rcust""")
