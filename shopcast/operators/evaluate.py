@@ -180,7 +180,7 @@ def calibration_table(
         bin_no = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < p))
     else:
         raise ValueError("strategy must be 'uniform' or 'quantile'")
-    return df.groupBy(bin_no.cast("int").alias("bin")).agg(
+    return df.where(p.isNotNull()).groupBy(bin_no.cast("int").alias("bin")).agg(
         F.avg(p).alias("mean_predicted"),
         F.avg(F.col(label).cast("double")).alias("share_positive"),
         F.count(F.lit(1)).alias("cnt"),
@@ -198,8 +198,9 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFra
     entries = []
     for c in columns:
         lo, hi, v = limits[f"{c}_lo"], limits[f"{c}_hi"], F.col(c).cast("double")
-        at = F.when(hi == lo, F.lit(bins // 2)).otherwise(
-            F.least(F.floor((v - lo) * bins / F.when(hi != lo, hi - lo)), F.lit(bins - 1))
+        raw = F.floor((v - lo) * bins / F.when(hi != lo, hi - lo))
+        at = F.when(v.isNotNull() & (hi == lo), F.lit(bins // 2)).otherwise(
+            F.when(raw >= bins, F.lit(bins - 1)).otherwise(raw)
         )
         entries.append(
             F.struct(F.lit(c).alias("series"), at.cast("int").alias("bin"))

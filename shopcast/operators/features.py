@@ -115,10 +115,7 @@ def bought_lists(
     """
     entries = F.array(
         *[
-            F.when(
-                _within(period) & F.col(source).isNotNull(),
-                F.struct(F.lit(name).alias("list"), F.col(source).alias("value")),
-            )
+            F.struct(F.lit(name).alias("list"), F.when(_within(period), F.col(source)).alias("value"))
             for name, (source, period) in lists.items()
         ]
     )
@@ -126,9 +123,10 @@ def bought_lists(
         tx.select(
             "customer_id",
             F.struct("invoice_date", "invoice_no", "line_no").alias("at"),
-            F.explode(F.array_compact(entries)).alias("entry"),
+            F.inline(entries),
         )
-        .groupBy("customer_id", F.col("entry.list").alias("list"), F.col("entry.value").alias("value"))
+        .where(F.col("value").isNotNull())
+        .groupBy("customer_id", "list", "value")
         .agg(F.min("at").alias("at"))
     )
     return firsts.groupBy("customer_id").agg(
@@ -178,16 +176,101 @@ def outcome_table(tx: DataFrame, feature: Period, outcome: Period) -> DataFrame:
     )
 
 
+def _counted_values(tx: DataFrame, feature: Period, outcome: Period) -> DataFrame:
+    """One row per customer, kind and value, with first and last date and sales.
+
+    Every line is listed once under each kind that applies to its period.
+    Distinct counts and sums follow from these rows, so the lines are read once
+    for all of them; everything aggregated is of fixed width, which keeps the
+    aggregation hash-based, and a customer with very many lines is spread over
+    as many keys as it has values.
+    """
+    listed = {
+        "time": (F.col("invoice_date").cast("string"), feature),
+        "invoice": (F.col("invoice_no"), feature),
+        "product": (F.col("stock_code"), feature),
+        "category": (F.col("category"), feature),
+        "later_invoice": (F.col("invoice_no"), outcome),
+    }
+    entries = [
+        F.struct(F.lit(kind).alias("kind"), F.when(_within(period), value).alias("value"))
+        for kind, (value, period) in listed.items()
+    ]
+    return (
+        tx.select("customer_id", "invoice_date", "sales", F.inline(F.array(*entries)))
+        .where(F.col("value").isNotNull())
+        .groupBy("customer_id", "kind", "value")
+        .agg(
+            F.min("invoice_date").alias("first"),
+            F.max("invoice_date").alias("last"),
+            F.sum("sales").alias("sales"),
+        )
+    )
+
+
 def customer_dataset(
     tx: DataFrame, feature: Period, outcome: Period, categories: Sequence[str]
 ) -> DataFrame:
-    """The wide customer table: outcome columns joined with the feature columns."""
-    feature_tx = tx.where(_within(feature))
-    rfm = with_rates(rfm_features(feature_tx)).drop("first_purchase_date", "nb_invoice")
-    pivot = category_pivot(feature_tx, categories)
-    shares = [f"per_{column_name(c)}" for c in categories]
-    return (
-        outcome_table(tx, feature, outcome)
-        .join(rfm, "customer_id")
-        .join(pivot.select("customer_id", *shares), "customer_id")
+    """The wide customer table: outcome columns and feature columns.
+
+    Equal to joining :func:`outcome_table`, :func:`rfm_features` with
+    :func:`with_rates`, and :func:`category_pivot`, from one pass for counts
+    and sums and one for the ordered lists.
+    """
+    active = tx.where(_within(feature) | _within(outcome))
+    last = tx.where(_within(feature)).agg(F.max("invoice_date")).scalar()
+
+    def of(kind: str, column: str) -> Column:
+        return F.when(F.col("kind") == kind, F.col(column))
+
+    def days_to_last(column: str) -> Column:
+        return F.date_part(F.lit("DAY"), last - F.col(column)).cast("bigint")
+
+    names = {c: column_name(c) for c in categories}
+    counted = (
+        _counted_values(active, feature, outcome)
+        .groupBy("customer_id")
+        .agg(
+            F.round(F.sum(of("invoice", "sales")), 2).alias("total_sales"),
+            F.round(F.coalesce(F.sum(of("later_invoice", "sales")), F.lit(0.0)), 2).alias("target_sales"),
+            F.max(of("invoice", "last")).alias("last_purchase_date"),
+            F.min(of("invoice", "first")).alias("first_purchase_date"),
+            *[
+                F.count(of(kind, "value")).alias(name)
+                for kind, name in (
+                    ("time", "purchase_day"), ("product", "nb_product"), ("category", "nb_category")
+                )
+            ],
+            *[
+                F.round(
+                    F.sum(F.when((F.col("kind") == "category") & (F.col("value") == c), F.col("sales"))),
+                    2,
+                ).alias(n)
+                for c, n in names.items()
+            ],
+        )
+        .where(F.col("total_sales").isNotNull())
+    )
+    texts = {
+        "target_descriptions": ("description", outcome),
+        "target_categories": ("category", outcome),
+        "bought_descriptions": ("description", feature),
+        "bought_categories": ("category", feature),
+    }
+    rows = counted.join(bought_lists(active, texts), "customer_id", "left").withColumns(
+        {
+            "recency": days_to_last("last_purchase_date"),
+            "customer_lifetime": days_to_last("first_purchase_date"),
+        }
+    )
+    return with_rates(rows).select(
+        "customer_id",
+        "target_sales",
+        *[F.coalesce(t, F.lit("")).alias(t) for t in texts],
+        "recency", "purchase_day", "total_sales", "nb_product", "nb_category", "customer_lifetime",
+        "avg_purchase_frequency", "avg_purchase_value",
+        *[
+            (F.coalesce(n, F.lit(0.0)) / F.col("total_sales")).alias(f"per_{n}")
+            for n in names.values()
+        ],
     )

@@ -832,7 +832,8 @@ part("pparsed", ["preplies"], _parsed("preplies", ["customer_id", *_pfields]))
 part("pvalid", ["pparsed"], """
 SELECT chunk_no, entry, customer_id, coalesce(TRY_CAST(pred_target_sales AS DOUBLE), 0.0::DOUBLE) AS pred_target_sales,
        coalesce(pred_target_categories, '') AS pred_target_categories,
-       coalesce(least(greatest(TRY_CAST(pred_confidence AS DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE), 0.5::DOUBLE) AS pred_confidence,
+       CASE WHEN TRY_CAST(pred_confidence AS DOUBLE) IS NULL THEN 0.5::DOUBLE
+            ELSE least(greatest(TRY_CAST(pred_confidence AS DOUBLE), 0.0::DOUBLE), 1.0::DOUBLE) END AS pred_confidence,
        coalesce(pred_reasoning, 'No reasoning provided') AS pred_reasoning FROM pparsed""")
 SQL["validate_predictions"] = _with("pvalid", body=f"SELECT customer_id, {', '.join(_pfields)} FROM pvalid")
 SQL["predictions"] = _with("pvalid", body="""
