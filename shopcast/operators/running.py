@@ -4,30 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Buckets are found in two steps: a coarse one, then one of its fine ones.
+STEP = 32
+# About this many rows per bucket while the number of buckets allows it.
+BUCKET_ROWS = 10_000
+
 
 def running_totals(
     df: DataFrame,
     order_col: str,
     sums: Sequence[str],
-    buckets: int = 256,
     descending: bool = False,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Add ``<sum>_upto`` columns: totals over all rows up to and including this one.
 
     ``order_col`` must be distinct per row (aggregate to one row per value
-    first).  Rows are cut into buckets of about equal size at boundaries of
-    the order column, so a bucket holds a bounded share of the rows; the
-    bucket totals are a table of at most ``buckets`` + 1 rows.
+    first).  Rows are cut into up to 1,024 buckets of about equal size at
+    boundaries of the order column; only a bucket is sorted, and the bucket
+    totals are a table of at most that many rows.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(order_col, probs, buckets * 10).alias("b")).first()["b"]
-    bounds = sorted(set(bounds or []))
-    bucket = _bucket(F.col(order_col), bounds)
-    placed = df.withColumn("bucket", bucket)
+    probs = [i / STEP**2 for i in range(1, STEP**2)]
+    head = df.agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(order_col, probs, 10 * STEP**2).alias("b")
+    ).first()
+    wanted = max(1, min(STEP**2, -(-head["n"] // bucket_rows)))
+    bounds = sorted(set((head["b"] or [])[:: max(1, STEP**2 // wanted)])) if wanted > 1 else []
+    placed = _with_bucket(df, order_col, bounds)
     order = F.col("bucket").desc() if descending else F.col("bucket").asc()
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -54,17 +61,34 @@ def running_totals(
     )
 
 
-def _bucket(value, bounds):
-    """Number of boundaries below the value, found by halving in generated code."""
+def _with_bucket(df: DataFrame, order_col: str, bounds: list[float]) -> DataFrame:
+    """Add ``bucket``: the number of boundaries below the value."""
+    value = F.col(order_col)
     if not bounds:
-        return F.lit(0)
+        return df.withColumn("bucket", F.lit(0))
+    fine = [bounds[i : i + STEP] for i in range(0, len(bounds), STEP)]
+    coarse = _search(value, [part[-1] for part in fine[:-1]])
+    table = df.sparkSession.createDataFrame(
+        [(i, part) for i, part in enumerate(fine)], "coarse int, fine array<double>"
+    )
+    below = F.size(F.filter("fine", lambda b: b < value))
+    return (
+        df.withColumn("coarse", coarse)
+        .join(F.broadcast(table), "coarse")
+        .withColumn("bucket", F.col("coarse") * STEP + below)
+        .drop("coarse", "fine")
+    )
+
+
+def _search(value: Column, bounds: list[float]) -> Column:
+    """Number of boundaries below the value, found by halving in generated code."""
 
-    def search(low, high):
+    def between(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        return F.when(value <= F.lit(bounds[mid]), search(low, mid)).otherwise(
-            search(mid + 1, high)
+        return F.when(value <= F.lit(bounds[mid]), between(low, mid)).otherwise(
+            between(mid + 1, high)
         )
 
-    return search(0, len(bounds))
+    return between(0, len(bounds))

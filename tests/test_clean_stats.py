@@ -108,32 +108,36 @@ def test_order_statistics(spark, n):
         assert got["same", p] == 7.0
 
 
+@pytest.mark.parametrize("bracket_rows", [10**6, 200])
 @pytest.mark.parametrize("interpolation", ["nearest", "linear"])
-def test_order_statistics_with_brackets(spark, interpolation):
-    """The bracketed path: skewed values, a third of them equal."""
+def test_order_statistics_with_brackets(spark, interpolation, bracket_rows):
+    """Bracketed and narrowed: skewed values, a third of them equal."""
     import numpy as np
 
     rng = random.Random(5)
     values = [0.0] * 7000 + [rng.lognormvariate(0, 3) for _ in range(14000)]
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
-    probs = [0.01, 0.2, 1 / 3, 0.5, 0.75, 0.99]
-    rows = order_statistics(df, ["v"], probs, interpolation, accuracy=200, small_column=1000).collect()
+    probs = [0.0, 0.01, 0.2, 1 / 3, 0.5, 0.75, 0.99, 1.0]
+    rows = order_statistics(
+        df, ["v"], probs, interpolation, accuracy=200, small_column=1000, bracket_rows=bracket_rows
+    ).collect()
     got = {r.prob: r.value for r in rows}
     for p in probs:
         want = nearest(values, p) if interpolation == "nearest" else float(np.quantile(values, p))
         assert got[p] == pytest.approx(want, rel=1e-12)
 
 
-def test_running_totals_equal_a_plain_sum(spark):
+@pytest.mark.parametrize("rows_per_bucket", [3, 100, 10_000])
+def test_running_totals_equal_a_plain_sum(spark, rows_per_bucket):
     rng = random.Random(3)
     rows = sorted({rng.random() ** 6 for _ in range(3000)})
     df = spark.createDataFrame([(v, i % 7) for i, v in enumerate(rows)], "v double, n int")
-    got = {r.v: r.n_upto for r in running_totals(df, "v", ["n"], buckets=16).collect()}
+    got = {r.v: r.n_upto for r in running_totals(df, "v", ["n"], bucket_rows=rows_per_bucket).collect()}
     total = 0
     for i, v in enumerate(rows):
         total += i % 7
         assert got[v] == total
-    down = {r.v: r.n_upto for r in running_totals(df, "v", ["n"], 16, descending=True).collect()}
+    down = {r.v: r.n_upto for r in running_totals(df, "v", ["n"], True, rows_per_bucket).collect()}
     assert down[rows[0]] == total and down[rows[-1]] == (len(rows) - 1) % 7
 
 
