@@ -21,17 +21,33 @@ class FeatureSpec:
 
 @dataclass(frozen=True)
 class ModelSettings:
-    """How prompts are cut into calls and how a call is repeated."""
+    """How prompts are cut into calls, paced and repeated.
+
+    A worker starts a call at most every ``seconds_per_batch`` seconds, so
+    ``max_workers`` workers handle one batch window in that time.
+    """
 
     batch_size: int = 20
     max_workers: int = 2
+    seconds_per_batch: float = 0.0
+    chunk_rows: int | None = None
     retries: int = 8
     retry_wait_seconds: float = 0.0
-    pause_seconds: float = 0.0
 
     @property
     def chunk_size(self) -> int:
-        return max(1, self.batch_size // self.max_workers)
+        return self.chunk_rows or max(1, self.batch_size // self.max_workers)
+
+
+def model_settings(settings: Mapping, stage: str, retries: int = 8) -> ModelSettings:
+    """Settings of one stage (``profile`` or ``prediction``) from a ``batch_processing`` section."""
+    body = settings["batch_processing"]
+    return ModelSettings(
+        batch_size=body[f"{stage}_batch_size"],
+        max_workers=body[f"{stage}_max_workers"],
+        seconds_per_batch=body[f"{stage}_seconds_per_batch"],
+        retries=retries,
+    )
 
 
 def read_settings(path: str) -> dict:

@@ -35,6 +35,11 @@ def period_sales(tx: DataFrame, feature: Period, outcome: Period) -> DataFrame:
     )
 
 
+def _days_to_last(column: str) -> Column:
+    """Whole days from a date to the last date of all rows, in ``_last``."""
+    return F.date_part(F.lit("DAY"), F.col("_last") - F.col(column)).cast("bigint")
+
+
 def rfm_features(tx: DataFrame, purchase_unit: str = "timestamp") -> DataFrame:
     """Recency, frequency, spend and diversity per customer.
 
@@ -55,19 +60,16 @@ def rfm_features(tx: DataFrame, purchase_unit: str = "timestamp") -> DataFrame:
         F.count_distinct("category").alias("nb_category"),
     )
 
-    def days_to_last(column: str) -> Column:
-        return F.date_part(F.lit("DAY"), last - F.col(column)).cast("bigint")
-
-    return per_customer.select(
+    return per_customer.withColumn("_last", last).select(
         "customer_id",
-        days_to_last("last_purchase_date").alias("recency"),
+        _days_to_last("last_purchase_date").alias("recency"),
         "first_purchase_date",
         "purchase_day",
         "nb_invoice",
         "total_sales",
         "nb_product",
         "nb_category",
-        days_to_last("first_purchase_date").alias("customer_lifetime"),
+        _days_to_last("first_purchase_date").alias("customer_lifetime"),
     )
 
 
@@ -223,9 +225,6 @@ def customer_dataset(
     def of(kind: str, column: str) -> Column:
         return F.when(F.col("kind") == kind, F.col(column))
 
-    def days_to_last(column: str) -> Column:
-        return F.date_part(F.lit("DAY"), last - F.col(column)).cast("bigint")
-
     names = {c: column_name(c) for c in categories}
     counted = (
         _counted_values(active, feature, outcome)
@@ -257,11 +256,15 @@ def customer_dataset(
         "bought_descriptions": ("description", feature),
         "bought_categories": ("category", feature),
     }
-    rows = counted.join(bought_lists(active, texts), "customer_id", "left").withColumns(
-        {
-            "recency": days_to_last("last_purchase_date"),
-            "customer_lifetime": days_to_last("first_purchase_date"),
-        }
+    rows = (
+        counted.join(bought_lists(active, texts), "customer_id", "left")
+        .withColumn("_last", last)
+        .withColumns(
+            {
+                "recency": _days_to_last("last_purchase_date"),
+                "customer_lifetime": _days_to_last("first_purchase_date"),
+            }
+        )
     )
     return with_rates(rows).select(
         "customer_id",

@@ -22,6 +22,7 @@ def _call_partition(factory: ModelFactory, settings: ModelSettings):
         for batch in batches:
             replies, errors, tries = [], [], []
             for prompt in batch["prompt"]:
+                started = time.monotonic()
                 reply, error, used = None, None, 0
                 while reply is None and used <= settings.retries:
                     if used and settings.retry_wait_seconds:
@@ -36,8 +37,9 @@ def _call_partition(factory: ModelFactory, settings: ModelSettings):
                 replies.append(reply)
                 errors.append(None if reply is not None else error)
                 tries.append(used)
-                if settings.pause_seconds:
-                    time.sleep(settings.pause_seconds)
+                rest = settings.seconds_per_batch - (time.monotonic() - started)
+                if rest > 0:
+                    time.sleep(rest)
             yield batch.drop(columns="prompt").assign(reply=replies, error=errors, tries=tries)
 
     return run
@@ -79,21 +81,26 @@ def resumed_replies(
     path: str,
     key: str,
     workers: int | None = None,
+    rounds: int = 1,
 ) -> DataFrame:
-    """Replies kept in a table at ``path``; only prompts without a stored reply are sent."""
+    """Replies kept in a table at ``path``; only prompts without a stored reply are sent.
+
+    With ``rounds`` the prompts are sent in that many parts, each stored before
+    the next, so that a job that dies loses the calls of one part only.
+    """
     spark = prompts.sparkSession
-    done = None
-    if table_exists(spark, path):
-        done = read_table(spark, path).where(F.col("reply").isNotNull())
-    todo = pending_rows(prompts, done, [key])
-    append_results(call_model(todo, factory, settings, workers), path)
+    for part in range(rounds):
+        done = None
+        if table_exists(spark, path):
+            done = read_table(spark, path).where(F.col("reply").isNotNull())
+        todo = prompts.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == part)
+        append_results(
+            call_model(pending_rows(todo, done, [key]), factory, settings, workers), path
+        )
     # A prompt that failed before and was answered now has both rows: keep the answer.
     return (
         read_table(spark, path)
         .groupBy(key)
-        .agg(
-            F.max("reply").alias("reply"),
-            F.max("error").alias("error"),
-        )
+        .agg(F.max("reply").alias("reply"), F.max("error").alias("error"))
         .select(key, "reply", F.when(F.col("reply").isNull(), F.col("error")).alias("error"))
     )

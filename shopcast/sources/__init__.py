@@ -65,11 +65,17 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
 
 
 def staging_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one only where none is named."""
+    """The shared folder the session names.
+
+    Only a local session without one gets a folder of its own; on a cluster a
+    machine-local folder would be lost with its machine, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         folder = os.path.join(tempfile.gettempdir(), "shopcast-staging")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
