@@ -40,6 +40,9 @@ ROWS_PER_CELL = 4_096
 # Rows of a query block: as many as this, fewer while that leaves cores idle.
 QUERY_BLOCK = 4_096
 MIN_QUERY_BLOCK = 256
+# Copies are thinned out when less than this share of the rows differ.
+COPY_SHARE = 0.8
+COPY_SALTS = 64
 # Ring of a distance: quarter powers of two, within this range.
 RING_STEP = 4
 RING_RANGE = 128
@@ -392,10 +395,8 @@ def nearest(
     family = _family(metric)
     if query_id == ref_id:
         raise ValueError("query and reference ids need different column names")
-    spark = queries.sparkSession
     ready = prepare_vector(F.col("vec"), metric).alias("vec")
     if refs is None:
-        id_type = queries.schema[query_id].dataType
         q = stage(queries.select(F.col(query_id).alias("qid"), ready), "vectors")
         r = q.withColumnRenamed("qid", "rid")
     else:
@@ -404,21 +405,70 @@ def nearest(
         q = stage(
             queries.select(F.col(query_id).cast(id_type).alias("qid"), ready), "query-vectors"
         )
-    norm = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
-    head = r.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.size("vec")).alias("width"),
-        F.sqrt(F.max(norm)).alias("norm"),
-    ).first()
-    result = T.StructType(
+    # Rows wanted per query before the query itself is taken out.
+    need = k + int(exclude_self)
+    head = _head(r)
+    if head["n"] and _many_copies(head):
+        r = _lowest_copies(r, need)
+    if not head["n"]:
+        best = q.sparkSession.createDataFrame([], _result_type(r))
+    elif _many_copies(_head(q) if refs is not None else head):
+        # Equal query rows have equal neighbours: search once, then hand out.
+        lead = stage(q.groupBy("vec").agg(F.min("qid").alias("qid")), "different-vectors")
+        found = _top(_search(lead, r, head, family, need, False, probes, n_pivots, seed), need)
+        shared = q.withColumnRenamed("qid", "own").join(lead, "vec").select("own", "qid")
+        best = shared.join(found, "qid").select(F.col("own").alias("qid"), "rid", "value")
+        if exclude_self:
+            best = best.where(F.col("qid") != F.col("rid"))
+    else:
+        best = _search(q, r, head, family, k, exclude_self, probes, n_pivots, seed)
+    return _scored(_top(best, k), query_id, ref_id, metric)
+
+
+def _result_type(refs: DataFrame) -> T.StructType:
+    id_type = refs.schema["rid"].dataType
+    return T.StructType(
         [
             T.StructField("qid", id_type),
             T.StructField("rid", id_type),
             T.StructField("value", T.DoubleType()),
         ]
     )
-    if not head["n"]:
-        return _ranked(spark.createDataFrame([], result), query_id, ref_id, k, metric)
+
+
+def _head(rows: DataFrame):
+    norm = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.approx_count_distinct(F.xxhash64("vec")).alias("different"),
+        F.max(F.size("vec")).alias("width"),
+        F.sqrt(F.max(norm)).alias("norm"),
+    ).first()
+
+
+def _many_copies(head) -> bool:
+    return head["different"] < COPY_SHARE * head["n"]
+
+
+def _lowest_copies(refs: DataFrame, need: int) -> DataFrame:
+    """Of equal reference rows only the lowest ids can be among the nearest.
+
+    Copies are thinned per salt first, so that no task gets all of a large group.
+    """
+    salt = F.pmod(F.xxhash64("rid"), F.lit(COPY_SALTS))
+    for keys in ([F.col("vec"), salt], [F.col("vec")]):
+        order = Window.partitionBy(*keys).orderBy("rid")
+        refs = refs.withColumn("copy", F.row_number().over(order)).where(F.col("copy") <= need)
+        refs = refs.drop("copy")
+    return stage(refs, "lowest-copies")
+
+
+def _search(
+    q: DataFrame, r: DataFrame, head, family, k, exclude_self, probes, n_pivots, seed
+) -> DataFrame:
+    """Up to ``k`` rows (qid, rid, value) per query row and pair of blocks."""
+    spark = q.sparkSession
+    result = _result_type(r)
     top_norm = float(head["norm"])
     units = _build_units(r, _pivots(r, head["n"], head["width"], n_pivots, seed), family, top_norm)
     need = k + int(exclude_self)
@@ -443,7 +493,7 @@ def nearest(
     vec = T.StructField("vec", r.schema["vec"].dataType)
     unit = T.StructField("unit", T.IntegerType())
     left = (
-        visit(False, T.StructType([T.StructField("qid", id_type), vec, unit]))
+        visit(False, T.StructType([result["qid"], vec, unit]))
         .join(sizes, "unit")
         .select(
             "unit",
@@ -454,10 +504,7 @@ def nearest(
         )
     )
     right = (
-        r.mapInArrow(
-            _place(units, family, top_norm),
-            T.StructType([T.StructField("rid", id_type), vec, unit]),
-        )
+        r.mapInArrow(_place(units, family, top_norm), T.StructType([result["rid"], vec, unit]))
         .join(sizes, "unit")
         .select(
             "unit",
@@ -468,17 +515,19 @@ def nearest(
         )
     )
     grid = ["unit", "ref_block", "query_block"]
-    best = (
+    return (
         left.groupBy(*grid)
         .cogroup(right.groupBy(*grid))
         .applyInArrow(_compare_blocks(family, k, exclude_self, to_arrow_schema(result)), result)
     )
-    return _ranked(best, query_id, ref_id, k, metric)
 
 
-def _ranked(best: DataFrame, query_id: str, ref_id: str, k: int, metric: str) -> DataFrame:
+def _top(best: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.round("value", ORDER_DIGITS), "rid")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _scored(ranked: DataFrame, query_id: str, ref_id: str, metric: str) -> DataFrame:
     value = F.col("value")
     if metric == "dot":
         distance, score = -value, F.lit(None).cast("double")

@@ -68,6 +68,17 @@ def test_every_metric_against_all_pairs(spark, metric, monkeypatch):
     assert got == brute(queries, refs, 7, metric)
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_a_third_of_the_rows_are_copies(spark, exclude_self):
+    """Equal rows on both sides: searched once, handed out to all, ties by id."""
+    rows = vectors(60, 3, 8, hot=40)
+    q, _ = frames(spark, rows, rows)
+    r = q.withColumnRenamed("query_id", "rid")
+    assert similarity._lowest_copies(r, 4).count() == 60 - 1 + 4
+    got = ranked(similarity.nearest(q, None, "query_id", "ref_id", 4, exclude_self=exclude_self))
+    assert got == brute(rows, rows, 4, "euclidean", exclude_self)
+
+
 def test_exclude_self_and_k_beyond_size(spark):
     rows = vectors(12, 3, 4, hot=3)
     q, _ = frames(spark, rows, rows)
