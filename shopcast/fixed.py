@@ -58,3 +58,34 @@ LATER_CONFIDENCE = 80
 
 # Item columns that are counted apart from the numeric features.
 ITEM_PREFIXES = ("Previous view of", "Previous order of")
+
+# Sentence about the quartiles of a column, with its figures by name.
+QUARTILE_SENTENCE = (
+    "has a mean value of {mean} with a standard deviation of {std}. "
+    "The minimum observed value is {min}, while the maximum is {max}. "
+    "Approximately 25% of the values are below {q25}, the median (50th percentile) is {q50}, "
+    "and 75% of the values fall below {q75}. "
+)
+
+# Lines of the prompts.
+CUSTOMER_LINE = "Customer "
+PROFILE_LINE = "Profile: "
+TREATMENT_LINE = "Treatment: "
+EXAMPLES_HEAD = "Similar Examples for Customer "
+EXAMPLE_LINE = "Example "
+SIMILARITY_LINE = " (similarity: "
+OUTCOMES_LINE = "Actual Outcomes: "
+
+# What the model is asked to return.
+REPLY_FORMAT = "JSON format with fields: "
+PREDICTED_FIELD = "Predicted "
+CONFIDENCE_TEXT = "Confidence level in the prediction (float, 0-1)"
+REASONING_TEXT = "Detailed explanation for the prediction (string)"
+
+# Cases and similar texts.
+CASE_LINE = "Customer Profile: "
+CASE_ANSWER = "Answer: "
+CASE_CATEGORIES = "Preferred Categories: "
+TEXT_ANSWER = ". Answer: "
+TEXT_CONFIDENCE = ". Confidence: "
+TEXT_CATEGORIES = ". Preferred categories: "

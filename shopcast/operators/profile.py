@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopcast import fixed
 from shopcast.config import FeatureSpec, by_domain, resolve
 from shopcast.functions.render import (
     bare_number_text,

@@ -68,7 +68,7 @@ def _gather(rows: DataFrame, text: Column) -> DataFrame:
 def profile_prompts(rows: DataFrame) -> DataFrame:
     """``Customer <id>: <template profile>`` per row, one prompt per chunk."""
     return _gather(
-        rows, F.concat(F.lit("Customer "), F.col("customer_id"), F.lit(": "), F.col("template_profile"))
+        rows, F.concat(F.lit(fixed.CUSTOMER_LINE), F.col("customer_id"), F.lit(": "), F.col("template_profile"))
     )
 
 
@@ -83,9 +83,9 @@ def prediction_prompts(rows: DataFrame, profile_col: str = "narrative_profile")
     return _gather(
         rows,
         F.concat(
-            F.lit("Customer "), F.col("customer_id"),
-            F.lit(":\nProfile: "), part(profile_col),
-            F.lit("\nTreatment: "), part("template_treatment"),
+            F.lit(fixed.CUSTOMER_LINE), F.col("customer_id"),
+            F.lit(":\n" + fixed.PROFILE_LINE), part(profile_col),
+            F.lit("\n" + fixed.TREATMENT_LINE), part("template_treatment"),
         ),
     )
 
@@ -93,15 +93,15 @@ def prediction_prompts(rows: DataFrame, profile_col: str = "narrative_profile")
 def example_sections(examples: DataFrame, query_id: str) -> DataFrame:
     """One ``examples`` text per query row from its ranked neighbour examples."""
     entry = F.concat(
-        F.lit("\nExample "), F.col("rank").cast("string"),
-        F.lit(" (similarity: "), F.format_number("score", 3), F.lit("):\nProfile: "),
-        F.col("profile"),
-        F.lit("\nTreatment: "), F.col("treatment"),
-        F.lit("\nActual Outcomes: "), F.col("outcome"),
+        F.lit("\n" + fixed.EXAMPLE_LINE), F.col("rank").cast("string"),
+        F.lit(fixed.SIMILARITY_LINE), F.format_number("score", 3),
+        F.lit("):\n" + fixed.PROFILE_LINE), F.col("profile"),
+        F.lit("\n" + fixed.TREATMENT_LINE), F.col("treatment"),
+        F.lit("\n" + fixed.OUTCOMES_LINE), F.col("outcome"),
     )
     return examples.groupBy(query_id).agg(
         F.concat(
-            F.lit("Similar Examples for Customer "), F.col(query_id), F.lit(":\n"),
+            F.lit(fixed.EXAMPLES_HEAD), F.col(query_id), F.lit(":\n"),
             F.array_join(
                 F.transform(
                     F.array_sort(F.collect_list(F.struct("rank", entry.alias("text")))),
@@ -124,13 +124,13 @@ def example_blocks(sections: DataFrame, rows: DataFrame, query_id: str) -> DataF
 def reply_format(outcomes: Sequence[FeatureSpec]) -> str:
     """What the model is asked to return for the described outcomes."""
     fields = [
-        (fixed.PREDICTION_PREFIX + s.name, f"Predicted {s.description.lower()} ({s.data_type})")
+        (fixed.PREDICTION_PREFIX + s.name, f"{fixed.PREDICTED_FIELD}{s.description.lower()} ({s.data_type})")
         for s in outcomes
     ] + [
-        (fixed.CONFIDENCE_FIELD, "Confidence level in the prediction (float, 0-1)"),
-        (fixed.REASONING_FIELD, "Detailed explanation for the prediction (string)"),
+        (fixed.CONFIDENCE_FIELD, fixed.CONFIDENCE_TEXT),
+        (fixed.REASONING_FIELD, fixed.REASONING_TEXT),
     ]
-    return "JSON format with fields: {" + ", ".join(f'"{n}": {d}' for n, d in fields) + "}"
+    return fixed.REPLY_FORMAT + "{" + ", ".join(f'"{n}": {d}' for n, d in fields) + "}"
 
 
 def prompt_context(
