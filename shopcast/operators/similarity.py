@@ -35,7 +35,7 @@ METRICS = ("euclidean", "angular", "manhattan", "hamming", "dot", "cosine")
 # Rank order is taken on values rounded to this many digits, ties by row id.
 ORDER_DIGITS = 9
 # Bounds of what the driver holds: pivots, and numbers in all pivot vectors.
-MAX_PIVOTS = 16_384
+MAX_PIVOTS = 4_096
 MAX_PIVOT_NUMBERS = 2_000_000
 ROWS_PER_CELL = 4_096
 # Rows of a query block: as many as this, fewer while that leaves cores idle.
@@ -257,15 +257,17 @@ def _visits(units: Units, family, top_norm, need, probes, count_only):
                     )
                     continue
                 rows, unit = np.nonzero(wanted)
-                taken = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("qid").take(taken),
-                        part.column("vec").take(taken),
-                        pa.array(unit.astype(np.int32)),
-                    ],
-                    ["qid", "vec", "unit"],
-                )
+                step = max(1, MATRIX_NUMBERS // max(1, units.pivots.shape[1]))
+                for at in range(0, len(rows), step):
+                    taken = pa.array(rows[at : at + step])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("qid").take(taken),
+                            part.column("vec").take(taken),
+                            pa.array(unit[at : at + step].astype(np.int32)),
+                        ],
+                        ["qid", "vec", "unit"],
+                    )
 
     return run
 
@@ -291,7 +293,11 @@ def _compare_blocks(family, k, exclude_self, schema: pa.Schema):
                 same = np.nonzero(rids[own] == ids)[0]
                 keep[same, own[same]] = False
             qi, ri = np.nonzero(keep)
-            value = _rank_value(part[qi], refs[ri], family)
+            value = np.empty(len(qi))
+            wide = max(1, MATRIX_NUMBERS // max(1, refs.shape[1]))
+            for i in range(0, len(qi), wide):
+                these = slice(i, i + wide)
+                value[these] = _rank_value(part[qi[these]], refs[ri[these]], family)
             order = np.lexsort((ri, np.round(value, ORDER_DIGITS), qi))
             qi, ri, value = qi[order], ri[order], value[order]
             first = np.searchsorted(qi, qi, side="left")

@@ -61,6 +61,7 @@ def test_every_metric_against_all_pairs(spark, metric, monkeypatch):
     monkeypatch.setattr(similarity, "ROWS_PER_CELL", 40)
     monkeypatch.setattr(similarity, "QUERY_BLOCK", 16)
     monkeypatch.setattr(similarity, "MIN_QUERY_BLOCK", 16)
+    monkeypatch.setattr(similarity, "MATRIX_NUMBERS", 300)
     refs = vectors(400, 4, 1, hot=200)
     queries = vectors(60, 4, 2) + [(1000 + i, v) for i, v in refs[:20]]
     q, r = frames(spark, queries, refs)
