@@ -61,7 +61,6 @@ class Units:
     count: np.ndarray
     nearest: np.ndarray
     farthest: np.ndarray
-    first_ring: np.ndarray
 
 
 def _family(metric: str) -> str:
@@ -183,8 +182,8 @@ def _nearest_pivot(part: pa.RecordBatch, space: np.ndarray, family: str, top_nor
     return cell, np.clip(ring, -RING_RANGE, RING_RANGE).astype(np.int32), own
 
 
-def _summarise(pivots, family, top_norm):
-    """Arrow map: cell, ring and pivot distance of reference rows."""
+def _assign(pivots, family, top_norm):
+    """Arrow map: reference rows with their cell, ring and distance to the pivot."""
 
     def run(batches):
         space = _space(pivots, family, top_norm, is_query=False)
@@ -192,28 +191,14 @@ def _summarise(pivots, family, top_norm):
             for part in _parts(batch, len(pivots)):
                 cell, ring, own = _nearest_pivot(part, space, family, top_norm)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(ring), pa.array(own)],
-                    ["cell", "ring", "dist"],
-                )
-
-    return run
-
-
-def _place(units: Units, family, top_norm):
-    """Arrow map: reference rows with their unit."""
-    span = 2 * RING_RANGE + 2
-    starts = units.cell.astype(np.int64) * span + units.first_ring + RING_RANGE
-
-    def run(batches):
-        space = _space(units.pivots, family, top_norm, is_query=False)
-        for batch in batches:
-            for part in _parts(batch, len(units.pivots)):
-                cell, ring, _ = _nearest_pivot(part, space, family, top_norm)
-                at = cell.astype(np.int64) * span + ring + RING_RANGE
-                unit = np.searchsorted(starts, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rid"), part.column("vec"), pa.array(unit.astype(np.int32))],
-                    ["rid", "vec", "unit"],
+                    [
+                        part.column("rid"),
+                        part.column("vec"),
+                        pa.array(cell.astype(np.int32)),
+                        pa.array(ring),
+                        pa.array(own),
+                    ],
+                    ["rid", "vec", "cell", "ring", "dist"],
                 )
 
     return run
@@ -355,27 +340,43 @@ def _pivots(refs: DataFrame, n_refs: int, width: int, n_pivots: int | None, seed
     return np.unique(np.array([r["vec"] for r in rows], dtype=np.float64), axis=0)
 
 
-def _build_units(refs: DataFrame, pivots, family, top_norm) -> Units:
-    """Summarise the rings and join neighbouring rings of a cell to units.
+def _build_units(refs: DataFrame, pivots, family, top_norm) -> tuple[Units, DataFrame]:
+    """Units of neighbouring rings of a cell, and the reference rows with their unit.
 
-    What is collected has at most one row per pivot and ring.
+    The cell and ring of a row are stored once, so that the summary and the rows
+    agree whichever machine computes them.  What is collected has at most one
+    row per pivot and ring.
     """
+    schema = T.StructType(
+        [
+            refs.schema["rid"],
+            refs.schema["vec"],
+            T.StructField("cell", T.IntegerType()),
+            T.StructField("ring", T.IntegerType()),
+            T.StructField("dist", T.DoubleType()),
+        ]
+    )
+    placed = stage(
+        refs.select("rid", "vec").mapInArrow(_assign(pivots, family, top_norm), schema), "placed"
+    )
     rings = (
-        refs.select("vec")
-        .mapInArrow(_summarise(pivots, family, top_norm), "cell int, ring int, dist double")
-        .groupBy("cell", "ring")
+        placed.groupBy("cell", "ring")
         .agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
         .collect()
     )
     merged: list[list] = []
+    unit_of = []
     for row in sorted(rings, key=lambda r: (r["cell"], r["ring"])):
         last = merged[-1] if merged else None
         if last and last[0] == row["cell"] and last[1] + row["n"] <= ROWS_PER_CELL // 2:
             last[1] += row["n"]
             last[2], last[3] = min(last[2], row["lo"]), max(last[3], row["hi"])
         else:
-            merged.append([row["cell"], row["n"], row["lo"], row["hi"], row["ring"]])
-    return Units(pivots, *[np.array(column) for column in zip(*merged)])
+            merged.append([row["cell"], row["n"], row["lo"], row["hi"]])
+        unit_of.append((row["cell"], row["ring"], len(merged) - 1))
+    table = refs.sparkSession.createDataFrame(unit_of, "cell int, ring int, unit int")
+    rows = placed.join(F.broadcast(table), ["cell", "ring"]).select("rid", "vec", "unit")
+    return Units(pivots, *[np.array(column) for column in zip(*merged)]), rows
 
 
 def nearest(
@@ -477,7 +478,8 @@ def _search(
     spark = q.sparkSession
     result = _result_type(r)
     top_norm = float(head["norm"])
-    units = _build_units(r, _pivots(r, head["n"], head["width"], n_pivots, seed), family, top_norm)
+    pivots = _pivots(r, head["n"], head["width"], n_pivots, seed)
+    units, placed = _build_units(r, pivots, family, top_norm)
     need = k + int(exclude_self)
 
     def visit(count_only: bool, schema) -> DataFrame:
@@ -511,8 +513,7 @@ def _search(
         )
     )
     right = (
-        r.mapInArrow(_place(units, family, top_norm), T.StructType([result["rid"], vec, unit]))
-        .join(sizes, "unit")
+        placed.join(sizes, "unit")
         .select(
             "unit",
             F.pmod(F.xxhash64("rid"), F.col("ref_blocks")).cast("int").alias("ref_block"),

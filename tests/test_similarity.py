@@ -116,12 +116,12 @@ def test_pruning_visits_few_units(spark, monkeypatch):
     rows = [(i, [1000.0 * (i % 10) + (i // 10) * 0.01, 0.0]) for i in range(1000)]
     q, _ = frames(spark, rows, rows)
     r = q.withColumnRenamed("query_id", "rid")
-    units = similarity._build_units(r, similarity._pivots(r, 1000, 2, None, 42), "l2", 1e4)
+    units, placed = similarity._build_units(r, similarity._pivots(r, 1000, 2, None, 42), "l2", 1e4)
     visit = similarity._visits(units, "l2", 1e4, 3, None, True)
     seen = q.withColumnRenamed("query_id", "qid").mapInArrow(visit, "unit int, n bigint")
     visits = seen.agg(F.sum("n")).first()[0]
     assert visits < 0.5 * 1000 * len(units.count)
-    assert sum(units.count) == 1000
+    assert sum(units.count) == 1000 and placed.count() == 1000
 
 
 def test_probed_recall(spark):
