@@ -107,18 +107,18 @@ def _dealt(points: DataFrame, tree: int, levels: int) -> DataFrame:
 
     A pair across a boundary is met in the earlier of the two shards only.
     """
-    rows = points.select("fp", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("home"))
+    home, paths = F.lit(0).cast("long"), F.array(F.lit(0).cast("long"))
     for vantage in _vantage_points(tree, levels):
         far = _block_distance(tree, vantage)
-        ring = lambda d: F.floor((d + RADIUS) / RING).cast("long")
-        reach = F.array_distinct(F.array(*(ring(far + r) for r in (-RADIUS, 0, RADIUS))))
-        rows = rows.select(
-            "fp",
-            "shard",
-            (F.col("home") * 16 + ring(far)).alias("home"),
-            F.explode(reach).alias("ring"),
-        ).select("fp", (F.col("shard") * 16 + F.col("ring")).alias("shard"), "home")
-    return rows.where("shard <= home").select(
+        rings = [F.floor((far + r + RADIUS) / RING).cast("long") for r in (-RADIUS, 0, RADIUS)]
+        reach = F.array_distinct(F.array(*rings))
+        home = home * 16 + rings[1]
+        paths = F.flatten(
+            F.transform(paths, lambda p, reach=reach: F.transform(reach, lambda ring: p * 16 + ring))
+        )
+    rows = points.select("fp", home.alias("home"), paths.alias("paths"))
+    earlier = F.filter("paths", lambda p: p <= F.col("home"))
+    return rows.select("fp", "home", F.explode(earlier).alias("shard")).select(
         F.lit(tree).alias("tree"), "shard", "fp", (F.col("shard") == F.col("home")).alias("resident")
     )
 
@@ -187,7 +187,7 @@ def hamming_links(points: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """
     if most_bits >= len(BLOCKS) * (RADIUS + 1):
         raise ValueError("the blocks do not cover so many bits")
-    levels = max(0, math.ceil(math.log(max(1.0, points.count() / SHARD_ROWS), 3.0)))
+    levels = round(math.log(max(1.0, points.count() / SHARD_ROWS), 3.0))
     rows = None
     for tree in range(len(BLOCKS)):
         dealt = _dealt(points, tree, levels)
