@@ -102,6 +102,10 @@ def _block_distance(tree: int, vantage: int) -> Column:
     return F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(vantage))).bitwiseAND(F.lit(_signed(_mask(tree)))))
 
 
+def _deeper(paths: Column, reach: Column) -> Column:
+    return F.flatten(F.transform(paths, lambda p: F.transform(reach, lambda ring: p * 16 + ring)))
+
+
 def _dealt(points: DataFrame, tree: int, levels: int) -> DataFrame:
     """Each fingerprint in its shard, and as a visitor in earlier shards within its radius.
 
@@ -113,9 +117,7 @@ def _dealt(points: DataFrame, tree: int, levels: int) -> DataFrame:
         rings = [F.floor((far + r + RADIUS) / RING).cast("long") for r in (-RADIUS, 0, RADIUS)]
         reach = F.array_distinct(F.array(*rings))
         home = home * 16 + rings[1]
-        paths = F.flatten(
-            F.transform(paths, lambda p, reach=reach: F.transform(reach, lambda ring: p * 16 + ring))
-        )
+        paths = _deeper(paths, reach)
     rows = points.select("fp", home.alias("home"), paths.alias("paths"))
     earlier = F.filter("paths", lambda p: p <= F.col("home"))
     return rows.select("fp", "home", F.explode(earlier).alias("shard")).select(
