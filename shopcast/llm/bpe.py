@@ -14,7 +14,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 #: Pairs of tokens whose validity is remembered at once.
-PAIRS_KEPT = 1_000_000
+PAIRS_KEPT = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -24,6 +24,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def token_names(path: str) -> list[str]:
+    """The text of each token of a tokenizer file by id, special tokens included."""
+    with open(path, encoding="utf-8") as f:
+        described = json.load(f)
+    names = {i: t for t, i in described["model"]["vocab"].items()}
+    names.update({a["id"]: a["content"] for a in described["added_tokens"]})
+    return [names.get(i, "") for i in range(max(names) + 1)]
+
+
 class MergeTable:
     """Vocabulary and merges of a tokenizer file, in bytes.
 
@@ -38,9 +47,7 @@ class MergeTable:
         model, letters = described["model"], byte_letters()
         suffix = model.get("end_of_word_suffix") or ""
         vocabulary: dict[str, int] = model["vocab"]
-        self.names = {i: t for t, i in vocabulary.items()}
         self.special = {a["content"]: a["id"] for a in described["added_tokens"]}
-        self.names.update({i: t for t, i in self.special.items()})
         self.suffixed = bool(suffix)
         parents: dict[int, tuple[int, int]] = {}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -52,7 +59,6 @@ class MergeTable:
             parents[made] = ids
         self.plain: dict[bytes, int] = {}
         self.ending: dict[bytes, int] = {} if suffix else self.plain
-        self.symbols: dict[int, tuple[int, ...]] = {}
         self.bytes_of: dict[int, bytes] = {}
         for token, i in vocabulary.items():
             ends = bool(suffix) and token.endswith(suffix) and len(token) > len(suffix)
@@ -60,35 +66,31 @@ class MergeTable:
             data = bytes(letters[c] for c in bare)
             (self.ending if ends else self.plain)[data] = i
             self.bytes_of[i] = data
-        for i in vocabulary.values():
-            self._symbols(i, parents)
-        ranks = {made: rank for rank, made in self.merges.values()}
-        self._right = {i: self._spine(i, parents, ranks, 1) for i in vocabulary.values()}
-        self._left = {i: self._spine(i, parents, ranks, 0) for i in vocabulary.values()}
+        self._parents = parents
+        self._spines: dict[tuple[int, int], tuple[tuple[int, int, int], ...]] = {}
         if any(bytes([b]) not in d for b in range(256) for d in (self.plain, self.ending)):
             raise ValueError("the vocabulary lacks single bytes")
         self.longest = max(map(len, self.plain))
         self.longest_end = max(map(len, self.ending))
         self._valid: dict[int, bool] = {}
 
-    def _symbols(self, token: int, parents: dict[int, tuple[int, int]]) -> tuple[int, ...]:
-        known = self.symbols.get(token)
-        if known is None:
-            pair = parents.get(token)
-            known = (token,) if pair is None else sum((self._symbols(p, parents) for p in pair), ())
-            self.symbols[token] = known
-        return known
+    def symbols(self, token: int) -> list[int]:
+        """The single bytes that a token is merged from."""
+        pair = self._parents.get(token)
+        return [token] if pair is None else [*self.symbols(pair[0]), *self.symbols(pair[1])]
 
-    @staticmethod
-    def _spine(token: int, parents: dict, ranks: dict, side: int) -> list[tuple[int, int, int]]:
+    def _spine(self, token: int, side: int) -> tuple[tuple[int, int, int], ...]:
         """(token, rank that makes it, rank that ends it) down one side, the token itself first."""
-        out, until = [], 1 << 30
-        while True:
-            made = ranks.get(token, -1)
-            out.append((token, made, until))
-            if token not in parents:
-                return out
-            token, until = parents[token][side], made
+        known = self._spines.get((token, side))
+        if known is None:
+            out, until, at = [], 1 << 30, token
+            while at in self._parents:
+                pair = self._parents[at]
+                made = self.merges[pair][0]
+                out.append((at, made, until))
+                at, until = pair[side], made
+            known = self._spines[token, side] = (*out, (at, -1, until))
+        return known
 
     def _apart(self, before: int, token: int) -> bool:
         """Whether no merge joins the two tokens while they are built.
@@ -97,7 +99,7 @@ class MergeTable:
         join if their merge comes before the one that ends either; at equal rank
         the leftmost comes first.
         """
-        lefts, rights, i, j = self._right[before], self._left[token], 0, 0
+        lefts, rights, i, j = self._spine(before, 1), self._spine(token, 0), 0, 0
         while True:
             a, a_made, a_until = lefts[i]
             b, b_made, b_until = rights[j]
@@ -132,7 +134,7 @@ class MergeTable:
             if len(self._valid) >= PAIRS_KEPT:
                 self._valid.clear()
             if before < 0:
-                known = self.merged(list(self.symbols[token])) == [token]
+                known = self.merged(self.symbols(token)) == [token]
             else:
                 known = self._apart(before, token)
             self._valid[key] = known

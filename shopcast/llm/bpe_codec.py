@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from shopcast.llm.bpe import MergeTable, byte_letters
+from shopcast.llm.bpe import MergeTable, byte_letters, token_names
 from shopcast.llm.common import map_text
 
 #: Distinct words whose encoding a task remembers, at most; then it forgets and goes on.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 #: Characters that are split into words at once.
 SEGMENT = 1 << 19
 
@@ -33,7 +33,7 @@ _BLANK = re.compile(r"[\t-\r \x85\xa0]")
 
 
 class WordCodec:
-    """Encodes whole texts to packed ids and decodes them; keeps what it has met."""
+    """Encodes whole texts to packed ids; keeps what it has met."""
 
     def __init__(self, path: str):
         self.table = MergeTable(path)
@@ -42,8 +42,6 @@ class WordCodec:
         self._split = library.pre_tokenizer.pre_tokenize_str
         self._letters = byte_letters()
         self._known: dict[str, bytes] = {}
-        names = self.table.names
-        self.token_text = [names.get(i, "") for i in range(max(names) + 1)]
         special = "|".join(re.escape(s) for s in sorted(self.table.special, key=len, reverse=True))
         self._special = re.compile(f"({special})") if special else None
 
@@ -118,10 +116,10 @@ class WordCodec:
             )
         return out
 
-    def unpack(self, packed: bytes | None) -> str:
-        """Text of packed ids: token texts joined by a space, as without a decoder."""
-        names = self.token_text
-        return " ".join([names[i] for i in np.frombuffer(packed or b"", "<u4").tolist()])
+
+def unpacked(packed: bytes | None, names: list[str]) -> str:
+    """Text of packed ids: token texts joined by a space, as without a decoder."""
+    return " ".join([names[i] for i in np.frombuffer(packed or b"", "<u4").tolist()])
 
 
 def encode(
@@ -145,7 +143,7 @@ def decode(
     """Rows of ``docs`` with the text of their packed ids; null ids decode to an empty text."""
 
     def make() -> Callable[[list], list]:
-        codec = WordCodec(tokenizer_path)
-        return lambda packed: [[codec.unpack(p) for p in packed]]
+        names = token_names(tokenizer_path)
+        return lambda packed: [[unpacked(p, names) for p in packed]]
 
     return map_text(docs, ids_col, [(decoded_col, T.StringType(), pa.string())], make)

@@ -20,7 +20,7 @@ from shopcast.llm.bpe import MergeTable
 from shopcast.llm.common import map_text
 
 #: Distinct pieces whose prefix counts a task remembers, at most.
-PIECES_KEPT = 300_000
+PIECES_KEPT = 200_000
 SEGMENT = 1 << 19
 
 #: The piece pattern of byte-level vocabularies of this kind; a fixed value.
