@@ -28,7 +28,10 @@ def _refined(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, all
     )
     # First pass over the texts: what each row is compared by, a few bytes a row.
     narrow = stage(keyed.drop("text"), "dedup-keys")
-    sizes = narrow.groupBy("size").count().where("count > 1").select("size")
+    sizes = stage(narrow.groupBy("size").count().where("count > 1").select("size"), "dedup-sizes")
+    if sizes.count() <= BROADCAST_KEYS:
+        # Few different lengths: a frequent one does not gather its rows in one task.
+        sizes = F.broadcast(sizes)
     alive = narrow.join(sizes, "size", "left_semi")
     heads = stage(
         alive.groupBy("size", "head").count().where("count > 1").select("size", "head"), "dedup-heads"
@@ -108,6 +111,9 @@ def drop_duplicates(
     )
     of, digest, repeated = fresh(docs, "of", "digest", "repeated")
     marks = marked.toDF(of, digest, repeated)
+    if marked.count() <= BROADCAST_KEYS // 5:
+        # Few enough pairs to send: no text is moved.
+        marks = F.broadcast(marks)
     hashed = docs.withColumn(digest, F.sha2(single_spaced(F.col(text_col)), 256))
     losing = hashed[id_col].eqNullSafe(marks[of]) & (hashed[digest] == marks[digest])
     kept = hashed.join(marks, losing, "left_anti")
