@@ -85,19 +85,19 @@ FAMILIES = (
 #: (label, SPDX name, clause as an expression, path): the licenses that share a name and differ in clauses.
 COMMONS = (
     ("cc-by", r"CC-BY-\d\.\d", r"by", "by"),
-    ("cc-by-sa", r"CC-BY-SA-\d\.\d", r"by[- ]sa", "by-sa"),
-    ("cc-by-nc", r"CC-BY-NC-\d\.\d", r"by[- ]nc", "by-nc"),
-    ("cc-by-nd", r"CC-BY-ND-\d\.\d", r"by[- ]nd", "by-nd"),
-    ("cc-by-nc-sa", r"CC-BY-NC-SA-\d\.\d", r"by[- ]nc[- ]sa", "by-nc-sa"),
-    ("cc-by-nc-nd", r"CC-BY-NC-ND-\d\.\d", r"by[- ]nc[- ]nd", "by-nc-nd"),
+    ("cc-by-sa", r"CC-BY-SA-\d\.\d", r"by(?:-| )sa", "by-sa"),
+    ("cc-by-nc", r"CC-BY-NC-\d\.\d", r"by(?:-| )nc", "by-nc"),
+    ("cc-by-nd", r"CC-BY-ND-\d\.\d", r"by(?:-| )nd", "by-nd"),
+    ("cc-by-nc-sa", r"CC-BY-NC-SA-\d\.\d", r"by(?:-| )nc(?:-| )sa", "by-nc-sa"),
+    ("cc-by-nc-nd", r"CC-BY-NC-ND-\d\.\d", r"by(?:-| )nc(?:-| )nd", "by-nc-nd"),
 )
 #: Rules of one form: (label, keyword, priority, score, expression).
 PLAIN = (
-    ("gpl-3.0", "gpl", 2, 0.8, r"\b(?:gnu )?gpl[- ]?(?:v|version )?3(?:\.0)?\b"),
-    ("gpl-2.0", "gpl", 2, 0.8, r"\b(?:gnu )?gpl[- ]?(?:v|version )?2(?:\.0)?\b"),
-    ("lgpl-3.0", "lgpl", 2, 0.8, r"\blgpl[- ]?(?:v|version )?3(?:\.0)?\b"),
-    ("lgpl-2.1", "lgpl", 2, 0.8, r"\blgpl[- ]?(?:v|version )?2\.1\b"),
-    ("agpl-3.0", "agpl", 2, 0.8, r"\bagpl[- ]?(?:v|version )?3(?:\.0)?\b"),
+    ("gpl-3.0", "gpl", 2, 0.8, r"\b(?:gnu )?gpl(?:-| )?(?:v|version )?3(?:\.0)?\b"),
+    ("gpl-2.0", "gpl", 2, 0.8, r"\b(?:gnu )?gpl(?:-| )?(?:v|version )?2(?:\.0)?\b"),
+    ("lgpl-3.0", "lgpl", 2, 0.8, r"\blgpl(?:-| )?(?:v|version )?3(?:\.0)?\b"),
+    ("lgpl-2.1", "lgpl", 2, 0.8, r"\blgpl(?:-| )?(?:v|version )?2\.1\b"),
+    ("agpl-3.0", "agpl", 2, 0.8, r"\bagpl(?:-| )?(?:v|version )?3(?:\.0)?\b"),
     ("gpl-3.0", "general", 5, 0.95, r"gnu general public licen[cs]e,? (?:v|version )3"),
     ("gpl-2.0", "general", 5, 0.95, r"gnu general public licen[cs]e,? (?:v|version )2"),
     ("gpl", "general", 1, 0.7, r"\bgeneral public licen[cs]e\b"),
@@ -106,7 +106,7 @@ PLAIN = (
     ("mpl-1.1", "mozilla", 5, 0.95, r"mozilla public licen[cs]e,? (?:v|version )1\.1"),
     ("epl-1.0", "eclipse", 5, 0.95, r"eclipse public licen[cs]e,?(?: -)? (?:v|version )1\.0"),
     ("apache-1.1", "apache", 5, 0.95, r"apache(?: software)? licen[cs]e,? (?:v|version )1\.1"),
-    ("cc0-1.0", "cc0", 2, 0.8, r"\bcc0(?:[- ]1\.0)?\b"),
+    ("cc0-1.0", "cc0", 2, 0.8, r"\bcc0(?:(?:-| )1\.0)?\b"),
     ("cc0-1.0", "creativecommons", 4, 0.9, r"creativecommons\.org/publicdomain/zero/1\.0"),
     ("public-domain", "domain", 1, 0.6, r"(?:dedicated to|released into|placed in) the public domain"),
     ("all-rights-reserved", "reserved", 1, 0.6, r"\ball rights reserved\b"),
@@ -146,7 +146,7 @@ def signature_rules() -> list[Rule]:
     """All rules: five forms of each family, three of each commons license, and the plain ones."""
     rules = []
     for label, spdx, keyword, name, page in FAMILIES:
-        word = rf"\b{name}[ -]?licen[cs]e\b"
+        word = rf"\b{name}(?:-| )?licen[cs]e\b"
         if label == "unlicense":
             word = r"\bthe unlicense\b"
         under = r"(?:the )?(?:terms of )?(?:the )?"
@@ -159,14 +159,14 @@ def signature_rules() -> list[Rule]:
             _rule(f"{label}:name", label, keyword, 2, 0.8, word),
         ]
     for label, spdx, clause, path in COMMONS:
-        end = r"(?![- ]?(?:sa|nc|nd)\b)"
+        end = r"(?!(?:-| )?(?:sa|nc|nd)\b)"
         rules += [
             _rule(f"{label}:spdx", label, "spdx", 6, 1.0, rf"spdx-license-identifier:\s*{spdx}"),
             _rule(f"{label}:page", label, "creativecommons", 4, 0.9,
                   rf"https?://(?:www\.)?creativecommons\.org/licenses/{path}/\d"),
             _rule(f"{label}:licensed", label, "cc", 4, 0.95,
-                  rf"licen[cs]ed under (?:a |the )?\bcc[- ]{clause}{end}(?:[- ]\d\.\d)?"),
-            _rule(f"{label}:name", label, "cc", 2, 0.8, rf"\bcc[- ]{clause}{end}(?:[- ]\d\.\d)?\b"),
+                  rf"licen[cs]ed under (?:a |the )?\bcc(?:-| ){clause}{end}(?:(?:-| )\d\.\d)?"),
+            _rule(f"{label}:name", label, "cc", 2, 0.8, rf"\bcc(?:-| ){clause}{end}(?:(?:-| )\d\.\d)?\b"),
         ]
     for i, (label, keyword, priority, score, text) in enumerate(PLAIN):
         rules.append(_rule(f"{label}:plain{i}", label, keyword, priority, score, text))
