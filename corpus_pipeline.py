@@ -52,8 +52,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, packed as little-endian 32-bit numbers, and digests of both ways."""
     path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe_codec.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    return bpe_codec.decode(encoded, path).select(
+    texts = docs.select("doc_id", "lang", "source", "text")
+    return bpe_codec.round_trip(texts, path).select(
         "doc_id",
         "lang",
         "source",

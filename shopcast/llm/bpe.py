@@ -14,7 +14,7 @@ import json
 from collections.abc import Iterable, Iterator
 
 #: Pairs of tokens whose validity is remembered at once.
-PAIRS_KEPT = 400_000
+PAIRS_KEPT = 250_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -21,7 +21,7 @@ from shopcast.llm.bpe import MergeTable, byte_letters, token_names
 from shopcast.llm.common import map_text
 
 #: Distinct words whose encoding a task remembers, at most; then it forgets and goes on.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 #: Characters that are split into words at once.
 SEGMENT = 1 << 19
 
@@ -147,3 +147,25 @@ def decode(
         return lambda packed: [[unpacked(p, names) for p in packed]]
 
     return map_text(docs, ids_col, [(decoded_col, T.StringType(), pa.string())], make)
+
+
+def round_trip(
+    docs: DataFrame,
+    tokenizer_path: str,
+    text_col: str = "text",
+    ids_col: str = "token_ids",
+    decoded_col: str = "decoded",
+) -> DataFrame:
+    """:func:`encode` and then :func:`decode` in one pass, so that ids cross to Python once."""
+
+    def make() -> Callable[[list], list]:
+        codec, names = WordCodec(tokenizer_path), token_names(tokenizer_path)
+
+        def work(texts: list) -> list:
+            packed = codec.pack(texts)
+            return [packed, [unpacked(p, names) for p in packed]]
+
+        return work
+
+    added = [(ids_col, T.BinaryType(), pa.binary()), (decoded_col, T.StringType(), pa.string())]
+    return map_text(docs, text_col, added, make)

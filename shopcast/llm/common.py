@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 #: ASCII white space, as a regular expression of Java and Python.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one step inside a task works on.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def single_spaced(text: Column) -> Column:

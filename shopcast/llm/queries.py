@@ -102,9 +102,7 @@ def licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe_codec.encode(_texts(spark, sf_dir), path).drop("text")
-    decoded = bpe_codec.decode(encoded, path)
-    return decoded.select(
+    return bpe_codec.round_trip(_texts(spark, sf_dir), path).select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

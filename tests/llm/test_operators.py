@@ -141,6 +141,7 @@ def test_bpe_round_trip(spark, odd, empty):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.token_ids, "<u4").tolist() == ids
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
+    assert sorted(map(str, bpe_codec.round_trip(df, WORD_BPE).collect())) == sorted(map(str, rows))
     assert bpe_codec.decode(bpe_codec.encode(empty, WORD_BPE), WORD_BPE).count() == 0
 
 
