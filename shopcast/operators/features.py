@@ -192,7 +192,9 @@ def _counted_values(tx: DataFrame, feature: Period, outcome: Period) -> DataFram
         "invoice": (F.col("invoice_no"), feature),
         "product": (F.col("stock_code"), feature),
         "category": (F.col("category"), feature),
-        "later_invoice": (F.col("invoice_no"), outcome),
+        # Sums and dates go by lines, whatever the invoice number is.
+        "line": (F.lit(""), feature),
+        "later_line": (F.lit(""), outcome),
     }
     entries = [
         F.struct(F.lit(kind).alias("kind"), F.when(_within(period), value).alias("value"))
@@ -230,10 +232,10 @@ def customer_dataset(
         _counted_values(active, feature, outcome)
         .groupBy("customer_id")
         .agg(
-            F.round(F.sum(of("invoice", "sales")), 2).alias("total_sales"),
-            F.round(F.coalesce(F.sum(of("later_invoice", "sales")), F.lit(0.0)), 2).alias("target_sales"),
-            F.max(of("invoice", "last")).alias("last_purchase_date"),
-            F.min(of("invoice", "first")).alias("first_purchase_date"),
+            F.round(F.sum(of("line", "sales")), 2).alias("total_sales"),
+            F.round(F.coalesce(F.sum(of("later_line", "sales")), F.lit(0.0)), 2).alias("target_sales"),
+            F.max(of("line", "last")).alias("last_purchase_date"),
+            F.min(of("line", "first")).alias("first_purchase_date"),
             *[
                 F.count(of(kind, "value")).alias(name)
                 for kind, name in (

@@ -91,10 +91,14 @@ def prediction_prompts(rows: DataFrame, profile_col: str = "narrative_profile")
 
 
 def example_sections(examples: DataFrame, query_id: str) -> DataFrame:
-    """One ``examples`` text per query row from its ranked neighbour examples."""
+    """One ``examples`` text per query row from its ranked neighbour examples.
+
+    A metric without a score, the plain product, shows the product.
+    """
+    score = F.coalesce("score", "distance") if "distance" in examples.columns else F.col("score")
     entry = F.concat(
         F.lit("\n" + fixed.EXAMPLE_LINE), F.col("rank").cast("string"),
-        F.lit(fixed.SIMILARITY_LINE), F.format_number("score", 3),
+        F.lit(fixed.SIMILARITY_LINE), F.format_number(score, 3),
         F.lit("):\n" + fixed.PROFILE_LINE), F.col("profile"),
         F.lit("\n" + fixed.TREATMENT_LINE), F.col("treatment"),
         F.lit("\n" + fixed.OUTCOMES_LINE), F.col("outcome"),

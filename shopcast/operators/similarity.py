@@ -72,8 +72,16 @@ def _family(metric: str) -> str:
 
 
 def prepare_vector(vector: Column, metric: str) -> Column:
-    """The array the metric compares: bits for hamming, unit length for angles."""
-    vector = F.transform(vector, lambda x: x.cast("double"))
+    """The array the metric compares: bits for hamming, unit length for angles.
+
+    A null or NaN would spread through pivots and bounds to every other row, so
+    a vector that is null or holds one is an error.
+    """
+    refused = F.raise_error(F.lit("a vector is null or has a null or NaN: fill it before the search"))
+    whole = F.when(vector.isNull(), refused.cast("array<double>")).otherwise(vector.cast("array<double>"))
+    vector = F.transform(
+        whole, lambda x: F.when(x.isNull() | F.isnan(x), refused.cast("double")).otherwise(x)
+    )
     if metric == "hamming":
         return F.transform(vector, lambda x: F.when(x > 0.5, F.lit(1.0)).otherwise(F.lit(0.0)))
     if metric in ("angular", "cosine"):

@@ -40,10 +40,23 @@ def build_dataset(
     return features.customer_dataset(tx, feature, outcome, category_names)
 
 
-def _replies(prompted: DataFrame, model: ModelFactory, settings: ModelSettings, path: str | None):
-    if path:
-        return resumed_replies(prompted, model, settings, path, "chunk_no")
-    return staged_replies(prompted, model, settings)
+def _replies(
+    prompted: DataFrame, model: ModelFactory, settings: ModelSettings, path: str | None, rounds: int = 1
+):
+    """Replies by chunk.  Stored ones are found by the content of their prompt, not by its number."""
+    if not path:
+        return staged_replies(prompted, model, settings)
+    keyed = prompted.withColumn("prompt_key", F.sha2("prompt", 256))
+    different = keyed.select("prompt_key", "prompt").dropDuplicates(["prompt_key"])
+    replies = resumed_replies(different, model, settings, path, "prompt_key", rounds=rounds)
+    return keyed.select("chunk_no", "prompt_key").join(replies, "prompt_key", "left").drop("prompt_key")
+
+
+def _require_unique(rows: DataFrame, keys: Sequence[str]) -> None:
+    """Error when rows share a key: replies are matched by it."""
+    repeated = rows.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    if repeated:
+        raise ValueError(f"rows share {', '.join(keys)}: {list(repeated[0])[:-1]}")
 
 
 def write_narratives(
@@ -58,12 +71,13 @@ def write_narratives(
     distribution_exclude: str | Sequence[str] | None = None,
     append_template: bool = False,
     replies_path: str | None = None,
+    rounds: int = 1,
 ) -> DataFrame:
     """Template profiles, then a narrative per customer from the model.
 
     The distribution text describes all rows, also those beyond ``row_limit``.
-    ``replies_path`` keeps the replies, so that a later run asks only for the
-    missing ones.
+    ``replies_path`` keeps the replies, so that a later run asks only for
+    prompts without one; they are sent and stored in ``rounds`` parts.
     """
     distribution = stats.feature_distribution_text(df, specs, distribution_exclude).scalar()
     rows = df if row_limit is None else sampling.sample_rows(df, row_limit, ["customer_id"])
@@ -75,7 +89,7 @@ def write_narratives(
         F.concat_ws("\n\n", F.lit(system), F.concat(F.lit("Feature distribution:\n"), distribution),
                     F.concat(F.lit("Customer profiles:\n"), F.col("prompt"))).alias("prompt"),
     )
-    replies = _replies(prompted, model, settings, replies_path)
+    replies = _replies(prompted, model, settings, replies_path, rounds)
     narrated = reconcile.narrative_profiles(chunked, replies, append_template)
     return narrated.drop("window_no", "chunk_no", "position")
 
@@ -97,15 +111,25 @@ def predict_outcomes(
     exclude_self: bool = False,
     profile_col: str = "narrative_profile",
     replies_path: str | None = None,
+    rounds: int = 1,
+    treatment_col: str | None = None,
 ) -> DataFrame:
     """Profiles with a typed prediction per outcome.
 
-    The outcome distribution is taken from the reference rows when there are
+    ``treatment_col`` is given when a customer has one row per treatment: prompts
+    and replies then go by ``<customer>|<treatment>``.  Rows that share their key
+    are an error.  The outcome distribution is taken from the reference rows when there are
     any; with them come ``top_k`` similar customers per row as examples.
     """
     with_examples = reference_profiles is not None and reference_df is not None
     if with_examples and not similarity_features:
         raise ValueError("similarity_features are needed with a reference")
+    _require_unique(profiles, ["customer_id", treatment_col] if treatment_col else ["customer_id"])
+    customers = profiles.select("customer_id").distinct()
+    profiles = profiles.withColumn("_customer", F.col("customer_id"))
+    if treatment_col:
+        under = F.coalesce(F.col(treatment_col).cast("string"), F.lit(""))
+        profiles = profiles.withColumn("customer_id", F.concat_ws("|", F.col("customer_id").cast("string"), under))
     chunked = stage(prompts.assign_chunks(profiles, settings), "prediction-chunks")
     distribution = None
     if outcome_context is not None:
@@ -113,8 +137,8 @@ def predict_outcomes(
         distribution = stats.outcome_distribution_text(base, outcomes, outcome_context, outcome_exclude)
     blocks = None
     if with_examples:
-        similarity.require_rows(profiles, df, "customer_id")
-        wanted = df.join(profiles.select("customer_id"), "customer_id", "left_semi")
+        similarity.require_rows(customers, df, "customer_id")
+        wanted = df.join(customers, "customer_id", "left_semi")
         near = similarity.nearest(
             similarity.z_scored(wanted, "customer_id", similarity_features, reference_df)
             .withColumnRenamed("customer_id", "query_id"),
@@ -126,13 +150,14 @@ def predict_outcomes(
             near, reference_profiles, "query_id", "ref_id", profile_col
         )
         sections = prompts.example_sections(examples, "query_id")
-        blocks = prompts.example_blocks(sections, chunked, "query_id")
+        by_customer = chunked.withColumn("customer_id", F.col("_customer"))
+        blocks = prompts.example_blocks(sections, by_customer, "query_id")
     prompted = prompts.prompt_context(
         prompts.prediction_prompts(chunked, profile_col), system, outcomes, distribution, blocks
     ).select("chunk_no", "prompt")
-    replies = _replies(prompted, model, settings, replies_path)
-    predicted = reconcile.predictions(chunked, replies, outcomes)
-    return predicted.drop("window_no", "chunk_no", "position")
+    replies = _replies(prompted, model, settings, replies_path, rounds)
+    predicted = reconcile.predictions(chunked, replies, outcomes).withColumn("customer_id", F.col("_customer"))
+    return predicted.drop("_customer", "window_no", "chunk_no", "position")
 
 
 def ranked_factors(

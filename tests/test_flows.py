@@ -133,3 +133,52 @@ def test_ranked_factors(spark):
     assert all(r.factor_text in ("Age > b.", "b > Age.") for r in got)
     assert sum(r.factor_text == "Age > b." for r in got) >= 4
     assert all(r.case_text.count("Customer Profile: ") == 2 for r in got)
+
+
+def test_predictions_under_treatments(spark):
+    def make():
+        def answer(prompt):
+            keys = dict.fromkeys(re.findall(r"\b(\d+\|[abc])\b", prompt))
+            rows = [
+                {"customer_id": k, "pred_later": "abc".index(k[-1]) + 1, "pred_confidence": 0.5, "pred_reasoning": "r"}
+                for k in keys
+            ]
+            return json.dumps(rows)
+
+        return answer
+
+    rows = [(str(i), t, f"profile {i}", f"profile {i}", t) for i in range(8) for t in "abc"]
+    profiles = spark.createDataFrame(
+        rows, "customer_id string, promotion string, template_profile string, narrative_profile string, template_treatment string"
+    )
+    out = flows.predict_outcomes(
+        profiles, profiles, OUTCOMES, make, SETTINGS, "S", treatment_col="promotion"
+    ).collect()
+    assert len(out) == 24 and not any(r.is_fallback for r in out)
+    assert all(r.pred_later == "abc".index(r.promotion) + 1 for r in out)
+    assert {r.customer_id for r in out} == {str(i) for i in range(8)}
+    with pytest.raises(ValueError, match="share"):
+        flows.predict_outcomes(profiles, profiles, OUTCOMES, make, SETTINGS, "S")
+
+
+def test_resume_after_rows_were_added(spark, tmp_path):
+    path = str(tmp_path / "replies.parquet")
+
+    def make():
+        def answer(prompt):
+            ids = dict.fromkeys(re.findall(r"^Customer (\d+):", prompt, re.MULTILINE))
+            return json.dumps([{"customer_id": i, "pred_later": i, "pred_confidence": 0.5} for i in ids])
+
+        return answer
+
+    def told(n):
+        rows = [(str(i), f"profile {i}", f"profile {i}", "t") for i in range(n)]
+        return spark.createDataFrame(
+            rows, "customer_id string, template_profile string, narrative_profile string, template_treatment string"
+        )
+
+    for n in (12, 20):
+        out = flows.predict_outcomes(
+            told(n), told(n), OUTCOMES, make, SETTINGS, "S", replies_path=path, rounds=2
+        ).collect()
+        assert len(out) == n and not any(r.is_fallback for r in out)

@@ -156,3 +156,12 @@ def test_examples(spark):
     assert [(r.profile, r.treatment, r.outcome) for r in rows] == [("new", "t", "x"), ("N/A", "N/A", "N/A")]
     with pytest.raises(ValueError):
         similarity.require_rows(near, near.where("rank = 1"), "ref_id")
+
+
+def test_null_and_nan_are_refused(spark):
+    refs = spark.createDataFrame([(1, [0.0, 1.0]), (2, [None, 1.0])], "ref_id int, vec array<double>")
+    queries = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, vec array<double>")
+    for bad in (refs, refs.withColumn("vec", F.expr("if(ref_id = 1, vec, null)")),
+                refs.withColumn("vec", F.expr("array(double('NaN'), 1D)"))):
+        with pytest.raises(Exception, match="fill it before"):
+            similarity.nearest(queries, bad, "query_id", "ref_id", 1).collect()
