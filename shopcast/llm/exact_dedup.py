@@ -15,6 +15,20 @@ from shopcast.sources import stage
 
 #: Surviving (length, prefix) keys that are sent to every task; about 16 bytes each.
 BROADCAST_KEYS = 500_000
+#: Groups that are sent to every task, the largest; about 150 bytes each.  Any other holds less than
+#: one row in as many.
+BROADCAST_GROUPS = 100_000
+
+
+def _with_groups(survivors: DataFrame, groups: DataFrame) -> DataFrame:
+    """Each survivor with its group; the largest groups are sent to the rows, not the rows to them."""
+    keys = ["size", "digest"]
+    if groups.count() <= BROADCAST_GROUPS:
+        return survivors.join(F.broadcast(groups), keys)
+    largest = groups.orderBy(F.col("group_size").desc(), *keys).limit(BROADCAST_GROUPS)
+    largest = F.broadcast(stage(largest, "dedup-largest"))
+    others = survivors.join(largest, keys, "left_anti")
+    return survivors.join(largest, keys).unionByName(others.join(groups, keys))
 
 
 def _refined(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, all_digests: bool):
@@ -36,33 +50,37 @@ def _refined(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, all
     heads = stage(
         alive.groupBy("size", "head").count().where("count > 1").select("size", "head"), "dedup-heads"
     )
+    # Second pass: survivors are hashed whole; where every digest is asked for, the others too.
     digest = F.sha2("text", 256).alias("digest")
-    few = heads.count() <= BROADCAST_KEYS
-
-    def of_texts(how: str) -> DataFrame:
-        if few:
-            # The keys go to the texts; only texts that pass are hashed whole.
-            passed = keyed.join(F.broadcast(heads), ["size", "head"], how)
-            return passed.select("id", "size", digest)
+    met = heads.withColumn("met", F.lit(True)) if all_digests else heads
+    how = "left" if all_digests else "left_semi"
+    if heads.count() <= BROADCAST_KEYS:
+        # The keys go to the texts.
+        passed = keyed.join(F.broadcast(met), ["size", "head"], how).withColumn("digest", digest)
+    else:
         # Too many keys to send: the digest, not the text, goes through the join.
-        hashed = keyed.select("id", "size", "head", digest)
-        return hashed.join(heads, ["size", "head"], how).drop("head")
-
-    hashed = of_texts("left_semi")
-    survivors = stage(hashed.withColumn("row", F.monotonically_increasing_id()), "dedup-survivors")
-    groups = survivors.groupBy("size", "digest").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"),
-        F.count("*").alias("group_size"),
+        passed = keyed.withColumn("digest", digest).drop("text").join(met, ["size", "head"], how)
+    hashed = stage(
+        passed.drop("text", "head").withColumn("row", F.monotonically_increasing_id()), "dedup-hashed"
+    )
+    survivors = hashed.where("met") if all_digests else hashed
+    groups = stage(
+        survivors.groupBy("size", "digest").agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"),
+            F.count("*").alias("group_size"),
+        ),
+        "dedup-groups",
     )
-    decided = survivors.join(groups, ["size", "digest"]).select(
+    decided = _with_groups(survivors, groups).select(
         "id",
         "digest",
         F.col("first.id").alias("keep_id"),
         "group_size",
         (F.col("row") == F.col("first.row")).alias("kept"),
     )
-    alone = of_texts("left_anti") if all_digests else narrow.join(heads, ["size", "head"], "left_anti")
-    return alone, decided
+    if all_digests:
+        return hashed.where("met is null"), decided
+    return narrow.join(heads, ["size", "head"], "left_anti"), decided
 
 
 def exact_duplicates(
@@ -111,7 +129,7 @@ def drop_duplicates(
     )
     of, digest, repeated = fresh(docs, "of", "digest", "repeated")
     marks = marked.toDF(of, digest, repeated)
-    if marked.count() <= BROADCAST_KEYS // 5:
+    if marked.count() <= BROADCAST_GROUPS:
         # Few enough pairs to send: no text is moved.
         marks = F.broadcast(marks)
     hashed = docs.withColumn(digest, F.sha2(single_spaced(F.col(text_col)), 256))

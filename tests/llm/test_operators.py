@@ -58,6 +58,7 @@ def test_exact_dedup(odd, empty):
 def test_exact_dedup_beyond_the_broadcast(odd, monkeypatch):
     want = sorted(map(str, exact_dedup.exact_duplicates(odd, all_digests=True).drop("kept").collect()))
     monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 1)
     assert sorted(map(str, exact_dedup.exact_duplicates(odd, all_digests=True).drop("kept").collect())) == want
     assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(odd).collect()) == [1, 2, 4, 5, 7, 9]
 
