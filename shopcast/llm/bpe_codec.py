@@ -42,6 +42,7 @@ class WordCodec:
         self._split = library.pre_tokenizer.pre_tokenize_str
         self._letters = byte_letters()
         self._known: dict[str, bytes] = {}
+        self._earlier: dict[str, bytes] = {}
         special = "|".join(re.escape(s) for s in sorted(self.table.special, key=len, reverse=True))
         self._special = re.compile(f"({special})") if special else None
 
@@ -76,12 +77,21 @@ class WordCodec:
                     yield None, self._words(segment)
 
     def learn(self, words: set[str]) -> None:
-        """Encode the words not met yet in one walk over their trie."""
-        if len(self._known) + len(words) > WORDS_KEPT:
-            self._known.clear()
-        words.difference_update(self._known)
-        spelled = {w.encode("utf-8"): w for w in words}
-        known = self._known
+        """Encode the words not met yet in one walk over their trie.
+
+        A full memory becomes the earlier one, from which words that occur again
+        come back: frequent words are not encoded anew.
+        """
+        fresh = words.difference(self._known)
+        if len(self._known) + len(fresh) > WORDS_KEPT // 2:
+            self._earlier, self._known, fresh = self._known, {}, words
+        known, earlier, spelled = self._known, self._earlier, {}
+        for word in fresh:
+            packed = earlier.get(word)
+            if packed is None:
+                spelled[word.encode("utf-8")] = word
+            else:
+                known[word] = packed
         for word, ids in self.table.encoded(spelled):
             known[spelled[word]] = array("I", ids).tobytes()
 
