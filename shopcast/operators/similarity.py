@@ -2,9 +2,10 @@
 
 Reference rows are put into cells around pivot rows and, within a cell, into
 rings by distance from the pivot.  The summary of the rings (count, nearest,
-farthest) is small whatever the data size.  From it every query row gets an
-upper bound of its k-th distance and visits only the units (runs of rings) that
-the triangle inequality cannot rule out.
+farthest) is small whatever the data size.  A query row first visits the nearest
+units (runs of rings) that hold k rows.  The k-th distance found there is its
+limit: it then visits only the units that the triangle inequality cannot rule
+out, and there only rows within the limit leave a task.
 
 A unit may hold any share of the rows, so it is cut by hash into blocks of
 bounded size, and so are the queries that visit it.  Spark shuffles by (unit,
@@ -191,7 +192,7 @@ def _nearest_pivot(part: pa.RecordBatch, space: np.ndarray, family: str, top_nor
 
 
 def _assign(pivots, family, top_norm):
-    """Arrow map: reference rows with their cell, ring and distance to the pivot."""
+    """Arrow map: reference rows with their cell, ring and distance to the pivot added."""
 
     def run(batches):
         space = _space(pivots, family, top_norm, is_query=False)
@@ -199,52 +200,88 @@ def _assign(pivots, family, top_norm):
             for part in _parts(batch, len(pivots)):
                 cell, ring, own = _nearest_pivot(part, space, family, top_norm)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("rid"),
-                        part.column("vec"),
-                        pa.array(cell.astype(np.int32)),
-                        pa.array(ring),
-                        pa.array(own),
-                    ],
-                    ["rid", "vec", "cell", "ring", "dist"],
+                    [*part.columns, pa.array(cell.astype(np.int32)), pa.array(ring), pa.array(own)],
+                    [*part.schema.names, "cell", "ring", "dist"],
                 )
 
     return run
 
 
-def _wanted_units(part, units, space, family, top_norm, need, probes):
-    """Boolean matrix: which units each query row has to be compared with."""
+def _unit_distances(part, units, space, family, top_norm):
+    """Distances of query rows to the pivots, and the least each unit's rows can be away."""
     vectors = _space(_matrix(part.column("vec")), family, top_norm, is_query=True)
     to_pivot = _distances(vectors, space, family)
-    if probes is not None:
+    base = to_pivot[:, units.cell]
+    return to_pivot, base, np.maximum(np.maximum(base - units.farthest, units.nearest - base), 0.0)
+
+
+def _held_before(order: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Rows in the places ahead of each one, along an order of places per query row."""
+    return np.cumsum(count[order], axis=1) - count[order]
+
+
+def _nearest_units(part, units, space, family, top_norm, need, probes):
+    """Boolean matrix: the units a query row visits first; together they hold ``need`` rows.
+
+    With ``probes`` these are all units of that many cells, and of further ones
+    while those before hold too few rows.
+    """
+    to_pivot, base, lower = _unit_distances(part, units, space, family, top_norm)
+    if probes is None:
+        order = np.lexsort((base, lower), axis=1)
+        taken = _held_before(order, units.count) < need
+    else:
         order = np.argsort(to_pivot, axis=1, kind="stable")
         rows = np.bincount(units.cell, weights=units.count, minlength=to_pivot.shape[1])
-        held = np.cumsum(rows[order], axis=1) - rows[order]
-        # Beyond the probes a cell is taken while those before it hold too few rows.
-        taken = (np.arange(order.shape[1]) < probes) | (held < need)
-        chosen = np.zeros(to_pivot.shape, dtype=bool)
-        np.put_along_axis(chosen, order, taken, axis=1)
-        return chosen[:, units.cell]
-    base = to_pivot[:, units.cell]
-    reach = base + units.farthest
-    lower = np.maximum(base - units.farthest, units.nearest - base)
-    order = np.argsort(reach, axis=1)
-    covered = np.cumsum(units.count[order], axis=1) >= need
-    first = covered.argmax(axis=1)
-    bound = np.take_along_axis(reach, order, axis=1)[np.arange(len(first)), first]
-    bound = np.where(covered.any(axis=1), bound, np.inf)
-    return lower <= (bound * (1 + _SLACK) + _SLACK * (1 + top_norm))[:, None]
+        taken = (np.arange(order.shape[1]) < probes) | (_held_before(order, rows) < need)
+    chosen = np.zeros(order.shape, dtype=bool)
+    np.put_along_axis(chosen, order, taken, axis=1)
+    return chosen if probes is None else chosen[:, units.cell]
+
+
+def _first_visits(units: Units, family, top_norm, need, probes):
+    """Arrow map: query rows with the list of units they visit first."""
+
+    def run(batches):
+        space = _space(units.pivots, family, top_norm, is_query=False)
+        width = max(len(units.pivots), len(units.cell))
+        for batch in batches:
+            for part in _parts(batch, width):
+                wanted = _nearest_units(part, units, space, family, top_norm, need, probes)
+                ends = np.concatenate([[0], np.cumsum(wanted.sum(axis=1))]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(np.nonzero(wanted)[1].astype(np.int32))
+                )
+                yield pa.RecordBatch.from_arrays([*part.columns, listed], [*part.schema.names, "first"])
+
+    return run
 
 
-def _visits(units: Units, family, top_norm, need, probes, count_only):
-    """Arrow map: query rows once per unit, or only the number of visits per unit."""
+def _within_limit(part, units, space, family, top_norm):
+    """Boolean matrix: units not visited yet that may hold rows within the limit of a query row."""
+    _, _, lower = _unit_distances(part, units, space, family, top_norm)
+    limit = part.column("limit").to_numpy(zero_copy_only=False)
+    if family == "product":
+        # The limit is a negated product; near equal ones count as equal when rows are ranked.
+        vectors = _matrix(part.column("vec"))
+        square = np.einsum("ij,ij->i", vectors, vectors) + top_norm * top_norm
+        limit = np.sqrt(np.maximum(square + 2 * (limit + 4e-9), 0.0) + 1e-12 * square)
+    wanted = lower <= (limit * (1 + _SLACK) + _SLACK * (1 + top_norm))[:, None]
+    first = part.column("first")
+    row = np.repeat(np.arange(part.num_rows), first.value_lengths().to_numpy(zero_copy_only=False))
+    wanted[row, first.flatten().to_numpy(zero_copy_only=False)] = False
+    return wanted
+
+
+def _further_visits(units: Units, family, top_norm, count_only):
+    """Arrow map: query rows once per further unit, or only the number of visits per unit."""
 
     def run(batches):
         space = _space(units.pivots, family, top_norm, is_query=False)
         width = max(len(units.pivots), len(units.cell))
         for batch in batches:
             for part in _parts(batch, width):
-                wanted = _wanted_units(part, units, space, family, top_norm, need, probes)
+                wanted = _within_limit(part, units, space, family, top_norm)
                 if count_only:
                     totals = wanted.sum(axis=0)
                     hit = np.nonzero(totals)[0]
@@ -259,24 +296,24 @@ def _visits(units: Units, family, top_norm, need, probes, count_only):
                     taken = pa.array(rows[at : at + step])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            part.column("qid").take(taken),
-                            part.column("vec").take(taken),
+                            *[part.column(c).take(taken) for c in ("qid", "vec", "limit")],
                             pa.array(unit[at : at + step].astype(np.int32)),
                         ],
-                        ["qid", "vec", "unit"],
+                        ["qid", "vec", "limit", "unit"],
                     )
 
     return run
 
 
 def _compare_blocks(family, k, exclude_self, schema: pa.Schema):
-    """Arrow function of two blocks: the k best reference rows per query row."""
+    """Arrow function of two blocks: the k best reference rows per query row, none beyond its limit."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         queries, refs = _matrix(left.column("vec")), _matrix(right.column("vec"))
         qids, rids = left.column("qid").to_numpy(), right.column("rid").to_numpy()
+        limits = left.column("limit").to_numpy()
         # Reference rows in id order, so that position breaks ties by id.
         by_id = np.argsort(rids, kind="stable")
         refs, rids = refs[by_id], rids[by_id]
@@ -284,7 +321,8 @@ def _compare_blocks(family, k, exclude_self, schema: pa.Schema):
         step = max(1, MATRIX_NUMBERS // len(rids))
         for at in range(0, len(queries), step):
             part, ids = queries[at : at + step], qids[at : at + step]
-            keep = _candidates(part, refs, family, min(k + int(exclude_self), len(rids)))
+            need = min(k + int(exclude_self), len(rids))
+            keep = _candidates(part, refs, family, need, limits[at : at + step])
             if exclude_self:
                 own = np.minimum(np.searchsorted(rids, ids), len(rids) - 1)
                 same = np.nonzero(rids[own] == ids)[0]
@@ -299,18 +337,19 @@ def _compare_blocks(family, k, exclude_self, schema: pa.Schema):
             qi, ri, value = qi[order], ri[order], value[order]
             first = np.searchsorted(qi, qi, side="left")
             best = np.arange(len(qi)) - first < k
-            out.append((ids[qi[best]], rids[ri[best]], value[best]))
-        columns = [np.concatenate(c) for c in zip(*out)]
+            out.append((ids[qi[best]], rids[ri[best]], value[best], by_id[ri[best]]))
+        *columns, row = [np.concatenate(c) for c in zip(*out)]
+        carried = [right.column(f.name).take(pa.array(row)) for f in list(schema)[3:]]
         return pa.table(
-            [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema
+            [*[pa.array(c, f.type) for c, f in zip(columns, schema)], *carried], schema=schema
         )
 
     return run
 
 
-def _candidates(part, refs, family, need):
-    """Rows that can be among the ``need`` best, with room for rounding."""
-    if need >= len(refs):
+def _candidates(part, refs, family, need, limit):
+    """Rows that can be among the ``need`` best and within the limit, with room for rounding."""
+    if need >= len(refs) and np.isinf(limit).all():
         return np.ones((len(part), len(refs)), dtype=bool)
     own = np.einsum("ij,ij->i", part, part)[:, None]
     top = np.einsum("ij,ij->i", refs, refs).max()
@@ -323,7 +362,9 @@ def _candidates(part, refs, family, need):
     else:
         near = _squared_gaps(part, refs)
         room = 1e-12 * (own + top)
-    edge = np.partition(near, need - 1, axis=1)[:, need - 1 : need]
+    edge = (limit * limit if family == "l2" else limit)[:, None]
+    if need < len(refs):
+        edge = np.minimum(edge, np.partition(near, need - 1, axis=1)[:, need - 1 : need])
     if family == "l2":
         room = room + 4e-9 * (2 * np.sqrt(edge) + 4e-9)
     return near <= edge + room
@@ -342,9 +383,16 @@ def _rank_value(left, right, family):
 # The join ------------------------------------------------------------------
 
 
-def _pivots(refs: DataFrame, n_refs: int, width: int, n_pivots: int | None, seed) -> np.ndarray:
+def _cell_rows(need: int) -> int:
+    """Rows a cell should hold: several times as many as a query row wants."""
+    return max(ROWS_PER_CELL, 4 * need)
+
+
+def _pivots(
+    refs: DataFrame, n_refs: int, width: int, n_pivots: int | None, seed, cell_rows: int
+) -> np.ndarray:
     """A bounded set of different reference vectors, lowest in hash order."""
-    wanted = n_pivots or max(1, round(n_refs / ROWS_PER_CELL))
+    wanted = n_pivots or max(1, round(n_refs / cell_rows))
     wanted = int(min(wanted, MAX_PIVOTS, max(1, MAX_PIVOT_NUMBERS // max(1, width))))
     rows = (
         refs.select("vec", hash_order(["rid"], seed).alias("h")).orderBy("h").limit(wanted).collect()
@@ -352,7 +400,7 @@ def _pivots(refs: DataFrame, n_refs: int, width: int, n_pivots: int | None, seed
     return np.unique(np.array([r["vec"] for r in rows], dtype=np.float64), axis=0)
 
 
-def _build_units(refs: DataFrame, pivots, family, top_norm) -> tuple[Units, DataFrame]:
+def _build_units(refs: DataFrame, pivots, family, top_norm, cell_rows: int) -> tuple[Units, DataFrame]:
     """Units of neighbouring rings of a cell, and the reference rows with their unit.
 
     The cell and ring of a row are stored once, so that the summary and the rows
@@ -361,16 +409,13 @@ def _build_units(refs: DataFrame, pivots, family, top_norm) -> tuple[Units, Data
     """
     schema = T.StructType(
         [
-            refs.schema["rid"],
-            refs.schema["vec"],
+            *refs.schema.fields,
             T.StructField("cell", T.IntegerType()),
             T.StructField("ring", T.IntegerType()),
             T.StructField("dist", T.DoubleType()),
         ]
     )
-    placed = stage(
-        refs.select("rid", "vec").mapInArrow(_assign(pivots, family, top_norm), schema), "placed"
-    )
+    placed = stage(refs.mapInArrow(_assign(pivots, family, top_norm), schema), "placed")
     rings = (
         placed.groupBy("cell", "ring")
         .agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
@@ -380,14 +425,14 @@ def _build_units(refs: DataFrame, pivots, family, top_norm) -> tuple[Units, Data
     unit_of = []
     for row in sorted(rings, key=lambda r: (r["cell"], r["ring"])):
         last = merged[-1] if merged else None
-        if last and last[0] == row["cell"] and last[1] + row["n"] <= ROWS_PER_CELL // 2:
+        if last and last[0] == row["cell"] and last[1] + row["n"] <= cell_rows // 2:
             last[1] += row["n"]
             last[2], last[3] = min(last[2], row["lo"]), max(last[3], row["hi"])
         else:
             merged.append([row["cell"], row["n"], row["lo"], row["hi"]])
         unit_of.append((row["cell"], row["ring"], len(merged) - 1))
     table = refs.sparkSession.createDataFrame(unit_of, "cell int, ring int, unit int")
-    rows = placed.join(F.broadcast(table), ["cell", "ring"]).select("rid", "vec", "unit")
+    rows = placed.join(F.broadcast(table), ["cell", "ring"]).drop("cell", "ring", "dist")
     return Units(pivots, *[np.array(column) for column in zip(*merged)]), rows
 
 
@@ -402,6 +447,7 @@ def nearest(
     probes: int | None = None,
     n_pivots: int | None = None,
     seed: int | str = 42,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """The ``k`` nearest reference rows of every query row, by their ``vec`` columns.
 
@@ -411,18 +457,21 @@ def nearest(
     ``score`` is ``exp(-distance)``, the cosine for ``cosine``, and null for
     ``dot``, whose distance column holds the product itself.  The two id
     columns have different names; vectors have no nulls.  With ``refs=None`` the
-    query rows are searched among themselves.
+    query rows are searched among themselves.  ``carry`` names columns of the
+    reference rows that come along with each neighbour, so that no join with
+    the reference table has to follow.
     """
     family = _family(metric)
     if query_id == ref_id:
         raise ValueError("query and reference ids need different column names")
     ready = prepare_vector(F.col("vec"), metric).alias("vec")
+    with_it = [F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)]
     if refs is None:
-        q = stage(queries.select(F.col(query_id).alias("qid"), ready), "vectors")
-        r = q.withColumnRenamed("qid", "rid")
+        both = stage(queries.select(F.col(query_id).alias("qid"), ready, *with_it), "vectors")
+        q, r = both.select("qid", "vec"), both.withColumnRenamed("qid", "rid")
     else:
         id_type = refs.schema[ref_id].dataType
-        r = stage(refs.select(F.col(ref_id).alias("rid"), ready), "reference-vectors")
+        r = stage(refs.select(F.col(ref_id).alias("rid"), ready, *with_it), "reference-vectors")
         q = stage(
             queries.select(F.col(query_id).cast(id_type).alias("qid"), ready), "query-vectors"
         )
@@ -438,12 +487,12 @@ def nearest(
         lead = stage(q.groupBy("vec").agg(F.min("qid").alias("qid")), "different-vectors")
         found = _top(_search(lead, r, head, family, need, False, probes, n_pivots, seed), need)
         shared = q.withColumnRenamed("qid", "own").join(lead, "vec").select("own", "qid")
-        best = shared.join(found, "qid").select(F.col("own").alias("qid"), "rid", "value")
+        best = shared.join(found.drop("rank"), "qid").drop("qid").withColumnRenamed("own", "qid")
         if exclude_self:
             best = best.where(F.col("qid") != F.col("rid"))
     else:
         best = _search(q, r, head, family, k, exclude_self, probes, n_pivots, seed)
-    return _scored(_top(best, k), query_id, ref_id, metric)
+    return _scored(_top(best, k), query_id, ref_id, metric, carry)
 
 
 def _result_type(refs: DataFrame) -> T.StructType:
@@ -453,6 +502,7 @@ def _result_type(refs: DataFrame) -> T.StructType:
             T.StructField("qid", id_type),
             T.StructField("rid", id_type),
             T.StructField("value", T.DoubleType()),
+            *[f for f in refs.schema.fields if f.name not in ("rid", "vec")],
         ]
     )
 
@@ -487,18 +537,48 @@ def _lowest_copies(refs: DataFrame, need: int) -> DataFrame:
 def _search(
     q: DataFrame, r: DataFrame, head, family, k, exclude_self, probes, n_pivots, seed
 ) -> DataFrame:
-    """Up to ``k`` rows (qid, rid, value) per query row and pair of blocks."""
-    spark = q.sparkSession
-    result = _result_type(r)
-    top_norm = float(head["norm"])
-    pivots = _pivots(r, head["n"], head["width"], n_pivots, seed)
-    units, placed = _build_units(r, pivots, family, top_norm)
+    """Rows (qid, rid, value and what is carried) that hold the ``k`` best of every query row."""
+    result, top_norm = _result_type(r), float(head["norm"])
     need = k + int(exclude_self)
+    cell_rows = _cell_rows(need)
+    pivots = _pivots(r, head["n"], head["width"], n_pivots, seed, cell_rows)
+    units, placed = _build_units(r, pivots, family, top_norm, cell_rows)
+    compare = _compare_blocks(family, k, exclude_self, to_arrow_schema(result))
+
+    # The choice is stored: computed again, it could differ in the last digit.
+    listed = T.StructType([*q.schema.fields, T.StructField("first", T.ArrayType(T.IntegerType()))])
+    chosen = stage(
+        q.mapInArrow(_first_visits(units, family, top_norm, need, probes), listed), "first-units"
+    )
+    first = chosen.select(
+        "qid", "vec", F.lit(float("inf")).alias("limit"), F.explode("first").alias("unit")
+    )
+    seen = first.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect()
+    near = _blockwise(first, placed, units, seen, k, compare, result)
+    if probes is not None:
+        return near
+
+    near = stage(_top(near, k).drop("rank"), "near-rows")
+    reached = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
+    limit = F.when(F.col("n") >= k, F.col("value")).otherwise(F.lit(float("inf")))
+    limited = stage(
+        chosen.join(reached, "qid", "left").select("qid", "vec", "first", limit.alias("limit")),
+        "limited-rows",
+    )
+    counted = limited.mapInArrow(_further_visits(units, family, top_norm, True), "unit int, n bigint")
+    seen = counted.groupBy("unit").agg(F.sum("n").alias("n")).collect()
+    if not seen:
+        return near
+    visits = T.StructType(
+        [*[limited.schema[c] for c in ("qid", "vec", "limit")], T.StructField("unit", T.IntegerType())]
+    )
+    further = limited.mapInArrow(_further_visits(units, family, top_norm, False), visits)
+    return near.unionByName(_blockwise(further, placed, units, seen, k, compare, result))
 
-    def visit(count_only: bool, schema) -> DataFrame:
-        return q.mapInArrow(_visits(units, family, top_norm, need, probes, count_only), schema)
 
-    seen = visit(True, "unit int, n bigint").groupBy("unit").agg(F.sum("n").alias("n")).collect()
+def _blockwise(visits, placed, units: Units, seen, k, compare, result) -> DataFrame:
+    """Compare visiting query rows (qid, vec, limit, unit) with the rows of their unit, block by block."""
+    spark = placed.sparkSession
     block = max(ROWS_PER_CELL, 4 * k)
     share = sum(s["n"] for s in seen) // (2 * spark.sparkContext.defaultParallelism)
     query_block = max(MIN_QUERY_BLOCK, min(QUERY_BLOCK, share))
@@ -512,35 +592,22 @@ def _search(
             "unit int, ref_blocks int, query_blocks int",
         )
     )
-    vec = T.StructField("vec", r.schema["vec"].dataType)
-    unit = T.StructField("unit", T.IntegerType())
-    left = (
-        visit(False, T.StructType([result["qid"], vec, unit]))
-        .join(sizes, "unit")
-        .select(
-            "unit",
-            F.explode(F.sequence(F.lit(0), F.col("ref_blocks") - 1)).alias("ref_block"),
-            F.pmod(F.xxhash64("qid"), F.col("query_blocks")).cast("int").alias("query_block"),
-            "qid",
-            "vec",
-        )
+    left = visits.join(sizes, "unit").select(
+        "unit",
+        F.explode(F.sequence(F.lit(0), F.col("ref_blocks") - 1)).alias("ref_block"),
+        F.pmod(F.xxhash64("qid"), F.col("query_blocks")).cast("int").alias("query_block"),
+        "qid",
+        "vec",
+        "limit",
     )
-    right = (
-        placed.join(sizes, "unit")
-        .select(
-            "unit",
-            F.pmod(F.xxhash64("rid"), F.col("ref_blocks")).cast("int").alias("ref_block"),
-            F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"),
-            "rid",
-            "vec",
-        )
+    right = placed.join(sizes, "unit").select(
+        "unit",
+        F.pmod(F.xxhash64("rid"), F.col("ref_blocks")).cast("int").alias("ref_block"),
+        F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"),
+        *[c for c in placed.columns if c != "unit"],
     )
     grid = ["unit", "ref_block", "query_block"]
-    return (
-        left.groupBy(*grid)
-        .cogroup(right.groupBy(*grid))
-        .applyInArrow(_compare_blocks(family, k, exclude_self, to_arrow_schema(result)), result)
-    )
+    return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(compare, result)
 
 
 def _top(best: DataFrame, k: int) -> DataFrame:
@@ -548,7 +615,9 @@ def _top(best: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scored(ranked: DataFrame, query_id: str, ref_id: str, metric: str) -> DataFrame:
+def _scored(
+    ranked: DataFrame, query_id: str, ref_id: str, metric: str, carry: Sequence[str] = ()
+) -> DataFrame:
     value = F.col("value")
     if metric == "dot":
         distance, score = -value, F.lit(None).cast("double")
@@ -565,6 +634,7 @@ def _scored(ranked: DataFrame, query_id: str, ref_id: str, metric: str) -> DataF
         "rank",
         distance.alias("distance"),
         score.alias("score"),
+        *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)],
     )
 
 

@@ -181,25 +181,25 @@ def ranked_factors(
     text.  The target takes no part in scaling or in the search.
     """
     columns = list(features_)
+    scaled = clean.min_max_scale(train, columns, train).select(
+        F.col("customer_id").alias("ref_id"), F.array(*columns).alias("vec"), *columns, target
+    )
     near = stage(
         similarity.nearest(
             similarity.min_max_scaled(test, "customer_id", columns, train)
             .withColumnRenamed("customer_id", "query_id"),
-            similarity.min_max_scaled(train, "customer_id", columns, train)
-            .withColumnRenamed("customer_id", "ref_id"),
-            "query_id", "ref_id", max(neighbours, examples), "cosine",
+            scaled, "query_id", "ref_id", max(neighbours, examples), "cosine",
+            carry=list(dict.fromkeys([*columns, target])),
         ),
         "neighbours",
     )
-    scaled = clean.min_max_scale(train, columns, train).select(
-        F.col("customer_id").alias("ref_id"), *columns, target
-    )
     ranking = factors.mutual_information_ranking(
-        factors.local_rows(near, scaled, "ref_id", neighbours), "query_id", columns, target, max_features
+        factors.local_rows(near, neighbours), "query_id", columns, target, max_features
     )
     screen = factors.dependence_screen(
-        factors.local_rows(near, scaled, "ref_id", screen_neighbours), "query_id", columns, target
+        factors.local_rows(near, screen_neighbours), "query_id", columns, target
     )
+    near = near.select("query_id", "ref_id", "rank", "distance", "score")
     order = stage(factors.factor_order(ranking, screen, "query_id", top_k), "factor-order")
     reference = train.withColumnRenamed("customer_id", "ref_id")
     cases = factors.case_text(

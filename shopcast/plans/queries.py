@@ -491,56 +491,57 @@ def _ranking_rows(spark, sf):
     return sources.stage(rows.join(split, "customer_id"), "ranking-rows")
 
 
-def _neighbourhood(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Neighbours of the test rows among the train rows, and the scaled train rows."""
+def _neighbourhood(rows: DataFrame, k: int) -> DataFrame:
+    """Neighbours of the test rows among the train rows, with scaled features and label."""
     columns = list(retail.RANKING_FEATURES)
     train, test = rows.where("split = 'train'").drop("split"), rows.where("split = 'test'")
-    near = similarity.nearest(
+    scaled = clean.min_max_scale(train, columns, train).select(
+        F.col("customer_id").alias("ref_id"),
+        F.array(*columns).alias("vec"),
+        *[F.round(c, 9).alias(c) for c in columns],
+        "label",
+    )
+    return similarity.nearest(
         similarity.min_max_scaled(test, "customer_id", columns, train)
         .withColumnRenamed("customer_id", "query_id"),
-        similarity.min_max_scaled(train, "customer_id", columns, train)
-        .withColumnRenamed("customer_id", "ref_id"),
-        "query_id", "ref_id", k, "cosine",
+        scaled, "query_id", "ref_id", k, "cosine", carry=[*columns, "label"],
     )
-    scaled = clean.min_max_scale(train, columns, train).withColumnRenamed("customer_id", "ref_id")
-    return near, _round(scaled, {c: 9 for c in columns})
 
 
 @query
 def corr_ranking(spark, sf):
-    near, scaled = _neighbourhood(_ranking_rows(spark, sf), retail.RANKING_NEIGHBOURS)
-    local = factors.local_rows(near, scaled, "ref_id")
+    near = _neighbourhood(_ranking_rows(spark, sf), retail.RANKING_NEIGHBOURS)
+    local = factors.local_rows(near)
     out = factors.correlation_ranking(local, "query_id", retail.RANKING_FEATURES, "label")
     return _round(out, {"score": 6})
 
 
 @query
 def mi_ranking(spark, sf):
-    near, scaled = _neighbourhood(_ranking_rows(spark, sf), retail.RANKING_NEIGHBOURS)
-    local = factors.local_rows(near, scaled, "ref_id")
+    near = _neighbourhood(_ranking_rows(spark, sf), retail.RANKING_NEIGHBOURS)
+    local = factors.local_rows(near)
     out = factors.mutual_information_ranking(local, "query_id", retail.RANKING_FEATURES, "label")
     return _round(out, {"score": 6})
 
 
 @query
 def fisher_z_screen(spark, sf):
-    near, scaled = _neighbourhood(_ranking_rows(spark, sf), retail.SCREEN_NEIGHBOURS)
-    local = factors.local_rows(near, scaled, "ref_id")
+    near = _neighbourhood(_ranking_rows(spark, sf), retail.SCREEN_NEIGHBOURS)
+    local = factors.local_rows(near)
     out = factors.dependence_screen(local, "query_id", retail.RANKING_FEATURES, "label")
     return _round(out, {"correlation": 6, "weakest_z": 5})
 
 
 def _factor_order(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Neighbours and factor order of every row; one search serves both steps."""
-    near, scaled = _neighbourhood(rows, retail.RANKING_NEIGHBOURS)
-    near = sources.stage(near, "neighbours")
+    near = sources.stage(_neighbourhood(rows, retail.RANKING_NEIGHBOURS), "neighbours")
     ranking = factors.mutual_information_ranking(
-        factors.local_rows(near, scaled, "ref_id"), "query_id", retail.RANKING_FEATURES, "label"
+        factors.local_rows(near), "query_id", retail.RANKING_FEATURES, "label"
     )
     screen = factors.dependence_screen(
-        factors.local_rows(near, scaled, "ref_id", retail.SCREEN_NEIGHBOURS),
-        "query_id", retail.RANKING_FEATURES, "label",
+        factors.local_rows(near, retail.SCREEN_NEIGHBOURS), "query_id", retail.RANKING_FEATURES, "label"
     )
+    near = near.select("query_id", "ref_id", "rank", "distance", "score")
     return near, factors.factor_order(ranking, screen, "query_id")
 
 

@@ -116,14 +116,43 @@ def test_pruning_visits_few_units(spark, monkeypatch):
     rows = [(i, [1000.0 * (i % 10) + (i // 10) * 0.01, 0.0]) for i in range(1000)]
     q, _ = frames(spark, rows, rows)
     r = q.withColumnRenamed("query_id", "rid")
-    units, placed = similarity._build_units(r, similarity._pivots(r, 1000, 2, None, 42), "l2", 1e4)
-    visit = similarity._visits(units, "l2", 1e4, 3, None, True)
-    seen = q.withColumnRenamed("query_id", "qid").mapInArrow(visit, "unit int, n bigint")
-    visits = seen.agg(F.sum("n")).first()[0]
-    assert visits < 0.5 * 1000 * len(units.count)
+    units, placed = similarity._build_units(r, similarity._pivots(r, 1000, 2, None, 42, 20), "l2", 1e4, 20)
+    first = similarity._first_visits(units, "l2", 1e4, 3, None)
+    chosen = q.withColumnRenamed("query_id", "qid").mapInArrow(
+        first, "qid long, vec array<double>, first array<int>"
+    )
+    limited = chosen.withColumn("limit", F.lit(0.05))
+    further = similarity._further_visits(units, "l2", 1e4, True)
+    visits = limited.mapInArrow(further, "unit int, n bigint").agg(F.sum("n")).first()[0]
+    visits += chosen.agg(F.sum(F.size("first"))).first()[0]
+    assert visits < 0.1 * 1000 * len(units.count)
     assert sum(units.count) == 1000 and placed.count() == 1000
 
 
+@pytest.mark.parametrize("k", [5, 60])
+def test_few_rows_leave_the_blocks(spark, k, monkeypatch):
+    """Beyond the first units only rows within the limit leave a task: at most three times k per query row."""
+    monkeypatch.setattr(similarity, "ROWS_PER_CELL", 100)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 3)]) for i in range(3000)]
+    q, _ = frames(spark, rows, rows)
+    q = q.withColumnRenamed("query_id", "qid")
+    r = q.withColumnRenamed("qid", "rid")
+    found = similarity._search(q, r, similarity._head(r), "l2", k, False, None, None, 42)
+    assert found.count() <= 3 * k * 3000
+
+
+def test_carried_columns(spark):
+    rows = vectors(60, 3, 8, hot=40)
+    q, _ = frames(spark, rows, rows)
+    r = q.select(F.col("query_id").alias("ref_id"), "vec", (F.col("query_id") * 2).alias("value"))
+    for found in (
+        similarity.nearest(q, r, "query_id", "ref_id", 4, carry=["value"]),
+        similarity.nearest(q.withColumn("value", F.col("query_id") * 2), None, "query_id", "ref_id", 4, carry=["value"]),
+    ):
+        assert found.count() == 400 and found.where("value <> 2 * ref_id").isEmpty()
+
+
 def test_probed_recall(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(1500)]
