@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -220,7 +221,7 @@ def _held_before(order: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.cumsum(count[order], axis=1) - count[order]
 
 
-def _nearest_units(part, units, space, family, top_norm, need, probes):
+def _nearest_units(part, units, space, family, top_norm, need, probes=None):
     """Boolean matrix: the units a query row visits first; together they hold ``need`` rows.
 
     With ``probes`` these are all units of that many cells, and of further ones
@@ -239,24 +240,6 @@ def _nearest_units(part, units, space, family, top_norm, need, probes):
     return chosen if probes is None else chosen[:, units.cell]
 
 
-def _first_visits(units: Units, family, top_norm, need, probes):
-    """Arrow map: query rows with the list of units they visit first."""
-
-    def run(batches):
-        space = _space(units.pivots, family, top_norm, is_query=False)
-        width = max(len(units.pivots), len(units.cell))
-        for batch in batches:
-            for part in _parts(batch, width):
-                wanted = _nearest_units(part, units, space, family, top_norm, need, probes)
-                ends = np.concatenate([[0], np.cumsum(wanted.sum(axis=1))]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(
-                    pa.array(ends), pa.array(np.nonzero(wanted)[1].astype(np.int32))
-                )
-                yield pa.RecordBatch.from_arrays([*part.columns, listed], [*part.schema.names, "first"])
-
-    return run
-
-
 def _within_limit(part, units, space, family, top_norm):
     """Boolean matrix: units not visited yet that may hold rows within the limit of a query row."""
     _, _, lower = _unit_distances(part, units, space, family, top_norm)
@@ -273,34 +256,20 @@ def _within_limit(part, units, space, family, top_norm):
     return wanted
 
 
-def _further_visits(units: Units, family, top_norm, count_only):
-    """Arrow map: query rows once per further unit, or only the number of visits per unit."""
+def _visits(units: Units, family, top_norm, choose, name):
+    """Arrow map: query rows with the list of units that ``choose`` gives them, as column ``name``."""
 
     def run(batches):
         space = _space(units.pivots, family, top_norm, is_query=False)
         width = max(len(units.pivots), len(units.cell))
         for batch in batches:
             for part in _parts(batch, width):
-                wanted = _within_limit(part, units, space, family, top_norm)
-                if count_only:
-                    totals = wanted.sum(axis=0)
-                    hit = np.nonzero(totals)[0]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hit.astype(np.int32)), pa.array(totals[hit].astype(np.int64))],
-                        ["unit", "n"],
-                    )
-                    continue
-                rows, unit = np.nonzero(wanted)
-                step = max(1, MATRIX_NUMBERS // max(1, units.pivots.shape[1]))
-                for at in range(0, len(rows), step):
-                    taken = pa.array(rows[at : at + step])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *[part.column(c).take(taken) for c in ("qid", "vec", "limit")],
-                            pa.array(unit[at : at + step].astype(np.int32)),
-                        ],
-                        ["qid", "vec", "limit", "unit"],
-                    )
+                wanted = choose(part, units, space, family, top_norm)
+                ends = np.concatenate([[0], np.cumsum(wanted.sum(axis=1))]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(np.nonzero(wanted)[1].astype(np.int32))
+                )
+                yield pa.RecordBatch.from_arrays([*part.columns, listed], [*part.schema.names, name])
 
     return run
 
@@ -545,35 +514,28 @@ def _search(
     units, placed = _build_units(r, pivots, family, top_norm, cell_rows)
     compare = _compare_blocks(family, k, exclude_self, to_arrow_schema(result))
 
-    # The choice is stored: computed again, it could differ in the last digit.
-    listed = T.StructType([*q.schema.fields, T.StructField("first", T.ArrayType(T.IntegerType()))])
-    chosen = stage(
-        q.mapInArrow(_first_visits(units, family, top_norm, need, probes), listed), "first-units"
-    )
-    first = chosen.select(
-        "qid", "vec", F.lit(float("inf")).alias("limit"), F.explode("first").alias("unit")
-    )
-    seen = first.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect()
-    near = _blockwise(first, placed, units, seen, k, compare, result)
+    def listed(rows: DataFrame, choose, name: str) -> DataFrame:
+        """Query rows with their units, stored: computed again, they could differ in the last digit."""
+        column = T.StructField(name, T.ArrayType(T.IntegerType()))
+        visits = _visits(units, family, top_norm, choose, name)
+        return stage(rows.mapInArrow(visits, T.StructType([*rows.schema.fields, column])), f"{name}-units")
+
+    def found(rows: DataFrame, name: str) -> DataFrame:
+        """The best rows of the units in column ``name``."""
+        visits = rows.select("qid", "vec", "limit", F.explode(name).alias("unit"))
+        seen = visits.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect()
+        return _blockwise(visits, placed, units, seen, k, compare, result)
+
+    endless = F.lit(float("inf"))
+    chosen = listed(q, partial(_nearest_units, need=need, probes=probes), "first")
+    near = found(chosen.withColumn("limit", endless), "first")
     if probes is not None:
         return near
-
     near = stage(_top(near, k).drop("rank"), "near-rows")
     reached = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
-    limit = F.when(F.col("n") >= k, F.col("value")).otherwise(F.lit(float("inf")))
-    limited = stage(
-        chosen.join(reached, "qid", "left").select("qid", "vec", "first", limit.alias("limit")),
-        "limited-rows",
-    )
-    counted = limited.mapInArrow(_further_visits(units, family, top_norm, True), "unit int, n bigint")
-    seen = counted.groupBy("unit").agg(F.sum("n").alias("n")).collect()
-    if not seen:
-        return near
-    visits = T.StructType(
-        [*[limited.schema[c] for c in ("qid", "vec", "limit")], T.StructField("unit", T.IntegerType())]
-    )
-    further = limited.mapInArrow(_further_visits(units, family, top_norm, False), visits)
-    return near.unionByName(_blockwise(further, placed, units, seen, k, compare, result))
+    limit = F.when(F.col("n") >= k, F.col("value")).otherwise(endless)
+    limited = chosen.join(reached, "qid", "left").select("qid", "vec", "first", limit.alias("limit"))
+    return near.unionByName(found(listed(limited, _within_limit, "further"), "further"))
 
 
 def _blockwise(visits, placed, units: Units, seen, k, compare, result) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+from functools import partial
 
 import numpy as np
 import pytest
@@ -117,14 +118,15 @@ def test_pruning_visits_few_units(spark, monkeypatch):
     q, _ = frames(spark, rows, rows)
     r = q.withColumnRenamed("query_id", "rid")
     units, placed = similarity._build_units(r, similarity._pivots(r, 1000, 2, None, 42, 20), "l2", 1e4, 20)
-    first = similarity._first_visits(units, "l2", 1e4, 3, None)
+    nearest = partial(similarity._nearest_units, need=3)
     chosen = q.withColumnRenamed("query_id", "qid").mapInArrow(
-        first, "qid long, vec array<double>, first array<int>"
+        similarity._visits(units, "l2", 1e4, nearest, "first"), "qid long, vec array<double>, first array<int>"
     )
-    limited = chosen.withColumn("limit", F.lit(0.05))
-    further = similarity._further_visits(units, "l2", 1e4, True)
-    visits = limited.mapInArrow(further, "unit int, n bigint").agg(F.sum("n")).first()[0]
-    visits += chosen.agg(F.sum(F.size("first"))).first()[0]
+    limited = chosen.withColumn("limit", F.lit(0.05)).mapInArrow(
+        similarity._visits(units, "l2", 1e4, similarity._within_limit, "further"),
+        "qid long, vec array<double>, first array<int>, limit double, further array<int>",
+    )
+    visits = limited.agg(F.sum(F.size("first") + F.size("further"))).first()[0]
     assert visits < 0.1 * 1000 * len(units.count)
     assert sum(units.count) == 1000 and placed.count() == 1000
 
