@@ -3,7 +3,7 @@
 Reference rows are put into cells around pivot rows and, within a cell, into
 rings by distance from the pivot.  The summary of the rings (count, nearest,
 farthest) is small whatever the data size.  A query row first visits the nearest
-units (runs of rings) that hold k rows.  The k-th distance found there is its
+units (runs of rings) that hold several times k rows.  The k-th distance found there is its
 limit: it then visits only the units that the triangle inequality cannot rule
 out, and there only rows within the limit leave a task.
 
@@ -40,6 +40,8 @@ ORDER_DIGITS = 9
 MAX_PIVOTS = 4_096
 MAX_PIVOT_NUMBERS = 2_000_000
 ROWS_PER_CELL = 4_096
+# The units of the first visit hold this many times the wanted rows; a cell holds as many at least.
+FIRST_SHARE = 4
 # Rows of a query block: as many as this, fewer while that leaves cores idle.
 QUERY_BLOCK = 4_096
 MIN_QUERY_BLOCK = 256
@@ -354,7 +356,7 @@ def _rank_value(left, right, family):
 
 def _cell_rows(need: int) -> int:
     """Rows a cell should hold: several times as many as a query row wants."""
-    return max(ROWS_PER_CELL, 4 * need)
+    return max(ROWS_PER_CELL, FIRST_SHARE * need)
 
 
 def _pivots(
@@ -527,7 +529,8 @@ def _search(
         return _blockwise(visits, placed, units, seen, k, compare, result)
 
     endless = F.lit(float("inf"))
-    chosen = listed(q, partial(_nearest_units, need=need, probes=probes), "first")
+    hold = need if probes is not None else FIRST_SHARE * need
+    chosen = listed(q, partial(_nearest_units, need=hold, probes=probes), "first")
     near = found(chosen.withColumn("limit", endless), "first")
     if probes is not None:
         return near

@@ -436,6 +436,10 @@ SELECT query_id, ref_id, rank, round(val, 5) AS distance, round(exp(-val), 6) AS
 part("evec", [], "SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings")
 part("eclick", ["evec"], "SELECT evec.* FROM evec JOIN labels ON doc_id = id WHERE quality = 1")
 _pairs("near_text", ["evec", "eclick"], "evec", "-list_cosine_similarity(a.v, b.v)", 5, refs="eclick")
+SQL["similar_text_answers"] = _with("near_text", body="""
+SELECT query_id, string_agg(text || '. Answer: ' || CASE toxic WHEN 1 THEN 'accept' ELSE 'refuse' END || '. Confidence: ' ||
+                            CAST(90 - 5 * rank AS VARCHAR) || '.', chr(10) ORDER BY rank) AS similar_text
+FROM near_text JOIN documents d ON d.doc_id = ref_id JOIN labels l ON l.doc_id = ref_id GROUP BY query_id""")
 SQL["similar_text_cosine"] = _with("near_text", body="""
 SELECT query_id, string_agg(text || '. Preferred categories: ' || label || '.', chr(10) ORDER BY rank) AS similar_text
 FROM near_text JOIN embeddings ON vec_id = ref_id JOIN documents ON doc_id = ref_id GROUP BY query_id""")
@@ -567,6 +571,13 @@ SELECT query_id, 'Start.' || chr(10) || 'Factors:' || chr(10) || replace(factor_
        'Cases:' || chr(10) || case_text || chr(10) || 'End.' || chr(10) || {numeric_text({c: FULL_NAMES[c] for c in _SIM})} AS prompt
 FROM ftext JOIN cases USING (query_id) JOIN rcust ON customer_id = query_id""")
 
+SQL["factor_prompt_layouts"] = _with("ftext", "cases", body="""
+SELECT query_id, unnest(['factors', 'cases', 'text']) AS layout,
+       'Start.' || chr(10) || unnest(['Factors:' || chr(10) || replace(factor_text, ',', chr(10)) || chr(10),
+                                      'Cases:' || chr(10) || case_text || chr(10), '']) ||
+       'End.' || chr(10) || 'Customer ' || query_id AS prompt
+FROM ftext JOIN cases USING (query_id)""")
+
 # Text ----------------------------------------------------------------------
 
 SQL["format_values"] = f"""
@@ -694,12 +705,19 @@ def confidence(x: str) -> str:
 SQL["parse_confidence"] = f"SELECT doc_id, {confidence('text')} AS confidence FROM documents"
 
 
-def _loose(source: str) -> str:
+_class = "CASE WHEN contains(a, 'accept') THEN '1' WHEN contains(a, 'refuse') THEN '0' ELSE '' END"
+
+
+def _brands(x: str) -> str:
+    return f"""array_to_string(string_split(translate(replace({x}, 'brand', ''), chr(39) || ':"{{}}. ', ''), ','), ', ') || '.'"""
+
+
+def _loose(source: str, key: str = "doc_id", answer: str = _class) -> str:
     """Cut positions; an absent word is position -1 and counts from the end."""
     return f"""
-SELECT doc_id, CASE WHEN contains(a, 'accept') THEN '1' WHEN contains(a, 'refuse') THEN '0' ELSE '' END AS answer,
+SELECT {key}, {answer} AS answer,
        {confidence('c')} AS confidence, replace(r, '<|eot_id|>', '') AS reason FROM (
-  SELECT doc_id, substr(reply, s + 1, greatest(ce - s, 0)) AS a,
+  SELECT {key}, substr(reply, s + 1, greatest(ce - s, 0)) AS a,
          substr(reply, ce + 1, greatest(re - ce, 0)) AS c, substr(reply, re + 1) AS r FROM (
     SELECT *, CASE WHEN a0 > 0 AND p0 >= 0 THEN p0 ELSE greatest(a0, 0) END AS s,
            CASE WHEN c0 < 0 THEN length(reply) - 1 ELSE c0 END AS ce,
@@ -720,6 +738,24 @@ SELECT doc_id,
 FROM (SELECT doc_id, json_valid(reply) AS ok, TRY_CAST(CASE WHEN json_valid(reply) THEN reply END AS JSON) AS j FROM braced)
 JOIN loosely l USING (doc_id)""")
 
+part("brand_replies", ["brands"], """
+SELECT l_orderkey, CASE
+  WHEN l_orderkey % 3 = 0 THEN 'Sure: {"brand": "' || n || '", "confidence": "' || s || '", "reason": "order ' || l_orderkey || '"}'
+  WHEN l_orderkey % 3 = 1 THEN 'I like ' || n
+  ELSE 'The answer is ' || n || ' with confidence ' || s || ' for the reason ' || l_orderkey || '<|eot_id|>' END AS reply
+FROM (SELECT l_orderkey, replace(array_to_string(b, ', '), 'Brand#', 'brand') AS n, CAST(l_orderkey % 130 AS VARCHAR) AS s FROM brands)""")
+SQL["parse_loose_brands"] = _with("brand_replies", body=_loose("brand_replies", "l_orderkey", _brands("a")))
+part("brand_braced", ["brand_replies"], """
+SELECT l_orderkey, CASE WHEN strpos(reply, '{') > 0 THEN substr(reply, strpos(reply, '{')) ELSE reply END AS reply FROM brand_replies""")
+part("brand_loosely", ["brand_braced"], _loose("brand_braced", "l_orderkey", _brands("a")))
+SQL["parse_brands"] = _with("brand_loosely", body=f"""
+SELECT l_orderkey,
+       CASE WHEN ok THEN {_brands("(j->>'brand')")} ELSE l.answer END AS answer,
+       round(CASE WHEN ok THEN {confidence("(j->>'confidence')")} ELSE l.confidence END * 0.01::DOUBLE, 4) AS confidence,
+       CASE WHEN ok THEN j->>'reason' ELSE l.reason END AS reason
+FROM (SELECT l_orderkey, json_valid(reply) AS ok, TRY_CAST(CASE WHEN json_valid(reply) THEN reply END AS JSON) AS j FROM brand_braced)
+JOIN brand_loosely l USING (l_orderkey)""")
+
 # Prompts and replies -------------------------------------------------------
 
 
@@ -781,6 +817,15 @@ part("rprompts", ["rchunks"], _gather(_prediction_line, "rchunks"))
 part("rodist", ["rcust"], f"""
 SELECT {_text(retail.OUTCOME_CONTEXT)} || chr(10) || chr(10) || body AS distribution
 FROM ({numeric_bodies([retail.OUTCOME_SPECS[0]], 'rcust')})""")
+_asked = f"""'Customer profiles:' || chr(10) || prompt || chr(10) || chr(10) ||
+       {_text('Reply with a JSON array, one object per customer with customer_id. ' + _reply_format())} AS prompt, p.rows"""
+_system = f"{_text(retail.SYSTEM_TEXT)} || chr(10) || chr(10)"
+SQL["prompt_layouts"] = _with("rprompts", "blocks", "rodist", body=f"""
+SELECT p.chunk_no, 'distribution' AS layout,
+       {_system} || 'Outcome distribution:' || chr(10) || distribution || chr(10) || chr(10) || {_asked} FROM rprompts p, rodist
+UNION ALL SELECT p.chunk_no, 'examples',
+       {_system} || 'Similar examples:' || chr(10) || examples || chr(10) || chr(10) || {_asked} FROM rprompts p JOIN blocks USING (chunk_no)
+UNION ALL SELECT p.chunk_no, 'profiles', {_system} || {_asked} FROM rprompts p""")
 SQL["prompt_context"] = _with("rprompts", "blocks", "rodist", body=f"""
 SELECT p.chunk_no, {_text(retail.SYSTEM_TEXT)} || chr(10) || chr(10) || 'Outcome distribution:' || chr(10) || distribution ||
        chr(10) || chr(10) || 'Similar examples:' || chr(10) || examples || chr(10) || chr(10) ||
@@ -963,3 +1008,10 @@ CROSS JOIN (VALUES {', '.join(f"('{t}')" for t in retail.TREATMENTS)}) t(promoti
 SQL["resume_prompts"] = _with("people", body="""
 SELECT c_custkey, CASE WHEN c_nationkey < 20 AND c_custkey % 7 <> 0 THEN 'first: ' ELSE 'second: ' END ||
        customer_id || ' ' || c_mktsegment AS reply FROM people""")
+
+# Sinks ---------------------------------------------------------------------
+
+SQL["parquet_sink"] = "SELECT * EXCLUDE (o_orderdate) FROM orders"
+SQL["csv_sink"] = """
+SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_acctbal, '["' || c_mktsegment || '","a \\"quoted\\", one"]' AS listed FROM customer"""
+SQL["json_sink"] = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice END AS open_price FROM orders"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopcast import sources
 from shopcast.functions import replies as rt
@@ -420,10 +421,11 @@ def knn_dot(spark, sf):
 
 @query
 def knn_cosine(spark, sf):
-    rows = sources.stage(
-        _rounded_features(spark, sf).select("customer_id", *retail.RANKING_FEATURES), "features"
-    )
-    vectors = similarity.min_max_scaled(rows, "customer_id", retail.RANKING_FEATURES, rows)
+    """All numeric columns but the outcomes are compared."""
+    rows = _rounded_features(spark, sf)
+    columns = clean.numeric_features(rows, exclude=("target_sales", "label"))
+    rows = sources.stage(rows.select("customer_id", *columns), "features")
+    vectors = similarity.min_max_scaled(rows, "customer_id", columns, rows)
     out = _all_pairs(vectors, "customer_id", 10, "cosine")
     return _round(out.drop("distance"), {"score": 6})
 
@@ -462,26 +464,41 @@ def embedding_topk(spark, sf):
     return _round(out, {"distance": 5, "score": 6})
 
 
-@query
-def similar_text_cosine(spark, sf):
+def _clicked_neighbours(spark, sf):
     """Clicked texts only are candidates; a text counts as clicked when its label is good."""
-    e = retail.table(spark, sf, "embeddings")
-    docs = retail.table(spark, sf, "documents").select("doc_id", "text")
     clicked = (
         retail.table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
     )
-    vectors = e.select("vec_id", F.col("embedding").alias("vec"))
-    near = similarity.nearest(
+    vectors = retail.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return similarity.nearest(
         vectors.withColumnRenamed("vec_id", "query_id"),
         vectors.join(clicked, "vec_id").withColumnRenamed("vec_id", "ref_id"),
         "query_id", "ref_id", 5, "cosine",
     )
+
+
+@query
+def similar_text_cosine(spark, sf):
+    e = retail.table(spark, sf, "embeddings")
+    docs = retail.table(spark, sf, "documents").select("doc_id", "text")
     texts = e.join(docs, e.vec_id == docs.doc_id).select(
         F.col("vec_id").alias("ref_id"), "text", "label"
     )
+    near = _clicked_neighbours(spark, sf)
     return factors.similar_texts(near, texts, "query_id", "ref_id", "text", "label", "rec")
 
 
+@query
+def similar_text_answers(spark, sf):
+    """The same neighbours with an answer and a confidence by rank."""
+    docs = retail.table(spark, sf, "documents").select("doc_id", "text")
+    texts = docs.join(retail.table(spark, sf, "labels"), "doc_id").select(
+        F.col("doc_id").alias("ref_id"), "text", "toxic"
+    )
+    near = _clicked_neighbours(spark, sf)
+    return factors.similar_texts(near, texts, "query_id", "ref_id", "text", "toxic", "cls")
+
+
 # Local ranking -------------------------------------------------------------
 
 
@@ -590,6 +607,28 @@ def factor_prompt(spark, sf):
     )
 
 
+@query
+def factor_prompt_layouts(spark, sf):
+    """The prompt without factors, without cases, and without both."""
+    rows = _ranking_rows(spark, sf)
+    near, order = _factor_order(rows)
+    order = sources.stage(order, "factor-order")
+    joined = factors.factor_text(order, "query_id", FULL_NAMES).join(
+        _case_text(rows, near, order), "query_id"
+    ).withColumn("text", F.concat(F.lit("Customer "), "query_id"))
+    intros = {"factors": ("Factors:\n", None), "cases": (None, "Cases:\n"), "text": (None, None)}
+    layouts = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("layout"),
+                prompts.factor_prompt(joined, "Start.", "End.", "text", *intro).alias("prompt"),
+            )
+            for name, intro in intros.items()
+        ]
+    )
+    return joined.select("query_id", F.inline(layouts))
+
+
 # Text ----------------------------------------------------------------------
 
 
@@ -802,6 +841,43 @@ def parse_reply(spark, sf):
     return _round(out, {"confidence": 4})
 
 
+def _brand_replies(spark, sf):
+    """Free-text and structured replies that name the brands of each order."""
+    rows = _brand_text(spark, sf)
+    key = F.col("l_orderkey").cast("string")
+    share = (F.col("l_orderkey") % 130).cast("string")
+    names = F.replace("brands", F.lit("Brand#"), F.lit("brand"))
+    return rows.select(
+        "l_orderkey",
+        F.when(
+            F.col("l_orderkey") % 3 == 0,
+            F.concat(F.lit('Sure: {"brand": "'), names, F.lit('", "confidence": "'), share,
+                     F.lit('", "reason": "order '), key, F.lit('"}')),
+        )
+        .when(F.col("l_orderkey") % 3 == 1, F.concat(F.lit("I like "), names))
+        .otherwise(
+            F.concat(F.lit("The answer is "), names, F.lit(" with confidence "), share,
+                     F.lit(" for the reason "), key, F.lit("<|eot_id|>")),
+        )
+        .alias("reply"),
+    )
+
+
+@query
+def parse_loose_brands(spark, sf):
+    return _brand_replies(spark, sf).select(
+        "l_orderkey", F.inline(F.array(rt.loose_reply(F.col("reply"), "rec")))
+    )
+
+
+@query
+def parse_brands(spark, sf):
+    out = _brand_replies(spark, sf).select(
+        "l_orderkey", F.inline(F.array(rt.reply_fields(F.col("reply"), "rec")))
+    )
+    return _round(out, {"confidence": 4})
+
+
 # Prompts and replies -------------------------------------------------------
 
 
@@ -894,6 +970,23 @@ def prompt_context(spark, sf):
     )
 
 
+@query
+def prompt_layouts(spark, sf):
+    """The prompt without examples, without distribution, and without both."""
+    rows, chunked, blocks = _example_blocks(spark, sf)
+    distribution = stats.outcome_distribution_text(
+        rows, retail.OUTCOME_SPECS, retail.OUTCOME_CONTEXT, "target_categories"
+    )
+    asked = sources.stage(prompts.prediction_prompts(chunked, "template_profile"), "prompts")
+    parts = {"distribution": (distribution, None), "examples": (None, blocks), "profiles": (None, None)}
+    made_ = [
+        prompts.prompt_context(asked, retail.SYSTEM_TEXT, retail.OUTCOME_SPECS, *given)
+        .withColumn("layout", F.lit(name))
+        for name, given in parts.items()
+    ]
+    return made_[0].unionByName(made_[1]).unionByName(made_[2])
+
+
 @query
 def extract_json_array(spark, sf):
     replies = _narrative_replies(_chunked_customers(spark, sf))
@@ -1059,6 +1152,41 @@ def resume_pending(spark, sf):
     return sources.pending_rows(orders, done, ["o_orderkey"])
 
 
+def _stored(spark, suffix: str) -> str:
+    return f"{sources.staging_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}.{suffix}"
+
+
+@query
+def parquet_sink(spark, sf):
+    """Orders written as parquet and read back."""
+    path = _stored(spark, "parquet")
+    sources.write_table(retail.table(spark, sf, "orders").drop("o_orderdate"), path)
+    return sources.read_table(spark, path)
+
+
+@query
+def csv_sink(spark, sf):
+    """Customers in shuffled order written as CSV, with a list as JSON text, and read back."""
+    rows = retail.customers(spark, sf).select(
+        "customer_id", "c_acctbal", F.array("c_mktsegment", F.lit('a "quoted", one')).alias("listed")
+    )
+    path = _stored(spark, "csv")
+    sources.write_table(sampling.shuffled(rows, ["customer_id"]), path)
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("listed", T.StringType())])
+    return sources.read_csv(spark, path, schema)
+
+
+@query
+def json_sink(spark, sf):
+    """Orders with nulls written as JSON lines and read back."""
+    rows = retail.table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")).alias("open_price")
+    )
+    path = _stored(spark, "json")
+    sources.write_json_lines(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query
 def ft_export_cls(spark, sf):
     rows = _rounded_features(spark, sf)
