@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopcast.sources import stage
+
 Period = tuple[str, str]
 
 
@@ -219,10 +221,10 @@ def customer_dataset(
 
     Equal to joining :func:`outcome_table`, :func:`rfm_features` with
     :func:`with_rates`, and :func:`category_pivot`, from one pass for counts
-    and sums and one for the ordered lists.
+    and sums and one for the ordered lists.  The counts are staged, one row per
+    customer, and the last date of all is taken from there.
     """
     active = tx.where(_within(feature) | _within(outcome))
-    last = tx.where(_within(feature)).agg(F.max("invoice_date")).scalar()
 
     def of(kind: str, column: str) -> Column:
         return F.when(F.col("kind") == kind, F.col(column))
@@ -252,6 +254,8 @@ def customer_dataset(
         )
         .where(F.col("total_sales").isNotNull())
     )
+    counted = stage(counted, "customer-counts")
+    last = counted.agg(F.max("last_purchase_date")).scalar()
     texts = {
         "target_descriptions": ("description", outcome),
         "target_categories": ("category", outcome),

@@ -91,12 +91,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_transactions(spark: SparkSession, sf_dir: str, since: str | None = None) -> DataFrame:
-    """Invoice lines; ``since`` is a date that is pushed into the scan of orders."""
+def raw_transactions(
+    spark: SparkSession, sf_dir: str, since: str | None = None, before: str | None = None
+) -> DataFrame:
+    """Invoice lines; ``since`` and ``before`` are dates that are pushed into the scan of orders."""
     orders = table(spark, sf_dir, "orders")
+    kind = orders.schema["o_orderdate"].dataType
     if since:
-        kind = orders.schema["o_orderdate"].dataType
         orders = orders.where(F.col("o_orderdate") >= F.lit(since).cast(kind))
+    if before:
+        orders = orders.where(F.col("o_orderdate") < F.lit(before).cast(kind))
     lines = table(spark, sf_dir, "lineitem")
     parts = table(spark, sf_dir, "part")
     return (
@@ -120,11 +124,18 @@ def raw_transactions(spark: SparkSession, sf_dir: str, since: str | None = None)
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean lines of the feature and outcome periods."""
-    return clean_transactions(raw_transactions(spark, sf_dir, f"{FEATURE_PERIOD[0]}-01"))
+    return _between(spark, sf_dir, FEATURE_PERIOD[0], OUTCOME_PERIOD[1])
+
+
+def _between(spark: SparkSession, sf_dir: str, first: str, last: str) -> DataFrame:
+    """Clean lines from the first month to the last one."""
+    year, month = (int(part) for part in last.split("-"))
+    after = f"{year + month // 12}-{month % 12 + 1:02d}-01"
+    return clean_transactions(raw_transactions(spark, sf_dir, f"{first}-01", after))
 
 
 def feature_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transactions(spark, sf_dir).where(F.col("yearmon").between(*FEATURE_PERIOD))
+    return _between(spark, sf_dir, *FEATURE_PERIOD)
 
 
 def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:

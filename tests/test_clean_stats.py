@@ -177,11 +177,12 @@ def test_outcome_text_excludes_by_whole_name(spark):
     assert stats.outcome_distribution_text(df, specs, "C.", ["target", "target_text"]).first()[0] == "C."
 
 
-def test_too_many_values_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(stats, "MAX_LISTED_VALUES", 2)
-    df = spark.createDataFrame([(c,) for c in "abc"], "city string")
-    with pytest.raises(Exception, match="too many values"):
-        stats.feature_distribution_text(df, [FeatureSpec("city", "City", "string", "P")]).collect()
+def test_all_values_or_the_most_frequent_are_listed(spark):
+    df = spark.createDataFrame([(f"c{i}",) for i in range(300)] + [("c7",)], "city string")
+    city = [FeatureSpec("city", "City", "string", "P")]
+    assert stats.feature_distribution_text(df, city).first()[0].count("\n  c") == 300
+    text = stats.feature_distribution_text(df, city, top=2).first()[0]
+    assert text.endswith("  c7: 0.66%\n  c0: 0.33%")
 
 
 def test_value_shares_top(spark):

@@ -102,6 +102,13 @@ def test_stage_uses_the_named_folder(spark):
     assert df.count() == 5 and all(folder.rstrip("/") in f for f in df.inputFiles())
 
 
+def test_staged_tables_can_be_dropped(spark):
+    sources.stage(spark.range(5), "five")
+    assert sources.table_exists(spark, sources.run_folder(spark))
+    sources.drop_staged(spark)
+    assert not sources.table_exists(spark, sources.run_folder(spark))
+
+
 def test_exports(spark):
     df = spark.createDataFrame([("t", 1, "a."), ("u", 0, "b.")], "text string, label int, response string")
     cls = sources.classification_export(df, "I", "text", "label").collect()
