@@ -29,7 +29,7 @@ _BASE_LABELS = {"m": "mit", "a": "apache", "g": "gpl"}
 #: (label, SPDX name, keyword, name as an expression, page as an expression).  Blanks in
 #: expressions stand for any white space or comment signs.
 FAMILIES = (
-    ("mit", "MIT", "mit", r"(?:the )?(?:mit|expat|x11)(?: \(?expat\)?)?", r"opensource\.org/licenses?/mit"),
+    ("mit", "MIT", "mit", r"(?:the )?mit(?: \(?expat\)?)?", r"opensource\.org/licenses?/mit"),
     ("mit-0", "MIT-0", "mit", r"mit no attribution", r"opensource\.org/licenses?/mit-0"),
     ("apache-2.0", "Apache-2.0", "apache", r"apache(?: software)?(?:,? v?2(?:\.0)?)?", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", "Apache-1.1", "apache", r"apache(?: software)?,? (?:v|version )?1\.1", r"apache\.org/licenses/license-1\.1"),
@@ -55,7 +55,7 @@ FAMILIES = (
     ("libpng", "Libpng", "libpng", r"(?:the )?libpng", r"libpng\.org/pub/png/src/libpng-license"),
     ("bsl-1.0", "BSL-1.0", "boost", r"boost software", r"boost\.org/license_1_0"),
     ("unlicense", "Unlicense", "unlicense", r"the un", r"unlicense\.org"),
-    ("wtfpl", "WTFPL", "wtf", r"do what the f\S+ you want to public", r"wtfpl\.net"),
+    ("wtfpl", "WTFPL", "public", r"do what the f\S+ you want to public", r"wtfpl\.net"),
     ("artistic-2.0", "Artistic-2.0", "artistic", r"(?:the )?artistic(?: 2\.0)?", r"opensource\.org/licenses?/artistic-2\.0"),
     ("artistic-1.0", "Artistic-1.0", "artistic", r"artistic 1\.0", r"opensource\.org/licenses?/artistic-1\.0"),
     ("psf-2.0", "PSF-2.0|Python-2.0", "python", r"python(?: software foundation)?", r"python\.org/(?:psf/|download/releases/[0-9.]+/)license"),
@@ -82,6 +82,11 @@ FAMILIES = (
     ("elastic-2.0", "Elastic-2.0", "elastic", r"elastic", r"elastic\.co/licensing/elastic-license"),
     ("openrail", "OpenRAIL", "rail", r"(?:creativeml )?open ?rail(?:\+\+)?(?:-m)?", r"huggingface\.co/spaces/\S*openrail"),
 )
+#: (label, keyword, name as an expression): names of a family that lack its keyword.
+OTHER_NAMES = (
+    ("mit", "expat", r"(?:the )?expat(?: \(?expat\)?)?"),
+    ("mit", "x11", r"(?:the )?x11(?: \(?expat\)?)?"),
+)
 #: (label, SPDX name, clause as an expression, path): the licenses that share a name and differ in clauses.
 COMMONS = (
     ("cc-by", r"CC-BY-\d\.\d", r"by", "by"),
@@ -112,18 +117,20 @@ PLAIN = (
     ("all-rights-reserved", "reserved", 1, 0.6, r"\ball rights reserved\b"),
     ("proprietary", "proprietary", 1, 0.6, r"\bproprietary and confidential\b"),
     ("mit", "granted", 3, 0.95, r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
-    ("isc", "granted", 3, 0.9, r"permission to use,? copy,? modify,? and/or distribute this software for any purpose"),
+    ("isc", "permission", 3, 0.9, r"permission to use,? copy,? modify,? and/or distribute this software for any purpose"),
     ("bsd", "redistribution", 3, 0.9, r"redistribution and use in source and binary forms,? with or without modification"),
     ("unlicense", "unencumbered", 3, 0.95, r"free and unencumbered software released into the public domain"),
     ("zlib", "warranty", 3, 0.9, r"this software is provided ['`\"]+as-is['`\"]+,? without any express or implied warranty"),
 )
-#: Texts that no rule matches without: the first look at a text.
+#: Texts that no rule but those of ``SPLIT_STEM`` matches without: the first look at a text.
 STEMS = (
-    "licen", "spdx", "gpl", "cc0", "cc by", "cc-by", "creative", "public domain", "the public", "reserved",
+    "licen", "spdx", "gpl", "cc0", "cc-by", "creative", "domain", "reserved",
     "proprietary", "granted", "permission", "redistribution", "unencumbered", "as-is", "unlicense", ".org/",
     ".net/", ".com/", ".co/", ".uk/", ".eu/", ".info/", "wtfpl.net",
 )
 _BLANKS = r"[\s*#/]+"
+#: The same for names with a blank in their stem, over line breaks and comment signs too.
+SPLIT_STEM = rf"cc{_BLANKS}by"
 
 
 @dataclass(frozen=True)
@@ -143,21 +150,29 @@ def _rule(name: str, label: str, keyword: str, priority: int, score: float, text
 
 
 def signature_rules() -> list[Rule]:
-    """All rules: five forms of each family, three of each commons license, and the plain ones."""
+    """All rules: five forms of each family, three of its other names, four of each commons license, the plain ones."""
     rules = []
+    under = r"(?:the )?(?:terms of )?(?:the )?"
+
+    def named(name: str, label: str, keyword: str, word: str) -> list[Rule]:
+        return [
+            _rule(f"{name}:licensed", label, keyword, 4, 0.95, rf"licen[cs]ed under {under}{word[2:]}"),
+            _rule(f"{name}:released", label, keyword, 4, 0.95,
+                  rf"(?:released|distributed|available|published|provided) under {under}{word[2:]}"),
+            _rule(f"{name}:name", label, keyword, 2, 0.8, word),
+        ]
+
     for label, spdx, keyword, name, page in FAMILIES:
         word = rf"\b{name}(?:-| )?licen[cs]e\b"
         if label == "unlicense":
             word = r"\bthe unlicense\b"
-        under = r"(?:the )?(?:terms of )?(?:the )?"
         rules += [
             _rule(f"{label}:spdx", label, "spdx", 6, 1.0, rf"spdx-license-identifier:\s*(?:{spdx})(?![\w.-]*\w)"),
             _rule(f"{label}:page", label, page.split("\\")[0].split("/")[0].strip(), 4, 0.9, rf"https?://(?:www\.)?{page}"),
-            _rule(f"{label}:licensed", label, keyword, 4, 0.95, rf"licen[cs]ed under {under}{word[2:]}"),
-            _rule(f"{label}:released", label, keyword, 4, 0.95,
-                  rf"(?:released|distributed|available|published|provided) under {under}{word[2:]}"),
-            _rule(f"{label}:name", label, keyword, 2, 0.8, word),
+            *named(label, label, keyword, word),
         ]
+    for label, keyword, name in OTHER_NAMES:
+        rules += named(keyword, label, keyword, rf"\b{name}(?:-| )?licen[cs]e\b")
     for label, spdx, clause, path in COMMONS:
         end = r"(?!(?:-| )?(?:sa|nc|nd)\b)"
         rules += [
@@ -211,7 +226,7 @@ def scan_licenses(
     phrase starts, from 0.  ``detections`` is an array of (start, end, label,
     score, rule) in code points, without suppressed ones.  Null and empty texts
     have no words, places or detections.  Rules are run only on texts with one
-    of ``STEMS``, each only where its keyword occurs.
+    of ``STEMS`` or ``SPLIT_STEM``, each only where its keyword occurs.
     """
     rules = signature_rules() if rules is None else rules
     text, low = "_scan_text", "_scan_low"
@@ -246,6 +261,7 @@ def scan_licenses(
     hinted = F.lit(False)
     for stem in STEMS:
         hinted = hinted | F.contains(low, F.lit(stem))
+    hinted = hinted | (F.contains(low, F.lit("cc")) & F.col(low).rlike(SPLIT_STEM))
     found = F.flatten(
         F.transform(
             F.filter(_rule_array(rules), lambda r: F.contains(F.col(low), r["keyword"])),

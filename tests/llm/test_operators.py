@@ -1,8 +1,11 @@
 """Corpus operators against brute force, and on nulls, empty texts, ties and odd tables."""
 
 import hashlib
+import itertools
 import random
 import re
+from re import _constants as sre
+from re import _parser
 
 import numpy as np
 import public_tokenizers
@@ -269,6 +272,57 @@ def test_rules_hold_their_keywords(spark):
         assert any(s in text.lower() for s in licenses.STEMS)
 
 
+def _made(tree, gap):
+    """Texts that an expression can match, each branch and option taken, with ``gap`` for white space."""
+    parts = []
+    for op, arg in tree:
+        if op is sre.LITERAL:
+            parts.append([chr(arg)])
+        elif op is sre.IN and (sre.CATEGORY, sre.CATEGORY_SPACE) in arg:
+            parts.append([gap])
+        elif op is sre.IN:
+            parts.append([chr(a) if o is sre.LITERAL else "3" for o, a in arg if o is not sre.NEGATE])
+        elif op is sre.BRANCH:
+            parts.append([t for b in arg[1] for t in _made(b, gap)])
+        elif op is sre.SUBPATTERN:
+            parts.append(_made(arg[3], gap))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            parts.append(_made(arg[2], gap) + [""] * (arg[0] == 0))
+        elif op in (sre.ANY, sre.CATEGORY):
+            parts.append(["3"])
+        else:
+            assert op in (sre.AT, sre.ASSERT_NOT), op
+    return ["".join(p) for p in itertools.product(*parts)]
+
+
+@pytest.mark.parametrize("gap", [" ", "\n # ", "**"])
+def test_all_matches_hold_keyword_and_stem(gap):
+    """Matches made from the expression of every rule, all branches of it."""
+    for rule in licenses.signature_rules():
+        pattern = re.compile(rule.pattern.replace("(?i)", ""), re.I)
+        found = [m[0].lower() for m in map(pattern.search, _made(_parser.parse(pattern.pattern), gap)) if m]
+        assert found, rule.name
+        for text in found:
+            assert rule.keyword in text, (rule.name, text)
+            assert any(s in text for s in licenses.STEMS) or re.search(licenses.SPLIT_STEM, text), (rule.name, text)
+
+
+def _labels(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = licenses.scan_licenses(rows).orderBy("doc_id").collect()
+    return [{d.label for d in r.detections} for r in got]
+
+
+def test_names_without_the_usual_keyword(spark):
+    want = {
+        "Licensed under the Expat license": "mit", "X11 License": "mit", "the X11 (Expat) license": "mit",
+        "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE": "wtfpl", "do what the f*ck\n * you want to public license": "wtfpl",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose": "isc",
+        "CC\nBY-SA 4.0": "cc-by-sa", "released into the\n# public domain": "public-domain",
+    }
+    assert _labels(spark, want) == [{label} for label in want.values()]
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>é" + "x" * 2000
     rows = [(1, "http://a/\n", long), (2, None, long), (3, "u", long), (4, "u", None), (5, "u", ""), (6, "u", "small"),
