@@ -30,8 +30,8 @@ _BASE_LABELS = {"m": "mit", "a": "apache", "g": "gpl"}
 #: expressions stand for any white space or comment signs.
 FAMILIES = (
     ("mit", "MIT", "mit", r"(?:the )?mit(?: \(?expat\)?)?", r"opensource\.org/licenses?/mit"),
-    ("mit-0", "MIT-0", "mit", r"mit no attribution", r"opensource\.org/licenses?/mit-0"),
-    ("apache-2.0", "Apache-2.0", "apache", r"apache(?: software)?(?:,? v?2(?:\.0)?)?", r"apache\.org/licenses/license-2\.0"),
+    ("mit-0", "MIT-0", "mit", r"mit(?: no attribution|-0)", r"opensource\.org/licenses?/mit-0"),
+    ("apache-2.0", "Apache-2.0", "apache", r"apache(?: software)?(?:(?:,? |-)v?2(?:\.0)?)?", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", "Apache-1.1", "apache", r"apache(?: software)?,? (?:v|version )?1\.1", r"apache\.org/licenses/license-1\.1"),
     ("gpl-3.0", "GPL-3.0(?:-only|-or-later)?", "gnu", r"gnu (?:general public|gpl)(?: v3| 3(?:\.0)?)?", r"gnu\.org/licenses/gpl-3\.0"),
     ("gpl-2.0", "GPL-2.0(?:-only|-or-later)?", "gnu", r"gnu (?:general public|gpl) (?:v|version )?2(?:\.0)?", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
@@ -40,9 +40,9 @@ FAMILIES = (
     ("lgpl-2.0", "LGPL-2.0(?:-only|-or-later)?", "library", r"(?:gnu )?library general public", r"gnu\.org/licenses/old-licenses/lgpl-2\.0"),
     ("agpl-3.0", "AGPL-3.0(?:-only|-or-later)?", "affero", r"(?:gnu )?affero general public", r"gnu\.org/licenses/agpl(?:-3\.0)?"),
     ("gfdl-1.3", "GFDL-1.3(?:-only|-or-later)?", "documentation", r"(?:gnu )?free documentation", r"gnu\.org/licenses/fdl(?:-1\.3)?"),
-    ("bsd-3-clause", "BSD-3-Clause", "bsd", r"(?:new|modified|revised|3-clause|three-clause) bsd", r"opensource\.org/licenses?/bsd-3-clause"),
-    ("bsd-2-clause", "BSD-2-Clause", "bsd", r"(?:simplified|freebsd|2-clause|two-clause) bsd", r"opensource\.org/licenses?/bsd-2-clause"),
-    ("bsd", "0BSD", "bsd", r"(?:the )?bsd(?:-style)?", r"opensource\.org/licenses?/0bsd"),
+    ("bsd-3-clause", "BSD-3-Clause", "bsd", r"(?:(?:new|modified|revised|3-clause|three-clause) bsd|bsd(?:-| )(?:3|three)(?:-| )clause(?: ['\"]?new['\"]? or ['\"]?revised['\"]?)?)", r"opensource\.org/licenses?/bsd-3-clause"),
+    ("bsd-2-clause", "BSD-2-Clause", "bsd", r"(?:(?:simplified|freebsd|2-clause|two-clause) bsd|bsd(?:-| )(?:2|two)(?:-| )clause(?: ['\"]?simplified['\"]?)?)", r"opensource\.org/licenses?/bsd-2-clause"),
+    ("bsd", "0BSD", "bsd", r"(?:the )?(?:bsd(?:-style)?|bsd(?:-| )(?:0|zero)(?:-| )clause|(?:zero(?:-| )clause |0)bsd)", r"opensource\.org/licenses?/0bsd"),
     ("mpl-2.0", "MPL-2.0", "mozilla", r"mozilla public", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
     ("mpl-1.1", "MPL-1.1", "mozilla", r"mozilla public v?1\.1", r"mozilla\.org/(?:en-us/)?mpl/1\.1"),
     ("epl-2.0", "EPL-2.0", "eclipse", r"eclipse public", r"eclipse\.org/legal/epl-2\.0"),
@@ -68,24 +68,25 @@ FAMILIES = (
     ("ms-pl", "MS-PL", "microsoft", r"microsoft public", r"opensource\.org/licenses?/ms-pl"),
     ("ms-rl", "MS-RL", "microsoft", r"microsoft reciprocal", r"opensource\.org/licenses?/ms-rl"),
     ("eupl-1.2", "EUPL-1.2", "european", r"european union public", r"joinup\.ec\.europa\.eu/\S*eupl"),
-    ("cecill-2.1", "CECILL-2.1", "cecill", r"cecill(?:-[bc])?", r"cecill\.info/licences"),
+    ("cecill-2.1", "CECILL-2.1", "cecill", r"cecill(?:-[bc])?(?: free software)?", r"cecill\.info/licences"),
     ("upl-1.0", "UPL-1.0", "universal", r"universal permissive", r"oss\.oracle\.com/licenses/upl"),
     ("afl-3.0", "AFL-3.0", "academic", r"academic free", r"opensource\.org/licenses?/afl-3\.0"),
     ("osl-3.0", "OSL-3.0", "open", r"open software", r"opensource\.org/licenses?/osl-3\.0"),
     ("ecl-2.0", "ECL-2.0", "educational", r"educational community", r"opensource\.org/licenses?/ecl-2\.0"),
     ("odbl-1.0", "ODbL-1.0", "database", r"open (?:data commons open )?database", r"opendatacommons\.org/licenses/odbl"),
     ("odc-by-1.0", "ODC-By-1.0", "commons", r"open data commons attribution", r"opendatacommons\.org/licenses/by"),
-    ("pddl-1.0", "PDDL-1.0", "dedication", r"public domain dedication and", r"opendatacommons\.org/licenses/pddl"),
+    ("pddl-1.0", "PDDL-1.0", "dedication", r"public domain dedication (?:and|&)", r"opendatacommons\.org/licenses/pddl"),
     ("ogl-uk-3.0", "OGL-UK-3.0", "government", r"open government", r"nationalarchives\.gov\.uk/doc/open-government-licence"),
     ("busl-1.1", "BUSL-1.1", "business", r"business source", r"mariadb\.com/bsl11"),
     ("sspl-1.0", "SSPL-1.0", "server", r"server side public", r"mongodb\.com/licensing/server-side-public-license"),
     ("elastic-2.0", "Elastic-2.0", "elastic", r"elastic", r"elastic\.co/licensing/elastic-license"),
-    ("openrail", "OpenRAIL", "rail", r"(?:creativeml )?open ?rail(?:\+\+)?(?:-m)?", r"huggingface\.co/spaces/\S*openrail"),
+    ("openrail", "OpenRAIL", "rail", r"(?:creativeml )?open(?: )?rail(?:\+\+)?(?:-m)?", r"huggingface\.co/spaces/\S*openrail"),
 )
 #: (label, keyword, name as an expression): names of a family that lack its keyword.
 OTHER_NAMES = (
     ("mit", "expat", r"(?:the )?expat(?: \(?expat\)?)?"),
     ("mit", "x11", r"(?:the )?x11(?: \(?expat\)?)?"),
+    ("psf-2.0", "psf", r"(?:the )?psf"),
 )
 #: (label, SPDX name, clause as an expression, path): the licenses that share a name and differ in clauses.
 COMMONS = (
@@ -108,9 +109,10 @@ PLAIN = (
     ("gpl", "general", 1, 0.7, r"\bgeneral public licen[cs]e\b"),
     ("lgpl-2.1", "lesser", 5, 0.95, r"lesser general public licen[cs]e,? (?:v|version )2\.1"),
     ("lgpl-3.0", "lesser", 5, 0.95, r"lesser general public licen[cs]e,? (?:v|version )3"),
-    ("mpl-1.1", "mozilla", 5, 0.95, r"mozilla public licen[cs]e,? (?:v|version )1\.1"),
-    ("epl-1.0", "eclipse", 5, 0.95, r"eclipse public licen[cs]e,?(?: -)? (?:v|version )1\.0"),
-    ("apache-1.1", "apache", 5, 0.95, r"apache(?: software)? licen[cs]e,? (?:v|version )1\.1"),
+    ("mpl-1.1", "mozilla", 5, 0.95, r"mozilla public licen[cs]e,? (?:v|version )?1\.1"),
+    ("epl-1.0", "eclipse", 5, 0.95, r"eclipse public licen[cs]e,?(?: -)? (?:v|version )?1\.0"),
+    ("apache-1.1", "apache", 5, 0.95, r"apache(?: software)? licen[cs]e,? (?:v|version )?1\.1"),
+    ("artistic-1.0", "artistic", 5, 0.95, r"artistic licen[cs]e,? (?:v|version )?1\.0"),
     ("cc0-1.0", "cc0", 2, 0.8, r"\bcc0(?:(?:-| )1\.0)?\b"),
     ("cc0-1.0", "creativecommons", 4, 0.9, r"creativecommons\.org/publicdomain/zero/1\.0"),
     ("public-domain", "domain", 1, 0.6, r"(?:dedicated to|released into|placed in) the public domain"),

@@ -323,6 +323,45 @@ def test_names_without_the_usual_keyword(spark):
     assert _labels(spark, want) == [{label} for label in want.values()]
 
 
+def test_usual_spelling_of_each_family(spark):
+    want = {
+        "MIT License": "mit", "MIT No Attribution License": "mit-0", "MIT-0 license": "mit-0",
+        "Apache License 2.0": "apache-2.0", "Apache-2.0 license": "apache-2.0", "Apache License 1.1": "apache-1.1",
+        "GNU General Public License v3.0": "gpl-3.0", "GNU General Public License v2.0": "gpl-2.0",
+        "GNU Lesser General Public License v3.0": "lgpl-3.0", "GNU Lesser General Public License v2.1": "lgpl-2.1",
+        "GNU Library General Public License v2": "lgpl-2.0", "GNU Affero General Public License v3.0": "agpl-3.0",
+        "GNU Free Documentation License v1.3": "gfdl-1.3", "BSD 3-Clause License": "bsd-3-clause",
+        'BSD 3-Clause "New" or "Revised" License': "bsd-3-clause", "New BSD License": "bsd-3-clause",
+        "BSD 2-Clause License": "bsd-2-clause", 'BSD 2-Clause "Simplified" License': "bsd-2-clause",
+        "BSD Zero Clause License": "bsd", "BSD License": "bsd", "Mozilla Public License 2.0": "mpl-2.0",
+        "Mozilla Public License 1.1": "mpl-1.1", "Eclipse Public License 2.0": "epl-2.0",
+        "Eclipse Public License 1.0": "epl-1.0", "Eclipse Distribution License 1.0": "edl-1.0",
+        "Common Development and Distribution License 1.0": "cddl-1.0", "Common Public License 1.0": "cpl-1.0",
+        "ISC License": "isc", "zlib License": "zlib", "libpng License": "libpng", "Boost Software License 1.0": "bsl-1.0",
+        "The Unlicense": "unlicense", "Do What The F*ck You Want To Public License": "wtfpl",
+        "Artistic License 2.0": "artistic-2.0", "Artistic License 1.0": "artistic-1.0",
+        "Python Software Foundation License 2.0": "psf-2.0", "PSF License": "psf-2.0", "PHP License v3.01": "php-3.01",
+        "Ruby License": "ruby", "OpenSSL License": "openssl", "PostgreSQL License": "postgresql",
+        "SIL Open Font License 1.1": "ofl-1.1", "University of Illinois/NCSA Open Source License": "ncsa",
+        "Microsoft Public License": "ms-pl", "Microsoft Reciprocal License": "ms-rl",
+        "European Union Public License 1.2": "eupl-1.2", "CeCILL Free Software License Agreement v2.1": "cecill-2.1",
+        "Universal Permissive License v1.0": "upl-1.0", "Academic Free License v3.0": "afl-3.0",
+        "Open Software License 3.0": "osl-3.0", "Educational Community License v2.0": "ecl-2.0",
+        "Open Data Commons Open Database License v1.0": "odbl-1.0",
+        "Open Data Commons Attribution License v1.0": "odc-by-1.0",
+        "Open Data Commons Public Domain Dedication & License 1.0": "pddl-1.0",
+        "Open Government Licence v3.0": "ogl-uk-3.0", "Business Source License 1.1": "busl-1.1",
+        "Server Side Public License, v 1": "sspl-1.0", "Elastic License 2.0": "elastic-2.0",
+        "CreativeML OpenRAIL-M License": "openrail", "licensed under the OpenRAIL license": "openrail",
+        "CreativeML Open RAIL-M License": "openrail",
+    }
+    assert set(want.values()) == {f[0] for f in licenses.FAMILIES}
+    found = dict(zip(want, _labels(spark, want)))
+    assert {text: found[text] for text in want if want[text] not in found[text]} == {}
+    assert found["CreativeML OpenRAIL-M License"] == {"openrail"} and found["BSD 3-Clause License"] == {"bsd-3-clause"}
+    assert found["Apache License 1.1"] == {"apache-1.1"} and found["Artistic License 1.0"] == {"artistic-1.0"}
+
+
 def test_warc_round_trip(spark, tmp_path):
     long = "<p>é" + "x" * 2000
     rows = [(1, "http://a/\n", long), (2, None, long), (3, "u", long), (4, "u", None), (5, "u", ""), (6, "u", "small"),
