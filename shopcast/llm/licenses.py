@@ -204,17 +204,18 @@ _DETECTION = "struct<start:int,back:int,rank:int,end:int,label:string,score:doub
 def unsuppressed(detections: Column) -> Column:
     """Detections without those inside another that outranks them.
 
-    In order of start, the longer and then the higher priority first, a
-    detection is dropped if the one that reaches furthest so far, among those
-    kept, contains it and has at least its priority.
+    In order of start, the longer and then the higher priority first, whatever
+    contains a detection comes before it.  It is dropped if one so far, of at
+    least its priority, ends no earlier.  Of each priority the furthest end is
+    held, unless a higher one reaches as far.
     """
-    def step(top: Column, x: Column) -> tuple[Column, Column, Column]:
-        inside = (x["end"] <= top["end"]) & (x["rank"] >= top["rank"])
-        further = ~inside & (x["end"] > top["end"]) | (~inside & (x["rank"] < top["rank"]))
-        reach = F.struct(x["end"].alias("end"), x["rank"].alias("rank"))
-        return F.when(further, reach).otherwise(top), ~inside, x
+    def step(ends: Column, x: Column) -> tuple[Column, Column, Column]:
+        inside = F.exists(ends, lambda e: (e["rank"] <= x["rank"]) & (e["end"] >= x["end"]))
+        others = F.filter(ends, lambda e: (e["rank"] < x["rank"]) | (e["end"] > x["end"]))
+        reach = F.struct(x["rank"].alias("rank"), x["end"].alias("end"))
+        return F.when(inside, ends).otherwise(F.concat(others, F.array(reach))), ~inside, x
 
-    start = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("rank"))
+    start = F.array().cast("array<struct<rank:int,end:int>>")
     return running(F.array_sort(detections), start, _DETECTION, step)
 
 

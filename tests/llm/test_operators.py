@@ -260,6 +260,26 @@ def test_suppression(spark):
     assert [k.rule for k in kept] == ["x", "z", "w"]
 
 
+def test_suppression_by_all_that_went_before(spark):
+    """Each detection against all others, with a longer one of middle priority behind a short one of a high one."""
+    draw = random.Random(5)
+    cases = [[(0, 100, 4), (10, 20, 6), (30, 40, 2)]]
+    for _ in range(60):
+        spans = {(draw.randrange(40), draw.randrange(1, 30), draw.randrange(1, 6)) for _ in range(12)}
+        cases.append([(a, a + n, priority) for a, n, priority in spans])
+    rows = [
+        (i, [(a, -b, -p, b, "x", 0.5, f"{a} {b} {p}") for a, b, p in case]) for i, case in enumerate(cases)
+    ]
+    df = spark.createDataFrame(rows, f"i int, d array<{licenses._DETECTION}>")
+    got = {r.i: {k.rule for k in r.k} for r in df.select("i", licenses.unsuppressed(F.col("d")).alias("k")).collect()}
+    for i, case in enumerate(cases):
+        assert got[i] == {
+            f"{a} {b} {p}" for a, b, p in case
+            if not any(c <= a and b <= d and q >= p and (c, d, q) != (a, b, p) for c, d, q in case)
+        }
+    assert got[0] == {"0 100 4", "10 20 6"}
+
+
 def test_rules_hold_their_keywords(spark):
     """What a rule matches has its keyword and one of the stems."""
     samples = {r.name: r for r in licenses.signature_rules()}
