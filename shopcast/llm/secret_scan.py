@@ -1,9 +1,10 @@
 """Secret scan with column expressions only: patterns and character Markov models.
 
-Three patterns give the base spans.  Other long runs of key characters are
-scored by two first-order Markov models over characters, one of random strings
-and one of ordinary identifiers; a run whose log-likelihood ratio is high
-enough is a secret too.  The models are counts of character pairs in labelled
+Three patterns give the base spans.  Other long runs of key characters, or what
+base spans leave of them, are scored by two first-order Markov models over
+characters, one of random strings and one of ordinary identifiers; a run whose
+log-likelihood ratio is high enough is a secret too.  In a run that is not, the
+pieces between separators are scored, as a key can stand at the end of a path.  The models are counts of character pairs in labelled
 samples; scoring is a sum of table entries.
 """
 
@@ -11,12 +12,13 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopcast.llm.spans import let, match_spans
+from shopcast.llm.spans import let, match_spans, running
 
 #: The characters of keys, in the order of the models' tables.
 ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_=-"
@@ -26,7 +28,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 #: Runs that the models look at.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_RUN = 20
+RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
+#: Pieces of a run between separators; a base64 text ends with its padding.
+PIECE = r"[A-Za-z0-9+]+(?:={1,2}\z)?"
 MARKOV = "markov"
 #: Rows that samples are taken from, at most, and random strings of each make.
 SAMPLE_DOCS, SAMPLE_RANDOM = 400, 1_500
@@ -174,6 +179,87 @@ def _ratio(token: Column, ratios: Column) -> Column:
     return summed / F.length(token)
 
 
+def _free_runs(runs: Column, known: Column) -> Column:
+    """What the spans ``known`` leave of runs, in parts of ``LEAST_RUN`` characters and more."""
+    def items(spans: Column, is_run: bool, hit: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            spans,
+            lambda s: F.struct(
+                s["start"].alias("start"), F.lit(is_run).alias("is_run"), s["end"].alias("end"), hit(s).alias("hit")
+            ),
+        )
+
+    no_text = F.lit(None).cast("string")
+    last = F.array(
+        F.struct(
+            F.lit((1 << 31) - 1).alias("start"), F.lit(True).alias("is_run"), F.lit(0).alias("end"), no_text.alias("hit")
+        )
+    )
+    both = F.array_sort(F.concat(items(known, False, lambda s: no_text), items(runs, True, lambda s: s["hit"]), last))
+
+    def state(done: Column, begin: Column, at: Column, end: Column, hit: Column) -> Column:
+        return F.struct(done.alias("done"), begin.alias("begin"), at.alias("at"), end.alias("end"), hit.alias("hit"))
+
+    def step(open_: Column, x: Column) -> tuple[Column, Column, Column]:
+        # The part from ``at`` on of the run that starts at ``begin`` is open until a known span or another run.
+        upto = F.least(open_["end"], x["start"])
+        part = F.struct(
+            open_["at"].alias("start"),
+            upto.alias("end"),
+            F.substring(open_["hit"], open_["at"] - open_["begin"] + 1, upto - open_["at"]).alias("hit"),
+        )
+        after = F.when(
+            x["is_run"],
+            state(open_["done"], x["start"], F.greatest(x["start"], open_["done"]), x["end"], x["hit"]),
+        ).otherwise(
+            state(
+                F.greatest(open_["done"], x["end"]), open_["begin"], F.greatest(open_["at"], x["end"]),
+                open_["end"], open_["hit"],
+            )
+        )
+        return after, upto - open_["at"] >= LEAST_RUN, part
+
+    zero = F.lit(0)
+    return running(both, state(zero, zero, zero, zero, no_text), "struct<start:int,end:int,hit:string>", step)
+
+
+def _random_pieces(run: Column, ratios: Column, threshold: float) -> Column:
+    """Random parts of a run: pieces over the threshold, joined while what they gain outweighs those between."""
+    ends = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(float("-inf")).alias("gain")))
+    pieces = F.transform(
+        match_spans(run["hit"], PIECE),
+        lambda p: F.struct(
+            p["start"].alias("start"),
+            p["end"].alias("end"),
+            ((_ratio(p["hit"], ratios) - threshold) * F.length(p["hit"])).alias("gain"),
+        ),
+    )
+
+    def state(start: Column, end: Column, gain: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), gain.alias("gain"))
+
+    def step(group: Column, x: Column) -> tuple[Column, Column, Column]:
+        is_open, random, gain = group["gain"] >= 0, x["gain"] >= 0, group["gain"] + x["gain"]
+        after = (
+            F.when(is_open & random, state(group["start"], x["end"], gain))
+            .when(random, state(x["start"], x["end"], x["gain"]))
+            .otherwise(state(group["start"], group["end"], F.when(is_open, gain).otherwise(F.lit(-1.0))))
+        )
+        return after, is_open & ~random & (gain < 0), F.struct(group["start"].alias("start"), group["end"].alias("end"))
+
+    groups = running(
+        F.concat(pieces, ends), state(F.lit(0), F.lit(0), F.lit(-1.0)), "struct<start:int,end:int>", step
+    )
+    return F.transform(
+        F.filter(groups, lambda g: g["end"] - g["start"] >= LEAST_RUN),
+        lambda g: F.struct(
+            (run["start"] + g["start"]).alias("start"),
+            (run["start"] + g["end"]).alias("end"),
+            F.substring(run["hit"], g["start"] + 1, g["end"] - g["start"]).alias("hit"),
+        ),
+    )
+
+
 def scan_secrets(
     docs: DataFrame, models: MarkovModels | None, text_col: str = "text",
     names: tuple[str, str] = ("base", "spans"),
@@ -182,8 +268,8 @@ def scan_secrets(
 
     ``base`` has the spans of the patterns: assignments whose value has at least
     8 characters, access keys of at least 16, and runs of at least 32
-    hexadecimal digits.  ``spans`` has these and the random runs that touch
-    none of them.  Null and empty texts have none.
+    hexadecimal digits.  ``spans`` has these and the random runs, or random parts
+    of runs, beside them.  Null and empty texts have none.
     """
     text, low = "_scan_text", "_scan_low"
     rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(low, F.lower(text))
@@ -204,20 +290,17 @@ def scan_secrets(
             F.when(F.col(text).rlike(HEX), _of_kind(match_spans(F.col(text), HEX), 2, "hex")).otherwise(nothing),
         )
     )
-    if models is None:
-        random_runs = nothing
-    else:
-        ratios = models.column()
-        runs = F.filter(
-            match_spans(F.col(text), RUN), lambda s: _ratio(s["hit"], ratios) >= models.threshold
-        )
-        random_runs = F.when(F.col(text).rlike(RUN), _of_kind(runs, 3, MARKOV)).otherwise(nothing)
-
     def both(known: Column) -> Column:
-        extra = F.filter(
-            random_runs,
-            lambda s: ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-        )
+        extra = nothing
+        if models is not None:
+            ratios = models.column()
+            runs = F.transform(
+                _free_runs(match_spans(F.col(text), RUN), known),
+                lambda s: F.when(_ratio(s["hit"], ratios) >= models.threshold, F.array(s)).otherwise(
+                    _random_pieces(s, ratios, models.threshold)
+                ),
+            )
+            extra = F.when(F.col(text).rlike(RUN), _of_kind(F.flatten(runs), 3, MARKOV)).otherwise(nothing)
         return F.struct(known.alias("base"), F.array_sort(F.concat(known, extra)).alias("all"))
 
     found = "_scan_found"

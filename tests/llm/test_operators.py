@@ -225,6 +225,36 @@ def test_secret_spans(odd, empty):
     assert set(none.ratios) == {0.0}
 
 
+def test_secrets_in_parts_of_runs(spark):
+    """Keys at the end of a path, between names, with a separator inside, and beside a base span."""
+    words = (
+        "this is a long ordinary identifier name of another value for some other thing the quick brown fox "
+        "jumps over lazy dogs while zebras vex judges who make copies of hidden keys with extra joy "
+    ) * 60
+    models = secret_scan.train_markov(
+        secret_scan.labelled_samples(spark.createDataFrame([(1, words)], "doc_id long, text string"))
+    )
+    path = "some/other/place/long/ordinary/identifier/name/quick/brown/fox/jumps/over/lazy/dogs/while/judges/copies/"
+    key, other, hexed = "k8Jz3xQ9vLmN2pRt7Wy5Bc1D", "Zq4Xw8Kd2Vb6Nf9Hs3Lm7Rt5Pj", "04dbebab91ab85687d33eeaaf9ac699e"
+    cases = [
+        (f"at {path}{key} end", [key]),
+        (f"{path}{key}/{path}{other}", [key, other]),
+        (f"{path}{key}/{other}==", [f"{key}/{other}=="]),
+        (f"{path}{key[:12]}/{key[12:]}", [f"{key[:12]}/{key[12:]}"]),
+        (path, []),
+        (f"{hexed}{other}", [other]),
+        (f"{other}{hexed}{key}", [other, key]),
+        (f"{key} {path}token=abcdefgh {other}", [key, other]),
+        (f"{key}", [key]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id int, text string")
+    for row in secret_scan.scan_secrets(df, models).collect():
+        text, want = cases[row.doc_id]
+        extra = [s for s in row.spans if s.kind == "markov"]
+        assert [s.value for s in extra] == [text[s.start : s.end] for s in extra] == want, text
+        assert [s for s in row.spans if s.kind != "markov"] == row.base
+
+
 def test_many_spans(spark):
     text = "token=abcdefgh " * 700
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
