@@ -185,7 +185,8 @@ def hamming_links(points: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
     ``points`` has distinct fingerprints in ``fp``.  A cell of the search gives
     a spanning forest of its links, never all pairs.  Shards that are too large
-    for a task are cut on both sides, and every part meets every other.
+    for a task are cut on both sides, and every part meets every other; shards
+    that are only visited are left out.
     """
     if most_bits >= len(BLOCKS) * (RADIUS + 1):
         raise ValueError("the blocks do not cover so many bits")
@@ -195,17 +196,19 @@ def hamming_links(points: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
         dealt = _dealt(points, tree, levels)
         rows = dealt if rows is None else rows.unionByName(dealt)
     rows = stage(rows, "simhash-shards")
-    large = stage(
+    large = F.col("n") > SIDE_ROWS
+    # Visitors of a shard without residents have nothing to meet there.
+    shards = stage(
         rows.groupBy("tree", "shard")
         .agg(F.count("*").alias("n"), F.count(F.when(F.col("resident"), 1)).alias("r"))
-        .where(f"n > {SIDE_ROWS} and r > 0")
+        .where("r > 0")
         .select(
             "tree",
             "shard",
-            F.ceil(F.col("r") / SIDE_ROWS).cast("int").alias("held_parts"),
-            F.ceil(F.col("n") / SIDE_ROWS).cast("int").alias("seek_parts"),
+            F.when(large, F.ceil(F.col("r") / SIDE_ROWS)).cast("int").alias("held_parts"),
+            F.when(large, F.ceil(F.col("n") / SIDE_ROWS)).cast("int").alias("seek_parts"),
         ),
-        "simhash-large",
+        "simhash-held",
     )
     spread = F.xxhash64("fp")
     one = F.array(
@@ -231,7 +234,7 @@ def hamming_links(points: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     as_seeker = cells("held_parts", lambda i: cell(i, F.pmod(spread, "seek_parts"), False))
     as_held = cells("seek_parts", lambda j: cell(F.pmod(spread, "held_parts"), j, True))
     many = F.when(F.col("resident"), F.concat(as_seeker, as_held)).otherwise(as_seeker)
-    placed = rows.join(large, ["tree", "shard"], "left").select(
+    placed = rows.join(shards, ["tree", "shard"]).select(
         "tree",
         "shard",
         "fp",

@@ -8,6 +8,7 @@ from re import _constants as sre
 from re import _parser
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -114,6 +115,23 @@ def test_hamming_links(spark, monkeypatch, shard, side):
     assert sorted(map(sorted, got.values())) == sorted(sorted(s) for s in want.values() if len(s) > 1)
 
 
+def test_visited_shards_without_residents(spark, monkeypatch):
+    """Equal block values at the edge of a ring all visit the empty shard before it."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 1000)
+    monkeypatch.setattr(simhash, "SIDE_ROWS", 500)
+    block = simhash._vantage_points(0, 1)[0] ^ 0b11
+    draw = random.Random(3)
+    points = {(simhash._signed(draw.getrandbits(43) << 21 | block),) for _ in range(3000)}
+
+    def sizes(levels, most_bits):
+        return lambda cell: pd.DataFrame({"u": [len(cell)], "v": [int(cell["holds"].sum())]})
+
+    monkeypatch.setattr(simhash, "_cell_links", sizes)
+    cells = simhash.hamming_links(spark.createDataFrame(list(points), "fp long")).collect()
+    assert all(c.v > 0 for c in cells)
+    assert max(c.u for c in cells) < 3 * 500
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(path, "u long, v long")).collect()}
