@@ -213,6 +213,24 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.find_contamination(odd.drop("items"), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_by_parts(spark, odd, monkeypatch):
+    """A benchmark beyond one automaton gives the same rows."""
+    draw = random.Random(9)
+    words = [f"w{i}é" for i in range(40)]
+    text = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    items = [(i, text(draw.randrange(1, 60))) for i in range(30)] + [(None, "five"), (40, None), (3, "One two three")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(100 + i, f"{text(9)}, {t} {text(5)}; {t}", None, None) for i, (_, t) in enumerate(items)]
+    docs = odd.unionByName(spark.createDataFrame(rows, SCHEMA))
+    names = ("n", "hit", "found", "hits")
+    want = decontaminate.find_contamination(docs, bench, names=names)
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 20_000)
+    got = decontaminate.find_contamination(docs, bench, names=names)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.where("hit > 20").count() > 10
+
+
 def test_secret_spans(odd, empty):
     text = (
         'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" AKIAABCDEFGHIJKLMN1 AKIASHORT token: token: abcdefgh '
