@@ -1220,7 +1220,7 @@ def gbt_baseline(spark, sf):
         "split-customers",
     )
     model = baseline.fit_baseline(
-        rows.where("split = 'train'"), retail.RANKING_FEATURES, "target_sales", iterations=20
+        rows.where("split = 'train'"), retail.RANKING_FEATURES, "target_sales"
     )
     scored = baseline.baseline_predictions(
         model, rows.where("split != 'train'"), retail.RANKING_FEATURES, "base_sales"

@@ -124,3 +124,19 @@ def test_baseline_learns(spark):
     scored = baseline.baseline_predictions(model, df, ["x", "noise"], "p")
     assert scored.select(F.avg(F.abs(F.col("p") - F.col("y")))).first()[0] < 1.0
     assert baseline.importances(model, ["x", "noise"], df, top=1).first().feature == "x"
+
+
+def test_registered_baseline_runs_all_rounds(spark, monkeypatch):
+    from __spark_entry__ import FLAGSHIP_DIR
+    from shopcast.plans import queries
+
+    class Fitted(Exception):
+        pass
+
+    class Regressor:
+        def __init__(self, **settings):
+            raise Fitted(settings["maxIter"])
+
+    monkeypatch.setattr(baseline, "GBTRegressor", Regressor)
+    with pytest.raises(Fitted, match="^1000$"):
+        queries.QUERIES["gbt_baseline"](spark, FLAGSHIP_DIR)
