@@ -45,8 +45,7 @@ FIRST_SHARE = 4
 # Rows of a query block: as many as this, fewer while that leaves cores idle.
 QUERY_BLOCK = 4_096
 MIN_QUERY_BLOCK = 256
-# Copies are thinned out when less than this share of the rows differ.
-COPY_SHARE = 0.8
+# Copies are thinned out in so many parts first.
 COPY_SALTS = 64
 # Ring of a distance: quarter powers of two, within this range.
 RING_STEP = 4
@@ -448,12 +447,11 @@ def nearest(
         )
     # Rows wanted per query before the query itself is taken out.
     need = k + int(exclude_self)
+    r = _lowest_copies(r, need)
     head = _head(r)
-    if head["n"] and _many_copies(head):
-        r = _lowest_copies(r, need)
     if not head["n"]:
         best = q.sparkSession.createDataFrame([], _result_type(r))
-    elif _many_copies(_head(q) if refs is not None else head):
+    else:
         # Equal query rows have equal neighbours: search once, then hand out.
         lead = stage(q.groupBy("vec").agg(F.min("qid").alias("qid")), "different-vectors")
         found = _top(_search(lead, r, head, family, need, False, probes, n_pivots, seed), need)
@@ -461,8 +459,6 @@ def nearest(
         best = shared.join(found.drop("rank"), "qid").drop("qid").withColumnRenamed("own", "qid")
         if exclude_self:
             best = best.where(F.col("qid") != F.col("rid"))
-    else:
-        best = _search(q, r, head, family, k, exclude_self, probes, n_pivots, seed)
     return _scored(_top(best, k), query_id, ref_id, metric, carry)
 
 
@@ -482,16 +478,11 @@ def _head(rows: DataFrame):
     norm = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
     return rows.agg(
         F.count(F.lit(1)).alias("n"),
-        F.approx_count_distinct(F.xxhash64("vec")).alias("different"),
         F.max(F.size("vec")).alias("width"),
         F.sqrt(F.max(norm)).alias("norm"),
     ).first()
 
 
-def _many_copies(head) -> bool:
-    return head["different"] < COPY_SHARE * head["n"]
-
-
 def _lowest_copies(refs: DataFrame, need: int) -> DataFrame:
     """Of equal reference rows only the lowest ids can be among the nearest.
 

@@ -81,6 +81,28 @@ def test_a_third_of_the_rows_are_copies(spark, exclude_self):
     assert got == brute(rows, rows, 4, "euclidean", exclude_self)
 
 
+@pytest.mark.parametrize("probes", [None, 2])
+def test_few_copies_are_collapsed_too(spark, probes, monkeypatch):
+    """One large group among many different vectors: the search sees each query vector once."""
+    rng, seen, search = random.Random(8), [], similarity._search
+    rows = [(i, [rng.random(), rng.random()]) for i in range(90)] + [(100 + i, [0.5, 0.5]) for i in range(10)]
+
+    def watched(q, r, *rest):
+        seen.append((q.count(), r.count()))
+        return search(q, r, *rest)
+
+    monkeypatch.setattr(similarity, "_search", watched)
+    q, r = frames(spark, rows, rows)
+    found = similarity.nearest(q, r, "query_id", "ref_id", 3, probes=probes).collect()
+    assert seen == [(91, 93)]
+    got = {}
+    for row in sorted(found, key=lambda f: f["rank"]):
+        got.setdefault(row["query_id"], []).append(row["ref_id"])
+    assert len(got) == 100 and all(got[100 + i] == [100, 101, 102] for i in range(10))
+    if probes is None:
+        assert got == brute(rows, rows, 3, "euclidean")
+
+
 def test_exclude_self_and_k_beyond_size(spark):
     rows = vectors(12, 3, 4, hot=3)
     q, _ = frames(spark, rows, rows)
