@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from shopcast.llm import (
     bpe_codec,
+    chat,
     decontaminate,
     exact_dedup,
     langid,
     licenses,
+    merkle,
     quality,
+    ranked_search,
     secret_scan,
     simhash,
     token_counts,
@@ -147,6 +150,41 @@ def decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], rows.schema)
+    return chat.read_conversations(chat.format_conversations(rows.unionByName(more)))
+
+
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [*fields[:3], F.col("n_chars") + 1, fields[4]]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    leaves = docs.select(
+        "doc_id",
+        "lang",
+        merkle.row_digest(fields).alias("leaf"),
+        F.when(tampered, merkle.row_digest(changed)).alias("tampered"),
+    )
+    proofs = merkle.merkle_proofs(leaves, "lang", ["doc_id"], "leaf")
+    proofs = proofs.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return proofs.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def ranked_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": secret_scan_query,
     "op2_warc": warc_query,
@@ -158,12 +196,35 @@ QUERIES = {
     "op8_quality": quality_query,
     "op9_token_counts": token_counts_query,
     "op10_decontaminate": decontaminate_query,
+    "op11_chat": chat_query,
+    "op12_merkle": merkle_query,
+    "op13_ranked_search": ranked_search_query,
     "pipeline": corpus_pipeline.run,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+def _value(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+_LEAF = " || ".join(_value(c) for c in ("doc_id", "source", "lang", "{n}", "text"))
+
+
+def _crc32_mod7(column: str) -> str:
+    """Whether 7 divides the CRC-32 of the number's decimal text: bitwise, byte by byte."""
+    text = f"CAST({column} AS VARCHAR)"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""(
+      xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len({text}) + 1), lambda i: ascii({text}[i])::BIGINT),
+        lambda a, b: list_reduce([xor(a, b)] || range(8), lambda c, k: {step})), 4294967295) % 7 = 0)"""
+
+
 SQL = {
     "op2_warc": """
         WITH p AS (
@@ -210,6 +271,87 @@ SQL = {
                coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_chat": r"""
+        WITH c AS (
+          SELECT conv_id, turn, role, text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+          UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
+        e AS (
+          SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS trained,
+                 14 + length(regexp_replace(role, '(\\|:|### |</turn>)', '\\\1', 'g'))
+                    + length(regexp_replace(text, '(\\|### |</turn>)', '\\\1', 'g')) AS chars
+          FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(sum(length(trained)) AS BIGINT) AS loss_chars,
+               sha256(string_agg(trained, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op12_merkle": f"""
+        WITH RECURSIVE
+        leaves AS (
+          SELECT doc_id, coalesce('=' || lang, '') AS g,
+                 sha256({_LEAF.format(n='n_chars')}) AS leaf, sha256({_LEAF.format(n='n_chars + 1')}) AS changed
+          FROM documents),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                 count(*) OVER (PARTITION BY g) AS n
+          FROM leaves),
+        low AS (
+          SELECT g, 0 AS k, pos, leaf AS h, n FROM placed
+          UNION ALL
+          SELECT g, k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+          FROM low WHERE n > 1 GROUP BY g, k, pos // 2),
+        subroots AS (
+          SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n
+          FROM low WHERE n = 1),
+        high AS (
+          SELECT 0 AS k, pos, subroot AS h, n FROM subroots
+          UNION ALL
+          SELECT k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+          FROM high WHERE n > 1 GROUP BY k, pos // 2),
+        own AS (
+          SELECT p.*, s.subroot, s.pos AS spot, row_number() OVER () AS id FROM placed p JOIN subroots s USING (g)),
+        steps AS (
+          SELECT id, l.k AS k, l.pos % 2 AS side, coalesce(b.h, '') AS sib
+          FROM own o JOIN low l ON l.g = o.g AND l.n > 1 AND l.pos = (o.pos >> l.k)
+          LEFT JOIN low b ON b.g = l.g AND b.k = l.k AND b.pos = xor(l.pos, 1)
+          UNION ALL
+          SELECT id, 1000 + l.k, l.pos % 2, coalesce(b.h, '')
+          FROM own o JOIN high l ON l.n > 1 AND l.pos = (o.spot >> l.k)
+          LEFT JOIN high b ON b.k = l.k AND b.pos = xor(l.pos, 1)),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS step FROM steps),
+        proofs AS (SELECT id, sha256(string_agg(sib, '' ORDER BY step)) AS proof FROM ordered GROUP BY id),
+        fold AS (
+          SELECT id, 0 AS step, CASE WHEN {_crc32_mod7('doc_id')} THEN changed ELSE leaf END AS h FROM own
+          UNION ALL
+          SELECT f.id, f.step + 1, sha256(CASE WHEN o.side = 1 THEN o.sib || f.h ELSE f.h || o.sib END)
+          FROM fold f JOIN ordered o ON o.id = f.id AND o.step = f.step + 1),
+        folded AS (SELECT id, arg_max(h, step) AS folded_root FROM fold GROUP BY id)
+        SELECT doc_id, leaf, subroot, r.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root,
+               folded_root = r.h AS verified
+        FROM own JOIN folded USING (id) LEFT JOIN proofs USING (id), (SELECT h FROM high WHERE n = 1) r""",
+    "op13_ranked_search": rf"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS id, {_TERMS} AS terms FROM documents),
+        b AS (SELECT item_id, row_number() OVER () AS item, list_distinct({_TERMS}) AS terms FROM benchmark),
+        s AS (SELECT count(*) AS docs, sum(len(terms)) AS tokens FROM d WHERE len(terms) > 0),
+        p AS (
+          SELECT id, term, count(*) AS tf
+          FROM (SELECT id, unnest(terms) AS term FROM d) GROUP BY id, term),
+        w AS (
+          SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+          FROM p, s GROUP BY term, docs),
+        m AS (SELECT id, doc_id, CAST(50 + (50 * len(terms) * docs) // tokens AS BIGINT) AS m FROM d, s),
+        x AS (
+          SELECT item, id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+          FROM (SELECT item, unnest(terms) AS term FROM b) JOIN p USING (term) JOIN w USING (term) JOIN m USING (id)
+          GROUP BY item, id HAVING score > 0),
+        r AS (
+          SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank
+          FROM x JOIN m USING (id))
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+        FROM r JOIN b USING (item) WHERE rank <= 50""",
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
