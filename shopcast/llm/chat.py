@@ -237,22 +237,20 @@ def _read_closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole conversations read where they are; open pieces go on with their text."""
     for batch in batches:
         for part in slices(batch, "formatted"):
-            opened = part.column("open")
+            texts, masks = part.column("formatted").to_pylist(), part.column("loss").to_pylist()
             found = []
-            for text, loss, piece in zip(
-                part.column("formatted").to_pylist(), part.column("loss").to_pylist(), opened.to_pylist()
-            ):
+            for i, opened in enumerate(part.column("open").to_pylist()):
                 reader = _Reader()
-                if not piece:
-                    reader.feed(text, loss)
+                if not opened:
+                    reader.feed(texts[i], masks[i])
+                    texts[i] = masks[i] = None
                 found.append(reader.row())
             columns = list(zip(*found, strict=True))
-            keep = lambda c: pc.if_else(opened, part.column(c), pa.scalar(None, part.column(c).type))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(part.column(c) for c in ("conv_id", "part", "piece", "open")),
-                    keep("formatted"),
-                    keep("loss"),
+                    pa.array(texts, pa.string()),
+                    pa.array(masks, part.column("loss").type),
                     *(pa.array(v, t) for v, (_, t, _) in zip(columns, _READ, strict=True)),
                 ],
                 names=["conv_id", "part", "piece", "open", "formatted", "loss", *(n for n, _, _ in _READ)],

@@ -73,24 +73,29 @@ def _numbered(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     return placed.select("group", (F.col("id") + F.col("shift")).alias("pos"), "n", "digest", "kept")
 
 
+def _joined(level: int, places: range) -> str:
+    """The digests of some nodes of a level joined, as SQL."""
+    parts = ["''", *(f"coalesce(d{level}_{i}, '')" for i in places)]
+    return f"concat({', '.join(parts)})"
+
+
 def _spread(nodes: DataFrame, fanout: int, depth: int) -> DataFrame:
     """One row per run of ``fanout ** depth`` nodes: slots, levels between, digest and node count."""
     slots = fanout**depth
-    slot, own = F.col("pos") % slots, F.struct("digest", "kept")
-    df = nodes.groupBy("group", F.floor(F.col("pos") / slots).cast("long").alias("block")).agg(
+    runs = nodes.selectExpr("group", f"pos div {slots} AS block", "n", f"pos % {slots} AS slot", "struct(digest, kept) AS own")
+    df = runs.groupBy("group", "block").agg(
         F.max("n").alias("n0"),
-        *(F.first(F.when(slot == s, own), ignorenulls=True).alias(f"s{s}") for s in range(slots)),
+        *(F.expr(f"first(CASE WHEN slot = {s} THEN own END, true)").alias(f"s{s}") for s in range(slots)),
     )
-    df = df.withColumns({f"d0_{s}": F.col(f"s{s}.digest") for s in range(slots)})
+    df = df.selectExpr("*", *(f"s{s}.digest AS d0_{s}" for s in range(slots)))
     for level in range(depth):
         # A group whose nodes are down to one is finished: its digest goes on unchanged.
-        below, more = [F.col(f"d{level}_{i}") for i in range(slots // fanout**level)], F.col(f"n{level}") > 1
-        hashed = {}
-        for i in range(0, len(below), fanout):
-            joined = F.sha2(F.concat(*(F.coalesce(c, F.lit("")) for c in below[i : i + fanout])), 256)
-            value = F.when(below[i].isNotNull(), F.when(more, joined).otherwise(below[i]))
-            hashed[f"d{level + 1}_{i // fanout}"] = value
-        df = df.withColumns(hashed | {f"n{level + 1}": F.ceil(F.col(f"n{level}") / fanout)})
+        hashed = [
+            f"CASE WHEN d{level}_{i} IS NULL THEN NULL WHEN n{level} > 1 "
+            f"THEN sha2({_joined(level, range(i, i + fanout))}, 256) ELSE d{level}_{i} END AS d{level + 1}_{i // fanout}"
+            for i in range(0, slots // fanout**level, fanout)
+        ]
+        df = df.selectExpr("*", *hashed, f"ceil(n{level} / {fanout}) AS n{level + 1}")
     return df
 
 
@@ -105,35 +110,30 @@ def _above(df: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def _path(s: int, fanout: int, depth: int) -> Column:
-    """Siblings of slot ``s`` on every unfinished level of an aggregate."""
-    steps = []
-    for level in range(depth):
-        at = s // fanout**level
-        first = at - at % fanout
-        side = lambda over: F.concat(
-            F.lit(""), *(F.coalesce(F.col(f"d{level}_{i}"), F.lit("")) for i in over)
-        )
-        step = F.struct(side(range(first, at)).alias("left"), side(range(at + 1, first + fanout)).alias("right"))
-        steps.append(F.when(F.col(f"n{level}") > 1, step))
-    return F.array_compact(F.array(*steps))
-
-
 def _below(df: DataFrame, fanout: int, depth: int) -> DataFrame:
     """The nodes that an aggregate has spread, each with its path to the root."""
     slots = fanout**depth
-    children = F.array(
-        *(
-            F.struct(
-                (F.col("block") * slots + s).alias("pos"),
-                F.col(f"s{s}").alias("own"),
-                F.concat(_path(s, fanout, depth), F.col("path")).alias("path"),
-            )
-            for s in range(slots)
-        )
+    # Per node and level what stands left and right of it; null where a level is finished.
+    steps = []
+    for level in range(depth):
+        for at in range(fanout ** (depth - level)):
+            first = at - at % fanout
+            left, right = _joined(level, range(first, at)), _joined(level, range(at + 1, first + fanout))
+            struct = f"named_struct('left', {left}, 'right', {right})"
+            steps.append(f"CASE WHEN n{level} > 1 THEN {struct} END AS step{level}_{at}")
+    children = ", ".join(
+        f"struct({s} AS slot, s{s} AS own, array({', '.join(f'step{k}_{s // fanout**k}' for k in range(depth))}) AS steps)"
+        for s in range(slots)
+    )
+    kids = df.selectExpr("*", *steps).selectExpr("group", "subroot", "block", "path", f"explode(array({children})) AS c")
+    return kids.where("c.own IS NOT NULL").selectExpr(
+        "group",
+        "subroot",
+        f"block * {slots} + c.slot AS pos",
+        "c.own.digest",
+        "c.own.kept",
+        "concat(array_compact(c.steps), path) AS path",
     )
-    kids = df.select("group", "subroot", F.explode(F.filter(children, lambda c: c["own"].isNotNull())).alias("c"))
-    return kids.select("group", "subroot", "c.pos", "c.own.digest", "c.own.kept", "c.path")
 
 
 def _climb(nodes: DataFrame, fanout: int, name: str) -> tuple[list[DataFrame], int]:
