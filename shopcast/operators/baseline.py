@@ -1,18 +1,171 @@
-"""Gradient-boosted regression baseline with Spark ML."""
+"""Gradient-boosted regression baseline of symmetric trees.
+
+Features are binned once to bytes.  Rows are dealt to a bounded number of tasks,
+which keep them for many rounds: a level of a tree is one table of sums by
+(leaf, feature, bin), which tasks build from their own rows, exchange at a
+barrier and add up, so that all of them choose the same split.  Only the right
+children are summed; the left ones are what remains of their parents.  Rounds
+run in segments: a lost executor repeats the segment it was in.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import base64
+import json
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+import numpy as np
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shopcast.sources import stage
+
+#: Rows that a task is given, where there are tasks enough; it holds a byte a feature and 16 more a row.
+TASK_ROWS = 500_000
+#: Tasks of a fit, at most; each of them gets the sums of all others at every level.
+MOST_TASKS = 16
+#: Rounds of one Spark job.
+SEGMENT = 250
+#: Rows that one step inside a task works on.
+STEP_ROWS = 1 << 18
+
+
+@dataclass(frozen=True)
+class BoostedTrees:
+    """Symmetric trees: a level asks one question of all rows, so a leaf is a number of ``depth`` bits.
+
+    ``borders`` has each feature's ascending cuts; a row is right of a split
+    when its value is over the border.  ``splits`` has (feature, border) by tree
+    and level, -1 where a level splits nothing; ``leaves`` has a value per leaf.
+    """
+
+    features: tuple[str, ...]
+    borders: tuple[tuple[float, ...], ...]
+    start: float | None
+    splits: np.ndarray
+    leaves: np.ndarray
+    gains: np.ndarray
+
+    def binned(self, columns: Sequence[np.ndarray]) -> np.ndarray:
+        """A row of bytes per feature: how many borders lie below a value."""
+        return np.stack([np.searchsorted(b, c, "left").astype(np.uint8) for b, c in zip(self.borders, columns)])
+
+    def add(self, binned: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Add all trees to predictions."""
+        for splits, leaves in zip(self.splits, self.leaves):
+            leaf = np.zeros(len(out), np.int64)
+            for level, (feature, border) in enumerate(splits):
+                if feature >= 0:
+                    leaf |= (binned[feature] > border).astype(np.int64) << level
+            out += leaves[leaf]
+        return out
+
+
+def _filled(df: DataFrame, features: Sequence[str]) -> list:
+    """Feature columns as doubles; null and NaN are 0."""
+    columns = [F.col(c).cast("double") for c in features]
+    return [F.when(c.isNull() | F.isnan(c), F.lit(0.0)).otherwise(c).alias(f"x{i}") for i, c in enumerate(columns)]
+
+
+def _columns(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
+    return [batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(size)]
+
+
+def _sums(binned: np.ndarray, leaf: np.ndarray, rest: np.ndarray, n_leaves: int, bins: int) -> np.ndarray:
+    """Rows and residuals by (leaf, feature, bin) of the rows whose ``leaf`` is not negative."""
+    out = np.zeros((2, binned.shape[0], n_leaves * bins))
+    for at in range(0, len(leaf), STEP_ROWS):
+        part = slice(at, at + STEP_ROWS)
+        use = leaf[part] >= 0
+        base, weight = leaf[part][use] * bins, rest[part][use]
+        for f in range(binned.shape[0]):
+            place = base + binned[f, part][use]
+            out[0, f] += np.bincount(place, minlength=n_leaves * bins)
+            out[1, f] += np.bincount(place, weight, minlength=n_leaves * bins)
+    return out.reshape(2, binned.shape[0], n_leaves, bins).transpose(0, 2, 1, 3)
+
+
+def _best_split(sums: np.ndarray, shrink: float) -> tuple[int, int, float]:
+    """The (feature, border) with the highest gain over all leaves together; ties by position."""
+    left = np.cumsum(sums, axis=3)[..., :-1]
+    right = sums.sum(axis=3, keepdims=True) - left
+    score = left[1] ** 2 / (left[0] + shrink) + right[1] ** 2 / (right[0] + shrink)
+    whole = sums[:, :, 0, :].sum(axis=2)
+    gain = score.sum(axis=0) - (whole[1] ** 2 / (whole[0] + shrink)).sum()
+    # Borders that split no leaf gain nothing; rounding must not make them a split.
+    gain[((left[0] > 0) & (right[0] > 0)).sum(axis=0) == 0] = 0.0
+    best = int(np.argmax(gain))
+    feature, border = divmod(best, gain.shape[1])
+    return feature, border, float(gain[feature, border])
+
+
+def _grow(
+    model: BoostedTrees, binned: np.ndarray, target: np.ndarray, rounds: int, rate: float, depth: int,
+    shrink: float, total: Callable[[np.ndarray], np.ndarray],
+) -> Iterator[tuple]:
+    """Trees after those of ``model``: splits, leaf values and gains of each."""
+    rest = target - model.add(binned, np.full(len(target), model.start))
+    bins = max((len(b) for b in model.borders), default=0) + 1
+    for _ in range(rounds):
+        leaf = np.zeros(len(target), np.int64)
+        splits, gains = np.full((depth, 2), -1, np.int64), np.zeros(depth)
+        sums = total(_sums(binned, leaf, rest, 1, bins))
+        for level in range(depth):
+            feature, border, gain = _best_split(sums, shrink)
+            if gain <= 0:
+                break
+            splits[level], gains[level] = (feature, border), gain
+            over = binned[feature] > border
+            if level + 1 < depth:
+                right = total(_sums(binned, np.where(over, leaf, -1), rest, 1 << level, bins))
+                sums = np.concatenate((sums - right, right), axis=1)
+            leaf |= over.astype(np.int64) << level
+        size = 1 << depth
+        held = total(np.stack([np.bincount(leaf, minlength=size), np.bincount(leaf, rest, minlength=size)]))
+        values = rate * held[1] / (held[0] + shrink)
+        rest -= values[leaf]
+        yield splits, values, gains
+
 
+def _exchange(mine: np.ndarray) -> np.ndarray:
+    """The sum of all tasks' tables, added in the order of the tasks."""
+    sent = base64.b64encode(np.ascontiguousarray(mine).tobytes()).decode()
+    parts = BarrierTaskContext.get().allGather(sent)
+    return sum(np.frombuffer(base64.b64decode(p)).reshape(mine.shape) for p in parts)
 
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    filled = df.fillna(0.0, subset=list(features))
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(filled)
+
+def _segment(
+    rows: DataFrame, model: BoostedTrees, tasks: int, rounds: int, rate: float, depth: int, shrink: float
+) -> BoostedTrees:
+    """The model with ``rounds`` more trees, from one Spark job."""
+    size = len(model.features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        binned, target = [np.zeros((size, 0), np.uint8)], [np.zeros(0)]
+        for batch in batches:
+            binned.append(model.binned(_columns(batch, size)))
+            target.append(batch.column("y").to_numpy())
+        total = _exchange if tasks > 1 else lambda mine: mine
+        first = tasks == 1 or BarrierTaskContext.get().partitionId() == 0
+        grown = _grow(model, np.concatenate(binned, 1), np.concatenate(target), rounds, rate, depth, shrink, total)
+        for splits, values, gains in grown:
+            if first:
+                told = json.dumps([splits.tolist(), values.tolist(), gains.tolist()])
+                yield pa.RecordBatch.from_pydict({"tree": [told]})
+
+    dealt = rows.repartition(tasks, F.xxhash64(*rows.columns))
+    trees = [json.loads(r[0]) for r in dealt.mapInArrow(run, "tree string", barrier=tasks > 1).collect()]
+    more = [np.array([t[i] for t in trees]) for i in range(3)]
+    return replace(
+        model,
+        splits=np.concatenate((model.splits, more[0])),
+        leaves=np.concatenate((model.leaves, more[1])),
+        gains=np.concatenate((model.gains, more[2])),
+    )
 
 
 def fit_baseline(
@@ -22,34 +175,111 @@ def fit_baseline(
     iterations: int = 1000,
     rate: float = 0.1,
     depth: int = 6,
-    seed: int = 112,
-) -> GBTRegressionModel:
-    """Boosted trees; lineage is cut every ten rounds in the session's checkpoint folder."""
-    return GBTRegressor(
-        featuresCol="features",
-        labelCol=target,
-        maxIter=iterations,
-        stepSize=rate,
-        maxDepth=depth,
-        seed=seed,
-        checkpointInterval=10,
-    ).fit(_assembled(train, features))
-
-
-def baseline_predictions(
-    model: GBTRegressionModel, df: DataFrame, features: Sequence[str], output: str
-) -> DataFrame:
-    scored = model.transform(_assembled(df, features))
-    return scored.withColumnRenamed("prediction", output).drop("features")
-
-
-def importances(
-    model: GBTRegressionModel, features: Sequence[str], df: DataFrame, top: int = 10
-) -> DataFrame:
-    """The most important features of the model: one row per feature column."""
-    rows = [(n, float(v)) for n, v in zip(features, model.featureImportances.toArray())]
+    bins: int = 128,
+    shrink: float = 3.0,
+    task_rows: int = TASK_ROWS,
+) -> BoostedTrees:
+    """Boosted symmetric trees for squared error, ``iterations`` of them with ``depth`` levels.
+
+    Null and NaN features are 0; rows with a null or NaN target are left out,
+    and without any row all predictions are null.  Borders are quantiles of a
+    sketch with a rank error of 0.1 %, at most ``bins - 1`` (255) a feature.  A
+    leaf's value is shrunk by ``shrink`` rows of value 0.  The driver gets the
+    trees.  Fits of over ``task_rows`` rows exchange sums at a barrier, which
+    needs a free slot for each of at most ``MOST_TASKS`` tasks and a cluster
+    without dynamic allocation.
+    """
+    spark, features = train.sparkSession, tuple(features)
+    y = F.col(target).cast("double")
+    rows = stage(
+        train.where(y.isNotNull() & ~F.isnan(y)).select(*_filled(train, features), y.alias("y")), "baseline-rows"
+    )
+    count, start = rows.agg(F.count("*"), F.avg("y")).first()
+    bins = min(bins, 256)
+    names, at = [f"x{i}" for i in range(len(features))], [i / bins for i in range(1, bins)]
+    cuts = rows.approxQuantile(names, at, 0.001) if count else [[] for _ in features]
+    model = BoostedTrees(
+        features, tuple(tuple(sorted(set(c))) for c in cuts), start,
+        np.zeros((0, depth, 2), np.int64), np.zeros((0, 1 << depth)), np.zeros((0, depth)),
+    )
+    if not count or not any(model.borders):
+        return model
+    tasks = max(1, min(MOST_TASKS, spark.sparkContext.defaultParallelism, -(-count // task_rows)))
+    while len(model.splits) < iterations:
+        rounds = min(SEGMENT, iterations - len(model.splits))
+        model = _segment(rows, model, tasks, rounds, rate, depth, shrink)
+    return model
+
+
+def baseline_predictions(model: BoostedTrees, df: DataFrame, output: str) -> DataFrame:
+    """Every row of ``df`` with the model's prediction; an ``output`` column that exists is an error."""
+    if output.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {output} already")
+    size, names = len(model.features), [*df.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if model.start is None:
+                out = pa.nulls(batch.num_rows, pa.float64())
+            else:
+                held = model.binned(_columns(batch, size))
+                out = pa.array(model.add(held, np.full(batch.num_rows, model.start)))
+            rows = batch.column("row")
+            yield pa.RecordBatch.from_arrays([rows, out], names=["row", "value"])
+
+    row = F.struct(*(df[c] for c in names)).alias("row")
+    told = df.select(row, *_filled(df, model.features))
+    kind = T.StructType([told.schema["row"], T.StructField("value", T.DoubleType())])
+    return told.mapInArrow(run, kind).select("row.*", F.col("value").alias(output))
+
+
+def round_errors(model: BoostedTrees, df: DataFrame, target: str) -> DataFrame:
+    """Summed squared error on ``df`` after every round: (round, rows, squared), round 0 the constant.
+
+    Rows with a null or NaN target are left out; without any the result is empty.
+    """
+    size, rounds = len(model.features), len(model.splits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squared, seen = np.zeros(rounds + 1), 0
+        for batch in batches:
+            binned, target = model.binned(_columns(batch, size)), batch.column("y").to_numpy()
+            out, seen = np.full(len(target), model.start), seen + len(target)
+            squared[0] += ((target - out) ** 2).sum()
+            for i in range(rounds):
+                replace(model, splits=model.splits[i : i + 1], leaves=model.leaves[i : i + 1]).add(binned, out)
+                squared[i + 1] += ((target - out) ** 2).sum()
+        if seen:
+            yield pa.RecordBatch.from_pydict(
+                {"round": np.arange(rounds + 1), "rows": np.full(rounds + 1, seen), "squared": squared}
+            )
+
+    y = F.col(target).cast("double")
+    rows = df.where(y.isNotNull() & ~F.isnan(y)).select(*_filled(df, model.features), y.alias("y"))
+    if model.start is None:
+        rows = rows.limit(0)
+    parts = rows.mapInArrow(run, "round long, rows long, squared double")
+    return parts.groupBy("round").agg(F.sum("rows").alias("rows"), F.sum("squared").alias("squared"))
+
+
+def cut_to_best(model: BoostedTrees, valid: DataFrame, target: str) -> BoostedTrees:
+    """The model with the rounds after which its error on ``valid`` is least, the fewest of several."""
+    best = round_errors(model, valid, target).orderBy("squared", "round").first()
+    rounds = best["round"] if best else len(model.splits)
+    return replace(
+        model, splits=model.splits[:rounds], leaves=model.leaves[:rounds], gains=model.gains[:rounds]
+    )
+
+
+def importances(model: BoostedTrees, df: DataFrame, top: int = 10) -> DataFrame:
+    """The features that gained most, as shares of all gains: one row per feature column, ties by name."""
+    gained = dict.fromkeys(model.features, 0.0)
+    for (feature, _), gain in zip(model.splits.reshape(-1, 2), model.gains.reshape(-1)):
+        if feature >= 0:
+            gained[model.features[feature]] += float(gain)
+    whole = sum(gained.values()) or 1.0
     return (
-        df.sparkSession.createDataFrame(rows, "feature string, importance double")
+        df.sparkSession.createDataFrame([(n, v / whole) for n, v in gained.items()], "feature string, importance double")
         .orderBy(F.col("importance").desc(), "feature")
         .limit(top)
     )

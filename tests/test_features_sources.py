@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,26 +118,66 @@ def test_exports(spark):
     assert [tuple(r) for r in rec] == [("S", "t", "a.", True), ("S", "u", "b.", False)]
 
 
-def test_baseline_learns(spark):
-    df = spark.range(300).select((F.col("id") % 10).cast("double").alias("x"), F.rand(1).alias("noise"))
-    df = df.withColumn("y", F.col("x") * 3)
-    model = baseline.fit_baseline(df, ["x", "noise"], "y", iterations=5)
-    scored = baseline.baseline_predictions(model, df, ["x", "noise"], "p")
-    assert scored.select(F.avg(F.abs(F.col("p") - F.col("y")))).first()[0] < 1.0
-    assert baseline.importances(model, ["x", "noise"], df, top=1).first().feature == "x"
-
-
-def test_registered_baseline_runs_all_rounds(spark, monkeypatch):
-    from __spark_entry__ import FLAGSHIP_DIR
-    from shopcast.plans import queries
-
-    class Fitted(Exception):
-        pass
-
-    class Regressor:
-        def __init__(self, **settings):
-            raise Fitted(settings["maxIter"])
-
-    monkeypatch.setattr(baseline, "GBTRegressor", Regressor)
-    with pytest.raises(Fitted, match="^1000$"):
-        queries.QUERIES["gbt_baseline"](spark, FLAGSHIP_DIR)
+def _slow_baseline(x, y, borders, rounds, rate, depth, shrink):
+    """Boosted symmetric trees row by row: predictions of all rows."""
+    out = [sum(y) / len(y)] * len(y)
+    for _ in range(rounds):
+        rest, leaf = [a - b for a, b in zip(y, out)], [0] * len(y)
+
+        def score(leaves):
+            total = 0.0
+            for g in set(leaves):
+                held = [r for r, l in zip(rest, leaves) if l == g]
+                total += sum(held) ** 2 / (len(held) + shrink)
+            return total
+
+        for level in range(depth):
+            best = max(
+                ((score([2 * g + (row[f] > c) for g, row in zip(leaf, x)]), -f, -i) for f in range(len(borders))
+                 for i, c in enumerate(borders[f])), default=(0, 0, 0),
+            )
+            if best[0] - score(leaf) <= 1e-9:
+                break
+            f, c = -best[1], borders[-best[1]][-best[2]]
+            leaf = [2 * g + (row[f] > c) for g, row in zip(leaf, x)]
+        for g in set(leaf):
+            at = [i for i, l in enumerate(leaf) if l == g]
+            for i in at:
+                out[i] += rate * sum(rest[j] for j in at) / (len(at) + shrink)
+    return out
+
+
+@pytest.mark.parametrize("task_rows", [500_000, 40])
+def test_baseline_against_a_slow_one(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(baseline, "SEGMENT", 3)
+    draw = random.Random(8)
+    x = [(float(draw.randrange(9)), draw.choice([0.0, 1.5]), draw.uniform(-2, 2)) for _ in range(120)]
+    y = [3 * a + (2 if b else -1) * c + draw.gauss(0, 0.1) for a, b, c in x]
+    df = spark.createDataFrame([(*a, b) for a, b in zip(x, y)], "a double, b double, c double, y double").repartition(3)
+    model = baseline.fit_baseline(df, ["a", "b", "c"], "y", iterations=7, depth=3, bins=16, task_rows=task_rows)
+    assert model.splits.shape == (7, 3, 2)
+    want = _slow_baseline(x, y, model.borders, 7, 0.1, 3, 3.0)
+    scored = baseline.baseline_predictions(model, df, "p").collect()
+    want = dict(zip(x, want))
+    assert all(abs(r.p - want[r.a, r.b, r.c]) < 1e-6 for r in scored) and len(scored) == 120
+    errors = {r["round"]: r for r in baseline.round_errors(model, df, "y").collect()}
+    assert sorted(errors) == list(range(8)) and errors[0].rows == 120
+    assert errors[7].squared == pytest.approx(sum((r.p - r.y) ** 2 for r in scored))
+    assert errors[0].squared == pytest.approx(sum((r.y - model.start) ** 2 for r in scored))
+    assert len(baseline.cut_to_best(model, df, "y").splits) == 7
+    assert len(baseline.cut_to_best(model, df.withColumn("y", F.lit(model.start)), "y").splits) == 0
+    top = baseline.importances(model, df).collect()
+    assert top[0].feature == "a" and abs(sum(r.importance for r in top) - 1) < 1e-9
+
+
+def test_baseline_of_odd_rows(spark):
+    nan = float("nan")
+    rows = [(None, 1.0, 5.0), (nan, 2.0, None), (1.0, None, nan), (0.0, 1.0, 5.0), (4.0, 1.0, 9.0)]
+    df = spark.createDataFrame(rows, "x0 double, row double, y double")
+    model = baseline.fit_baseline(df, ["x0", "row"], "y", iterations=50)
+    scored = {str(r.x0): r.p for r in baseline.baseline_predictions(model, df, "p").collect()}
+    assert scored["None"] == scored["nan"] == scored["0.0"] < scored["1.0"] <= scored["4.0"]
+    nothing = baseline.fit_baseline(df.limit(0), ["x0", "row"], "y")
+    assert [r.p for r in baseline.baseline_predictions(nothing, df, "p").collect()] == [None] * 5
+    with pytest.raises(ValueError, match="already"):
+        baseline.baseline_predictions(model, df, "Y")
