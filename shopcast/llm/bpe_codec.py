@@ -137,7 +137,8 @@ def encode(
 ) -> DataFrame:
     """Rows of ``docs`` with the ids of the whole text, packed as little-endian 32-bit numbers.
 
-    Null and empty texts, and texts of white space only, have no ids.
+    Null and empty texts, and texts of white space only, have no ids.  A column of
+    ``docs`` with the name of the output stays; the output gets an underscore.
     """
 
     def make() -> Callable[[list], list]:
@@ -150,7 +151,10 @@ def encode(
 def decode(
     docs: DataFrame, tokenizer_path: str, ids_col: str = "token_ids", decoded_col: str = "decoded"
 ) -> DataFrame:
-    """Rows of ``docs`` with the text of their packed ids; null ids decode to an empty text."""
+    """Rows of ``docs`` with the text of their packed ids; null ids decode to an empty text.
+
+    Names are kept free as by :func:`encode`.
+    """
 
     def make() -> Callable[[list], list]:
         names = token_names(tokenizer_path)

@@ -21,7 +21,11 @@ def single_spaced(text: Column) -> Column:
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Column names like ``names`` that ``df`` does not use yet."""
+    """Column names like ``names`` that ``df`` does not use yet, with underscores appended where it does.
+
+    This is the rule of all corpus operators that add columns: columns of the
+    table stay as they are, in any letter case, and the added ones give way.
+    """
     used, out = {c.lower() for c in df.columns}, []
     for name in names:
         while name.lower() in used:
@@ -64,8 +68,10 @@ def map_text(
     """Every row of ``df`` with columns computed from ``column`` by Python in tasks.
 
     ``make`` runs once per task and returns a function from a list of values to
-    one list per added column.  Rows are neither moved nor reordered.
+    one list per added column.  Rows are neither moved nor reordered.  An added
+    column whose name ``df`` uses already is named as :func:`fresh` says.
     """
+    added = [(n, t, a) for n, (_, t, a) in zip(fresh(df, *(n for n, _, _ in added)), added)]
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t, _ in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -133,8 +133,10 @@ def find_contamination(
     ids, as text and in that order, of items with an occurring window; an item
     without an id is listed as an empty text.  ``hit_spans`` are code point
     offsets, end exclusive.  Null and empty texts have no words; an empty
-    benchmark hits nothing.
+    benchmark hits nothing.  A column of ``docs`` with the name of an output
+    stays; the output gets an underscore.
     """
+    names = tuple(fresh(docs, *names))
     every = item_windows(benchmark, item_col, item_text_col, n)
     size = every.agg(F.sum(F.octet_length("window"))).collect()[0][0] or 0
     parts = math.ceil(size / MOST_BYTES)

@@ -127,15 +127,18 @@ def drop_duplicates(
         .select("id", "digest", (F.col("stay") > 0).alias("repeated")),
         "dedup-marks",
     )
-    of, digest, repeated = fresh(docs, "of", "digest", "repeated")
+    of, met, digest, repeated = fresh(docs, "of", "met", "digest", "repeated")
     marks = marked.toDF(of, digest, repeated)
+    ids = marked.select(F.col("id").alias(of), F.lit(True).alias(met)).distinct()
     if marked.count() <= BROADCAST_GROUPS:
         # Few enough pairs to send: no text is moved.
-        marks = F.broadcast(marks)
-    hashed = docs.withColumn(digest, F.sha2(single_spaced(F.col(text_col)), 256))
+        marks, ids = F.broadcast(marks), F.broadcast(ids)
+    # Only texts of rows whose id has lost a row are hashed.
+    hashed = docs.join(ids, docs[id_col].eqNullSafe(ids[of]), "left").drop(of)
+    hashed = hashed.withColumn(digest, F.when(F.col(met), F.sha2(single_spaced(F.col(text_col)), 256)))
     losing = hashed[id_col].eqNullSafe(marks[of]) & (hashed[digest] == marks[digest])
     kept = hashed.join(marks, losing, "left_anti")
     if not marked.where("repeated").isEmpty():
         again = hashed.join(marks.where(F.col(repeated)), losing, "left_semi")
         kept = kept.unionByName(again.dropDuplicates([id_col, digest]))
-    return kept.drop(digest)
+    return kept.drop(met, digest)

@@ -8,12 +8,12 @@ a score that keeps the wanted precision on those rows are rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +22,8 @@ from shopcast.llm.common import map_text
 
 #: Labelled rows that a model is fitted and calibrated on, at most.
 SAMPLE_ROWS = 3_000
+#: Buckets of one labelled row that the fit gets, at most: the most frequent of its whole text, 8 bytes each.
+ROW_BUCKETS = 8_192
 BUCKET_BITS = 15
 WIDTH = 16
 #: Lengths of subwords, in bytes.
@@ -29,7 +31,8 @@ SIZES = (2, 3, 4)
 UNKNOWN = "und"
 _PIECE = 1 << 19
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script: numbers in circles, fractions and the like are none.
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII that is not a letter becomes a blank.
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
@@ -167,7 +170,9 @@ def train_languages(
     """Fit on at most ``sample_rows`` labelled rows, those with the smallest hash of their id.
 
     Rows with a null language or without a subword are left out.  Hashing runs
-    in tasks; the driver gets bucket counts, at most ``2**bits`` of them per row.
+    in tasks; the driver gets the counts of at most ``ROW_BUCKETS`` buckets per row,
+    the most frequent ones.  Where ids repeat, the first ``sample_rows`` rows by
+    hash, language and buckets count.
     """
     rows = labelled.where(F.col(lang_col).isNotNull())
     cut = (
@@ -187,6 +192,8 @@ def train_languages(
                 for buckets in subword_buckets(text, bits):
                     counts += np.bincount(buckets, minlength=1 << bits)
                 met = np.flatnonzero(counts)
+                if len(met) > ROW_BUCKETS:
+                    met = np.sort(met[np.argsort(-counts[met], kind="stable")[:ROW_BUCKETS]])
                 at.append(met.astype("<i4").tobytes())
                 share.append((counts[met] / max(1, counts.sum())).astype("<f4").tobytes())
             return [at, share]
@@ -194,8 +201,8 @@ def train_languages(
         return work
 
     added = [("at", T.BinaryType(), pa.binary()), ("share", T.BinaryType(), pa.binary())]
-    seen = map_text(chosen, "text", added, make).drop("text").where("length(at) > 0").limit(sample_rows).collect()
-    seen.sort(key=lambda r: (r["h"], r["lang"], bytes(r["at"])))
+    seen = map_text(chosen, "text", added, make).drop("text").where("length(at) > 0")
+    seen = seen.orderBy("h", "lang", "at", "share").limit(sample_rows).collect()
     return fit_languages(
         [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["share"], "<f4").astype(float), r["lang"]) for r in seen],
         bits,
@@ -208,7 +215,10 @@ def identify(
     text_col: str = "text",
     names: tuple[str, str, str] = ("lang_pred", "score", "rejected"),
 ) -> DataFrame:
-    """Rows of ``docs`` with language, calibrated score (0 to 1) and rejection; see ``predict``."""
+    """Rows of ``docs`` with language, calibrated score (0 to 1) and rejection; see ``predict``.
+
+    A column of ``docs`` with the name of an output stays; the output gets an underscore.
+    """
 
     def make() -> Callable[[list], list]:
         return lambda texts: list(zip(*map(model.predict, texts), strict=True))

@@ -14,6 +14,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopcast.llm.common import fresh
 from shopcast.llm.spans import let, match_spans, running
 
 #: A character that is no part of a word, and a word.
@@ -124,11 +125,86 @@ PLAIN = (
     ("unlicense", "unencumbered", 3, 0.95, r"free and unencumbered software released into the public domain"),
     ("zlib", "warranty", 3, 0.9, r"this software is provided ['`\"]+as-is['`\"]+,? without any express or implied warranty"),
 )
+#: Sentences of notices and license texts: (label, keyword, priority, score, expression).
+NOTICES = (
+    ("apache-2.0", "compliance", 3, 0.95, r"you may not use this (?:file|software|work) except in compliance with the license"),
+    ("apache-2.0", "contributor", 3, 0.95, r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements"),
+    ("apache-2.0", "applicable", 3, 0.9, r"unless required by applicable law or agreed to in writing,? (?:software|any software|licensor)"),
+    ("apache-2.0", "governing", 3, 0.9, r"see the license for the specific language governing permissions and limitations"),
+    ("apache-2.0", "perpetual", 3, 0.9, r"a perpetual,? worldwide,? non-exclusive,? no-charge,? royalty-free,? irrevocable copyright license"),
+    ("gpl", "redistribute", 3, 0.9, r"this (?:program|file|software|package) is free software[:;,]? you can redistribute it and/or modify"),
+    ("gpl-3.0", "option", 3, 0.9, r"either version 3 of the license,? or,? \(at your option\)"),
+    ("gpl-2.0", "option", 3, 0.9, r"either version 2 of the license,? or,? \(at your option\)"),
+    ("gpl-2.0", "published", 3, 0.9, r"gnu general public license version 2(?: only)?,? as published by the free software foundation"),
+    ("gpl", "received", 3, 0.9, r"you should have received a copy of the gnu general public license"),
+    ("gpl", "merchantability", 1, 0.7, r"without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("gpl", "copyleft", 3, 0.9, r"the gnu general public license is a free,? copyleft license"),
+    ("gpl", "verbatim", 3, 0.8, r"verbatim copies of this license document,? but changing it is not allowed"),
+    ("lgpl", "library", 3, 0.9, r"this library is free software[:;,]? you can redistribute it and/or modify"),
+    ("lgpl-2.1", "option", 3, 0.9, r"either version 2\.1 of the license,? or,? \(at your option\)"),
+    ("lgpl", "lesser", 3, 0.9, r"you should have received a copy of the gnu lesser general public license"),
+    ("agpl-3.0", "affero", 3, 0.95, r"you should have received a copy of the gnu affero general public license"),
+    ("agpl-3.0", "remotely", 3, 0.9, r"all users interacting with it remotely through a computer network"),
+    ("gfdl-1.3", "document", 3, 0.95, r"permission is granted to copy,? distribute and/or modify this document under the terms of the gnu free documentation"),
+    ("mpl-2.0", "subject", 3, 0.95, r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-2.0", "mpl", 3, 0.95, r"if a copy of the mpl was not distributed with this file"),
+    ("mpl-1.1", "contents", 3, 0.95, r"the contents of this file are subject to the mozilla public license version 1\.1"),
+    ("cddl-1.0", "development", 3, 0.95, r"(?:contents of this file|this file) (?:are|is) subject to the terms of the common development and distribution license"),
+    ("cddl-1.0", "cddl", 3, 0.95, r"when distributing covered code,? include this cddl header in each file"),
+    ("cddl-1.0", "opensolaris", 3, 0.9, r"usr/src/opensolaris\.license"),
+    ("epl-2.0", "accompanying", 3, 0.95, r"the accompanying materials are made available under the terms of the eclipse public license"),
+    ("bsd", "retain", 3, 0.9, r"redistributions of source code must retain the (?:above )?copyright notice"),
+    ("bsd", "reproduce", 3, 0.9, r"redistributions in binary form must reproduce the (?:above )?copyright notice"),
+    ("bsd-3-clause", "endorse", 3, 0.9, r"neither the names? of [^.]{1,120} may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", 3, 0.95, r"all advertising materials mentioning features or use of this software must display"),
+    ("bsd", "holders", 3, 0.9, r"this software is provided by the copyright holders (?:and contributors )?['`\"]*as is"),
+    ("sleepycat", "accompanied", 3, 0.95, r"redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("mit", "substantial", 3, 0.95, r"this permission notice (?:\(including the next paragraph\) )?shall be included in all copies or substantial portions"),
+    ("mit", "noninfringement", 3, 0.9, r"including but not limited to the warranties of merchantability,? fitness for a particular purpose and noninfringement"),
+    ("mit", "contained", 3, 0.8, r"except as contained in this notice,? the names? of"),
+    ("json", "evil", 4, 0.95, r"the software shall be used for good,? not evil"),
+    ("bsl-1.0", "organization", 3, 0.95, r"permission is hereby granted,? free of charge,? to any person or organization obtaining a copy"),
+    ("ncsa", "deal", 3, 0.9, r"to deal with the software without restriction"),
+    ("isc", "disclaims", 3, 0.9, r"the software is provided ['`\"]*as is['`\"]* and the author disclaims all warranties"),
+    ("hpnd", "documentation", 3, 0.9, r"permission to use,? copy,? modify,? (?:and )?distribute(?:,? and sell)? this software and its documentation for any purpose"),
+    ("curl", "fee", 3, 0.9, r"permission to use,? copy,? modify,? and distribute this software for any purpose with or without fee"),
+    ("zlib", "misrepresented", 3, 0.95, r"the origin of this software must not be misrepresented"),
+    ("zlib", "plainly", 3, 0.95, r"altered source versions must be plainly marked as such"),
+    ("zlib", "removed", 3, 0.9, r"this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "anyone", 3, 0.95, r"anyone is free to copy,? modify,? publish,? use,? compile,? sell,? or distribute this software"),
+    ("unlicense", "dedicate", 3, 0.9, r"dedicate any and all copyright interest in the software to the public domain"),
+    ("wtfpl", "permitted", 3, 0.9, r"everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("cc0-1.0", "waived", 3, 0.95, r"to the extent possible under law,? [^.]{1,120} waived all copyright"),
+    ("cc-by", "commons", 3, 0.9, r"creative commons attribution (?:\d\.\d|international|generic|unported|licen[cs]e)"),
+    ("cc-by-sa", "commons", 3, 0.9, r"creative commons attribution(?:-| )share ?alike"),
+    ("cc-by-nd", "commons", 3, 0.9, r"creative commons attribution(?:-| )no ?deriv(?:atives|s)"),
+    ("cc-by-nc", "commons", 3, 0.9, r"creative commons attribution(?:-| )non-?commercial (?:\d\.\d|international|generic|unported|licen[cs]e)"),
+    ("cc-by-nc-sa", "commons", 3, 0.9, r"creative commons attribution(?:-| )non-?commercial(?:-| )share ?alike"),
+    ("cc-by-nc-nd", "commons", 3, 0.9, r"creative commons attribution(?:-| )non-?commercial(?:-| )no ?deriv(?:atives|s)"),
+    ("psf-2.0", "psf", 3, 0.95, r"psf is making python available to licensee"),
+    ("openssl", "openssl", 3, 0.95, r"this product includes software developed by the openssl project"),
+    ("ssleay", "cryptographic", 3, 0.95, r"this product includes cryptographic software written by eric young"),
+    ("php-3.01", "php", 3, 0.9, r"this source file is subject to version 3\.01 of the php license"),
+    ("ofl-1.1", "font", 3, 0.95, r"this font software is licensed under the sil open font license"),
+    ("ms-pl", "governs", 3, 0.9, r"this license governs use of the accompanying software"),
+    ("eupl-1.2", "eupl", 3, 0.9, r"licensed under the eupl"),
+    ("bitstream-vera", "bitstream", 3, 0.9, r"bitstream vera is a trademark of bitstream"),
+    ("ftl", "freetype", 3, 0.9, r"portions of this software are copyright [^.]{1,60} the freetype project"),
+    ("ijg", "jpeg", 3, 0.9, r"based in part on the work of the independent jpeg group"),
+    ("beerware", "stuff", 3, 0.9, r"if we meet some day,? and you think this stuff is worth it"),
+    ("llama", "llama", 3, 0.9, r"llama (?:\d(?:\.\d)? )?community license"),
+    ("gemma", "gemma", 3, 0.9, r"gemma terms of use"),
+    ("public-domain", "disclaim", 2, 0.8, r"authors? (?:hereby )?disclaims? copyright to this source code"),
+    ("proprietary", "reproduced", 2, 0.7, r"no part of this (?:publication|software|document|work) may be reproduced"),
+    ("proprietary", "confidential", 2, 0.7, r"confidential and proprietary"),
+    ("proprietary", "unauthorized", 2, 0.8, r"unauthorized copying of this (?:file|software)"),
+)
 #: Texts that no rule but those of ``SPLIT_STEM`` matches without: the first look at a text.
 STEMS = (
     "licen", "spdx", "gpl", "cc0", "cc-by", "creative", "domain", "reserved",
     "proprietary", "granted", "permission", "redistribution", "unencumbered", "as-is", "unlicense", ".org/",
     ".net/", ".com/", ".co/", ".uk/", ".eu/", ".info/", "wtfpl.net",
+    *sorted({keyword for _, keyword, *_ in NOTICES}),
 )
 _BLANKS = r"[\s*#/]+"
 #: The same for names with a blank in their stem, over line breaks and comment signs too.
@@ -152,7 +228,8 @@ def _rule(name: str, label: str, keyword: str, priority: int, score: float, text
 
 
 def signature_rules() -> list[Rule]:
-    """All rules: five forms of each family, three of its other names, four of each commons license, the plain ones."""
+    """All rules: five forms of each family, three of its other names, four of each commons license, the
+    plain ones and the sentences of notices."""
     rules = []
     under = r"(?:the )?(?:terms of )?(?:the )?"
 
@@ -185,8 +262,9 @@ def signature_rules() -> list[Rule]:
                   rf"licen[cs]ed under (?:a |the )?\bcc(?:-| ){clause}{end}(?:(?:-| )\d\.\d)?"),
             _rule(f"{label}:name", label, "cc", 2, 0.8, rf"\bcc(?:-| ){clause}{end}(?:(?:-| )\d\.\d)?\b"),
         ]
-    for i, (label, keyword, priority, score, text) in enumerate(PLAIN):
-        rules.append(_rule(f"{label}:plain{i}", label, keyword, priority, score, text))
+    for form, listed in (("plain", PLAIN), ("notice", NOTICES)):
+        for i, (label, keyword, priority, score, text) in enumerate(listed):
+            rules.append(_rule(f"{label}:{form}{i}", label, keyword, priority, score, text))
     return rules
 
 
@@ -228,11 +306,17 @@ def scan_licenses(
     ``places`` is an array of (word, label), the number of the word where a
     phrase starts, from 0.  ``detections`` is an array of (start, end, label,
     score, rule) in code points, without suppressed ones.  Null and empty texts
-    have no words, places or detections.  Rules are run only on texts with one
-    of ``STEMS`` or ``SPLIT_STEM``, each only where its keyword occurs.
+    have no words, places or detections.  A column of ``docs`` with the name of
+    an output stays; the output gets an underscore.
+
+    A rule is run only where its keyword occurs.  The library's own rules are
+    looked at only in texts with one of ``STEMS`` or ``SPLIT_STEM``, which all
+    their matches hold; rules that are given, in any text with a keyword.
     """
+    stems, split_stem = ([r.keyword for r in rules], None) if rules is not None else (STEMS, SPLIT_STEM)
     rules = signature_rules() if rules is None else rules
-    text, low = "_scan_text", "_scan_low"
+    text, low = fresh(docs, "_scan_text", "_scan_low")
+    names = fresh(docs, *names)
     rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(low, F.lower(text))
     phrase_word = F.contains(low, F.lit("license"))
     counted = let(
@@ -262,9 +346,10 @@ def scan_licenses(
     )
     places = F.when(phrase_word, counted).otherwise(F.array().cast("array<struct<word:int,label:string>>"))
     hinted = F.lit(False)
-    for stem in STEMS:
+    for stem in dict.fromkeys(stems):
         hinted = hinted | F.contains(low, F.lit(stem))
-    hinted = hinted | (F.contains(low, F.lit("cc")) & F.col(low).rlike(SPLIT_STEM))
+    if split_stem:
+        hinted = hinted | (F.contains(low, F.lit("cc")) & F.col(low).rlike(split_stem))
     found = F.flatten(
         F.transform(
             F.filter(_rule_array(rules), lambda r: F.contains(F.col(low), r["keyword"])),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from shopcast.llm.common import fresh
 from shopcast.sources import stage
 
 #: Slot columns of one aggregate, at least one level of the tree.
@@ -176,9 +177,7 @@ def merkle_proofs(
     """
     if fanout < 2:
         raise ValueError("fanout must be 2 or more")
-    taken = {c.lower() for c in rows.columns} & {"subroot", "root", "path"}
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are outputs; rename them")
+    names = fresh(rows, "subroot", "root", "path")
     text = F.col(group_col).cast("string")
     # Null groups get a key of their own that sorts first.
     key = F.coalesce(F.concat(F.lit("="), text), F.lit(""))
@@ -200,4 +199,5 @@ def merkle_proofs(
         F.col("kept.of").alias("group"), F.col("digest").alias("subroot"), "path"
     )
     found = _descend(spread, stage(tops, "merkle-tops"), fanout, depth)
-    return found.select("kept.*", "subroot", root.alias("root"), "path")
+    added = (c.alias(n) for c, n in zip((F.col("subroot"), root, F.col("path")), names))
+    return found.select("kept.*", *added)

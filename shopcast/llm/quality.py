@@ -22,6 +22,8 @@ from shopcast.llm.common import map_text
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE_ROWS = 4_000
+#: Buckets of one labelled row that the fit gets, at most: the most frequent of its whole text, 8 bytes each.
+ROW_BUCKETS = 8_192
 BUCKET_BITS = 18
 #: Texts are hashed in pieces of at most so many bytes, cut at white space where there is some.
 PIECE_BYTES = 1 << 20
@@ -172,8 +174,9 @@ def train_quality(
     """Fit on rows of ``docs`` with one of ``sample_rows`` labels, those with the smallest hash of their id.
 
     Labels without an id or a value are left out.  The chosen labels, a bounded
-    table, go to the texts; hashing runs in tasks; the driver gets bucket
-    counts, at most ``2**bits`` of them per row.
+    table, go to the texts; hashing runs in tasks; the driver gets the counts of
+    at most ``ROW_BUCKETS`` buckets per row, the most frequent ones.  Where ids
+    repeat, the first ``sample_rows`` rows by hash, label and buckets count.
     """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -190,15 +193,19 @@ def train_quality(
             at, share = [], []
             for text in texts:
                 buckets, counts = np.unique(ngram_buckets(text, bits), return_counts=True)
+                total = max(1, counts.sum())
+                if len(buckets) > ROW_BUCKETS:
+                    most = np.sort(np.argsort(-counts, kind="stable")[:ROW_BUCKETS])
+                    buckets, counts = buckets[most], counts[most]
                 at.append(buckets.astype("<i4").tobytes())
-                share.append((counts / max(1, counts.sum())).astype("<f4").tobytes())
+                share.append((counts / total).astype("<f4").tobytes())
             return [at, share]
 
         return work
 
     added = [("at", T.BinaryType(), pa.binary()), ("share", T.BinaryType(), pa.binary())]
-    seen = map_text(chosen, "text", added, make).drop("text").limit(sample_rows).collect()
-    seen.sort(key=lambda r: (r["h"], r["label"], bytes(r["at"])))
+    seen = map_text(chosen, "text", added, make).drop("text")
+    seen = seen.orderBy("h", "label", "at", "share").limit(sample_rows).collect()
     return fit_ftrl(
         [
             (np.frombuffer(r["at"], "<i4"), np.frombuffer(r["share"], "<f4").astype(float), r["label"])
@@ -213,7 +220,8 @@ def score_quality(
 ) -> DataFrame:
     """Rows of ``docs`` with a score from 0 to 1: higher means label 1 is likelier.
 
-    Null and empty texts, and texts without a token, get the model's bias alone.
+    Null and empty texts, and texts without a token, get the model's bias alone.  A
+    column of ``docs`` with the name of the output stays; the output gets an underscore.
     """
 
     def make() -> Callable[[list], list]:

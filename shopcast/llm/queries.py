@@ -25,7 +25,7 @@ from shopcast.llm import (
     token_counts,
     warc,
 )
-from shopcast.sources import staging_folder
+from shopcast.sources import run_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,7 @@ def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = posixpath.join(staging_folder(spark), f"warc-{uuid.uuid4().hex}")
+    folder = posixpath.join(run_folder(spark), f"warc-{uuid.uuid4().hex}")
     marked = warc.mark_revisits(_table(spark, sf_dir, "pages"))
     manifest = warc.write_monolithic(marked, posixpath.join(folder, "monolithic"))
     warc.normalise(manifest, posixpath.join(folder, "records"))
@@ -80,8 +80,10 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def langid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = quality.hash_fold(F.col("doc_id"), 4) == 2
-    model = langid.train_languages(docs.where(~held_out))
+    fold = quality.hash_fold(F.col("doc_id"), 4)
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    # A row without an id has no fold: it is scored, not learned from.
+    model = langid.train_languages(docs.where(fold != 2))
     return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
@@ -120,7 +122,7 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(docs, model)
     return scored.select(
         "doc_id",
-        (quality.hash_fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.coalesce(quality.hash_fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= corpus_pipeline.LEAST_QUALITY).cast("int").alias("predicted"),
     )

@@ -4,12 +4,14 @@ Three patterns give the base spans.  Other long runs of key characters, or what
 base spans leave of them, are scored by two first-order Markov models over
 characters, one of random strings and one of ordinary identifiers; a run whose
 log-likelihood ratio is high enough is a secret too.  In a run that is not, the
-pieces between separators are scored, as a key can stand at the end of a path.  The models are counts of character pairs in labelled
-samples; scoring is a sum of table entries.
+pieces between separators are scored, as a key can stand at the end of a path.
+The models are counts of character pairs in labelled samples, the threshold comes
+from samples held out; scoring is a sum of table entries.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import string
 from collections.abc import Callable
@@ -18,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shopcast.llm.common import fresh
 from shopcast.llm.spans import let, match_spans, running
+from shopcast.sources import stage
 
 #: The characters of keys, in the order of the models' tables.
 ALPHABET = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/_=-"
@@ -59,22 +63,11 @@ def _codes(token: Column) -> Column:
     return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
-def train_markov(
-    samples: DataFrame, token_col: str = "token", label_col: str = "label", smoothing: float = 0.5,
-    threshold: float = 0.9,
-) -> MarkovModels:
-    """Fit both models on tokens labelled 1 (random string) or 0 (ordinary identifier).
-
-    Null tokens and labels, and characters outside the alphabet, are left out.
-    Without samples all ratios are zero and nothing is found.  The driver gets
-    a count per pair of characters.
-    """
+def _counted(samples: DataFrame, smoothing: float) -> tuple[float, ...]:
+    """Log-likelihood ratios from the pairs of characters in (label, codes)."""
     size = len(ALPHABET)
-    codes = F.filter(_codes(F.col(token_col)), lambda c: c > 0)
     pairs = (
-        samples.where(F.col(token_col).isNotNull() & (F.col(token_col) != "") & F.col(label_col).isNotNull())
-        .select(F.col(label_col).cast("int").alias("label"), codes.alias("codes"))
-        .select(
+        samples.select(
             "label",
             F.explode(
                 F.zip_with(
@@ -97,18 +90,102 @@ def train_markov(
             math.log((rows[1][b] + smoothing) / totals[1]) - math.log((rows[0][b] + smoothing) / totals[0])
             for b in range(size)
         ]
-    return MarkovModels(tuple(ratios), threshold)
+    return tuple(ratios)
+
+
+def train_markov(
+    samples: DataFrame, token_col: str = "token", label_col: str = "label", smoothing: float = 0.5,
+    threshold: float | None = None, false_rate: float = 0.001,
+) -> MarkovModels:
+    """Fit both models on tokens labelled 1 (random string) or 0 (ordinary identifier).
+
+    Without a stated threshold, a quarter of the tokens is held out, and the
+    threshold is the score that ``false_rate`` of its ordinary runs exceed; where
+    random ones lie higher, it is midway to the score that all but 5 % of them
+    exceed.  Null tokens and labels, and characters outside the alphabet, are
+    left out.  Without ordinary or without random tokens nothing is found.  The
+    driver gets a count per pair of characters and two scores.
+    """
+    codes = F.filter(_codes(F.col(token_col)), lambda c: c > 0)
+    known = samples.where(
+        F.col(token_col).isNotNull() & (F.col(token_col) != "") & F.col(label_col).isNotNull()
+    ).select(
+        F.col(label_col).cast("int").alias("label"),
+        F.col(token_col).alias("token"),
+        codes.alias("codes"),
+        (F.pmod(F.xxhash64(token_col), F.lit(4)) == 0).alias("held_out"),
+    )
+    ratios = _counted(known if threshold is not None else known.where("not held_out"), smoothing)
+    if threshold is None:
+        score = _ratio(F.col("token"), MarkovModels(ratios, 0.0).column())
+        runs = known.where(F.col("held_out") & (F.length("token") >= LEAST_RUN) & (F.size("codes") == F.length("token")))
+        of = {r["label"]: r for r in runs.groupBy("label").agg(
+            F.percentile(score, 1.0 - false_rate).alias("high"), F.percentile(score, 0.05).alias("low")
+        ).collect()}
+        threshold = math.inf
+        if 0 in of and 1 in of:
+            threshold = max(0.0, of[0]["high"])
+            threshold = max(threshold, (threshold + of[1]["low"]) / 2)
+    return MarkovModels(ratios, threshold)
+
+
+def _ordinary(words: DataFrame) -> DataFrame:
+    """Runs as programs and texts hold them: the four words of each row ``w`` joined in one of many ways."""
+    a, b, c, d, n, way = (F.col(name) for name in ("a", "b", "c", "d", "n", "way"))
+    words = words.select(
+        *(F.element_at("w", i + 1).alias(name) for i, name in enumerate("abcd")),
+        F.pmod(F.xxhash64("w"), F.lit(1 << 30)).alias("n"),
+        F.pmod(F.xxhash64("w", F.lit("way")), F.lit(1 << 30)).alias("way"),
+    )
+    part = lambda step, most: F.pmod(F.floor(n / step), F.lit(most)).cast("string")
+    two = lambda step, most: F.lpad(part(step, most), 2, "0")
+    date = F.concat_ws("-", F.concat(F.lit("20"), two(3, 30)), two(5, 12), two(7, 28))
+    time = F.concat_ws("-", two(11, 24), two(13, 60), two(17, 60))
+    caps = lambda w: F.upper(F.substring(w, 1, 4))
+    hexed = F.sha2(F.concat_ws(" ", a, b, c, d), 256)
+    uuid = F.regexp_replace(F.substring(hexed, 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
+    upper, lower, digits = string.ascii_uppercase, string.ascii_lowercase, "1234567890"
+    cut = lambda text: F.substr(F.lit(text), F.pmod(n, F.lit(20)) + 1, 20 + F.pmod(F.floor(n / 31), F.lit(30)))
+    ruler = F.element_at(F.array(*map(F.lit, ("-", "=", "_", "/", "+", "-=", "_-", "+-"))), F.pmod(n, F.lit(8)).cast("int") + 1)
+    forms = [
+        F.concat_ws("_", a, b, c, d),
+        F.concat_ws("-", a, b, c, d),
+        F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)),
+        F.upper(F.concat_ws("_", a, b, c, d)),
+        F.concat_ws("/", a, b, F.concat_ws("_", c, d)),
+        F.concat_ws("_", a, b, c, part(3, 1000)),
+        F.concat(a, F.initcap(b), part(3, 100), F.initcap(c), F.initcap(d)),
+        F.concat(caps(a), F.initcap(b), caps(c), part(3, 300), F.initcap(d)),
+        F.concat(F.initcap(a), part(3, 10), F.initcap(b), F.initcap(c), caps(d), part(5, 1000)),
+        F.concat(a, F.lit("-v"), part(3, 20), F.lit("-"), part(5, 10), F.lit("-"), part(7, 40), F.lit("-"), b, F.lit("_"), c),
+        F.concat(date, F.lit("T"), time, F.lit("-"), F.lpad(part(19, 1_000_000), 6, "0")),
+        F.concat_ws("_", a, b, F.regexp_replace(date, "-", ""), part(3, 100_000)),
+        F.concat(F.regexp_replace(F.concat(date, time), "-", ""), F.lpad(part(19, 1_000_000), 9, "0")),
+        F.lpad(n.cast("string"), 24, "0"),
+        uuid,
+        F.concat_ws("/", F.lit("id"), uuid),
+        cut(digits * 7),
+        cut((upper + lower + "0123456789") * 2),
+        cut((lower + "0123456789" + upper) * 2),
+        F.repeat(ruler, (20 + F.pmod(F.floor(n / 31), F.lit(40))).cast("int")),
+    ]
+    # Every second run has one of the first five forms.
+    half = F.floor(way / 2)
+    at = F.when(way % 2 == 0, F.pmod(half, F.lit(5))).otherwise(F.pmod(half, F.lit(len(forms))))
+    made = [words.where(at == i).select(form.alias("token")) for i, form in enumerate(forms)]
+    return functools.reduce(DataFrame.unionByName, made)
 
 
 def labelled_samples(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS
 ) -> DataFrame:
-    """Labelled tokens: strings made from digests, and words of at most ``sample_docs`` rows.
+    """Labelled tokens: strings made from digests, and runs and words of at most ``sample_docs`` rows.
 
     Random strings are hexadecimal, base64 and mixed alphanumeric texts of
-    digests of numbers.  Ordinary ones are words of the rows with the smallest
-    hash of their id, alone and joined as identifiers, without what the base
-    patterns find.
+    digests of numbers.  Ordinary ones are the long runs of the rows with the
+    smallest hash of their id, and their words joined four by four as programs
+    do: identifiers with and without numbers, paths, versions, dates, UUIDs,
+    counted digits, alphabets and rulers; nothing that the base patterns find.
     """
     spark: SparkSession = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
@@ -116,11 +193,12 @@ def labelled_samples(
     made = spark.range(SAMPLE_RANDOM).select(
         F.explode(
             F.array(
-                digest,
-                F.substring(digest, 1, 40),
+                F.upper(F.substring(digest, 1, 40)),
+                F.substring(packed, 1, 24),
                 packed,
                 F.regexp_replace(packed, "[+/=]", ""),
                 F.upper(F.regexp_replace(packed, "[+/=]", "")),
+                F.translate(packed, "+/=", "-_"),
             )
         ).alias("token"),
         F.lit(1).alias("label"),
@@ -132,24 +210,18 @@ def labelled_samples(
     rest = F.col(text_col)
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
-    words = docs.where(hashed <= cut).select(
-        F.regexp_extract_all(rest, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("words")
+    found = docs.where(hashed <= cut).select(
+        F.regexp_extract_all(rest, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("words"),
+        F.regexp_extract_all(rest, F.lit(RUN), F.lit(0)).alias("runs"),
     )
-    after = F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1)))
-    pairs = F.zip_with("words", after, lambda a, b: F.struct(a.alias("a"), F.coalesce(b, a).alias("b")))
-    ordinary = words.select(F.explode(pairs).alias("w")).select(
-        F.explode(
-            F.array(
-                F.concat("w.a", F.lit("_"), "w.b"),
-                F.concat("w.a", F.lit("-"), "w.b"),
-                F.concat("w.a", F.initcap("w.b")),
-                F.concat(F.upper("w.a"), F.lit("_"), F.upper("w.b")),
-                F.concat("w.a", F.lit("/"), "w.b"),
-            )
-        ).alias("token"),
-        F.lit(0).alias("label"),
+    starts = F.when(F.size("words") >= 4, F.sequence(F.lit(1), F.size("words") - 3, F.lit(4)))
+    four = F.transform(starts, lambda i: F.slice("words", i, 4))
+    ordinary = (
+        _ordinary(stage(found.select(F.explode(four).alias("w")), "secret-words"))
+        .unionByName(found.select(F.explode("runs").alias("token")))
+        .withColumn("label", F.lit(0))
     )
-    return made.unionByName(ordinary)
+    return stage(made.unionByName(ordinary), "secret-samples")
 
 
 def _of_kind(spans: Column, rank: int, kind: str) -> Column:
@@ -269,9 +341,11 @@ def scan_secrets(
     ``base`` has the spans of the patterns: assignments whose value has at least
     8 characters, access keys of at least 16, and runs of at least 32
     hexadecimal digits.  ``spans`` has these and the random runs, or random parts
-    of runs, beside them.  Null and empty texts have none.
+    of runs, beside them.  Null and empty texts have none.  A column of ``docs``
+    with the name of an output stays; the output gets an underscore.
     """
-    text, low = "_scan_text", "_scan_low"
+    text, low, found = fresh(docs, "_scan_text", "_scan_low", "_scan_found")
+    names = fresh(docs, *names)
     rows = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(low, F.lower(text))
     nothing = F.array().cast(_FOUND)
     hinted = F.lit(False)
@@ -303,7 +377,6 @@ def scan_secrets(
             extra = F.when(F.col(text).rlike(RUN), _of_kind(F.flatten(runs), 3, MARKOV)).otherwise(nothing)
         return F.struct(known.alias("base"), F.array_sort(F.concat(known, extra)).alias("all"))
 
-    found = "_scan_found"
     return (
         rows.withColumn(found, let(base, both))
         .withColumn(names[0], F.col(f"{found}.base"))

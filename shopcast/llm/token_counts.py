@@ -171,7 +171,10 @@ def _with(docs: DataFrame, path: str, text_col: str, name: str, spark_type, arro
 def count_tokens(
     docs: DataFrame, tokenizer_path: str, text_col: str = "text", count_col: str = "n_tokens"
 ) -> DataFrame:
-    """Rows of ``docs`` with the number of tokens of the whole text; null and empty have none."""
+    """Rows of ``docs`` with the number of tokens of the whole text; null and empty have none.
+
+    A column of ``docs`` with the name of the output stays; the output gets an underscore.
+    """
     return _with(docs, tokenizer_path, text_col, count_col, T.LongType(), pa.int64(),
                  lambda c, ts: c.count(ts))
 
@@ -179,7 +182,10 @@ def count_tokens(
 def prefix_token_counts(
     docs: DataFrame, tokenizer_path: str, text_col: str = "text", counts_col: str = "prefix_tokens"
 ) -> DataFrame:
-    """Rows of ``docs`` with the token count of every prefix, by code points; null has one, 0."""
+    """Rows of ``docs`` with the token count of every prefix, by code points; null has one, 0.
+
+    Names are kept free as by :func:`count_tokens`.
+    """
     return _with(docs, tokenizer_path, text_col, counts_col, T.ArrayType(T.LongType()),
                  pa.list_(pa.int64()), lambda c, ts: [c.at_prefixes(t).tolist() for t in ts])
 
@@ -187,7 +193,10 @@ def prefix_token_counts(
 def truncate_to_budget(
     docs: DataFrame, tokenizer_path: str, budget: int, text_col: str = "text", out_col: str = "truncated"
 ) -> DataFrame:
-    """Rows of ``docs`` with the longest prefix of the text within ``budget`` tokens; null stays null."""
+    """Rows of ``docs`` with the longest prefix of the text within ``budget`` tokens; null stays null.
+
+    Names are kept free as by :func:`count_tokens`.
+    """
     if budget < 0:
         raise ValueError("a budget is not negative")
     return _with(docs, tokenizer_path, text_col, out_col, T.StringType(), pa.string(),
