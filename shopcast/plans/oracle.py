@@ -406,6 +406,7 @@ SQL["knn_probed_all"] = SQL["knn_euclidean"]
 SQL["knn_probed_rows"] = _with("near_euclid", body="""
 SELECT query_id, count(*) AS neighbours FROM near_euclid GROUP BY query_id""")
 SQL["knn_recall"] = "SELECT true AS enough"
+SQL["knn_forest_recall"] = "SELECT true AS enough, true AS within"
 SQL["knn_manhattan"] = _distance("near_l1")
 SQL["knn_hamming"] = _distance("near_hamming")
 SQL["knn_angular"] = _distance(

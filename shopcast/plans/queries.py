@@ -18,6 +18,7 @@ from shopcast.operators import (
     evaluate,
     factors,
     features,
+    forest,
     inference,
     profile,
     prompts,
@@ -456,6 +457,31 @@ def knn_recall(spark, sf):
     return recall.select((F.col("recall") >= 0.9).alias("enough"))
 
 
+def _customer_vectors(spark, sf):
+    rows = sources.stage(
+        _rounded_features(spark, sf).select("customer_id", *retail.SIMILARITY_FEATURES), "features"
+    )
+    return similarity.z_scored(rows, "customer_id", retail.SIMILARITY_FEATURES, rows)
+
+
+@query
+def knn_forest(spark, sf):
+    """Five nearest customers by a forest of ten trees."""
+    vectors = _customer_vectors(spark, sf).withColumnRenamed("customer_id", "query_id")
+    out = forest.nearest_in_forest(vectors, None, "query_id", "ref_id", 5)
+    return _round(out, {"distance": 6, "score": 6})
+
+
+@query
+def knn_forest_recall(spark, sf):
+    """Whether the forest finds nine of ten exact neighbours, and compares no more rows than stated."""
+    exact, found = knn_euclidean(spark, sf), knn_forest(spark, sf)
+    recall = similarity.recall(found, exact, "query_id", "ref_id")
+    sizes = forest.leaf_sizes(_customer_vectors(spark, sf), "customer_id")
+    met = sizes.groupBy().agg((F.max("rows") <= 2 * forest.LEAF_ROWS).alias("within"))
+    return recall.select((F.col("recall") >= 0.9).alias("enough")).join(met)
+
+
 @query
 def embedding_topk(spark, sf):
     rows = retail.table(spark, sf, "embeddings")
