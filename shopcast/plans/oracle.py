@@ -527,6 +527,50 @@ SELECT query_id, feature, correlation, weakest_z, weakest_z > {NormalDist().inv_
          unnest([{', '.join(_weakest(i) for i in range(_m))}]) AS weakest_z FROM moments)""")
 SQL["fisher_z_screen"] = _with("screen", body="""
 SELECT query_id, feature, round(correlation, 6) AS correlation, round(weakest_z, 5) AS weakest_z, passed FROM screen""")
+_SK = [*retail.SIMILARITY_FEATURES, "label"]
+_sk_pairs = [(i, j) for i in range(len(_SK)) for j in range(i + 1, len(_SK))]
+part("skr", ["near1000"], f"""
+SELECT query_id, n, unnest([{', '.join(str(i) for i, _ in _sk_pairs)}]) AS i, unnest([{', '.join(str(j) for _, j in _sk_pairs)}]) AS j,
+       unnest(rs) AS r FROM (
+  SELECT query_id, count(*) AS n, [{', '.join(f"coalesce({_r(_SK[i], _SK[j])}, 0)" for i, j in _sk_pairs)}] AS rs
+  FROM near1000 GROUP BY query_id)""")
+part("skboth", ["skr"], "SELECT * FROM skr UNION ALL SELECT query_id, n, j, i, r FROM skr")
+
+
+def _given(own: str, left: str, right: str) -> str:
+    spread = f"((1 - {left} * {left}) * (1 - {right} * {right}))"
+    return f"CASE WHEN {spread} > 1e-10 THEN ({own} - {left} * {right}) / sqrt({spread}) ELSE 0 END"
+
+
+_sk_critical = f"{NormalDist().inv_cdf(0.95)!r}::DOUBLE"
+part("skone", ["skboth"], f"""
+SELECT a.query_id, a.n, a.i, a.j, b.j AS k, {_given('a.r', 'b.r', 'c.r')} AS r
+FROM skboth a JOIN skboth b ON b.query_id = a.query_id AND b.i = a.i AND b.j <> a.j
+JOIN skboth c ON c.query_id = a.query_id AND c.i = a.j AND c.j = b.j""")
+part("skadj0", ["skboth"], f"SELECT query_id, i, j FROM skboth WHERE {_z('r', 0)} > {_sk_critical}")
+part("sksep1", ["skone", "skadj0"], f"""
+SELECT query_id, i, j, min(k) AS k FROM skone JOIN skadj0 USING (query_id, i, j)
+WHERE i < j AND ((query_id, i, k) IN (SELECT (query_id, i, j) FROM skadj0) OR (query_id, j, k) IN (SELECT (query_id, i, j) FROM skadj0))
+  AND NOT ({_z('r', 1)} > {_sk_critical}) GROUP BY ALL""")
+part("skadj1", ["skadj0", "sksep1"], """
+SELECT * FROM skadj0 WHERE (query_id, least(i, j), greatest(i, j)) NOT IN (SELECT (query_id, i, j) FROM sksep1)""")
+part("sksep2", ["skone", "skadj1"], f"""
+SELECT query_id, i, j, min([k, l]) AS kl FROM (
+  SELECT a.query_id, a.n, a.i, a.j, a.k, b.j AS l, {_given('a.r', 'b.r', 'c.r')} AS r
+  FROM skone a JOIN skadj1 e ON e.query_id = a.query_id AND e.i = a.i AND e.j = a.j AND a.i < a.j
+  JOIN skone b ON b.query_id = a.query_id AND b.i = a.i AND b.k = a.k AND b.j > a.k AND b.j <> a.j
+  JOIN skone c ON c.query_id = a.query_id AND c.i = a.j AND c.k = a.k AND c.j = b.j)
+WHERE (((query_id, i, k) IN (SELECT (query_id, i, j) FROM skadj1) AND (query_id, i, l) IN (SELECT (query_id, i, j) FROM skadj1))
+    OR ((query_id, j, k) IN (SELECT (query_id, i, j) FROM skadj1) AND (query_id, j, l) IN (SELECT (query_id, i, j) FROM skadj1)))
+  AND NOT ({_z('r', 2)} > {_sk_critical}) GROUP BY ALL""")
+_sk_names = "[" + ", ".join(f"'{c}'" for c in _SK) + "]"
+SQL["dependence_skeleton"] = _with("skr", "skadj0", "sksep1", "sksep2", body=f"""
+SELECT query_id, {_sk_names}[i + 1] AS first, {_sk_names}[j + 1] AS second, round(r, 6) AS correlation,
+       (query_id, i, j) IN (SELECT (query_id, i, j) FROM skadj0) AND k IS NULL AND kl IS NULL AS joined,
+       CASE WHEN (query_id, i, j) NOT IN (SELECT (query_id, i, j) FROM skadj0) THEN ''
+            WHEN k IS NOT NULL THEN {_sk_names}[k + 1]
+            WHEN kl IS NOT NULL THEN {_sk_names}[kl[1] + 1] || '+' || {_sk_names}[kl[2] + 1] END AS separated_by
+FROM skr LEFT JOIN sksep1 USING (query_id, i, j) LEFT JOIN sksep2 USING (query_id, i, j)""")
 part("forder", ["mi", "screen"], """
 SELECT query_id, feature, place FROM (
   SELECT query_id, feature, row_number() OVER (PARTITION BY query_id ORDER BY CAST(passed AS INTEGER) DESC, rank) AS place

@@ -25,6 +25,7 @@ from shopcast.operators import (
     reconcile,
     sampling,
     similarity,
+    skeleton,
     stats,
 )
 from shopcast.plans import flows, retail
@@ -575,6 +576,16 @@ def fisher_z_screen(spark, sf):
     return _round(out, {"correlation": 6, "weakest_z": 5})
 
 
+@query
+def dependence_skeleton(spark, sf):
+    """Pairs of eight features and the label that stay dependent given up to two others."""
+    near = _neighbourhood(_ranking_rows(spark, sf), retail.SCREEN_NEIGHBOURS)
+    out = skeleton.dependence_skeleton(
+        factors.local_rows(near), "query_id", [*retail.SIMILARITY_FEATURES, "label"], max_order=2
+    )
+    return _round(out, {"correlation": 6}).withColumn("separated_by", F.array_join("separated_by", "+"))
+
+
 def _factor_order(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Neighbours and factor order of every row; one search serves both steps."""
     near = sources.stage(_neighbourhood(rows, retail.RANKING_NEIGHBOURS), "neighbours")
