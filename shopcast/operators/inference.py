@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopcast.config import ModelSettings
-from shopcast.sources import append_results, pending_rows, read_table, stage, table_exists
+from shopcast.sources import append_results, pending_rows, read_table, stage, staged_path, table_exists
 
 ModelFactory = Callable[[], Callable[[str], str]]
 
+#: Prompts that a worker answers before its replies are stored.
+COMMIT_PROMPTS = 20
+
 
 def _call_partition(factory: ModelFactory, settings: ModelSettings):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,22 +85,34 @@ def resumed_replies(
     path: str,
     key: str,
     workers: int | None = None,
-    rounds: int = 1,
+    rounds: int | None = None,
+    commit_prompts: int = COMMIT_PROMPTS,
 ) -> DataFrame:
     """Replies kept in a table at ``path``; only prompts without a stored reply are sent.
 
-    With ``rounds`` the prompts are sent in that many parts, each stored before
-    the next, so that a job that dies loses the calls of one part only.
+    Prompts are sent in rounds of ``commit_prompts`` per worker, or in ``rounds``
+    of them where stated, and each round's replies are stored before the next
+    one starts: a job that dies loses the calls of one round, a task that is
+    tried again those of its ``commit_prompts``.  ``workers`` (``max_workers``
+    of the settings by default) is free of the chunk size.  The prompts still to
+    be sent are found and written once, a folder per round.
     """
     spark = prompts.sparkSession
+    stored = table_exists(spark, path)
+    done = read_table(spark, path).where(F.col("reply").isNotNull()) if stored else None
+    todo = stage(pending_rows(prompts, done, [key]), "pending-prompts")
+    workers = workers or settings.max_workers
+    rounds = rounds or max(1, math.ceil(todo.count() / (workers * commit_prompts)))
+    folder = staged_path(spark, "prompt-rounds")
+    dealt = todo.repartition(rounds).withColumn("round", F.spark_partition_id())
+    dealt.write.partitionBy("round").parquet(folder)
+    if not stored:
+        # An empty table: a run without prompts, or one that dies at once, can be read.
+        append_results(call_model(todo.limit(0), factory, settings, 1), path)
     for part in range(rounds):
-        done = None
-        if table_exists(spark, path):
-            done = read_table(spark, path).where(F.col("reply").isNotNull())
-        todo = prompts.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == part)
-        append_results(
-            call_model(pending_rows(todo, done, [key]), factory, settings, workers), path
-        )
+        if table_exists(spark, f"{folder}/round={part}"):
+            batch = spark.read.schema(todo.schema).parquet(f"{folder}/round={part}")
+            append_results(call_model(batch, factory, settings, workers), path)
     # A prompt that failed before and was answered now has both rows: keep the answer.
     return (
         read_table(spark, path)

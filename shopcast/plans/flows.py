@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopcast.config import FeatureSpec, ModelSettings
+from shopcast.functions.replies import profile_body
 from shopcast.operators import clean, factors, features, prompts, reconcile, sampling, similarity, stats
 from shopcast.operators.inference import ModelFactory, resumed_replies, staged_replies
 from shopcast.operators.profile import profile_dataset
-from shopcast.sources import stage
+from shopcast.sources import pending_rows, stage
 
 Period = features.Period
 
@@ -41,15 +42,34 @@ def build_dataset(
 
 
 def prompt_replies(
-    prompted: DataFrame, model: ModelFactory, settings: ModelSettings, path: str | None, rounds: int = 1
+    prompted: DataFrame, model: ModelFactory, settings: ModelSettings, path: str | None,
+    rounds: int | None = None, workers: int | None = None, key: str = "chunk_no",
 ):
-    """Replies by ``chunk_no``.  Stored ones are found by the content of their prompt, not by its number."""
+    """Replies by ``key``.  Stored ones are found by the content of their prompt, not by its number."""
     if not path:
-        return staged_replies(prompted, model, settings)
+        return staged_replies(prompted, model, settings, workers)
     keyed = prompted.withColumn("prompt_key", F.sha2("prompt", 256))
     different = keyed.select("prompt_key", "prompt").dropDuplicates(["prompt_key"])
-    replies = resumed_replies(different, model, settings, path, "prompt_key", rounds=rounds)
-    return keyed.select("chunk_no", "prompt_key").join(replies, "prompt_key", "left").drop("prompt_key")
+    replies = resumed_replies(different, model, settings, path, "prompt_key", workers, rounds)
+    return keyed.select(key, "prompt_key").join(replies, "prompt_key", "left").drop("prompt_key")
+
+
+def adaptive_texts(
+    prompted: DataFrame,
+    model: ModelFactory,
+    settings: ModelSettings,
+    replies_path: str | None = None,
+    rounds: int | None = None,
+    workers: int | None = None,
+    key: str = "customer_id",
+) -> DataFrame:
+    """(key, adaptive_template) of rows with a ``prompt`` each: the profile body of the model's reply.
+
+    ``replies_path`` keeps the replies, so that a later run sends only prompts
+    without one.  A failed call gives a null text.
+    """
+    replies = prompt_replies(prompted, model, settings, replies_path, rounds, workers, key)
+    return replies.select(key, profile_body(F.col("reply")).alias("adaptive_template"))
 
 
 def _require_unique(rows: DataFrame, keys: Sequence[str]) -> None:
@@ -71,13 +91,15 @@ def write_narratives(
     distribution_exclude: str | Sequence[str] | None = None,
     append_template: bool = False,
     replies_path: str | None = None,
-    rounds: int = 1,
+    rounds: int | None = None,
+    workers: int | None = None,
 ) -> DataFrame:
     """Template profiles, then a narrative per customer from the model.
 
     The distribution text describes all rows, also those beyond ``row_limit``.
     ``replies_path`` keeps the replies, so that a later run asks only for
-    prompts without one; they are sent and stored in ``rounds`` parts.
+    prompts without one; they are sent and stored in ``rounds`` parts, small ones
+    by default, by ``workers`` tasks.
     """
     distribution = stats.feature_distribution_text(df, specs, distribution_exclude).scalar()
     rows = df if row_limit is None else sampling.sample_rows(df, row_limit, ["customer_id"])
@@ -89,7 +111,7 @@ def write_narratives(
         F.concat_ws("\n\n", F.lit(system), F.concat(F.lit("Feature distribution:\n"), distribution),
                     F.concat(F.lit("Customer profiles:\n"), F.col("prompt"))).alias("prompt"),
     )
-    replies = prompt_replies(prompted, model, settings, replies_path, rounds)
+    replies = prompt_replies(prompted, model, settings, replies_path, rounds, workers)
     narrated = reconcile.narrative_profiles(chunked, replies, append_template)
     return narrated.drop("window_no", "chunk_no", "position")
 
@@ -111,8 +133,9 @@ def predict_outcomes(
     exclude_self: bool = False,
     profile_col: str = "narrative_profile",
     replies_path: str | None = None,
-    rounds: int = 1,
+    rounds: int | None = None,
     treatment_col: str | None = None,
+    workers: int | None = None,
 ) -> DataFrame:
     """Profiles with a typed prediction per outcome.
 
@@ -155,7 +178,7 @@ def predict_outcomes(
     prompted = prompts.prompt_context(
         prompts.prediction_prompts(chunked, profile_col), system, outcomes, distribution, blocks
     ).select("chunk_no", "prompt")
-    replies = prompt_replies(prompted, model, settings, replies_path, rounds)
+    replies = prompt_replies(prompted, model, settings, replies_path, rounds, workers)
     predicted = reconcile.predictions(chunked, replies, outcomes).withColumn("customer_id", F.col("_customer"))
     return predicted.drop("_customer", "window_no", "chunk_no", "position")
 
@@ -174,13 +197,22 @@ def ranked_factors(
     examples: int = 5,
     item_columns: Sequence[str] = (),
     task: str = "cls",
+    done: DataFrame | None = None,
 ) -> DataFrame:
     """Factor and case text per test row, from its neighbourhood in the train rows.
 
+    ``done`` holds texts of an earlier run (customer_id, factor_text, case_text):
+    customers with both are not searched again, their rows are returned as they are.
+
     Rows hold ``customer_id``, the features, a 0/1 ``target`` and an ``answer``
     text.  The target takes no part in scaling or in the search.
     """
     columns = list(features_)
+    if done is not None:
+        wanted = test.select("customer_id").distinct()
+        done = done.where("factor_text IS NOT NULL AND case_text IS NOT NULL").join(wanted, "customer_id", "left_semi")
+        done = done.select("customer_id", "factor_text", "case_text")
+        test = pending_rows(test, done, ["customer_id"])
     scaled = clean.min_max_scale(train, columns, train).select(
         F.col("customer_id").alias("ref_id"), F.array(*columns).alias("vec"), *columns, target
     )
@@ -205,8 +237,9 @@ def ranked_factors(
     cases = factors.case_text(
         near, order, reference, "query_id", "ref_id", columns, answer, examples, item_columns, task
     )
-    return (
+    texts = (
         factors.factor_text(order, "query_id", labels)
         .join(cases, "query_id")
         .withColumnRenamed("query_id", "customer_id")
     )
+    return texts if done is None else texts.unionByName(done)

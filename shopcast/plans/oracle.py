@@ -596,6 +596,15 @@ FROM (SELECT query_id, rank, any_value(label) AS label, string_agg(feature || '
       FROM near_cos JOIN rcust ON customer_id = ref_id JOIN forder USING (query_id) WHERE rank <= 5 GROUP BY query_id, rank)
 GROUP BY query_id""")
 SQL["case_text"] = _with("cases", body="SELECT * FROM cases")
+_items = " || ".join(
+    f"CASE WHEN CAST(trunc({c}) AS BIGINT) <> 0 THEN ', {c} is ' || CAST({c} AS VARCHAR) ELSE '' END" for c in retail.SHARES)
+SQL["case_text_rec"] = _with("forder", "near_cos", "rcust", body=f"""
+SELECT query_id, string_agg('Customer Profile: ' || body || items || '.Preferred Categories: group ' || CAST(nb_category AS VARCHAR) || '.',
+                            chr(10) ORDER BY rank) AS case_text
+FROM (SELECT query_id, rank, any_value(nb_category) AS nb_category, any_value({_items}) AS items,
+             string_agg(feature || ' is ' || {_value_case}, ', ' ORDER BY place) AS body
+      FROM near_cos JOIN rcust ON customer_id = ref_id JOIN forder USING (query_id) WHERE rank <= 5 GROUP BY query_id, rank)
+GROUP BY query_id""")
 
 
 def bare(x: str, kind: str = "number") -> str:
@@ -1044,6 +1053,30 @@ FROM (SELECT customer_id, template_profile,
 SQL["prediction_stub"] = _with("profiles", body="""
 SELECT customer_id, CAST(length(customer_id) AS DOUBLE) AS pred_target_sales, 'SMALL' AS pred_target_categories,
        0.6::DOUBLE AS pred_confidence, 'same for all' AS pred_reasoning, false AS is_fallback FROM profiles""")
+SQL["narratives"] = _with("rprofiles", body="""
+SELECT customer_id, CASE WHEN lost THEN template_profile ELSE 'Customer ' || customer_id || ' in words.' END AS narrative_profile,
+       lost AS is_fallback
+FROM (SELECT customer_id, profile AS template_profile, CAST(customer_id AS BIGINT) % 11 = 0 AS lost FROM rprofiles)""")
+
+
+def _by_train(c: str) -> str:
+    v = f"coalesce(CAST({c} AS DOUBLE), 0)"
+    mean, std = (f"{f}({v}) FILTER (split = 'train') OVER ()" for f in ("avg", "stddev_pop"))
+    return f"({v} - {mean}) / CASE WHEN {std} = 0 THEN 1 ELSE {std} END"
+
+
+part("ztrain", ["rcust", "split"], f"""
+SELECT customer_id AS id, split, [{', '.join(_by_train(c) for c in _SIM)}] AS v
+FROM rcust JOIN (SELECT customer_id, split FROM split) USING (customer_id)""")
+_pairs("near_train", ["ztrain"], "(SELECT * FROM ztrain WHERE split = 'test')", _euclid, 3,
+       refs="(SELECT * FROM ztrain WHERE split = 'train')")
+SQL["fewshot_predictions"] = _with("near_train", "rprofiles", body="""
+SELECT query_id AS customer_id, CAST(count(*) AS DOUBLE) AS pred_target_sales,
+       max(outcome) FILTER (rank = 1) AS pred_target_categories, false AS is_fallback
+FROM near_train JOIN rprofiles ON customer_id = ref_id GROUP BY query_id""")
+SQL["adaptive_resumed"] = _with("rcust", body=f"""
+SELECT customer_id, CASE WHEN CAST(customer_id AS BIGINT) % 3 > 0 THEN 'first ' ELSE 'second ' END ||
+       lower({numeric_text(retail.NUMERIC_NAMES, ('label',))} || ' ') AS adaptive_template FROM rcust""")
 SQL["adaptive_stub"] = _with("rcust", body=f"""
 SELECT customer_id, lower({numeric_text(retail.NUMERIC_NAMES, ('label',))} || ' ') AS adaptive_template FROM rcust""")
 _percent = "CASE promotion " + " ".join(

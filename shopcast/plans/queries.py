@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -621,6 +620,20 @@ def case_text(spark, sf):
     return _case_text(rows, near, order)
 
 
+@query
+def case_text_rec(spark, sf):
+    """Cases with the item columns that are not zero, answered by preferred categories."""
+    rows = _ranking_rows(spark, sf)
+    near, order = _factor_order(rows)
+    reference = rows.withColumnRenamed("customer_id", "ref_id").withColumn(
+        "answer", F.concat(F.lit("group "), F.col("nb_category").cast("string"))
+    )
+    return factors.case_text(
+        near, order, reference, "query_id", "ref_id", retail.RANKING_FEATURES, "answer",
+        item_columns=retail.SHARES, task="rec",
+    )
+
+
 @query
 def factor_prompt(spark, sf):
     rows = _ranking_rows(spark, sf)
@@ -1154,8 +1167,7 @@ def counterfactual_predictions(spark, sf):
 @query
 def resume_prompts(spark, sf):
     """A second run over more customers, some with a changed prompt, sends only prompts without a reply."""
-    folder = sources.staging_folder(spark).rstrip("/")
-    path = f"{folder}/stored-replies-{uuid.uuid4().hex}.parquet"
+    path = sources.staged_path(spark, "stored-replies")
     people = retail.customers(spark, sf)
     text = F.concat_ws(" ", "customer_id", "c_mktsegment")
     changed = F.when(people.c_custkey % 7 == 0, F.concat(F.lit("earlier "), text)).otherwise(text)
@@ -1181,6 +1193,47 @@ def adaptive_stub(spark, sf):
     return replies.select("customer_id", rt.profile_body(F.col("reply")).alias("adaptive_template"))
 
 
+@query
+def narratives(spark, sf):
+    """The narrative flow over all customers; the model leaves some of them out."""
+    told = flows.write_narratives(
+        _rounded_features(spark, sf), retail.PROFILE_SPECS, made.stub_narrator, retail.SETTINGS, retail.SYSTEM_TEXT,
+        replies_path=sources.staged_path(spark, "told"), workers=8,
+    )
+    return told.select("customer_id", "narrative_profile", "is_fallback")
+
+
+@query
+def fewshot_predictions(spark, sf):
+    """Test customers predicted from examples of the train customers; the model repeats the nearest one."""
+    split = _split_customers(spark, sf).select("customer_id", "split")
+    rows = sources.stage(_rounded_features(spark, sf).join(split, "customer_id"), "split-customers")
+    test, train = rows.where("split = 'test'"), rows.where("split = 'train'")
+    predicted = flows.predict_outcomes(
+        profile.profile_dataset(test, retail.PROFILE_SPECS, retail.TREATMENT_SPECS),
+        test, retail.OUTCOME_SPECS, made.stub_examples, retail.SETTINGS, retail.SYSTEM_TEXT,
+        outcome_context=retail.OUTCOME_CONTEXT, outcome_exclude="target_categories",
+        reference_profiles=profile.profile_dataset(
+            train, retail.PROFILE_SPECS, retail.TREATMENT_SPECS, retail.OUTCOME_SPECS
+        ),
+        reference_df=train, similarity_features=retail.SIMILARITY_FEATURES, top_k=3,
+        profile_col="template_profile", workers=8,
+    )
+    return predicted.select("customer_id", "pred_target_sales", "pred_target_categories", "is_fallback")
+
+
+@query
+def adaptive_resumed(spark, sf):
+    """Adaptive texts in two runs: the second asks only for customers whose prompt has no reply yet."""
+    rows = sources.stage(_rounded_features(spark, sf), "customers")
+    text = rt.strip_label_sentences(profile.numeric_text(rows, retail.NUMERIC_NAMES), [retail.NUMERIC_NAMES["label"]])
+    prompted = rows.select("customer_id", F.concat(F.lit("Customer Profile: "), text).alias("prompt"))
+    path = sources.staged_path(spark, "adaptive")
+    some = prompted.where(F.col("customer_id").cast("long") % 3 > 0)
+    flows.adaptive_texts(some, made.stub_marked_profile("first"), retail.SETTINGS, path, rounds=2)
+    return flows.adaptive_texts(prompted, made.stub_marked_profile("second"), retail.SETTINGS, path, workers=8)
+
+
 @query
 def resume_pending(spark, sf):
     """Orders still to be done when those of finished status have a stored result."""
@@ -1190,7 +1243,7 @@ def resume_pending(spark, sf):
 
 
 def _stored(spark, suffix: str) -> str:
-    return f"{sources.staging_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}.{suffix}"
+    return sources.staged_path(spark, "written", suffix)
 
 
 @query

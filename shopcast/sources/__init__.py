@@ -93,6 +93,11 @@ def drop_staged(spark: SparkSession) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def staged_path(spark: SparkSession, name: str, suffix: str = "parquet") -> str:
+    """A path of its own in this application's part of the shared folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}.{suffix}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -101,7 +106,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     broadcast only when it is below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     spark = df.sparkSession
-    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    path = staged_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -186,3 +186,64 @@ def test_resume_after_rows_were_added(spark, tmp_path):
             told(n), told(n), OUTCOMES, make, SETTINGS, "S", replies_path=path, rounds=2
         ).collect()
         assert len(out) == n and not any(r.is_fallback for r in out)
+
+
+def _dies_once(folder, at):
+    """A factory that notes every call, and whose process dies the first time it meets one prompt."""
+
+    def make():
+        import os
+
+        def answer(prompt):
+            with open(f"{folder}/calls-{os.getpid()}", "a") as f:
+                f.write(prompt + "\n")
+            if prompt == at and not os.path.exists(f"{folder}/died"):
+                open(f"{folder}/died", "w").close()
+                os._exit(1)
+            return prompt + "!"
+
+        return answer
+
+    return make
+
+
+def test_a_killed_task_loses_one_commit_at_most(spark, tmp_path):
+    from shopcast.operators.inference import resumed_replies
+
+    calls, path = tmp_path / "calls", str(tmp_path / "r.parquet")
+    calls.mkdir()
+    df = spark.range(60).select(F.col("id").alias("k"), F.col("id").cast("string").alias("prompt")).repartition(3)
+    send = lambda: resumed_replies(df, _dies_once(str(calls), "41"), SETTINGS, path, "k", workers=2, commit_prompts=4)
+    with pytest.raises(Exception):
+        send()
+    kept = spark.read.parquet(path).count()
+    made = [line for f in calls.glob("calls-*") for line in f.read_text().split()]
+    assert kept >= len(made) - 2 * 4 and kept < 60
+    got = {r.k: r.reply for r in send().collect()}
+    assert got == {i: f"{i}!" for i in range(60)}
+    again = [line for f in calls.glob("calls-*") for line in f.read_text().split()]
+    assert len(again) <= 60 + 2 * 4
+
+
+def test_adaptive_texts_are_resumed(spark, tmp_path):
+    df = spark.range(9).select(F.col("id").alias("customer_id"), F.format_string("row %d", "id").alias("prompt"))
+    path = str(tmp_path / "r.parquet")
+    mark = lambda m: lambda: lambda prompt: f"Customer Profile:\n{m} {prompt}"
+    flows.adaptive_texts(df.where("customer_id < 4"), mark("a"), SETTINGS, path)
+    got = {r.customer_id: r.adaptive_template for r in flows.adaptive_texts(df, mark("b"), SETTINGS, path).collect()}
+    assert got == {i: f"{'a' if i < 4 else 'b'} row {i}" for i in range(9)}
+    assert flows.adaptive_texts(df, mark("c"), SETTINGS).where("adaptive_template like 'c%'").count() == 9
+
+
+def test_ranked_factors_leave_out_what_is_done(spark):
+    rows = [(str(i), float(i % 7), float(i % 5), i % 2, "yes" if i % 2 else "no") for i in range(60)]
+    df = spark.createDataFrame(rows, "customer_id string, a double, b double, y int, answer string")
+    test, train = df.where("customer_id < '2'"), df.where("customer_id >= '2'")
+    run = lambda **k: flows.ranked_factors(test, train, ["a", "b"], "y", "answer", neighbours=20, screen_neighbours=10, **k)
+    whole = {r.customer_id: tuple(r) for r in run().collect()}
+    done = spark.createDataFrame(
+        [("1", "kept.", "case"), ("10", None, "case"), ("59", "not asked for", "x")],
+        "customer_id string, factor_text string, case_text string",
+    )
+    got = {r.customer_id: tuple(r) for r in run(done=done).collect()}
+    assert got == whole | {"1": ("1", "kept.", "case")}
