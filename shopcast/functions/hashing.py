@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# First hex digits of the hash used as a bucket: 16 ** 3 buckets.
-BUCKET_DIGITS = 3
+# Rows of a hash bucket, about: how many buckets there are follows from the row count.
+BUCKET_ROWS = 100_000
 
 
 def hash_order(keys: Sequence[str | Column], seed: int | str) -> Column:
@@ -17,5 +17,13 @@ def hash_order(keys: Sequence[str | Column], seed: int | str) -> Column:
     return F.md5(F.concat_ws(":", *parts, F.lit(str(seed))))
 
 
-def hash_bucket(order: Column) -> Column:
-    return F.substring(order, 1, BUCKET_DIGITS)
+def bucket_digits(rows: int, bucket_rows: int | None = None) -> int:
+    """First hex digits of the hash that make buckets of at most ``bucket_rows`` rows, about."""
+    digits, bound = 1, bucket_rows or BUCKET_ROWS
+    while bound * 16**digits < rows and digits < 16:
+        digits += 1
+    return digits
+
+
+def hash_bucket(order: Column, digits: int) -> Column:
+    return F.substring(order, 1, digits)

@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from shopcast import fixed
 from shopcast.config import FeatureSpec, ModelSettings
-from shopcast.functions.hashing import hash_bucket, hash_order
+from shopcast.functions.hashing import hash_order
+from shopcast.operators.running import running_totals
 
 
 def assign_chunks(
@@ -22,21 +23,15 @@ def assign_chunks(
     """Add window_no, chunk_no and position in a reproducible global order.
 
     Windows hold ``batch_size`` rows and are cut into chunks of ``chunk_size``.
-    Rows are ranked inside hash buckets only; bucket totals, a table of at most
-    4,096 rows, turn that into the global rank.
+    Only hashes and their counts are ranked; rows with their texts meet the rank
+    of their hash in a join.  Rows that share a key follow each other.
     """
-    order = hash_order(key_cols, seed)
-    keyed = df.withColumns({"_h": order, "_b": hash_bucket(order)})
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.select(hash_bucket(order).alias("_b"))
-        .groupBy("_b")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    keyed = df.withColumn("_h", hash_order(key_cols, seed))
+    ranks = running_totals(keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")), "_h", ["_n"])
+    ranks = ranks.select("_h", (F.col("_n_upto") - F.col("_n")).alias("_before"))
+    ranked = keyed.join(ranks, "_h").withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_h").orderBy(*key_cols))
     )
-    ranked = keyed.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_b").orderBy("_h"))
-    ).join(F.broadcast(offsets), "_b")
     zero = F.col("_rank") + F.col("_before") - 1
     per_window = -(-settings.batch_size // settings.chunk_size)
     window_no = F.floor(zero / settings.batch_size)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Buckets are found in two steps: a coarse one, then one of its fine ones.
-STEP = 32
-# About this many rows per bucket while the number of buckets allows it.
-BUCKET_ROWS = 10_000
+from shopcast.sources import stage
+
+# Rows that one task sorts and adds up, about.
+BUCKET_ROWS = 200_000
 
 
 def running_totals(
@@ -19,76 +19,37 @@ def running_totals(
     order_col: str,
     sums: Sequence[str],
     descending: bool = False,
-    bucket_rows: int = BUCKET_ROWS,
+    bucket_rows: int | None = None,
 ) -> DataFrame:
     """Add ``<sum>_upto`` columns: totals over all rows up to and including this one.
 
     ``order_col`` must be distinct per row (aggregate to one row per value
-    first).  Rows are cut into up to 1,024 buckets of about equal size at
-    boundaries of the order column; only a bucket is sorted, and the bucket
-    totals are a table of at most that many rows.
+    first).  Rows are cut into ranges of about ``bucket_rows`` rows, as many as
+    the table needs; only a range is sorted.  What lies before a range follows
+    from running totals over the ranges, by the same step where they are many.
     """
-    probs = [i / STEP**2 for i in range(1, STEP**2)]
-    head = df.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(order_col, probs, 10 * STEP**2).alias("b")
-    ).first()
-    wanted = max(1, min(STEP**2, -(-head["n"] // bucket_rows)))
-    bounds = sorted(set((head["b"] or [])[:: max(1, STEP**2 // wanted)])) if wanted > 1 else []
-    placed = _with_bucket(df, order_col, bounds)
-    order = F.col("bucket").desc() if descending else F.col("bucket").asc()
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("bucket")
-        .agg(*[F.sum(s).alias(s) for s in sums])
-        .select(
-            "bucket",
-            *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums],
-        )
-    )
+    bucket_rows = bucket_rows or BUCKET_ROWS
+    rows = stage(df, "running-rows")
+    buckets = max(1, -(-rows.count() // bucket_rows))
     inner = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    upto = (
-        Window.partitionBy("bucket")
-        .orderBy(inner)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        placed.withColumns({f"{s}_upto": F.sum(s).over(upto) for s in sums})
-        .join(F.broadcast(offsets), "bucket")
-        .select(
-            *df.columns,
-            *[(F.col(f"{s}_upto") + F.col(f"{s}_before")).alias(f"{s}_upto") for s in sums],
-        )
+    reach = (Window.unboundedPreceding, Window.currentRow)
+    if buckets == 1:
+        upto = Window.orderBy(inner).rowsBetween(*reach)
+        return rows.withColumns({f"{s}_upto": F.sum(s).over(upto) for s in sums})
+    # A name of its own: the order column of the totals is itself such a number.
+    bucket = f"{order_col}_bucket"
+    # Stored, as the ranges come from a sample: computed again they could differ.
+    placed = stage(
+        rows.repartitionByRange(buckets, inner).withColumn(bucket, F.spark_partition_id()), "running-ranges"
     )
-
-
-def _with_bucket(df: DataFrame, order_col: str, bounds: list[float]) -> DataFrame:
-    """Add ``bucket``: the number of boundaries below the value."""
-    value = F.col(order_col)
-    if not bounds:
-        return df.withColumn("bucket", F.lit(0))
-    fine = [bounds[i : i + STEP] for i in range(0, len(bounds), STEP)]
-    coarse = _search(value, [part[-1] for part in fine[:-1]])
-    table = df.sparkSession.createDataFrame(
-        [(i, part) for i, part in enumerate(fine)], "coarse int, fine array<double>"
+    totals = placed.groupBy(bucket).agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    offsets = running_totals(totals, bucket, [f"_{s}" for s in sums], bucket_rows=bucket_rows)
+    offsets = stage(
+        offsets.select(bucket, *[(F.col(f"_{s}_upto") - F.col(f"_{s}")).alias(f"_{s}") for s in sums]), "running-offsets"
     )
-    below = F.size(F.filter("fine", lambda b: b < value))
+    upto = Window.partitionBy(bucket).orderBy(inner).rowsBetween(*reach)
     return (
-        df.withColumn("coarse", coarse)
-        .join(F.broadcast(table), "coarse")
-        .withColumn("bucket", F.col("coarse") * STEP + below)
-        .drop("coarse", "fine")
+        placed.withColumns({f"{s}_upto": F.sum(s).over(upto) for s in sums})
+        .join(offsets, bucket)
+        .select(*df.columns, *[(F.col(f"{s}_upto") + F.col(f"_{s}")).alias(f"{s}_upto") for s in sums])
     )
-
-
-def _search(value: Column, bounds: list[float]) -> Column:
-    """Number of boundaries below the value, found by halving in generated code."""
-
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value <= F.lit(bounds[mid]), between(low, mid)).otherwise(
-            between(mid + 1, high)
-        )
-
-    return between(0, len(bounds))

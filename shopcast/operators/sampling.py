@@ -1,8 +1,9 @@
 """Reproducible exact-size samples, splits and hold-outs.
 
 Rows are ordered by a hash of their key.  An exact cut of that order is found
-in two narrow scans: counts per hash bucket say which bucket holds the cut, and
-only that bucket is ranked to get the hash at the cut.  The rows themselves are
+in narrow scans: the row count gives the number of hash buckets, counts per
+bucket say which one holds the cut, and only that one is ranked to get the hash
+at the cut.  The rows themselves are
 then labelled by one comparison with that hash: no shuffle of wide rows, and no
 task ever sorts a whole stratum, however large one stratum is.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shopcast.functions.hashing import hash_bucket, hash_order
+from shopcast.functions.hashing import bucket_digits, hash_bucket, hash_order
 from shopcast.sources import stage
 
 SEED = 112
@@ -32,7 +33,8 @@ def _cut_hashes(
     ``positions`` maps the stratum size to cumulative row counts.  A position
     of 0 gives null.
     """
-    narrow = df.select(*strata, order.alias("h"), hash_bucket(order).alias("b"))
+    bucket = hash_bucket(order, bucket_digits(df.count()))
+    narrow = df.select(*strata, order.alias("h"), bucket.alias("b"))
     counts = narrow.groupBy(*strata, "b").agg(F.count(F.lit(1)).alias("cnt"))
     whole = Window.partitionBy(*strata)
     upto = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)

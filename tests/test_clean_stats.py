@@ -127,10 +127,10 @@ def test_order_statistics_with_brackets(spark, interpolation, bracket_rows):
         assert got[p] == pytest.approx(want, rel=1e-12)
 
 
-@pytest.mark.parametrize("rows_per_bucket", [3, 100, 10_000])
-def test_running_totals_equal_a_plain_sum(spark, rows_per_bucket):
+@pytest.mark.parametrize("rows_per_bucket,n", [(10, 400), (100, 3000), (10_000, 3000)])
+def test_running_totals_equal_a_plain_sum(spark, rows_per_bucket, n):
     rng = random.Random(3)
-    rows = sorted({rng.random() ** 6 for _ in range(3000)})
+    rows = sorted({rng.random() ** 6 for _ in range(n)})
     df = spark.createDataFrame([(v, i % 7) for i, v in enumerate(rows)], "v double, n int")
     got = {r.v: r.n_upto for r in running_totals(df, "v", ["n"], bucket_rows=rows_per_bucket).collect()}
     total = 0

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -235,3 +236,18 @@ def test_json_is_never_evaluated(spark):
     text = json.dumps([{"customer_id": "1", "narrative_profile": "__import__('os')"}])
     got = reconcile.narrative_profiles(rows(spark, ["1"]), reply(spark, text)).first()
     assert got.narrative_profile == "__import__('os')"
+
+
+@pytest.mark.parametrize("bound", [10, 200_000])
+def test_chunks_follow_the_hash_order(spark, monkeypatch, bound):
+    from shopcast.operators import running
+
+    monkeypatch.setattr(running, "BUCKET_ROWS", bound)
+    keys = [str(i) for i in range(95)] + ["7", "7"]
+    df = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(keys)], "customer_id string, t string").repartition(4)
+    got = prompts.assign_chunks(df, ModelSettings(batch_size=20, max_workers=4)).collect()
+    order = sorted(keys, key=lambda k: hashlib.md5(f"{k}:112".encode()).hexdigest())
+    placed = sorted((r.chunk_no, r.position, r.customer_id) for r in got)
+    assert [k for _, _, k in placed] == order and len({r.t for r in got}) == 97
+    assert [(c, p) for c, p, _ in placed] == [(i // 5, i % 5 + 1) for i in range(97)]
+    assert all(r.window_no == r.chunk_no // 4 for r in got)

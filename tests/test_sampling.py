@@ -114,3 +114,20 @@ def test_one_stratum_with_a_third_of_all_rows(spark):
     counts = sampling.two_way_split(df, 0.25, ["s"], ["id"]).groupBy((F.col("s") == "hot").alias("hot"), "part").count()
     got = {(r.hot, r.part): r["count"] for r in counts.collect()}
     assert got == {(True, "first"): 5000, (True, "second"): 15000, (False, "second"): 40000}
+
+
+@pytest.mark.parametrize("bound", [10, 100_000])
+def test_cuts_do_not_depend_on_the_buckets(spark, monkeypatch, bound):
+    from shopcast.functions import hashing
+    from shopcast.functions.hashing import bucket_digits
+
+    monkeypatch.setattr(hashing, "BUCKET_ROWS", bound)
+    assert bucket_digits(700) == (2 if bound == 10 else 1) and bucket_digits(10**12, 10) == 10
+    df = spark.range(700).select(F.col("id").cast("string").alias("k"), (F.col("id") % 3 == 0).alias("s"))
+    order = {str(i): hashlib.md5(f"{i}:7".encode()).hexdigest() for i in range(700)}
+    parts = sampling.train_valid_test(df, ["k"], strata=["s"], seed=7).collect()
+    for s in (True, False):
+        keys = sorted((r.k for r in parts if r.s == s), key=order.get)
+        train, rest = round(len(keys) * 0.6), len(keys) - round(len(keys) * 0.6)
+        want = ["train"] * train + ["valid"] * round(rest * 0.5) + ["test"] * (rest - round(rest * 0.5))
+        assert [next(r.split for r in parts if r.k == k) for k in keys] == want
