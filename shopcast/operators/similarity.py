@@ -16,12 +16,13 @@ shuffled as rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -533,7 +534,7 @@ def _search(
 
 
 def _blockwise(visits, placed, units: Units, seen, k, compare, result) -> DataFrame:
-    """Compare visiting query rows (qid, vec, limit, unit) with the rows of their unit, block by block."""
+    """Compare visiting query rows (qid, vec, ..., unit) with the rows of their unit, block by block."""
     spark = placed.sparkSession
     block = max(ROWS_PER_CELL, 4 * k)
     share = sum(s["n"] for s in seen) // (2 * spark.sparkContext.defaultParallelism)
@@ -552,9 +553,7 @@ def _blockwise(visits, placed, units: Units, seen, k, compare, result) -> DataFr
         "unit",
         F.explode(F.sequence(F.lit(0), F.col("ref_blocks") - 1)).alias("ref_block"),
         F.pmod(F.xxhash64("qid"), F.col("query_blocks")).cast("int").alias("query_block"),
-        "qid",
-        "vec",
-        "limit",
+        *[c for c in visits.columns if c != "unit"],
     )
     right = placed.join(sizes, "unit").select(
         "unit",
@@ -594,6 +593,148 @@ def _scored(
     )
 
 
+# Sums over nearest rows ----------------------------------------------------
+
+
+def _inside(part, refs, rids, limit, edge, family) -> np.ndarray:
+    """Boolean matrix: reference rows up to the limit in rank order; at the limit up to the row ``edge``."""
+    own = np.einsum("ij,ij->i", part, part)[:, None]
+    top = np.einsum("ij,ij->i", refs, refs).max()
+    bound = limit[:, None]
+    if family == "product":
+        near, room = -(part @ refs.T), 1e-12 * np.sqrt(own * top) + 4e-9
+    elif family == "l1":
+        near, room = _absolute_gaps(part, refs), 4e-9
+    else:
+        near, room = _squared_gaps(part, refs), 1e-12 * (own + top) + 4e-9 * (2 * bound + 4e-9)
+        bound = bound * bound
+    inside = near < bound - room
+    # What lies within rounding of the limit is ranked as the search has ranked it.
+    qi, ri = np.nonzero(~inside & (near <= bound + room))
+    wide = max(1, MATRIX_NUMBERS // max(1, refs.shape[1]))
+    for at in range(0, len(qi), wide):
+        q, r = qi[at : at + wide], ri[at : at + wide]
+        value = np.round(_rank_value(part[q], refs[r], family), ORDER_DIGITS)
+        last = np.round(limit[q], ORDER_DIGITS)
+        inside[q, r] = (value < last) | ((value == last) & (rids[r] <= edge[q]))
+    return inside
+
+
+def _sum_blocks(family, views: Sequence[Callable[[np.ndarray], np.ndarray]], schema: pa.Schema):
+    """Arrow function of two blocks: per query row and view the sums over its rows of the block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        queries, refs = _matrix(left.column("vec")), _matrix(right.column("vec"))
+        rids, values = right.column("rid").to_numpy(), _matrix(right.column("values"))
+        columns = [left.column("qid").combine_chunks()]
+        step = max(1, MATRIX_NUMBERS // len(rids))
+        for i, view in enumerate(views):
+            limit, edge = (left.column(f"{name}_{i}").to_numpy() for name in ("limit", "edge"))
+            numbers = view(values)
+            sums = [
+                _inside(queries[at : at + step], refs, rids, limit[at : at + step], edge[at : at + step], family)
+                .astype(np.float64) @ numbers
+                for at in range(0, len(queries), step)
+            ]
+            columns.append(_lists(np.concatenate(sums)))
+        return pa.table(dict(zip(schema.names, columns)), schema=schema)
+
+    return run
+
+
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    ends = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(matrix.reshape(-1)))
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """Arrays of one ``qid`` added up, number by number, as its rows pass by."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            ids = batch.column(0)
+            differ = [True, *np.asarray(pa.compute.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)))] if len(ids) else []
+            starts = np.flatnonzero(differ)
+            if not len(starts):
+                continue
+            sums = [_lists(np.add.reduceat(_matrix(batch.column(i)), starts, axis=0)) for i in range(1, batch.num_columns)]
+            whole = pa.RecordBatch.from_arrays([ids.take(pa.array(starts)), *sums], names=batch.schema.names)
+            yield whole.slice(0, whole.num_rows - 1)
+            held = whole.slice(whole.num_rows - 1)
+        if held is not None:
+            yield held
+
+    return parts.repartition("qid").sortWithinPartitions("qid").mapInArrow(run, parts.schema)
+
+
+def first_and_last(near: DataFrame, refs: DataFrame, first: int, ks: Sequence[int]) -> DataFrame:
+    """Of neighbours the ``first`` nearest, and those that :func:`nearest_sums` takes as limits for counts ``ks``."""
+    rows = refs.count()
+    return near.where((F.col("rank") <= first) | F.col("rank").isin([min(k, rows) for k in ks]))
+
+
+def nearest_sums(
+    near: DataFrame,
+    queries: DataFrame,
+    refs: DataFrame,
+    query_id: str,
+    ref_id: str,
+    views: Sequence[tuple[int, Callable[[np.ndarray], np.ndarray]]],
+    metric: str = "euclidean",
+    seed: int | str = 42,
+) -> DataFrame:
+    """Per query row sums over its nearest reference rows: query_id and ``sums_0``, ``sums_1``, ...
+
+    ``near`` is the result of :func:`nearest` for the same tables, with as many
+    rows per query as any view asks for; of it only the last row that a view
+    takes is read, its limit.  A view is a count of rows and a function from
+    their ``values`` (a matrix of the array column of ``refs``) to the numbers
+    that are added up.  The reference rows within the limit are met in blocks,
+    whose sums are matrix products: no neighbour row is joined or shuffled.
+    """
+    family = _family(metric)
+    ready = prepare_vector(F.col("vec"), metric).alias("vec")
+    r = stage(refs.select(F.col(ref_id).alias("rid"), ready, "values"), "reference-values")
+    head = _head(r)
+    # The value that rows are ranked by, from the distance that the search tells.
+    value = {"dot": -F.col("distance"), "cosine": F.col("distance") - 1}.get(metric, F.col("distance"))
+    if metric == "angular":
+        value = (F.col("distance") * F.col("distance") - 2) / 2
+    places = [min(k, head["n"]) for k, _ in views]
+    of = lambda i: F.max(F.when(F.col("rank") == places[i], F.struct(value.alias("limit"), ref_id)))
+    limits = near.where(F.col("rank").isin(places)).groupBy(query_id).agg(*[of(i).alias(f"v{i}") for i in range(len(views))])
+    limits = limits.select(
+        F.col(query_id).alias("qid"),
+        *[F.col(f"v{i}.limit").alias(f"limit_{i}") for i in range(len(views))],
+        *[F.col(f"v{i}.{ref_id}").alias(f"edge_{i}") for i in range(len(views))],
+    )
+    id_type = refs.schema[ref_id].dataType
+    q = queries.select(F.col(query_id).cast(id_type).alias("qid"), ready).join(limits, "qid")
+    result = T.StructType(
+        [T.StructField("qid", id_type)]
+        + [T.StructField(f"sums_{i}", T.ArrayType(T.DoubleType())) for i in range(len(views))]
+    )
+    if not head["n"]:
+        return q.sparkSession.createDataFrame([], result).withColumnRenamed("qid", query_id)
+    cell_rows, top_norm = _cell_rows(max(places)), float(head["norm"])
+    pivots = _pivots(r, head["n"], head["width"], None, seed, cell_rows)
+    units, placed = _build_units(r, pivots, family, top_norm, cell_rows)
+    farthest = F.greatest(*[F.col(f"limit_{i}") for i in range(len(views))], F.lit(float("-inf")))
+    asked = q.withColumn("limit", farthest).withColumn("first", F.array().cast("array<int>"))
+    kind = T.StructType([*asked.schema.fields, T.StructField("units", T.ArrayType(T.IntegerType()))])
+    chosen = stage(asked.mapInArrow(_visits(units, family, top_norm, _within_limit, "units"), kind), "sum-units")
+    visits = chosen.drop("first", "limit").select(*[c for c in q.columns], F.explode("units").alias("unit"))
+    seen = visits.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).collect()
+    compare = _sum_blocks(family, [view for _, view in views], to_arrow_schema(result))
+    parts = _blockwise(visits, placed, units, seen, max(places), compare, result)
+    return _added(parts).withColumnRenamed("qid", query_id)
+
+
 def recall(found: DataFrame, exact: DataFrame, query_id: str, ref_id: str) -> DataFrame:
     """Share of the exact neighbours that were found, over all query rows."""
     hits = exact.select(query_id, ref_id).join(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopcast.operators.factors import _FLAT, _moments
+from shopcast.operators.factors import _FLAT, _moments, all_pairs
 
 #: Query rows whose matrices are searched at once; a round holds an array of them per test.
 BATCH_ROWS = 512
@@ -99,12 +99,26 @@ def dependence_skeleton(
     variables, as :func:`factors.dependence_screen` does with one.  The
     correlation of a constant column counts as 0.  An empty table has no pairs.
     """
+    if len(variables) < 2:
+        raise ValueError("a skeleton needs two variables and an order of 0 or more")
+    found = _moments(local, query_id, list(variables), all_pairs(len(variables)))
+    return skeleton_from(found, query_id, variables, alpha, max_order, among_neighbours)
+
+
+def skeleton_from(
+    found: DataFrame,
+    query_id: str,
+    variables: Sequence[str],
+    alpha: float = 0.1,
+    max_order: int = 2,
+    among_neighbours: bool = True,
+) -> DataFrame:
+    """The same from ``n`` and ``r``, the correlations of all pairs, as :func:`factors.correlations` gives them."""
     names, size = list(variables), len(variables)
     if size < 2 or max_order < 0:
         raise ValueError("a skeleton needs two variables and an order of 0 or more")
-    pairs = list(combinations(range(size), 2))
+    pairs = all_pairs(size)
     critical = NormalDist().inv_cdf(1 - alpha / 2)
-    found = _moments(local, query_id, names, pairs)
     left, right = (np.array(side) for side in zip(*pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -214,24 +214,23 @@ def ranked_factors(
         done = done.select("customer_id", "factor_text", "case_text")
         test = pending_rows(test, done, ["customer_id"])
     scaled = clean.min_max_scale(train, columns, train).select(
-        F.col("customer_id").alias("ref_id"), F.array(*columns).alias("vec"), *columns, target
+        F.col("customer_id").alias("ref_id"),
+        F.array(*columns).alias("vec"),
+        F.array(*columns, F.col(target).cast("double")).alias("values"),
     )
-    near = stage(
-        similarity.nearest(
-            similarity.min_max_scaled(test, "customer_id", columns, train)
-            .withColumnRenamed("customer_id", "query_id"),
-            scaled, "query_id", "ref_id", max(neighbours, examples), "cosine",
-            carry=list(dict.fromkeys([*columns, target])),
-        ),
-        "neighbours",
-    )
-    ranking = factors.mutual_information_ranking(
-        factors.local_rows(near, neighbours), "query_id", columns, target, max_features
+    asked = similarity.min_max_scaled(test, "customer_id", columns, train).withColumnRenamed("customer_id", "query_id")
+    most = max(neighbours, screen_neighbours, examples)
+    near = similarity.nearest(asked, scaled.drop("values"), "query_id", "ref_id", most, "cosine")
+    near = stage(similarity.first_and_last(near, scaled, examples, [neighbours, screen_neighbours]), "neighbours")
+    size, pairs = len(columns) + 1, factors.all_pairs(len(columns) + 1)
+    views = [(neighbours, factors.bin_view(len(columns))), (screen_neighbours, factors.moment_view(size, pairs))]
+    sums = stage(
+        similarity.nearest_sums(near, asked, scaled, "query_id", "ref_id", views, "cosine"), "neighbour-sums"
     )
-    screen = factors.dependence_screen(
-        factors.local_rows(near, screen_neighbours), "query_id", columns, target
+    ranking = factors.information_ranking_of(sums, "query_id", "sums_0", columns, max_features)
+    screen = factors.dependence_screen_of(
+        factors.correlations(sums, "query_id", "sums_1", size, pairs), "query_id", columns
     )
-    near = near.select("query_id", "ref_id", "rank", "distance", "score")
     order = stage(factors.factor_order(ranking, screen, "query_id", top_k), "factor-order")
     reference = train.withColumnRenamed("customer_id", "ref_id")
     cases = factors.case_text(

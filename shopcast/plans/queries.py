@@ -534,67 +534,81 @@ def _ranking_rows(spark, sf):
     return sources.stage(rows.join(split, "customer_id"), "ranking-rows")
 
 
-def _neighbourhood(rows: DataFrame, k: int) -> DataFrame:
-    """Neighbours of the test rows among the train rows, with scaled features and label."""
+def _neighbourhood(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Neighbours of the test rows among the train rows, and both tables with vectors and values."""
     columns = list(retail.RANKING_FEATURES)
     train, test = rows.where("split = 'train'").drop("split"), rows.where("split = 'test'")
     scaled = clean.min_max_scale(train, columns, train).select(
         F.col("customer_id").alias("ref_id"),
         F.array(*columns).alias("vec"),
-        *[F.round(c, 9).alias(c) for c in columns],
-        "label",
+        F.array(*[F.round(c, 9) for c in columns], F.col("label").cast("double")).alias("values"),
     )
-    return similarity.nearest(
-        similarity.min_max_scaled(test, "customer_id", columns, train)
-        .withColumnRenamed("customer_id", "query_id"),
-        scaled, "query_id", "ref_id", k, "cosine", carry=[*columns, "label"],
+    asked = similarity.min_max_scaled(test, "customer_id", columns, train).withColumnRenamed(
+        "customer_id", "query_id"
+    )
+    near = similarity.nearest(asked, scaled.drop("values"), "query_id", "ref_id", k, "cosine")
+    return near, asked, scaled
+
+
+def _sums(near, asked, scaled, *views):
+    return sources.stage(
+        similarity.nearest_sums(near, asked, scaled, "query_id", "ref_id", views, "cosine"), "neighbour-sums"
     )
 
 
+_N_RANKED = len(retail.RANKING_FEATURES)
+_BINS = (retail.RANKING_NEIGHBOURS, factors.bin_view(_N_RANKED))
+_PAIRS = factors.all_pairs(_N_RANKED + 1)
+_MOMENTS = (retail.SCREEN_NEIGHBOURS, factors.moment_view(_N_RANKED + 1, _PAIRS))
+
+
 @query
 def corr_ranking(spark, sf):
-    near = _neighbourhood(_ranking_rows(spark, sf), retail.RANKING_NEIGHBOURS)
-    local = factors.local_rows(near)
-    out = factors.correlation_ranking(local, "query_id", retail.RANKING_FEATURES, "label")
+    pairs = [(i, _N_RANKED) for i in range(_N_RANKED)]
+    view = (retail.RANKING_NEIGHBOURS, factors.moment_view(_N_RANKED + 1, pairs))
+    sums = _sums(*_neighbourhood(_ranking_rows(spark, sf), retail.RANKING_NEIGHBOURS), view)
+    found = factors.correlations(sums, "query_id", "sums_0", _N_RANKED + 1, pairs)
+    out = factors.correlation_ranking_of(found, "query_id", retail.RANKING_FEATURES)
     return _round(out, {"score": 6})
 
 
 @query
 def mi_ranking(spark, sf):
-    near = _neighbourhood(_ranking_rows(spark, sf), retail.RANKING_NEIGHBOURS)
-    local = factors.local_rows(near)
-    out = factors.mutual_information_ranking(local, "query_id", retail.RANKING_FEATURES, "label")
+    sums = _sums(*_neighbourhood(_ranking_rows(spark, sf), retail.RANKING_NEIGHBOURS), _BINS)
+    out = factors.information_ranking_of(sums, "query_id", "sums_0", retail.RANKING_FEATURES)
     return _round(out, {"score": 6})
 
 
 @query
 def fisher_z_screen(spark, sf):
-    near = _neighbourhood(_ranking_rows(spark, sf), retail.SCREEN_NEIGHBOURS)
-    local = factors.local_rows(near)
-    out = factors.dependence_screen(local, "query_id", retail.RANKING_FEATURES, "label")
+    sums = _sums(*_neighbourhood(_ranking_rows(spark, sf), retail.SCREEN_NEIGHBOURS), _MOMENTS)
+    found = factors.correlations(sums, "query_id", "sums_0", _N_RANKED + 1, _PAIRS)
+    out = factors.dependence_screen_of(found, "query_id", retail.RANKING_FEATURES)
     return _round(out, {"correlation": 6, "weakest_z": 5})
 
 
 @query
 def dependence_skeleton(spark, sf):
     """Pairs of eight features and the label that stay dependent given up to two others."""
-    near = _neighbourhood(_ranking_rows(spark, sf), retail.SCREEN_NEIGHBOURS)
-    out = skeleton.dependence_skeleton(
-        factors.local_rows(near), "query_id", [*retail.SIMILARITY_FEATURES, "label"], max_order=2
-    )
+    names = [*retail.SIMILARITY_FEATURES, "label"]
+    places = [*range(len(names) - 1), _N_RANKED]
+    pairs = [(places[i], places[j]) for i, j in factors.all_pairs(len(names))]
+    view = (retail.SCREEN_NEIGHBOURS, factors.moment_view(_N_RANKED + 1, pairs))
+    sums = _sums(*_neighbourhood(_ranking_rows(spark, sf), retail.SCREEN_NEIGHBOURS), view)
+    found = factors.correlations(sums, "query_id", "sums_0", _N_RANKED + 1, pairs)
+    out = skeleton.skeleton_from(found, "query_id", names, max_order=2)
     return _round(out, {"correlation": 6}).withColumn("separated_by", F.array_join("separated_by", "+"))
 
 
 def _factor_order(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Neighbours and factor order of every row; one search serves both steps."""
-    near = sources.stage(_neighbourhood(rows, retail.RANKING_NEIGHBOURS), "neighbours")
-    ranking = factors.mutual_information_ranking(
-        factors.local_rows(near), "query_id", retail.RANKING_FEATURES, "label"
-    )
-    screen = factors.dependence_screen(
-        factors.local_rows(near, retail.SCREEN_NEIGHBOURS), "query_id", retail.RANKING_FEATURES, "label"
-    )
-    near = near.select("query_id", "ref_id", "rank", "distance", "score")
+    """Nearest cases and factor order of every row; one search serves both."""
+    near, asked, scaled = _neighbourhood(rows, retail.RANKING_NEIGHBOURS)
+    ks = [retail.RANKING_NEIGHBOURS, retail.SCREEN_NEIGHBOURS]
+    near = sources.stage(similarity.first_and_last(near, scaled, 5, ks), "neighbours")
+    sums = _sums(near, asked, scaled, _BINS, _MOMENTS)
+    ranking = factors.information_ranking_of(sums, "query_id", "sums_0", retail.RANKING_FEATURES)
+    found = factors.correlations(sums, "query_id", "sums_1", _N_RANKED + 1, _PAIRS)
+    screen = factors.dependence_screen_of(found, "query_id", retail.RANKING_FEATURES)
     return near, factors.factor_order(ranking, screen, "query_id")
 
 
