@@ -204,7 +204,8 @@ STEMS = (
     "licen", "spdx", "gpl", "cc0", "cc-by", "creative", "domain", "reserved",
     "proprietary", "granted", "permission", "redistribution", "unencumbered", "as-is", "unlicense", ".org/",
     ".net/", ".com/", ".co/", ".uk/", ".eu/", ".info/", "wtfpl.net",
-    *sorted({keyword for _, keyword, *_ in NOTICES}),
+    "software", "copyright", "warrant", "applicable", "remotely", "cddl", "distributed", "endorse", "contained",
+    "altered", "trademark", "jpeg", "stuff", "gemma", "reproduced", "unauthorized",
 )
 _BLANKS = r"[\s*#/]+"
 #: The same for names with a blank in their stem, over line breaks and comment signs too.
