@@ -521,10 +521,12 @@ def _search(
         return _blockwise(visits, placed, units, seen, k, compare, result)
 
     endless = F.lit(float("inf"))
-    hold = need if probes is not None else FIRST_SHARE * need
+    # Of a table of one cell nothing is worth ruling out: a single visit of all its units.
+    at_once = probes is None and len(units.pivots) == 1
+    hold = need if probes is not None else head["n"] if at_once else FIRST_SHARE * need
     chosen = listed(q, partial(_nearest_units, need=hold, probes=probes), "first")
     near = found(chosen.withColumn("limit", endless), "first")
-    if probes is not None:
+    if probes is not None or at_once:
         return near
     near = stage(_top(near, k).drop("rank"), "near-rows")
     reached = near.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
