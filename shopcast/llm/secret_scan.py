@@ -37,6 +37,8 @@ RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}"
 #: Pieces of a run between separators; a base64 text ends with its padding.
 PIECE = r"[A-Za-z0-9+]+(?:={1,2}\z)?"
 MARKOV = "markov"
+#: What drawn lines repeat.
+RULERS = ("-", "=", "_", "/", "+", "-=", "_-", "+-")
 #: Rows that samples are taken from, at most, and random strings of each make.
 SAMPLE_DOCS, SAMPLE_RANDOM = 400, 1_500
 
@@ -100,9 +102,9 @@ def train_markov(
     """Fit both models on tokens labelled 1 (random string) or 0 (ordinary identifier).
 
     Without a stated threshold, a quarter of the tokens is held out, and the
-    threshold is the score that ``false_rate`` of its ordinary runs exceed; where
-    random ones lie higher, it is midway to the score that all but 5 % of them
-    exceed.  Null tokens and labels, and characters outside the alphabet, are
+    threshold lies midway between the score that ``false_rate`` of its ordinary
+    runs exceed and the one that all but 5 % of its random ones exceed; where
+    these overlap it is the latter.  Null tokens and labels, and characters outside the alphabet, are
     left out.  Without ordinary or without random tokens nothing is found.  The
     driver gets a count per pair of characters and two scores.
     """
@@ -124,18 +126,18 @@ def train_markov(
         ).collect()}
         threshold = math.inf
         if 0 in of and 1 in of:
-            threshold = max(0.0, of[0]["high"])
-            threshold = max(threshold, (threshold + of[1]["low"]) / 2)
+            high, low = max(0.0, of[0]["high"]), of[1]["low"]
+            threshold = (high + low) / 2 if high < low else low
     return MarkovModels(ratios, threshold)
 
 
 def _ordinary(words: DataFrame) -> DataFrame:
-    """Runs as programs and texts hold them: the four words of each row ``w`` joined in one of many ways."""
+    """Runs as programs and texts hold them: the four words of each row (pos, w) joined in one of many ways."""
     a, b, c, d, n, way = (F.col(name) for name in ("a", "b", "c", "d", "n", "way"))
     words = words.select(
         *(F.element_at("w", i + 1).alias(name) for i, name in enumerate("abcd")),
-        F.pmod(F.xxhash64("w"), F.lit(1 << 30)).alias("n"),
-        F.pmod(F.xxhash64("w", F.lit("way")), F.lit(1 << 30)).alias("way"),
+        F.pmod(F.xxhash64("w", "pos"), F.lit(1 << 30)).alias("n"),
+        F.pmod(F.xxhash64("w", "pos", F.lit("way")), F.lit(1 << 30)).alias("way"),
     )
     part = lambda step, most: F.pmod(F.floor(n / step), F.lit(most)).cast("string")
     two = lambda step, most: F.lpad(part(step, most), 2, "0")
@@ -146,7 +148,6 @@ def _ordinary(words: DataFrame) -> DataFrame:
     uuid = F.regexp_replace(F.substring(hexed, 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
     upper, lower, digits = string.ascii_uppercase, string.ascii_lowercase, "1234567890"
     cut = lambda text: F.substr(F.lit(text), F.pmod(n, F.lit(20)) + 1, 20 + F.pmod(F.floor(n / 31), F.lit(30)))
-    ruler = F.element_at(F.array(*map(F.lit, ("-", "=", "_", "/", "+", "-=", "_-", "+-"))), F.pmod(n, F.lit(8)).cast("int") + 1)
     forms = [
         F.concat_ws("_", a, b, c, d),
         F.concat_ws("-", a, b, c, d),
@@ -167,7 +168,6 @@ def _ordinary(words: DataFrame) -> DataFrame:
         cut(digits * 7),
         cut((upper + lower + "0123456789") * 2),
         cut((lower + "0123456789" + upper) * 2),
-        F.repeat(ruler, (20 + F.pmod(F.floor(n / 31), F.lit(40))).cast("int")),
     ]
     # Every second run has one of the first five forms.
     half = F.floor(way / 2)
@@ -214,11 +214,17 @@ def labelled_samples(
         F.regexp_extract_all(rest, F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("words"),
         F.regexp_extract_all(rest, F.lit(RUN), F.lit(0)).alias("runs"),
     )
-    starts = F.when(F.size("words") >= 4, F.sequence(F.lit(1), F.size("words") - 3, F.lit(4)))
+    starts = F.when(F.size("words") >= 4, F.sequence(F.lit(1), F.size("words") - 3, F.lit(2)))
     four = F.transform(starts, lambda i: F.slice("words", i, 4))
+    # Rulers of every kind and length, however few rows there are.
+    ruler = F.element_at(F.array(*map(F.lit, RULERS)), (F.col("id") % len(RULERS) + 1).cast("int"))
+    rulers = spark.range(40 * len(RULERS)).select(
+        F.repeat(ruler, (LEAST_RUN + F.floor(F.col("id") / len(RULERS))).cast("int")).alias("token")
+    )
     ordinary = (
-        _ordinary(stage(found.select(F.explode(four).alias("w")), "secret-words"))
+        _ordinary(stage(found.select(F.posexplode(four).alias("pos", "w")), "secret-words"))
         .unionByName(found.select(F.explode("runs").alias("token")))
+        .unionByName(rulers)
         .withColumn("label", F.lit(0))
     )
     return stage(made.unionByName(ordinary), "secret-samples")
