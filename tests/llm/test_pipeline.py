@@ -41,4 +41,4 @@ def test_stages(spark, tmp_path):
 
 def test_registry():
     assert [n for n, _ in corpus_pipeline.STAGES][2] == "SimHash near-dedup"
-    assert set(SQL) <= set(QUERIES) and len([n for n in QUERIES if n.startswith("op")]) == 10
+    assert set(SQL) <= set(QUERIES) and len([n for n in QUERIES if n.startswith("op")]) == 13
