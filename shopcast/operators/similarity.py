@@ -610,17 +610,20 @@ def nearest(
     places = None if ranks is None else sorted({min(rank, head["n"] - int(exclude_self)) for rank in ranks})
     told = None if exclude_self else places
     found = _search(lead, r, head, family, need, False, probes, n_pivots, seed, told)
+    best = _handed_out(q, lead, found, k, exclude_self, places)
+    return _scored(best, query_id, ref_id, metric, carry)
+
+
+def _handed_out(q: DataFrame, lead: DataFrame, found: DataFrame, k: int, exclude_self: bool, places=None) -> DataFrame:
+    """Ranked rows of every query row from ``near`` of the row that was searched for all with its vector."""
     shared = q.withColumnRenamed("qid", "own").join(lead, "vec").select("own", "qid")
     best = shared.join(found, "qid").select(F.col("own").alias("qid"), "near")
-    if exclude_self:
-        others = F.slice(F.filter("near", lambda x: x["rid"] != F.col("qid")), 1, k)
-        best = best.select("qid", F.posexplode(others).alias("place", "one"))
-        best = best.select("qid", "one.*", "place").withColumn("rank", F.col("place") + 1).drop("place")
-        if places is not None:
-            best = best.where(F.col("rank").isin(places))
-    else:
-        best = best.select("qid", F.inline("near"))
-    return _scored(best, query_id, ref_id, metric, carry)
+    if not exclude_self:
+        return best.select("qid", F.inline("near"))
+    others = F.slice(F.filter("near", lambda x: x["rid"] != F.col("qid")), 1, k)
+    best = best.select("qid", F.posexplode(others).alias("place", "one"))
+    best = best.select("qid", "one.*", "place").withColumn("rank", F.col("place") + 1).drop("place")
+    return best if places is None else best.where(F.col("rank").isin(places))
 
 
 def _result_type(refs: DataFrame) -> T.StructType:
