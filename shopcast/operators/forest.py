@@ -301,7 +301,7 @@ def nearest_in_forest(
     kind = T.StructType([lead.schema["qid"], T.StructField("near", near)])
     compare = _compare_leaves(grown, below, need, to_arrow_schema(kind))
     met = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(compare, kind)
-    best = s._handed_out(q, lead, _best_of_trees(met, need), k, exclude_self)
+    best = s._handed_out(q, lead, _best_of_trees(met, need), k, need, exclude_self, s._repeated(q))
     if not exclude_self:
         best = best.where(F.col("rank") <= k)
     return s._scored(best, query_id, ref_id, metric, carry)

@@ -69,3 +69,16 @@ def test_carried_columns(spark):
     r = vectors(spark, 50, 3, 4, "ref_id").withColumn("name", F.concat(F.lit("n"), "ref_id"))
     found = forest.nearest_in_forest(q, r, "query_id", "ref_id", 2, carry=["name"], leaf_rows=10).collect()
     assert len(found) == 40 and all(x.name == f"n{x.ref_id}" for x in found)
+
+
+def test_levels_by_summaries_and_in_tasks(spark, monkeypatch):
+    """Large nodes are cut by summaries, smaller ones in tasks; a query row's best of a tree are one row."""
+    monkeypatch.setattr(forest, "NODE_ROWS", 400)
+    monkeypatch.setattr(forest, "SUMMARY_ROWS", 700)
+    rows = vectors(spark, 5_000, 4)
+    sizes = forest.leaf_sizes(rows, "query_id", trees=3, leaf_rows=50).collect()
+    assert max(s.rows for s in sizes) <= 2.1 * 50 and sum(s.rows for s in sizes) == 15_000
+    exact = similarity.nearest(rows, None, "query_id", "ref_id", 3)
+    found = forest.nearest_in_forest(rows, None, "query_id", "ref_id", 3, leaf_rows=50)
+    assert found.count() == 15_000
+    assert similarity.recall(found, exact, "query_id", "ref_id").first().recall >= 0.9

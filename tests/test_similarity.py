@@ -230,3 +230,44 @@ def test_null_and_nan_are_refused(spark):
                 refs.withColumn("vec", F.expr("array(double('NaN'), 1D)"))):
         with pytest.raises(Exception, match="fill it before"):
             similarity.nearest(queries, bad, "query_id", "ref_id", 1).collect()
+
+
+def test_an_id_that_stands_for_several_rows_has_k_neighbours_in_all(spark):
+    rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [5.0, 0.0]), (3, [9.0, 1.0])]
+    q, _ = frames(spark, rows, rows)
+    r = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(10)], "ref_id long, vec array<double>")
+    found = ranked(similarity.nearest(q, r, "query_id", "ref_id", 3))
+    assert found[1] == [0, 0, 1] and found[2][0] == 5 and len(found[2]) == 3
+
+
+def test_only_the_wanted_ranks_leave_the_search(spark, monkeypatch):
+    """A query row leaves as one row with the ranks asked for; before, all 40 neighbours left as rows."""
+    monkeypatch.setattr(similarity, "ROWS_PER_CELL", 30)
+    sizes, search = [], similarity._search
+
+    def watched(*args):
+        found = search(*args)
+        sizes.append((found.count(), found.agg(F.max(F.size("near"))).first()[0]))
+        return found
+
+    monkeypatch.setattr(similarity, "_search", watched)
+    rows = vectors(500, 3, 5)
+    q, r = frames(spark, rows[:60], rows)
+    found = similarity.nearest(q, r, "query_id", "ref_id", 40, ranks=[1, 2, 40, 900])
+    want = brute(rows[:60], rows, 40, "euclidean")
+    assert sizes == [(60, 3)]
+    assert {i: found for i, found in ranked(found).items()} == {i: [w[0], w[1], w[39]] for i, w in want.items()}
+
+
+def test_sums_of_a_query_row_leave_once(spark, monkeypatch):
+    """Many small units: one row of sums per query row is made, not one per unit; repeated ids add up."""
+    monkeypatch.setattr(similarity, "ROWS_PER_CELL", 20)
+    rows = vectors(300, 3, 7)
+    q, r = frames(spark, [*rows[:30], rows[2]], rows)
+    r = r.withColumn("values", F.array(F.lit(1.0), F.col("ref_id").cast("double")))
+    near = similarity.nearest(q.dropDuplicates(["query_id"]), r.drop("values"), "query_id", "ref_id", 25)
+    sums = similarity.nearest_sums(near, q, r, "query_id", "ref_id", [(25, lambda x: x)])
+    got = {s.query_id: s.sums_0 for s in sums.collect()}
+    want = brute(rows[:30], rows, 25, "euclidean")
+    assert len(got) == 30 and got[2] == [50.0, 2.0 * sum(want[2])]
+    assert all(got[i] == [25.0, float(sum(w))] for i, w in want.items() if i != 2)
