@@ -1,37 +1,45 @@
 """Gradient-boosted regression baseline of symmetric trees.
 
-Features are binned once to bytes.  Rows are dealt to a bounded number of tasks,
-which keep them for many rounds: a level of a tree is one table of sums by
-(leaf, feature, bin), which tasks build from their own rows, exchange at a
-barrier and add up, so that all of them choose the same split.  Only the right
-children are summed; the left ones are what remains of their parents.  Rounds
-run in segments: a lost executor repeats the segment it was in.
+Features are binned once to bytes.  A level of a tree is one table of sums by
+(leaf, feature, bin).  Only the right children are summed; the left ones are what
+remains of their parents.  Few rows are fitted by one task, many rounds in one job.
+More are kept as cached blocks with their residuals: each level is a job that adds
+up the sums of all blocks and returns them, and the driver chooses the split.
+Rounds run in segments, each of which starts from the stored blocks and the trees
+so far: a lost executor repeats no more than the segment it was in.
 """
 
 from __future__ import annotations
 
-import base64
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import BarrierTaskContext
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopcast.sources import stage
 
-#: Rows that a task is given, where there are tasks enough; it holds a byte a feature and 16 more a row.
+#: Rows that one task fits alone; it holds a byte a feature and 16 more a row.
 TASK_ROWS = 500_000
-#: Tasks of a fit, at most; each of them gets the sums of all others at every level.
+#: Tasks of a level, unless they would get more than this many times those rows; the driver gets the sums of each.
 MOST_TASKS = 16
-#: Rounds of one Spark job.
+TASK_SHARE = 8
+#: Tasks from which sums are added up in part before the driver gets them.
+MANY_TASKS = 64
+#: Rounds of one Spark job, where one task fits all.
 SEGMENT = 250
+#: Rounds whose residuals follow from those of the round before, where a level is a job.
+CACHED_ROUNDS = 25
 #: Rows that one step inside a task works on.
 STEP_ROWS = 1 << 18
+#: Rows that all trees are added to in one go.
+ADD_ROWS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -56,15 +64,24 @@ class BoostedTrees:
 
     def add(self, binned: np.ndarray, out: np.ndarray) -> np.ndarray:
         """Add all trees to predictions."""
-        for splits, leaves in zip(self.splits, self.leaves):
-            leaf = np.zeros(len(out), np.int64)
-            for level, (feature, border) in enumerate(splits):
-                if feature >= 0:
-                    leaf |= (binned[feature] > border).astype(np.int64) << level
-            out += leaves[leaf]
+        trees = list(zip(self.splits.tolist(), self.leaves))
+        for at in range(0, len(out), ADD_ROWS):
+            part, some = binned[:, at : at + ADD_ROWS], out[at : at + ADD_ROWS]
+            for splits, leaves in trees:
+                some += leaves[_leaf(part, splits)]
         return out
 
 
+def _leaf(binned: np.ndarray, splits: Sequence[tuple[int, int]]) -> np.ndarray:
+    """The leaf of every row after the given levels."""
+    kind = np.uint8 if len(splits) <= 8 else np.int64
+    leaf = np.zeros(binned.shape[1], kind)
+    for level, (feature, border) in enumerate(splits):
+        if feature >= 0:
+            leaf |= (binned[feature] > border).astype(kind) << kind(level)
+    return leaf
+
+
 def _filled(df: DataFrame, features: Sequence[str]) -> list:
     """Feature columns as doubles; null and NaN are 0."""
     columns = [F.col(c).cast("double") for c in features]
@@ -80,8 +97,8 @@ def _sums(binned: np.ndarray, leaf: np.ndarray, rest: np.ndarray, n_leaves: int,
     out = np.zeros((2, binned.shape[0], n_leaves * bins))
     for at in range(0, len(leaf), STEP_ROWS):
         part = slice(at, at + STEP_ROWS)
-        use = leaf[part] >= 0
-        base, weight = leaf[part][use] * bins, rest[part][use]
+        use = np.flatnonzero(leaf[part] >= 0)
+        base, weight = leaf[part][use].astype(np.int64) * bins, rest[part][use]
         for f in range(binned.shape[0]):
             place = base + binned[f, part][use]
             out[0, f] += np.bincount(place, minlength=n_leaves * bins)
@@ -104,8 +121,7 @@ def _best_split(sums: np.ndarray, shrink: float) -> tuple[int, int, float]:
 
 
 def _grow(
-    model: BoostedTrees, binned: np.ndarray, target: np.ndarray, rounds: int, rate: float, depth: int,
-    shrink: float, total: Callable[[np.ndarray], np.ndarray],
+    model: BoostedTrees, binned: np.ndarray, target: np.ndarray, rounds: int, rate: float, depth: int, shrink: float
 ) -> Iterator[tuple]:
     """Trees after those of ``model``: splits, leaf values and gains of each."""
     rest = target - model.add(binned, np.full(len(target), model.start))
@@ -113,7 +129,7 @@ def _grow(
     for _ in range(rounds):
         leaf = np.zeros(len(target), np.int64)
         splits, gains = np.full((depth, 2), -1, np.int64), np.zeros(depth)
-        sums = total(_sums(binned, leaf, rest, 1, bins))
+        sums = _sums(binned, leaf, rest, 1, bins)
         for level in range(depth):
             feature, border, gain = _best_split(sums, shrink)
             if gain <= 0:
@@ -121,27 +137,20 @@ def _grow(
             splits[level], gains[level] = (feature, border), gain
             over = binned[feature] > border
             if level + 1 < depth:
-                right = total(_sums(binned, np.where(over, leaf, -1), rest, 1 << level, bins))
+                right = _sums(binned, np.where(over, leaf, -1), rest, 1 << level, bins)
                 sums = np.concatenate((sums - right, right), axis=1)
             leaf |= over.astype(np.int64) << level
         size = 1 << depth
-        held = total(np.stack([np.bincount(leaf, minlength=size), np.bincount(leaf, rest, minlength=size)]))
+        held = np.stack([np.bincount(leaf, minlength=size), np.bincount(leaf, rest, minlength=size)])
         values = rate * held[1] / (held[0] + shrink)
         rest -= values[leaf]
         yield splits, values, gains
 
 
-def _exchange(mine: np.ndarray) -> np.ndarray:
-    """The sum of all tasks' tables, added in the order of the tasks."""
-    sent = base64.b64encode(np.ascontiguousarray(mine).tobytes()).decode()
-    parts = BarrierTaskContext.get().allGather(sent)
-    return sum(np.frombuffer(base64.b64decode(p)).reshape(mine.shape) for p in parts)
-
-
-def _segment(
-    rows: DataFrame, model: BoostedTrees, tasks: int, rounds: int, rate: float, depth: int, shrink: float
-) -> BoostedTrees:
-    """The model with ``rounds`` more trees, from one Spark job."""
+def _in_one_task(
+    rows: DataFrame, model: BoostedTrees, rounds: int, rate: float, depth: int, shrink: float
+) -> list[tuple]:
+    """The next ``rounds`` trees, from one task of one Spark job."""
     size = len(model.features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,16 +158,102 @@ def _segment(
         for batch in batches:
             binned.append(model.binned(_columns(batch, size)))
             target.append(batch.column("y").to_numpy())
-        total = _exchange if tasks > 1 else lambda mine: mine
-        first = tasks == 1 or BarrierTaskContext.get().partitionId() == 0
-        grown = _grow(model, np.concatenate(binned, 1), np.concatenate(target), rounds, rate, depth, shrink, total)
+        grown = _grow(model, np.concatenate(binned, 1), np.concatenate(target), rounds, rate, depth, shrink)
         for splits, values, gains in grown:
-            if first:
-                told = json.dumps([splits.tolist(), values.tolist(), gains.tolist()])
-                yield pa.RecordBatch.from_pydict({"tree": [told]})
+            told = json.dumps([splits.tolist(), values.tolist(), gains.tolist()])
+            yield pa.RecordBatch.from_pydict({"tree": [told]})
+
+    dealt = rows.repartition(1, F.xxhash64(*rows.columns))
+    return [json.loads(r[0]) for r in dealt.mapInArrow(run, "tree string").collect()]
+
+
+def _blocks(rows: DataFrame, model: BoostedTrees, tasks: int) -> DataFrame:
+    """Rows as stored blocks of bytes per feature and of targets, with the task that they belong to."""
+    size = len(model.features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for place, batch in enumerate(batches):
+            binned, target = model.binned(_columns(batch, size)), batch.column("y").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict(
+                {"part": pa.array([part], pa.int32()), "place": pa.array([place], pa.int32()),
+                 "bytes": [binned.tobytes()], "targets": [target.tobytes()]}
+            )
+
+    kind = "part int, place int, bytes binary, targets binary"
+    return stage(rows.mapInArrow(run, kind).repartition(tasks, "part", "place"), "baseline-blocks")
+
+
+def _level_sums(state: RDD, tasks: int, splits: list, bins: int) -> np.ndarray:
+    """Sums of the rows right of the last of ``splits``, by the leaf before it; of all rows without any."""
+
+    def run(blocks):
+        for binned, rest in blocks:
+            leaf = _leaf(binned, splits[:-1]).astype(np.int64)
+            if splits:
+                leaf[binned[splits[-1][0]] <= splits[-1][1]] = -1
+            yield _sums(binned, leaf, rest, 1 << max(0, len(splits) - 1), bins)
+
+    parts = state.mapPartitions(run)
+    return parts.treeReduce(np.add) if tasks > MANY_TASKS else sum(parts.collect())
+
+
+def _by_jobs(
+    blocks: DataFrame, model: BoostedTrees, tasks: int, rounds: int, rate: float, depth: int, shrink: float
+) -> list[tuple]:
+    """The next ``rounds`` trees, a Spark job per level; residuals are cached after every tree."""
+    size, bins = len(model.features), max(len(b) for b in model.borders) + 1
+
+    def load(rows):
+        binned, target = [], []
+        for row in rows:
+            target.append(np.frombuffer(row["targets"]))
+            binned.append(np.frombuffer(row["bytes"], np.uint8).reshape(size, len(target[-1])))
+        if binned:
+            binned, target = np.concatenate(binned, 1), np.concatenate(target)
+            yield binned, target - model.add(binned, np.full(len(target), model.start))
+
+    # Rows of a task in one order, so that the same numbers are added up whenever they are.
+    dealt = blocks.repartition(tasks, "part", "place").sortWithinPartitions("part", "place")
+    state = dealt.select("bytes", "targets").rdd.mapPartitions(load).persist(StorageLevel.MEMORY_AND_DISK)
+    trees, used = [], [state]
+    for _ in range(rounds):
+        splits, gains, made = np.full((depth, 2), -1, np.int64), np.zeros(depth), []
+        sums = _level_sums(state, tasks, made, bins)
+        # With the first sums these residuals are cached; those before them are not needed any more.
+        for before in used[:-1]:
+            before.unpersist()
+        used = used[-1:]
+        for level in range(depth):
+            feature, border, gain = _best_split(sums, shrink)
+            if gain <= 0:
+                held = sums[:, :, 0, :].sum(axis=2)
+                break
+            splits[level], gains[level] = (feature, border), gain
+            made.append((feature, border))
+            if level + 1 < depth:
+                right = _level_sums(state, tasks, made, bins)
+                sums = np.concatenate((sums - right, right), axis=1)
+            else:
+                left = sums[:, :, feature, : border + 1].sum(axis=2)
+                held = np.concatenate((left, sums[:, :, feature].sum(axis=2) - left), axis=1)
+        values = np.zeros(1 << depth)
+        values[: held.shape[1]] = rate * held[1] / (held[0] + shrink)
+        trees.append((splits, values, gains))
+        state = state.map(partial(_after, made, values)).persist(StorageLevel.MEMORY_AND_DISK)
+        used.append(state)
+    for before in used:
+        before.unpersist()
+    return trees
+
 
-    dealt = rows.repartition(tasks, F.xxhash64(*rows.columns))
-    trees = [json.loads(r[0]) for r in dealt.mapInArrow(run, "tree string", barrier=tasks > 1).collect()]
+def _after(splits: list, values: np.ndarray, block: tuple) -> tuple:
+    """A block with the residuals that a tree leaves."""
+    binned, rest = block
+    return binned, rest - values[_leaf(binned, splits)]
+
+
+def _with_trees(model: BoostedTrees, trees: list[tuple]) -> BoostedTrees:
     more = [np.array([t[i] for t in trees]) for i in range(3)]
     return replace(
         model,
@@ -185,9 +280,7 @@ def fit_baseline(
     and without any row all predictions are null.  Borders are quantiles of a
     sketch with a rank error of 0.1 %, at most ``bins - 1`` (255) a feature.  A
     leaf's value is shrunk by ``shrink`` rows of value 0.  The driver gets the
-    trees.  Fits of over ``task_rows`` rows exchange sums at a barrier, which
-    needs a free slot for each of at most ``MOST_TASKS`` tasks and a cluster
-    without dynamic allocation.
+    trees, and for fits of over ``task_rows`` rows the sums of every level.
     """
     spark, features = train.sparkSession, tuple(features)
     y = F.col(target).cast("double")
@@ -204,10 +297,16 @@ def fit_baseline(
     )
     if not count or not any(model.borders):
         return model
-    tasks = max(1, min(MOST_TASKS, spark.sparkContext.defaultParallelism, -(-count // task_rows)))
+    if count <= task_rows:
+        while len(model.splits) < iterations:
+            rounds = min(SEGMENT, iterations - len(model.splits))
+            model = _with_trees(model, _in_one_task(rows, model, rounds, rate, depth, shrink))
+        return model
+    tasks = max(min(MOST_TASKS, spark.sparkContext.defaultParallelism), -(-count // (TASK_SHARE * task_rows)))
+    blocks = _blocks(rows, model, tasks)
     while len(model.splits) < iterations:
-        rounds = min(SEGMENT, iterations - len(model.splits))
-        model = _segment(rows, model, tasks, rounds, rate, depth, shrink)
+        rounds = min(CACHED_ROUNDS, iterations - len(model.splits))
+        model = _with_trees(model, _by_jobs(blocks, model, tasks, rounds, rate, depth, shrink))
     return model
 
 

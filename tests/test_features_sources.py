@@ -170,6 +170,29 @@ def test_baseline_against_a_slow_one(spark, monkeypatch, task_rows):
     assert top[0].feature == "a" and abs(sum(r.importance for r in top) - 1) < 1e-9
 
 
+def test_many_rows_are_fitted_without_a_barrier(spark, monkeypatch):
+    """Sums of several tasks give the trees of one task; a barrier takes up to a second a level."""
+    waits, real = [], type(spark.range(1)).mapInArrow
+
+    def seen(self, func, schema, barrier=False, **more):
+        waits.append(barrier)
+        return real(self, func, schema, barrier, **more)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", seen)
+    monkeypatch.setattr(baseline, "CACHED_ROUNDS", 2)
+    draw = random.Random(3)
+    rows = [(float(draw.randrange(6)), draw.uniform(0, 1), draw.choice([None, 2.0]), draw.gauss(0, 1)) for _ in range(300)]
+    df = spark.createDataFrame([(*r[:3], r[0] * r[1] + r[3]) for r in rows], "a double, b double, c double, y double")
+    fit = lambda n: baseline.fit_baseline(df.repartition(3), ["a", "b", "c"], "y", 5, depth=4, bins=8, task_rows=n)
+    one, several = fit(1_000), fit(5)
+    assert not any(waits)
+    assert (one.splits == several.splits).all()
+    assert abs(one.leaves - several.leaves).max() < 1e-9
+    # A target that no split improves: trees without levels.
+    flat = baseline.fit_baseline(df.withColumn("y", F.lit(2.0)), ["a", "b"], "y", 3, depth=2, task_rows=50)
+    assert (flat.splits == -1).all() and not flat.leaves.any()
+
+
 def test_baseline_of_odd_rows(spark):
     nan = float("nan")
     rows = [(None, 1.0, 5.0), (nan, 2.0, None), (1.0, None, nan), (0.0, 1.0, 5.0), (4.0, 1.0, 9.0)]
