@@ -225,6 +225,63 @@ def test_a_killed_task_loses_one_commit_at_most(spark, tmp_path):
     assert len(again) <= 60 + 2 * 4
 
 
+@pytest.mark.parametrize("folder", ["r.parquet", "a b%/r é.parquet"])
+def test_commits_are_files_of_one_job(spark, tmp_path, monkeypatch, folder):
+    """A job per few prompts takes as many jobs as there are prompts; null replies and odd paths are kept."""
+    from shopcast.operators import inference
+
+    def make():
+        def answer(prompt):
+            if prompt == "7":
+                raise RuntimeError("no")
+            return prompt + "!"
+
+        return answer
+
+    monkeypatch.setattr(inference, "append_results", lambda df, p: (df.write.mode("append").parquet(p), calls.append(p)))
+    calls, path = [], str(tmp_path / folder)
+    df = spark.range(50).select(F.col("id").alias("k"), F.col("id").cast("string").alias("prompt"))
+    send = lambda rows: inference.resumed_replies(rows, make, ModelSettings(retries=0), path, "k", workers=2, commit_prompts=4)
+    got = {r.k: (r.reply, r.error) for r in send(df.where("k < 40")).collect()}
+    assert got == {i: (f"{i}!", None) if i != 7 else (None, "RuntimeError: no") for i in range(40)}
+    assert len(calls) == 1
+    assert {r.k for r in send(df).where("reply is null").collect()} == {7}
+    # 40, and 10 with the one that failed.
+    assert spark.read.parquet(path).count() == 51
+    most = max(r[1] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect())
+    assert most == 4
+
+
+def test_a_later_attempt_goes_on_after_its_files(spark, tmp_path, monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    from shopcast.operators import inference
+
+    class Attempt:
+        number = 0
+        partitionId = lambda self: 3
+        taskAttemptId = lambda self: 10 + self.number
+
+    attempt, made = Attempt(), []
+    monkeypatch.setattr(inference.TaskContext, "get", lambda: attempt)
+
+    def answer(batches):
+        for batch in batches:
+            made.extend(batch["k"])
+            yield batch.drop(columns="prompt").assign(reply=["x"] * len(batch), error=None, tries=1)
+
+    kind = pa.schema([("k", pa.int64()), ("reply", pa.string()), ("error", pa.string()), ("tries", pa.int32())])
+    run = inference._store_partition(answer, kind, f"file:{tmp_path}", "k", 3)
+    rows = pd.DataFrame({"k": range(10), "prompt": ["p"] * 10})
+    first = run(iter([rows]))
+    next(first), next(first)
+    attempt.number = 1
+    assert sum(f["stored"].sum() for f in run(iter([rows]))) == 4
+    assert made == [*range(6), 6, 7, 8, 9]
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path)).collect()) == list(range(10))
+
+
 def test_adaptive_texts_are_resumed(spark, tmp_path):
     df = spark.range(9).select(F.col("id").alias("customer_id"), F.format_string("row %d", "id").alias("prompt"))
     path = str(tmp_path / "r.parquet")
