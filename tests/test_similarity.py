@@ -271,3 +271,40 @@ def test_sums_of_a_query_row_leave_once(spark, monkeypatch):
     want = brute(rows[:30], rows, 25, "euclidean")
     assert len(got) == 30 and got[2] == [50.0, 2.0 * sum(want[2])]
     assert all(got[i] == [25.0, float(sum(w))] for i, w in want.items() if i != 2)
+
+
+def test_units_of_a_block_are_looked_at_once(spark, monkeypatch):
+    """A unit that one row of a block needs is not held against every other row of it."""
+    pa, np = similarity.pa, similarity.np
+    rng = np.random.default_rng(5)
+    size, rows = 40, 3_000
+    low = rng.normal(size=(size, 3))
+    units = similarity.Units(
+        low, np.arange(size), np.full(size, 9), np.zeros(size), np.ones(size), np.zeros(size, int), low, low + 0.3, np.full(size, 9.0)
+    )
+    vectors, limit = rng.normal(size=(rows, 3)), rng.uniform(0.1, 0.6, rows)
+    part = pa.RecordBatch.from_pydict(
+        {"block": pa.array(np.repeat([0, 1], rows // 2), pa.int32()), "vec": vectors.tolist(), "limit": limit}
+    )
+    want = {(b, int(u)) for b in (0, 1) for u in np.flatnonzero(
+        similarity._within_limit(part.slice(b * rows // 2, rows // 2), units, low, "l2", 9.0).any(axis=0))}
+    looked, real = [0], similarity._least_values
+
+    def counted(low, high, some, family):
+        looked[0] += len(low) * len(some.count)
+        return real(low, high, some, family)
+
+    monkeypatch.setattr(similarity, "_least_values", counted)
+    runs = []
+
+    class Asked:
+        columns = ["block", "vec", "limit"]
+        select = lambda self, *c: self
+        mapInArrow = lambda self, run, kind: runs.append(run) or self
+        distinct = lambda self: self
+
+    monkeypatch.setattr(similarity, "stage", lambda df, name: df)
+    similarity._needed(Asked(), units, "l2", 9.0)
+    got = [r for b in runs[0](iter([part])) for r in zip(*b.to_pydict().values())]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    assert looked[0] < 0.75 * rows * size
