@@ -308,3 +308,43 @@ def test_units_of_a_block_are_looked_at_once(spark, monkeypatch):
     got = [r for b in runs[0](iter([part])) for r in zip(*b.to_pydict().values())]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
     assert looked[0] < 0.75 * rows * size
+
+
+def test_rows_of_a_unit_are_compared_by_boxes(monkeypatch):
+    """A query row meets the few rows of a unit that lie near it, and finds the same as among all."""
+    pa, np = similarity.pa, similarity.np
+    rng = np.random.default_rng(11)
+    refs, asked = rng.uniform(size=(512, 2)), rng.uniform(size=(200, 2))
+    far = np.sqrt(((asked[:, None] - refs[None]) ** 2).sum(axis=2))
+    want = np.argsort(far, axis=1)[:, :3]
+    one = [np.zeros(1, int), np.array([512]), np.zeros(1), np.full(1, 2.0), np.zeros(1, int)]
+    units = similarity.Units(refs[:1], *one, refs.min(axis=0)[None], refs.max(axis=0)[None], np.full(1, 2.0))
+    near = pa.list_(pa.struct([("rid", pa.int64()), ("value", pa.float64()), ("rank", pa.int32())]))
+    held = {"qid": np.arange(200), "vec": asked.tolist(), "limit": np.sort(far, axis=1)[:, 2]}
+    block = similarity._Best(
+        3, False, "l2", units, 2.0, 3, None, pa.schema([("qid", pa.int64()), ("near", near)]), [pa.RecordBatch.from_pydict(held)]
+    )
+    pairs, real = [0], similarity._candidates
+
+    def counted(part, refs, *rest):
+        pairs[0] += len(part) * len(refs)
+        return real(part, refs, *rest)
+
+    monkeypatch.setattr(similarity, "_candidates", counted)
+    block.meet(0, pa.RecordBatch.from_pydict({"rid": np.arange(512), "vec": refs.tolist()}))
+    got = {r["qid"]: [n["rid"] for n in r["near"]] for b in block.finish() for r in b.to_pylist()}
+    assert got == {i: w.tolist() for i, w in enumerate(want)}
+    assert pairs[0] < 0.2 * 200 * 512
+
+
+def test_a_unit_passes_in_few_pieces(spark):
+    """Rows of a unit pass as one value; columns that come along and nulls in them stay."""
+    rows = [(i, [float(i), 1.0], None if i % 5 == 0 else f"c{i}", i % 4) for i in range(2_000)]
+    refs = spark.createDataFrame(rows, "rid long, vec array<double>, carry_0 string, unit int")
+    pieces = similarity._pieces(refs).collect()
+    assert 4 <= len(pieces) < 40
+    got = [
+        (r["rid"], r["vec"], r["carry_0"], p["unit"])
+        for p in pieces for b in similarity.pa.ipc.open_stream(p["ref"]) for r in b.to_pylist()
+    ]
+    assert sorted(got, key=lambda r: r[0]) == rows
