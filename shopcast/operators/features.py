@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shopcast.sources import stage
 
 Period = tuple[str, str]
+TEXTS = ("target_descriptions", "target_categories", "bought_descriptions", "bought_categories")
 
 
 def with_category(tx: DataFrame, categories: DataFrame) -> DataFrame:
@@ -119,8 +120,8 @@ def bought_lists(
     """
     entries = F.array(
         *[
-            F.struct(F.lit(name).alias("list"), F.when(_within(period), F.col(source)).alias("value"))
-            for name, (source, period) in lists.items()
+            F.struct(F.lit(i).alias("list"), F.when(_within(period), F.col(source)).alias("value"))
+            for i, (source, period) in enumerate(lists.values())
         ]
     )
     firsts = (
@@ -138,13 +139,13 @@ def bought_lists(
             F.array_join(
                 F.transform(
                     F.array_sort(
-                        F.collect_list(F.when(F.col("list") == name, F.struct("at", "value")))
+                        F.collect_list(F.when(F.col("list") == i, F.struct("at", "value")))
                     ),
                     lambda entry: entry["value"],
                 ),
                 separator,
             ).alias(name)
-            for name in lists
+            for i, name in enumerate(lists)
         ]
     )
 
@@ -187,25 +188,27 @@ def _counted_values(tx: DataFrame, feature: Period, outcome: Period) -> DataFram
     Distinct counts and sums follow from these rows, so the lines are read once
     for all of them; everything aggregated is of fixed width, which keeps the
     aggregation hash-based, and a customer with very many lines is spread over
-    as many keys as it has values.
+    as many keys as it has values.  Every line of the feature period is under its
+    time, even if it has none, so that sums and dates of all lines follow from there.
     """
     listed = {
         "time": (F.col("invoice_date").cast("string"), feature),
-        "invoice": (F.col("invoice_no"), feature),
         "product": (F.col("stock_code"), feature),
         "category": (F.col("category"), feature),
-        # Sums and dates go by lines, whatever the invoice number is.
-        "line": (F.lit(""), feature),
         "later_line": (F.lit(""), outcome),
     }
+    always = ("time",)
     entries = [
-        F.struct(F.lit(kind).alias("kind"), F.when(_within(period), value).alias("value"))
+        F.when(
+            _within(period) & (F.lit(True) if kind in always else value.isNotNull()),
+            F.struct(F.lit(kind).alias("kind"), value.alias("value")),
+        ).alias("entry")
         for kind, (value, period) in listed.items()
     ]
     return (
-        tx.select("customer_id", "invoice_date", "sales", F.inline(F.array(*entries)))
-        .where(F.col("value").isNotNull())
-        .groupBy("customer_id", "kind", "value")
+        tx.select("customer_id", "invoice_date", "sales", F.explode(F.array(*entries)).alias("entry"))
+        .where(F.col("entry").isNotNull())
+        .groupBy("customer_id", F.col("entry.kind").alias("kind"), F.col("entry.value").alias("value"))
         .agg(
             F.min("invoice_date").alias("first"),
             F.max("invoice_date").alias("last"),
@@ -215,16 +218,27 @@ def _counted_values(tx: DataFrame, feature: Period, outcome: Period) -> DataFram
 
 
 def customer_dataset(
-    tx: DataFrame, feature: Period, outcome: Period, categories: Sequence[str]
+    tx: DataFrame,
+    feature: Period,
+    outcome: Period,
+    categories: Sequence[str],
+    texts: Sequence[str] = TEXTS,
 ) -> DataFrame:
     """The wide customer table: outcome columns and feature columns.
 
     Equal to joining :func:`outcome_table`, :func:`rfm_features` with
     :func:`with_rates`, and :func:`category_pivot`, from one pass for counts
-    and sums and one for the ordered lists.  The counts are staged, one row per
-    customer, and the last date of all is taken from there.
+    and sums and one for the ordered lists, which ``texts`` names: what a caller
+    does not read is not gathered.  Both passes read the staged lines.  The counts
+    are staged, one row per customer, and the last date of all is taken from there.
     """
+    told = (("description", outcome), ("category", outcome), ("description", feature), ("category", feature))
+    texts = {name: source for name, source in zip(TEXTS, told) if name in texts}
     active = tx.where(_within(feature) | _within(outcome))
+    if texts:
+        read = {"customer_id", "yearmon", "invoice_date", "sales", "stock_code", "category", "invoice_no", "line_no"}
+        read |= {source for source, _ in texts.values()}
+        active = stage(active.select(*[c for c in active.columns if c in read]), "lines")
 
     def of(kind: str, column: str) -> Column:
         return F.when(F.col("kind") == kind, F.col(column))
@@ -234,10 +248,10 @@ def customer_dataset(
         _counted_values(active, feature, outcome)
         .groupBy("customer_id")
         .agg(
-            F.round(F.sum(of("line", "sales")), 2).alias("total_sales"),
+            F.round(F.sum(of("time", "sales")), 2).alias("total_sales"),
             F.round(F.coalesce(F.sum(of("later_line", "sales")), F.lit(0.0)), 2).alias("target_sales"),
-            F.max(of("line", "last")).alias("last_purchase_date"),
-            F.min(of("line", "first")).alias("first_purchase_date"),
+            F.max(of("time", "last")).alias("last_purchase_date"),
+            F.min(of("time", "first")).alias("first_purchase_date"),
             *[
                 F.count(of(kind, "value")).alias(name)
                 for kind, name in (
@@ -256,15 +270,9 @@ def customer_dataset(
     )
     counted = stage(counted, "customer-counts")
     last = counted.agg(F.max("last_purchase_date")).scalar()
-    texts = {
-        "target_descriptions": ("description", outcome),
-        "target_categories": ("category", outcome),
-        "bought_descriptions": ("description", feature),
-        "bought_categories": ("category", feature),
-    }
+    rows = counted.join(bought_lists(active, texts), "customer_id", "left") if texts else counted
     rows = (
-        counted.join(bought_lists(active, texts), "customer_id", "left")
-        .withColumn("_last", last)
+        rows.withColumn("_last", last)
         .withColumns(
             {
                 "recency": _days_to_last("last_purchase_date"),

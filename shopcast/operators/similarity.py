@@ -664,18 +664,21 @@ def nearest(
         )
     # Rows wanted per query before the query itself is taken out.
     need = k + int(exclude_self)
-    r = _lowest_copies(r, need)
+    # Equal query rows have equal neighbours: search once, then hand out.
+    lead = q.groupBy(F.xxhash64("vec").alias("hash"), "vec").agg(F.min("qid").alias("qid")).drop("hash")
+    lead = stage(lead, "different-vectors")
+    alone = lead.count() == q.count()
+    # Of rows that all differ there are no copies to leave out.
+    r = r if refs is None and alone else _lowest_copies(r, need)
     head = _head(r)
     if not head["n"]:
         best = q.sparkSession.createDataFrame([], _result_type(r)).withColumn("rank", F.lit(1))
         return _scored(best, query_id, ref_id, metric, carry)
-    # Equal query rows have equal neighbours: search once, then hand out.
-    lead = stage(q.groupBy("vec").agg(F.min("qid").alias("qid")), "different-vectors")
     places = None if ranks is None else sorted({min(rank, head["n"] - int(exclude_self)) for rank in ranks})
     again = _repeated(q)
     told = None if exclude_self or again else places
     found = _search(lead, r, head, family, need, False, probes, n_pivots, seed, told)
-    best = _handed_out(q, lead, found, k, need, exclude_self, again, places)
+    best = _handed_out(q, None if alone else lead, found, k, need, exclude_self, again, places)
     return _scored(best, query_id, ref_id, metric, carry)
 
 
@@ -686,19 +689,30 @@ def _repeated(q: DataFrame) -> bool:
 
 
 def _handed_out(
-    q: DataFrame, lead: DataFrame, found: DataFrame, k: int, need: int, exclude_self: bool, again: bool, places=None
+    q: DataFrame, lead: DataFrame | None, found: DataFrame, k: int, need: int, exclude_self: bool, again: bool,
+    places=None,
 ) -> DataFrame:
     """Ranked rows of every query row from ``near`` of the row that was searched for all with its vector.
 
+    Without ``lead`` every row was searched for itself.
     Query rows that share an id are ranked together: it has ``k`` rows in all.
     """
-    shared = q.withColumnRenamed("qid", "own").join(lead, "vec").select("own", "qid")
+    if lead is None:
+        shared = q.select(F.col("qid").alias("own"), "qid")
+    else:
+        # A hash is sorted by quickly, an array number by number.
+        by = [F.xxhash64("vec").alias("hash"), "vec"]
+        shared = q.select(F.col("qid").alias("own"), *by).join(lead.select("qid", *by), ["hash", "vec"])
+        shared = shared.select("own", "qid")
     if again:
         best = _top(found.select("qid", F.inline("near")).drop("rank"), need).drop("rank")
         best = shared.join(best, "qid").drop("qid").withColumnRenamed("own", "qid")
         best = _top(best.where(F.col("qid") != F.col("rid")) if exclude_self else best, k)
         return best if places is None else best.where(F.col("rank").isin(places))
-    best = shared.join(found, "qid").select(F.col("own").alias("qid"), "near")
+    if lead is None:
+        best = found.where(F.col("qid").isNotNull())
+    else:
+        best = shared.join(found, "qid").select(F.col("own").alias("qid"), "near")
     if not exclude_self:
         best = best.select("qid", F.inline("near"))
         return best if places is None else best.where(F.col("rank").isin(places))
@@ -735,11 +749,12 @@ def _lowest_copies(refs: DataFrame, need: int) -> DataFrame:
     Copies are thinned per salt first, so that no task gets all of a large group.
     """
     salt = F.pmod(F.xxhash64("rid"), F.lit(COPY_SALTS))
-    for keys in ([F.col("vec"), salt], [F.col("vec")]):
+    refs = refs.withColumn("hash", F.xxhash64("vec"))
+    for keys in (["hash", "vec", salt], ["hash", "vec"]):
         order = Window.partitionBy(*keys).orderBy("rid")
         refs = refs.withColumn("copy", F.row_number().over(order)).where(F.col("copy") <= need)
         refs = refs.drop("copy")
-    return stage(refs, "lowest-copies")
+    return stage(refs.drop("hash"), "lowest-copies")
 
 
 def _search(

@@ -374,9 +374,9 @@ def holdout(spark, sf):
 # Similarity ----------------------------------------------------------------
 
 
-def _rounded_features(spark, sf):
-    """Customer rows with rounded rates, so that text and distances are stable."""
-    return _round(retail.customer_table(spark, sf), _CUSTOMER_ROUNDING)
+def _rounded_features(spark, sf, texts):
+    """Customer rows with rounded rates, so that text and distances are stable, and the lists in ``texts``."""
+    return _round(retail.customer_table(spark, sf, texts), _CUSTOMER_ROUNDING)
 
 
 def _all_pairs(vectors: DataFrame, id_col: str, k: int, metric: str, **options) -> DataFrame:
@@ -388,7 +388,7 @@ def _all_pairs(vectors: DataFrame, id_col: str, k: int, metric: str, **options)
 
 def _knn(spark, sf, metric, **options):
     rows = sources.stage(
-        _rounded_features(spark, sf).select("customer_id", *retail.SIMILARITY_FEATURES), "features"
+        _rounded_features(spark, sf, ()).select("customer_id", *retail.SIMILARITY_FEATURES), "features"
     )
     vectors = similarity.z_scored(rows, "customer_id", retail.SIMILARITY_FEATURES, rows)
     out = _all_pairs(vectors, "customer_id", 5, metric, **options)
@@ -423,7 +423,7 @@ def knn_dot(spark, sf):
 @query
 def knn_cosine(spark, sf):
     """All numeric columns but the outcomes are compared."""
-    rows = _rounded_features(spark, sf)
+    rows = _rounded_features(spark, sf, ())
     columns = clean.numeric_features(rows, exclude=("target_sales", "label"))
     rows = sources.stage(rows.select("customer_id", *columns), "features")
     vectors = similarity.min_max_scaled(rows, "customer_id", columns, rows)
@@ -459,7 +459,7 @@ def knn_recall(spark, sf):
 
 def _customer_vectors(spark, sf):
     rows = sources.stage(
-        _rounded_features(spark, sf).select("customer_id", *retail.SIMILARITY_FEATURES), "features"
+        _rounded_features(spark, sf, ()).select("customer_id", *retail.SIMILARITY_FEATURES), "features"
     )
     return similarity.z_scored(rows, "customer_id", retail.SIMILARITY_FEATURES, rows)
 
@@ -529,7 +529,7 @@ def similar_text_answers(spark, sf):
 
 
 def _ranking_rows(spark, sf):
-    rows = _rounded_features(spark, sf).select("customer_id", *retail.RANKING_FEATURES, "label")
+    rows = _rounded_features(spark, sf, ()).select("customer_id", *retail.RANKING_FEATURES, "label")
     split = _split_customers(spark, sf).select("customer_id", "split")
     return sources.stage(rows.join(split, "customer_id"), "ranking-rows")
 
@@ -795,14 +795,14 @@ def sentence_template(spark, sf):
 
 @query
 def numeric_template(spark, sf):
-    rows = _rounded_features(spark, sf)
+    rows = _rounded_features(spark, sf, ())
     text = profile.numeric_text(rows, retail.NUMERIC_NAMES, label_columns=["label"])
     return rows.select("customer_id", text.alias("numerical_template"))
 
 
 @query
 def strip_labels(spark, sf):
-    rows = _rounded_features(spark, sf)
+    rows = _rounded_features(spark, sf, ())
     text = profile.numeric_text(rows, retail.NUMERIC_NAMES)
     return rows.select(
         "customer_id",
@@ -995,7 +995,7 @@ def prompt_size(spark, sf):
 
 def _examples(spark, sf, k=3):
     """Three nearest other customers of every customer, with their texts."""
-    rows = sources.stage(_rounded_features(spark, sf), "customers")
+    rows = sources.stage(_rounded_features(spark, sf, retail.EXAMPLE_TEXTS), "customers")
     vectors = similarity.z_scored(rows, "customer_id", retail.SIMILARITY_FEATURES, rows)
     near = _all_pairs(vectors, "customer_id", k, "euclidean", exclude_self=True)
     profiles = profile.profile_dataset(
@@ -1199,7 +1199,7 @@ def resume_prompts(spark, sf):
 
 @query
 def adaptive_stub(spark, sf):
-    rows = sources.stage(_rounded_features(spark, sf), "customers")
+    rows = sources.stage(_rounded_features(spark, sf, ()), "customers")
     text = profile.numeric_text(rows, retail.NUMERIC_NAMES)
     numbers = rt.strip_label_sentences(text, [retail.NUMERIC_NAMES["label"]])
     spread = stats.quartile_text(
@@ -1215,7 +1215,7 @@ def adaptive_stub(spark, sf):
 @query
 def narratives(spark, sf):
     """The narrative flow over all customers; the model leaves some of them out."""
-    rows = sources.stage(_rounded_features(spark, sf), "customers")
+    rows = sources.stage(_rounded_features(spark, sf, retail.PROFILE_TEXTS), "customers")
     told = flows.write_narratives(
         rows, retail.PROFILE_SPECS, made.stub_narrator, retail.SETTINGS, retail.SYSTEM_TEXT,
         replies_path=sources.staged_path(spark, "told"), workers=8,
@@ -1227,7 +1227,8 @@ def narratives(spark, sf):
 def fewshot_predictions(spark, sf):
     """Test customers predicted from examples of the train customers; the model repeats the nearest one."""
     split = _split_customers(spark, sf).select("customer_id", "split")
-    rows = sources.stage(_rounded_features(spark, sf).join(split, "customer_id"), "split-customers")
+    rows = _rounded_features(spark, sf, retail.EXAMPLE_TEXTS).join(split, "customer_id")
+    rows = sources.stage(rows, "split-customers")
     test, train = rows.where("split = 'test'"), rows.where("split = 'train'")
     predicted = flows.predict_outcomes(
         profile.profile_dataset(test, retail.PROFILE_SPECS, retail.TREATMENT_SPECS),
@@ -1245,7 +1246,7 @@ def fewshot_predictions(spark, sf):
 @query
 def adaptive_resumed(spark, sf):
     """Adaptive texts in two runs: the second asks only for customers whose prompt has no reply yet."""
-    rows = sources.stage(_rounded_features(spark, sf), "customers")
+    rows = sources.stage(_rounded_features(spark, sf, ()), "customers")
     text = rt.strip_label_sentences(profile.numeric_text(rows, retail.NUMERIC_NAMES), [retail.NUMERIC_NAMES["label"]])
     prompted = rows.select("customer_id", F.concat(F.lit("Customer Profile: "), text).alias("prompt"))
     path = sources.staged_path(spark, "adaptive")
@@ -1299,7 +1300,7 @@ def json_sink(spark, sf):
 
 @query
 def ft_export_cls(spark, sf):
-    rows = _rounded_features(spark, sf)
+    rows = _rounded_features(spark, sf, ())
     texts = rows.select(
         "customer_id", "label",
         profile.numeric_text(rows, retail.NUMERIC_NAMES, ["label"]).alias("text"),
@@ -1309,7 +1310,7 @@ def ft_export_cls(spark, sf):
 
 @query
 def ft_export_rec(spark, sf):
-    rows = _rounded_features(spark, sf)
+    rows = _rounded_features(spark, sf, retail.OUTCOME_TEXTS)
     texts = rows.select(
         "label",
         F.concat(F.replace("target_categories", F.lit("|"), F.lit(", ")), F.lit(".")).alias("response"),
@@ -1325,7 +1326,7 @@ def ft_export_rec(spark, sf):
 def _baseline(spark, sf):
     """Split customers and the baseline fitted on their train part."""
     split = _split_customers(spark, sf).select("customer_id", "split")
-    rows = sources.stage(_rounded_features(spark, sf).join(split, "customer_id"), "split-customers")
+    rows = sources.stage(_rounded_features(spark, sf, ()).join(split, "customer_id"), "split-customers")
     train = rows.where("split = 'train'")
     return rows, baseline.fit_baseline(train, retail.RANKING_FEATURES, "target_sales")
 

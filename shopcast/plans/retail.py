@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ OUTCOME_SPECS = (
 OUTCOME_CONTEXT = "These figures describe customers without any promotion."
 SYSTEM_TEXT = "You estimate what a customer will buy."
 
+# Joined lists that profiles, and outcomes, are written from.
+PROFILE_TEXTS = ("bought_categories",)
+OUTCOME_TEXTS = ("target_categories",)
+EXAMPLE_TEXTS = (*PROFILE_TEXTS, *OUTCOME_TEXTS)
+
 # Columns of the similarity search and of the local ranking.
 SIMILARITY_FEATURES = (
     "recency", "purchase_day", "total_sales", "nb_product", "nb_category",
@@ -138,10 +145,12 @@ def feature_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _between(spark, sf_dir, *FEATURE_PERIOD)
 
 
-def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide customer rows with segment, label and click."""
+def customer_table(
+    spark: SparkSession, sf_dir: str, texts: Sequence[str] = features.TEXTS
+) -> DataFrame:
+    """Wide customer rows with segment, label and click; of the joined lists those in ``texts``."""
     rows = features.customer_dataset(
-        transactions(spark, sf_dir), FEATURE_PERIOD, OUTCOME_PERIOD, CATEGORIES
+        transactions(spark, sf_dir), FEATURE_PERIOD, OUTCOME_PERIOD, CATEGORIES, texts
     )
     segments = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("customer_id"),

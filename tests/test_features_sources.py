@@ -60,6 +60,23 @@ def test_dataset_equals_its_parts(tx):
     assert whole.where("customer_id = '1'").first().per_toys_and_games == 0.5
 
 
+@pytest.mark.parametrize("texts", [(), ("bought_categories",), ("target_categories", "bought_descriptions")])
+def test_dataset_gathers_only_named_lists(tx, texts):
+    whole = features.customer_dataset(tx, F_PERIOD, O_PERIOD, CATEGORIES)
+    some = features.customer_dataset(tx, F_PERIOD, O_PERIOD, CATEGORIES, texts)
+    assert some.columns == [c for c in whole.columns if c not in features.TEXTS or c in texts]
+    assert sorted(some.collect()) == sorted(whole.select(some.columns).collect())
+    read = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "bought_descriptions" in texts or "description" not in read
+
+
+def test_lines_without_a_time_count_in_sums(tx):
+    lost = tx.withColumn("invoice_date", F.when(F.col("line_no") > 0, F.col("invoice_date")))
+    whole, part = (features.customer_dataset(t, F_PERIOD, O_PERIOD, CATEGORIES, ()) for t in (tx, lost))
+    sums = ["customer_id", "total_sales", "target_sales", "nb_product", "nb_category"]
+    assert sorted(whole.select(sums).collect()) == sorted(part.select(sums).collect())
+
+
 def test_category_join_keeps_unknown_products(spark, tx):
     dim = spark.createDataFrame([("s1", "Home Decor")], "stock_code string, category string")
     got = features.with_category(tx.drop("category"), dim)

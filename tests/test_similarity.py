@@ -103,6 +103,23 @@ def test_few_copies_are_collapsed_too(spark, probes, monkeypatch):
         assert got == brute(rows, rows, 3, "euclidean")
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_rows_that_all_differ_are_not_looked_at_for_copies(spark, exclude_self, monkeypatch):
+    """No join hands out results, no window looks for copies."""
+    leads, handed = [], similarity._handed_out
+
+    def watched(q, lead, *rest):
+        leads.append(lead)
+        return handed(q, lead, *rest)
+
+    monkeypatch.setattr(similarity, "_handed_out", watched)
+    monkeypatch.setattr(similarity, "_lowest_copies", None)
+    rows = vectors(80, 3, 5)
+    q, _ = frames(spark, rows, rows)
+    got = ranked(similarity.nearest(q, None, "query_id", "ref_id", 3, exclude_self=exclude_self))
+    assert got == brute(rows, rows, 3, "euclidean", exclude_self) and leads == [None]
+
+
 def test_exclude_self_and_k_beyond_size(spark):
     rows = vectors(12, 3, 4, hot=3)
     q, _ = frames(spark, rows, rows)
