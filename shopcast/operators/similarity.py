@@ -42,11 +42,14 @@ MAX_PIVOT_NUMBERS = 2_000_000
 ROWS_PER_CELL = 1_024
 # The units of the first visit hold this many times the wanted rows; a cell holds as many at least.
 FIRST_SHARE = 4
-# Rows of a query block: as many as this, fewer while that leaves cores idle.
-QUERY_BLOCK = 16_384
+# Rows of a query block, and numbers in their vectors: as many as this, fewer while that leaves cores
+# idle.  Each block is passed by the units that it needs, so more blocks mean more copies of those.
+QUERY_BLOCK = 262_144
+BLOCK_NUMBERS = 16_000_000
 MIN_QUERY_BLOCK = 256
-# Blocks per core, where there are query rows enough.
-BLOCKS_PER_CORE = 3
+# Blocks per core, where there are query rows enough, and how much more than its share a block may hold.
+BLOCKS_PER_CORE = 2
+BLOCK_ROOM = 0.25
 # Candidates, or numbers of sums, that a block of query rows holds.
 HELD_NUMBERS = 4_000_000
 # Cells that are looked at before all of them are put in order.
@@ -813,7 +816,8 @@ def _query_blocks(
     whole = sum(c["n"] for c in counts)
     share = whole // (BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism)
     # A block's candidates are bounded; what it compares them with is not held.
-    most = max(MIN_QUERY_BLOCK, min(QUERY_BLOCK, HELD_NUMBERS // min(need, held), share))
+    wide = BLOCK_NUMBERS // max(1, units.pivots.shape[1])
+    most = max(MIN_QUERY_BLOCK, min(QUERY_BLOCK, wide, HELD_NUMBERS // min(need, held), share))
     table = _bisected(units.pivots, [(c["home"], c["n"]) for c in counts], most)
     names = [block + i for _, block, parts in table for i in range(parts)]
     dealt = homed.join(F.broadcast(spark.createDataFrame(table, "home int, from int, parts int")), "home")
@@ -824,21 +828,22 @@ def _query_blocks(
 
 
 def _bisected(pivots: np.ndarray, counts: Sequence[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
-    """(cell, first block, blocks): cells halved where they spread most, until a block has ``most`` rows or one cell."""
+    """(cell, first block, blocks): cells cut where they spread most, into blocks of nearly ``most`` rows or one cell."""
     out, block, rest = [], 0, [sorted(counts)]
     while rest:
         cells = rest.pop()
         weight = np.array([n for _, n in cells])
-        if len(cells) == 1 or weight.sum() <= most:
-            parts = int(max(1, -(-weight.sum() // most))) if len(cells) == 1 else 1
+        parts = max(1, int(np.ceil(weight.sum() / most - BLOCK_ROOM)))
+        if len(cells) == 1 or parts == 1:
             out += [(cell, block, parts) for cell, _ in cells]
             block += parts
             continue
         points = pivots[[cell for cell, _ in cells]]
         order = np.argsort(points[:, int(np.ptp(points, axis=0).argmax())], kind="stable")
-        before = np.cumsum(weight[order])
-        half = int(np.clip(np.searchsorted(before, before[-1] / 2) + 1, 1, len(cells) - 1))
-        rest += [[cells[i] for i in order[half:]], [cells[i] for i in order[:half]]]
+        # As many whole blocks on one side as on the other, or one more.
+        before, share = np.cumsum(weight[order]), (parts // 2) / parts
+        cut = int(np.clip(np.abs(before - before[-1] * share).argmin() + 1, 1, len(cells) - 1))
+        rest += [[cells[i] for i in order[cut:]], [cells[i] for i in order[:cut]]]
     return out
 
 

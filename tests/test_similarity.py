@@ -120,6 +120,26 @@ def test_rows_that_all_differ_are_not_looked_at_for_copies(spark, exclude_self,
     assert got == brute(rows, rows, 3, "euclidean", exclude_self) and leads == [None]
 
 
+@pytest.mark.parametrize("cells, rows, most", [(600, 1000, 16_500), (100, 1024, 2_850), (40, 37, 250)])
+def test_blocks_are_hardly_more_than_their_rows_ask_for(cells, rows, most):
+    """Every block is passed by the units that it needs: halves of halves gave up to twice as many."""
+    rng = np.random.default_rng(3)
+    counts = [(i, int(n)) for i, n in enumerate(rng.integers(rows // 2, rows * 3 // 2, cells))]
+    table = similarity._bisected(rng.normal(size=(cells, 4)), counts, most)
+    assert sorted(cell for cell, _, _ in table) == list(range(cells)) and all(parts == 1 for _, _, parts in table)
+    held = {}
+    for cell, block, _ in table:
+        held[block] = held.get(block, 0) + counts[cell][1]
+    whole = sum(n for _, n in counts)
+    assert sorted(held) == list(range(len(held))) and max(held.values()) <= most * (1 + similarity.BLOCK_ROOM)
+    assert len(held) <= 1.15 * whole / most + 1
+
+
+def test_one_large_cell_is_dealt_over_blocks():
+    table = similarity._bisected(np.array([[0.0], [9.0]]), [(0, 10_000), (1, 90)], 1_000)
+    assert table == [(0, 0, 10), (1, 10, 1)]
+
+
 def test_exclude_self_and_k_beyond_size(spark):
     rows = vectors(12, 3, 4, hot=3)
     q, _ = frames(spark, rows, rows)
