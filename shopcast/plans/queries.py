@@ -993,28 +993,28 @@ def prompt_size(spark, sf):
     )
 
 
-def _examples(spark, sf, k=3):
-    """Three nearest other customers of every customer, with their texts."""
+def _examples(spark, sf, k=3, keep=lambda profiles: profiles):
+    """Customers' texts, as ``keep`` returns them, and the three nearest other customers of each with theirs."""
     rows = sources.stage(_rounded_features(spark, sf, retail.EXAMPLE_TEXTS), "customers")
     vectors = similarity.z_scored(rows, "customer_id", retail.SIMILARITY_FEATURES, rows)
     near = _all_pairs(vectors, "customer_id", k, "euclidean", exclude_self=True)
-    profiles = profile.profile_dataset(
-        rows, retail.PROFILE_SPECS, retail.TREATMENT_SPECS, retail.OUTCOME_SPECS
+    profiles = keep(
+        profile.profile_dataset(rows, retail.PROFILE_SPECS, retail.TREATMENT_SPECS, retail.OUTCOME_SPECS)
     )
-    return rows, similarity.neighbour_examples(near, profiles, "query_id", "ref_id")
+    return rows, profiles, similarity.neighbour_examples(near, profiles, "query_id", "ref_id")
 
 
 @query
 def fewshot_examples(spark, sf):
-    _, examples = _examples(spark, sf)
+    _, _, examples = _examples(spark, sf)
     return _round(examples.drop("distance"), {"score": 6})
 
 
 def _example_blocks(spark, sf):
-    rows, examples = _examples(spark, sf)
-    chunked = prompts.assign_chunks(
-        profile.profile_dataset(rows, retail.PROFILE_SPECS, retail.TREATMENT_SPECS), retail.SETTINGS
-    )
+    # Texts are written once, for the examples and for the prompts.
+    rows, profiles, examples = _examples(spark, sf, keep=lambda p: sources.stage(p, "profiles"))
+    asked = profiles.drop("outcome", "template_outcome")
+    chunked = sources.stage(prompts.assign_chunks(asked, retail.SETTINGS), "chunks")
     sections = prompts.example_sections(examples, "query_id")
     return rows, chunked, prompts.example_blocks(sections, chunked, "query_id")
 
