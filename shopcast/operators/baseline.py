@@ -25,11 +25,11 @@ from pyspark.sql import types as T
 
 from shopcast.sources import stage
 
-#: Rows that one task fits alone; it holds a byte a feature and 16 more a row.
-TASK_ROWS = 500_000
+#: Rows that one task fits alone; it holds a byte a feature, two a group of features and 16 more a row.
+TASK_ROWS = 1_000_000
 #: Tasks of a level, unless they would get more than this many times those rows; the driver gets the sums of each.
 MOST_TASKS = 16
-TASK_SHARE = 8
+TASK_SHARE = 4
 #: Tasks from which sums are added up in part before the driver gets them.
 MANY_TASKS = 64
 #: Rounds of one Spark job, where one task fits all.
@@ -38,6 +38,9 @@ SEGMENT = 250
 CACHED_ROUNDS = 25
 #: Rows that one step inside a task works on.
 STEP_ROWS = 1 << 18
+#: Cells of the features that are counted as one, where a step has this many times as many rows as it has cells.
+JOINT_CELLS = 1 << 14
+JOINT_SHARE = 2
 #: Rows that all trees are added to in one go.
 ADD_ROWS = 1 << 15
 
@@ -92,18 +95,83 @@ def _columns(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
     return [batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(size)]
 
 
-def _sums(binned: np.ndarray, leaf: np.ndarray, rest: np.ndarray, n_leaves: int, bins: int) -> np.ndarray:
-    """Rows and residuals by (leaf, feature, bin) of the rows whose ``leaf`` is not negative."""
+def _joint(sizes: Sequence[int]) -> list[list[int]]:
+    """Features in groups whose bins together make at most ``JOINT_CELLS`` cells, the largest first."""
+    groups: list[list[int]] = []
+    cells: list[int] = []
+    for f in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
+        fits = [g for g in range(len(groups)) if cells[g] * sizes[f] <= JOINT_CELLS]
+        if fits:
+            best = max(fits, key=lambda g: cells[g])
+            groups[best].append(f)
+            cells[best] *= sizes[f]
+        else:
+            groups.append([f])
+            cells.append(sizes[f])
+    return groups
+
+
+class _Joint:
+    """Cells of features counted as one, by row: a pass per group of features instead of one per feature."""
+
+    def __init__(self, binned: np.ndarray, sizes: Sequence[int]) -> None:
+        self.sizes, self.groups = sizes, _joint(sizes)
+        self.cells = [int(np.prod([sizes[f] for f in group])) for group in self.groups]
+        self.places = []
+        for group in self.groups:
+            place = np.zeros(binned.shape[1], np.uint16)
+            for f in group:
+                place = place * np.uint16(sizes[f]) + binned[f]
+            self.places.append(place)
+
+    def add(self, out: np.ndarray, leaf: np.ndarray, use: np.ndarray, weight: np.ndarray, n_leaves: int) -> None:
+        """Add rows (unless ``out`` has one table only) and residuals by (feature, leaf, bin) of the rows ``use``."""
+        bins = out.shape[-1] // n_leaves
+        for group, cells, place in zip(self.groups, self.cells, self.places):
+            at = leaf * cells + place[use]
+            shape = (n_leaves, *(self.sizes[f] for f in group))
+            for table, values in zip(out[::-1], (weight, None)):
+                held = np.bincount(at, values, minlength=n_leaves * cells).reshape(shape)
+                for i, f in enumerate(group):
+                    rest = tuple(axis + 1 for axis in range(len(group)) if axis != i)
+                    table[f].reshape(n_leaves, bins)[:, : self.sizes[f]] += held.sum(axis=rest)
+
+
+def _sums(
+    binned: np.ndarray, leaf: np.ndarray, rest: np.ndarray, n_leaves: int, bins: int, joint: _Joint | None = None,
+    counts: np.ndarray | None = None,
+) -> np.ndarray:
+    """Rows and residuals by (leaf, feature, bin) of the rows whose ``leaf`` is not negative.
+
+    ``counts`` are the rows, where they are known.
+    """
     out = np.zeros((2, binned.shape[0], n_leaves * bins))
-    for at in range(0, len(leaf), STEP_ROWS):
-        part = slice(at, at + STEP_ROWS)
-        use = np.flatnonzero(leaf[part] >= 0)
-        base, weight = leaf[part][use].astype(np.int64) * bins, rest[part][use]
+    tables = out if counts is None else out[1:]
+    places = np.flatnonzero(leaf >= 0)
+    for at in range(0, len(places), STEP_ROWS):
+        use = places[at : at + STEP_ROWS]
+        base, weight = leaf[use].astype(np.int64), rest[use]
+        if joint is not None and len(use) >= JOINT_SHARE * n_leaves * max(joint.cells, default=0):
+            joint.add(tables, base, use, weight, n_leaves)
+            continue
+        base *= bins
         for f in range(binned.shape[0]):
-            place = base + binned[f, part][use]
-            out[0, f] += np.bincount(place, minlength=n_leaves * bins)
+            place = base + binned[f][use]
+            if counts is None:
+                out[0, f] += np.bincount(place, minlength=n_leaves * bins)
             out[1, f] += np.bincount(place, weight, minlength=n_leaves * bins)
-    return out.reshape(2, binned.shape[0], n_leaves, bins).transpose(0, 2, 1, 3)
+    out = out.reshape(2, binned.shape[0], n_leaves, bins).transpose(0, 2, 1, 3)
+    if counts is not None:
+        out[0] = counts
+    return out
+
+
+def _one_side(binned, leaf, over, rest, n_leaves: int, bins: int, joint: _Joint, whole: np.ndarray) -> np.ndarray:
+    """Sums of the rows right of a split, by leaf; of many rows those of the smaller side are added up."""
+    none = leaf.dtype.type(-1)
+    if len(leaf) < STEP_ROWS or 2 * np.count_nonzero(over) <= len(leaf):
+        return _sums(binned, np.where(over, leaf, none), rest, n_leaves, bins, joint)
+    return whole - _sums(binned, np.where(over, none, leaf), rest, n_leaves, bins, joint)
 
 
 def _best_split(sums: np.ndarray, shrink: float) -> tuple[int, int, float]:
@@ -126,10 +194,12 @@ def _grow(
     """Trees after those of ``model``: splits, leaf values and gains of each."""
     rest = target - model.add(binned, np.full(len(target), model.start))
     bins = max((len(b) for b in model.borders), default=0) + 1
+    joint, counts = _Joint(binned, [len(b) + 1 for b in model.borders]), None
     for _ in range(rounds):
-        leaf = np.zeros(len(target), np.int64)
+        leaf = np.zeros(len(target), np.int8 if depth < 8 else np.int64)
         splits, gains = np.full((depth, 2), -1, np.int64), np.zeros(depth)
-        sums = _sums(binned, leaf, rest, 1, bins)
+        sums = _sums(binned, leaf, rest, 1, bins, joint, counts)
+        counts = sums[0]
         for level in range(depth):
             feature, border, gain = _best_split(sums, shrink)
             if gain <= 0:
@@ -137,9 +207,9 @@ def _grow(
             splits[level], gains[level] = (feature, border), gain
             over = binned[feature] > border
             if level + 1 < depth:
-                right = _sums(binned, np.where(over, leaf, -1), rest, 1 << level, bins)
+                right = _one_side(binned, leaf, over, rest, 1 << level, bins, joint, sums)
                 sums = np.concatenate((sums - right, right), axis=1)
-            leaf |= over.astype(np.int64) << level
+            leaf |= over.astype(leaf.dtype) << leaf.dtype.type(level)
         size = 1 << depth
         held = np.stack([np.bincount(leaf, minlength=size), np.bincount(leaf, rest, minlength=size)])
         values = rate * held[1] / (held[0] + shrink)

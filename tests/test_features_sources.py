@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,24 @@ def _slow_baseline(x, y, borders, rounds, rate, depth, shrink):
     return out
 
 
+def test_sums_of_joint_features_are_those_of_each():
+    """Groups of features counted as one give the same rows and residuals, whichever side is added up."""
+    rng, sizes = np.random.default_rng(3), [128, 6, 128, 1, 40]
+    n = baseline.STEP_ROWS + 1_000
+    binned = np.stack([rng.integers(0, size, n).astype(np.uint8) for size in sizes])
+    leaf, rest = rng.integers(-1, 2, n).astype(np.int8), rng.integers(-9, 9, n).astype(float)
+    joint = baseline._Joint(binned, sizes)
+    assert sorted(f for group in joint.groups for f in group) == list(range(len(sizes)))
+    assert max(joint.cells) <= baseline.JOINT_CELLS and len(joint.groups) < len(sizes)
+    alone = baseline._sums(binned, leaf, rest, 2, 128)
+    assert (baseline._sums(binned, leaf, rest, 2, 128, joint) == alone).all()
+    assert (baseline._sums(binned, leaf, rest, 2, 128, joint, alone[0]) == alone).all()
+    inside, over = np.maximum(leaf, 0), binned[0] > 10
+    whole = baseline._sums(binned, inside, rest, 2, 128)
+    right = baseline._sums(binned, np.where(over, inside, -1), rest, 2, 128)
+    assert (baseline._one_side(binned, inside, over, rest, 2, 128, joint, whole) == right).all()
+
+
 @pytest.mark.parametrize("task_rows", [500_000, 40])
 def test_baseline_against_a_slow_one(spark, monkeypatch, task_rows):
     monkeypatch.setattr(baseline, "SEGMENT", 3)
