@@ -1,11 +1,13 @@
 import math
 import random
+import time
 from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shopcast import sources
 from shopcast.operators import similarity
 
 
@@ -385,3 +387,117 @@ def test_a_unit_passes_in_few_pieces(spark):
         for p in pieces for b in similarity.pa.ipc.open_stream(p["ref"]) for r in b.to_pylist()
     ]
     assert sorted(got, key=lambda r: r[0]) == rows
+
+
+def test_neighbours_are_searched_once_for_sums(spark):
+    """Neighbours that are not stored yet are made once; before, a look at repeated ids made them again."""
+    rows = vectors(300, 3, 7)
+    q, r = frames(spark, rows[:30], rows)
+    r = r.withColumn("values", F.array(F.lit(1.0), F.col("ref_id").cast("double")))
+    near = similarity.nearest(q, r.drop("values"), "query_id", "ref_id", 25)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    counted = near.mapInArrow(count, near.schema)
+    similarity.nearest_sums(counted, q, r, "query_id", "ref_id", [(25, lambda x: x)]).collect()
+    assert made.value == 30 * 25
+
+
+def test_equal_query_rows_are_summed_once(spark, monkeypatch):
+    """Copies of a query row get the sums of the one that was added up."""
+    rows, sizes, blocks = vectors(200, 3, 7), [], similarity._query_blocks
+    asked = [(1_000 + i, rows[i % 10][1]) for i in range(60)]
+    q, r = frames(spark, asked, rows)
+    r = r.withColumn("values", F.array(F.lit(1.0), F.col("ref_id").cast("double")))
+    near = similarity.nearest(q, r.drop("values"), "query_id", "ref_id", 25)
+    monkeypatch.setattr(similarity, "_query_blocks", lambda q, *rest: sizes.append(q.count()) or blocks(q, *rest))
+    sums = similarity.nearest_sums(near, q, r, "query_id", "ref_id", [(25, lambda x: x), (7, lambda x: x)]).collect()
+    want = brute(asked, rows, 25, "euclidean")
+    assert sizes == [10] and {s.query_id: s.sums_0 for s in sums} == {i: [25.0, float(sum(w))] for i, w in want.items()}
+    assert {s.query_id: s.sums_1 for s in sums} == {i: [7.0, float(sum(w[:7]))] for i, w in want.items()}
+
+
+def test_the_search_leaves_its_result_only(spark):
+    """Pieces are read from files where they are needed, and what the search stores is gone with it."""
+    from pathlib import Path
+
+    folder = Path(sources.run_folder(spark).removeprefix("file:"))
+    rows = vectors(300, 3, 7)
+    q, r = frames(spark, rows[:30], rows)
+    before = set(folder.glob("*"))
+    found = similarity.nearest(q, r, "query_id", "ref_id", 5)
+    left = sorted(p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before)
+    assert left == ["different-vectors", "found", "query-vectors"]
+    assert ranked(found) == brute(rows[:30], rows, 5, "euclidean")
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_pieces_in_files_give_the_same(spark, metric, monkeypatch):
+    """Where tasks cannot read files of a folder the pieces themselves are passed, to the same end."""
+    monkeypatch.setattr(similarity, "ROWS_PER_CELL", 20)
+    passed, packed = [], similarity._pieces
+    rows = vectors(300, 3, 7, hot=40)
+    q, r = frames(spark, rows[:50], rows)
+    monkeypatch.setattr(similarity, "_pieces", lambda refs: passed.append(1) or packed(refs))
+    files = ranked(similarity.nearest(q, r, "query_id", "ref_id", 12, metric))
+    assert not passed and files == brute(rows[:50], rows, 12, metric)
+    monkeypatch.setattr(similarity, "temporary_folder", lambda spark, name: None)
+    assert ranked(similarity.nearest(q, r, "query_id", "ref_id", 12, metric)) == files and passed
+
+
+def test_limits_hold_few_values(spark):
+    """Of many values of a query row no more than twice the wanted ones are held; the limit is the last wanted."""
+    pa, rng = similarity.pa, np.random.default_rng(4)
+    refs, asked = rng.uniform(size=(700, 2)), rng.uniform(size=(40, 2))
+    held = pa.RecordBatch.from_pydict(
+        {"qid": np.arange(40), "vec": asked.tolist(), "limit": np.full(40, np.inf), "first": [list(range(7))] * 40}
+    )
+    schema = pa.schema([("qid", pa.int64()), ("limit", pa.float64())])
+    block = similarity._Limits(90, False, "l2", 2.0, schema, [held])
+    for unit in range(7):
+        block.meet(unit, pa.RecordBatch.from_pydict({"rid": np.arange(100), "vec": refs[unit::7].tolist()}))
+        assert block.values.shape[1] <= 180 and not block.found
+    got = np.concatenate([b.column("limit").to_numpy() for b in block.finish()])
+    far = np.sort(np.sqrt(((asked[:, None] - refs[None]) ** 2).sum(axis=2)), axis=1)
+    assert np.allclose(got, far[:, 89], atol=1e-6)
+
+
+def test_candidates_with_equal_values_are_cut_by_id(monkeypatch):
+    """More equal candidates than there is room for: the lowest ids stay, whenever a block is cut."""
+    pa = similarity.pa
+    near = pa.list_(pa.struct([("rid", pa.string()), ("value", pa.float64()), ("rank", pa.int32())]))
+    monkeypatch.setattr(similarity, "HELD_NUMBERS", 50)
+    one = [np.zeros(1, int), np.array([400]), np.zeros(1), np.full(1, 2.0), np.zeros(1, int)]
+    units = similarity.Units(np.zeros((1, 2)), *one, np.zeros((1, 2)), np.ones((1, 2)), np.full(1, 2.0))
+    held = pa.RecordBatch.from_pydict({"qid": ["a", "b"], "vec": [[0.0, 0.0], [1.0, 1.0]], "limit": np.full(2, np.inf)})
+    block = similarity._Best(
+        3, False, "l2", units, 2.0, 3, None, pa.schema([("qid", pa.string()), ("near", near)]), [held]
+    )
+    ids = [f"r{i:03d}" for i in np.random.default_rng(2).permutation(400)]
+    for at in range(0, 400, 40):
+        block.meet(0, pa.RecordBatch.from_pydict({"rid": ids[at : at + 40], "vec": [[0.5, 0.5]] * 40}))
+    got = {r["qid"]: [n["rid"] for n in r["near"]] for b in block.finish() for r in b.to_pylist()}
+    assert got == {"a": ["r000", "r001", "r002"], "b": ["r000", "r001", "r002"]}
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark):
+    """Files of the shuffles behind a staged table go when it is stored; they would stay as long as the session."""
+    import os
+
+    def shuffled():
+        top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return sum(f.startswith("shuffle_") for d in top for _, _, files in os.walk(d.getPath()) for f in files)
+
+    before = shuffled()
+    setting = spark.conf.get(sources.CLEAN_SHUFFLES, None)
+    out = sources.stage(spark.range(1_000).repartition(7).groupBy(F.col("id") % 10).count(), "counts")
+    for _ in range(50):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and out.count() == 10
+    assert spark.conf.get(sources.CLEAN_SHUFFLES, None) == setting
