@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shopcast import sources
 from shopcast.config import FeatureSpec, ModelSettings, model_settings
-from shopcast.operators import reconcile
+from shopcast.operators import inference, reconcile
 from shopcast.plans import flows
 
 SPECS = [FeatureSpec("visits", "Visits", "integer", "Habits"), FeatureSpec("spent", "Spent", "float", "Money")]
@@ -304,3 +304,27 @@ def test_ranked_factors_leave_out_what_is_done(spark):
     )
     got = {r.customer_id: tuple(r) for r in run(done=done).collect()}
     assert got == whole | {"1": ("1", "kept.", "case")}
+
+
+def test_a_worker_holds_few_prompts(spark, tmp_path, monkeypatch):
+    """Long prompts come a few at a time; before, one worker got 10,000 of them at once."""
+    import pandas as pd
+
+    sizes = tmp_path / "sizes"
+    sizes.mkdir()
+
+    def watched(answer, schema, folder, key, commit_prompts):
+        def run(batches):
+            for place, batch in enumerate(batches):
+                (sizes / f"{place}-{len(batch)}").touch()
+                yield pd.DataFrame({"stored": [len(batch)]})
+
+        return run
+
+    monkeypatch.setattr(inference, "_store_partition", watched)
+    setting = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    prompts = spark.range(1_000).selectExpr("id AS chunk_no", "repeat('x', 100) AS prompt")
+    inference.resumed_replies(prompts, lambda: str, ModelSettings(), str(tmp_path / "replies"), "chunk_no", workers=1)
+    held = [int(f.name.split("-")[1]) for f in sizes.iterdir()]
+    assert sum(held) == 1_000 and max(held) <= 200
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == setting
